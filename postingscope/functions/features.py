@@ -20,24 +20,27 @@ def pyround(x: Column, n: int) -> Column:
     Python rounds the exact binary value (half-even only on exact ties);
     Spark's `round` rounds the shortest decimal form half-up, so they
     disagree on values such as 0.045649999999999996.  The scaled product's
-    rounding error is recovered exactly (Dekker split, all in double
-    arithmetic, codegen'd) and decides the only ambiguous case, a scaled
-    value landing exactly on .5.
+    rounding error is recovered exactly (Dekker split, double arithmetic)
+    and decides the only ambiguous case, a scaled value landing on .5.
+    `x` is bound once through a one-element array so the (possibly
+    expensive) argument is evaluated a single time.
     """
     s = F.lit(float(10 ** n))
-    p = x * s
-    c = F.lit(134217729.0) * x
-    hi = c - (c - x)
-    lo = x - hi
-    err = (hi * s - p) + lo * s
-    fl = F.floor(p).cast("double")
-    frac = p - fl
-    up = fl + F.lit(1.0)
-    tie = (F.when(err > 0, up).when(err < 0, fl)
-            .when(F.pmod(fl, F.lit(2.0)) == 0, fl).otherwise(up))
-    k = F.when(frac > 0.5, up).when(frac < 0.5, fl).otherwise(tie)
-    return F.when(x.isNull(), F.lit(None).cast("double")).when(
-        F.abs(p) >= F.lit(4503599627370496.0), x).otherwise(k / s)
+
+    def body(v):
+        p = v * s
+        c = F.lit(134217729.0) * v
+        hi = c - (c - v)
+        err = (hi * s - p) + (v - hi) * s
+        fl = F.floor(p).cast("double")
+        frac = p - fl
+        up = fl + F.lit(1.0)
+        tie = (F.when(err > 0, up).when(err < 0, fl)
+                .when(F.pmod(fl, F.lit(2.0)) == 0, fl).otherwise(up))
+        k = F.when(frac > 0.5, up).when(frac < 0.5, fl).otherwise(tie)
+        return F.when(F.abs(p) >= F.lit(4503599627370496.0), v).otherwise(k / s)
+
+    return F.transform(F.array(x.cast("double")), body).getItem(0)
 
 
 def clamp01r4(x: Column) -> Column:

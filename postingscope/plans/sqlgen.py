@@ -164,7 +164,7 @@ COMPANIES = """
 companies AS (
   SELECT d.name,
          CASE WHEN CAST(regexp_extract(d.name, '([0-9]+)$', 1) AS INTEGER) % 7 = 6 THEN NULL
-              ELSE upper(substr(lower(r.r_name), 1, 1)) || substr(lower(r.r_name), 2) END AS industry,
+              ELSE lower(r.r_name) END AS industry,
          'https://careers.example.com/' || d.name AS career_url,
          'software engineer' AS query, 'Remote' AS location
   FROM (SELECT DISTINCT source AS name FROM documents) d
@@ -219,3 +219,76 @@ scores AS (
          {fs} AS final_score
   FROM features f LEFT JOIN sentiment s ON f.company = s.company
 )"""
+
+
+# ----------------------------------------------------------------- text
+def strip_markup(e: str) -> str:
+    out = e
+    for tag in L.DROPPED_ELEMENTS:
+        out = f"regexp_replace({out}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', ' ', 'g')"
+    out = f"regexp_replace({out}, '(?s)<!--.*?-->', ' ', 'g')"
+    out = f"regexp_replace({out}, '<[^>]*>', ' ', 'g')"
+    return f"(CASE WHEN contains({e}, '<') AND contains({e}, '>') THEN {out} ELSE {e} END)"
+
+
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
+            ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+
+
+def unescape(e: str) -> str:
+    out = e
+    for ent, ch in ENTITIES:
+        out = f"replace({out}, {q(ent)}, {q(ch)})"
+    return out
+
+
+def boilerplate(e: str) -> str:
+    out = e
+    for p in L.BOILERPLATE_PATTERNS:
+        out = f"regexp_replace({out}, {q(p)}, ' ', 'g')"
+    return out
+
+
+def squash(e: str) -> str:
+    return f"regexp_replace(regexp_replace({e}, '[\\r\\t\\f\\x{{0B}}]+', ' ', 'g'), '[ \\t]+', ' ', 'g')"
+
+
+def gap(e: str) -> str:
+    return f"""regexp_replace({e}, '([a-z0-9.)''"])([.!?])([A-Z])', '\\1\\2 \\3', 'g')"""
+
+
+def trim_lines(e: str) -> str:
+    return (f"array_to_string(list_filter(list_transform(string_split({e}, chr(10)), "
+            f"lambda x: {strip('x')}), lambda x: x <> ''), chr(10))")
+
+
+def clean(e: str) -> str:
+    body = trim_lines(gap(squash(boilerplate(unescape(strip_markup(e))))))
+    return f"(CASE WHEN {e} IS NULL OR {e} = '' THEN '' ELSE {body} END)"
+
+
+def slugify(e: str) -> str:
+    s1 = strip(f"lower({e})")
+    s2 = f"regexp_replace({s1}, '[^\\p{{L}}\\p{{N}}_{WS_CHARS}-]', '', 'g')"
+    return f"regexp_replace({s2}, '[{WS_CHARS}-]+', '-', 'g')"
+
+
+def title_case(e: str) -> str:
+    return (f"array_to_string(list_transform(string_split({e}, ''), lambda ch, i: "
+            f"CASE WHEN i = 1 OR NOT regexp_full_match(string_split({e}, '')[i - 1], '\\p{{L}}') "
+            f"THEN upper(ch) ELSE lower(ch) END), '')")
+
+
+PAGE_POSTINGS = """
+page_postings AS (
+  SELECT page_id AS id,
+         upper(substr(split_part(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]+)', 1), '.', 1), 1, 1))
+           || lower(substr(split_part(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]+)', 1), '.', 1), 2))
+           AS company,
+         regexp_extract(html, '(?s)<title>([^<]*)</title>', 1) AS title,
+         html AS description,
+         split_part(url, '?', 1) AS url,
+         'career' AS source,
+         CASE WHEN contains(url, '#') THEN regexp_extract(html, '(?s)<title>([^<]*)</title>', 1) END AS cleaned_text
+  FROM pages
+)"""

@@ -114,7 +114,27 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     num = F.regexp_extract("name", "([0-9]+)$", 1).cast("int")
     d = d.withColumn("_rk", num % n_regions).withColumn("_num", num)
     out = d.join(r, d["_rk"] == r["r_regionkey"], "left")
-    industry = F.when(F.col("_num") % 7 == 6, F.lit(None).cast("string")).otherwise(F.initcap("r_name"))
+    industry = F.when(F.col("_num") % 7 == 6, F.lit(None).cast("string")).otherwise(F.lower("r_name"))
     return out.select("name", industry.alias("industry"),
                       F.concat(F.lit("https://careers.example.com/"), F.col("name")).alias("career_url"),
                       F.lit("software engineer").alias("query"), F.lit("Remote").alias("location"))
+
+
+def page_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings captured as raw career pages: one per page.
+
+    Pages whose url carries a fragment were cleaned by an earlier run (their
+    cleaned_text is set), the rest are pending.
+    """
+    from postingscope.functions.text import canonical_url, company_from_url
+    p = table(spark, sf_dir, "pages")
+    title = F.regexp_extract("html", r"(?s)<title>([^<]*)</title>", 1)
+    return p.select(
+        F.col("page_id").alias("id"),
+        company_from_url(F.col("url")).alias("company"),
+        title.alias("title"),
+        F.col("html").alias("description"),
+        canonical_url(F.col("url")).alias("url"),
+        F.lit("career").alias("source"),
+        F.when(F.col("url").contains("#"), title).alias("cleaned_text"),
+    )
