@@ -1 +1,250 @@
-"""Queries."""
+"""Queries: ingest, de-duplication, reposts, unions (JOIN6, JOIN7, WIN1,
+WIN2, WIN4, JOIN10, AGG1, AGG2, SET1, SET3, META4, JOB1, JOB2)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from postingscope.functions.features import pyround
+from postingscope.operators import dedupe as DD
+from postingscope.operators.reposts import mark_reposts
+from postingscope.operators.sets import fallback_union, union_sources, with_defaults
+from postingscope.operators.windows import first_k
+from postingscope.plans import sqlgen as S
+from postingscope.plans.catalog import as_of, register, with_
+from postingscope.sources import driver as D
+
+# Postings scraped before CUT are the stored table; the rest arrive as a batch.
+CUT = "2024-01-01 02:30:00"
+REVIEW_CUT = "2024-01-20 00:00:00"
+
+
+def _split(df, col, cut):
+    c = F.lit(cut).cast("timestamp")
+    return df.filter(F.col(col) >= c), df.filter(F.col(col) < c)
+
+
+def ingest(spark, sf, threshold=D.DATA_THRESHOLD):
+    """JOB1 body: url de-dup (JOIN6) then repost marking (WIN1)."""
+    inc, st = _split(D.embedded_postings(spark, sf), "scraped_at", CUT)
+    kept, skipped = DD.new_by_url(inc, st)
+    marked = mark_reposts(kept, st, threshold=threshold)
+    return marked, skipped
+
+
+INGEST_CTES = [S.POSTINGS, S.EMBEDDED, f"""
+inc AS (SELECT * FROM embedded WHERE scraped_at >= TIMESTAMP '{CUT}'),
+st AS (SELECT * FROM embedded WHERE scraped_at < TIMESTAMP '{CUT}'),
+kept AS (
+  SELECT i.* FROM inc i
+  WHERE i.url IS NULL OR i.url = ''
+     OR (i.id = (SELECT arg_min(j.id, (j.scraped_at, j.id)) FROM inc j WHERE j.url = i.url)
+         AND NOT EXISTS (SELECT 1 FROM st WHERE st.url = i.url))
+),
+allrows AS (
+  SELECT id, company, scraped_at, embedding, description, false AS is_inc FROM st
+  UNION ALL SELECT id, company, scraped_at, embedding, description, true FROM kept
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY company ORDER BY is_inc, scraped_at, id) AS rn,
+         sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS nrm
+  FROM allrows
+),
+pairs AS (
+  SELECT p.id AS pid, c.id AS cid, c.rn AS crn,
+         CASE WHEN p.nrm > 0 AND c.nrm > 0
+              THEN list_dot_product(CAST(p.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) / (p.nrm * c.nrm)
+              ELSE 0.0 END AS sim
+  FROM ranked p JOIN ranked c ON p.company = c.company AND c.rn < p.rn AND c.rn >= p.rn - 20
+  WHERE p.is_inc AND p.description IS NOT NULL AND length({S.strip('p.description')}) > 10
+),
+best AS (
+  SELECT pid, cid, sim FROM (
+    SELECT *, row_number() OVER (PARTITION BY pid ORDER BY sim DESC, crn DESC) AS r FROM pairs) WHERE r = 1
+),
+marked AS (
+  SELECT k.id, k.company, CASE WHEN b.sim >= {D.DATA_THRESHOLD} THEN b.cid END AS repost_of_id,
+         b.sim AS max_similarity,
+         CASE WHEN b.sim >= {D.DATA_THRESHOLD} THEN 'repost' ELSE 'new' END AS status
+  FROM kept k LEFT JOIN best b ON k.id = b.pid
+),
+tagged AS (
+  SELECT company, status FROM marked
+  UNION ALL SELECT company, 'skipped' FROM inc WHERE id NOT IN (SELECT id FROM kept)
+)"""]
+
+
+@register("join6_new_by_url", with_(*INGEST_CTES) +
+          "SELECT id, 'kept' AS state FROM kept UNION ALL "
+          "SELECT id, 'skipped' FROM inc WHERE id NOT IN (SELECT id FROM kept)")
+def join6_new_by_url(spark, sf):
+    inc, st = _split(D.embedded_postings(spark, sf), "scraped_at", CUT)
+    kept, skipped = DD.new_by_url(inc, st)
+    return (kept.select("id", F.lit("kept").alias("state"))
+            .unionByName(skipped.select("id", F.lit("skipped").alias("state"))))
+
+
+@register("win1_mark_reposts", with_(*INGEST_CTES) +
+          f"SELECT id, repost_of_id, {S.rnd('max_similarity', 4)} AS max_similarity, status FROM marked")
+def win1_mark_reposts(spark, sf):
+    marked, _ = ingest(spark, sf)
+    return marked.select("id", "repost_of_id", pyround(F.col("max_similarity"), 4).alias("max_similarity"),
+                         "status")
+
+
+@register("join10_repost_counts", with_(*INGEST_CTES) +
+          "SELECT repost_of_id AS original_id, count(*) AS repost_count FROM marked "
+          "WHERE repost_of_id IS NOT NULL GROUP BY repost_of_id")
+def join10_repost_counts(spark, sf):
+    marked, _ = ingest(spark, sf)
+    return DD.repost_counts(marked)
+
+
+@register("job1_ingest_postings", with_(*INGEST_CTES) + """
+SELECT company, count(*) AS total, count(*) FILTER (WHERE status = 'new') AS new,
+       count(*) FILTER (WHERE status = 'repost') AS reposts,
+       count(*) FILTER (WHERE status = 'skipped') AS skipped
+FROM tagged GROUP BY ROLLUP (company)""")
+def job1_ingest_postings(spark, sf):
+    """JOB1 = META4 -> JOIN6 -> WIN1 -> AGG1 (stats per company + total)."""
+    marked, skipped = ingest(spark, sf)
+    tagged = marked.select("company", "status").unionByName(
+        skipped.select("company", F.lit("skipped").alias("status")))
+    return DD.ingest_stats(tagged)
+
+
+REVIEW_CTES = [S.REVIEWS, f"""
+rinc AS (SELECT * FROM reviews WHERE posted_at >= TIMESTAMP '{REVIEW_CUT}'),
+rst AS (SELECT * FROM reviews WHERE posted_at < TIMESTAMP '{REVIEW_CUT}'),
+rreal AS (SELECT * FROM rinc WHERE NOT {S.blank('text')}),
+rsaved AS (
+  SELECT r.* FROM rreal r
+  WHERE r.id = (SELECT arg_min(j.id, (j.posted_at, j.id)) FROM rreal j WHERE j.company = r.company AND j.text = r.text)
+    AND NOT EXISTS (SELECT 1 FROM rst WHERE rst.company = r.company AND rst.text = r.text)
+),
+rtagged AS (
+  SELECT company, 'saved' AS status FROM rsaved
+  UNION ALL SELECT company, 'skipped' FROM rreal WHERE id NOT IN (SELECT id FROM rsaved)
+  UNION ALL SELECT company, 'blank' FROM rinc WHERE {S.blank('text')}
+)"""]
+
+
+def _review_load(spark, sf):
+    inc, st = _split(D.reviews(spark, sf), "posted_at", REVIEW_CUT)
+    return inc, st, DD.new_reviews(inc, st)
+
+
+@register("join7_new_reviews", with_(*REVIEW_CTES) +
+          "SELECT id, 'saved' AS state FROM rsaved UNION ALL "
+          "SELECT id, 'skipped' FROM rreal WHERE id NOT IN (SELECT id FROM rsaved)")
+def join7_new_reviews(spark, sf):
+    _, _, (saved, skipped, _blank) = _review_load(spark, sf)
+    return (saved.select("id", F.lit("saved").alias("state"))
+            .unionByName(skipped.select("id", F.lit("skipped").alias("state"))))
+
+
+@register("agg2_review_stats", with_(*REVIEW_CTES) + """
+SELECT company, count(*) AS total, count(*) FILTER (WHERE status = 'saved') AS saved,
+       count(*) FILTER (WHERE status = 'skipped') AS skipped
+FROM rtagged GROUP BY ROLLUP (company)""")
+def agg2_review_stats(spark, sf):
+    _, _, (saved, skipped, blank) = _review_load(spark, sf)
+    tagged = (saved.select("company", F.lit("saved").alias("status"))
+              .unionByName(skipped.select("company", F.lit("skipped").alias("status")))
+              .unionByName(blank.select("company", F.lit("blank").alias("status"))))
+    return DD.review_stats(tagged)
+
+
+@register("job2_ingest_reviews", with_(*REVIEW_CTES, S.review_scores_sql(D.DATA_FRUSTRATION).replace(
+    "FROM reviews", "FROM (SELECT * FROM rst UNION ALL SELECT * FROM rsaved) r "
+                    "WHERE company IN (SELECT company FROM rsaved)"), S.sentiment_sql(D.DATA_FRUSTRATION)) +
+          "SELECT company, score, review_count FROM sentiment")
+def job2_ingest_reviews(spark, sf):
+    """JOB2 = JOIN7 -> store -> UPS2 (sentiment of affected companies only)."""
+    from postingscope.operators.sentiment import refresh_affected
+    _, st, (saved, _s, _b) = _review_load(spark, sf)
+    allr = st.unionByName(saved)
+    return refresh_affected(saved, allr, as_of(), D.DATA_FRUSTRATION).drop("computed_at")
+
+
+@register("set1_union_sources", with_(S.POSTINGS) +
+          "SELECT id, source FROM postings WHERE source = 'cards_a'")
+def set1_union_sources(spark, sf):
+    p = D.postings(spark, sf)
+    frames = [p.filter(F.col("source") == s) for s in ("career", "cards_a", "cards_b")]
+    return union_sources(frames, "cards_a").select("id", "source")
+
+
+@register("set1_union_all_sources", with_(S.POSTINGS) +
+          "SELECT source, count(*) AS n FROM postings GROUP BY source")
+def set1_union_all_sources(spark, sf):
+    p = D.postings(spark, sf)
+    frames = [p.filter(F.col("source") == s) for s in ("career", "cards_a", "cards_b")]
+    return union_sources(frames, "all").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+FALLBACK_SQL = with_(S.POSTINGS, """
+conv AS (
+  SELECT conv_id * 100 + turn AS id, 'src' || CAST(conv_id % 20 AS VARCHAR) AS company, role, turn, text,
+         TIMESTAMP '2024-01-30 00:00:00' - (conv_id % 120) * INTERVAL 1 DAY + turn * INTERVAL 1 MINUTE AS posted_at
+  FROM conversations
+),
+prim AS (SELECT * FROM conv WHERE role = 'user' AND turn = 0),
+sec AS (SELECT * FROM conv WHERE role = 'assistant'),
+comp AS (SELECT DISTINCT company FROM postings),
+status AS (SELECT c.company, (SELECT count(*) FROM prim p WHERE p.company = c.company) AS n FROM comp c)
+""") + """
+SELECT id, 'primary' AS origin FROM prim WHERE company IN (SELECT company FROM comp)
+UNION ALL SELECT id, 'secondary' FROM sec WHERE company IN (SELECT company FROM status WHERE n = 0)
+UNION ALL SELECT id, 'secondary' FROM (
+  SELECT s.*, row_number() OVER (PARTITION BY company ORDER BY posted_at, id) AS rn FROM sec s
+  WHERE company IN (SELECT company FROM status WHERE n > 0 AND n < 5)) WHERE rn <= 10"""
+
+
+@register("set3_fallback_union", FALLBACK_SQL)
+def set3_fallback_union(spark, sf):
+    """SET3: opening posts are the primary reviews; assistant turns stand in
+    for the secondary source."""
+    c = D.table(spark, sf, "conversations")
+    posted = F.timestamp_micros(F.unix_micros(F.lit("2024-01-30 00:00:00").cast("timestamp"))
+                                - (F.col("conv_id") % 120) * F.lit(86_400_000_000)
+                                + F.col("turn") * F.lit(60_000_000))
+    conv = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"),
+                    F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")).alias("company"),
+                    "role", "turn", "text", posted.alias("posted_at"))
+    prim = conv.filter((F.col("role") == "user") & (F.col("turn") == 0)).withColumn("origin", F.lit("primary"))
+    sec = conv.filter(F.col("role") == "assistant").withColumn("origin", F.lit("secondary"))
+    comps = D.postings(spark, sf).select("company")
+    return fallback_union(prim, sec, comps).select("id", "origin")
+
+
+@register("win2_first_k", """
+SELECT conv_id, turn, rn FROM (
+  SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn
+  FROM conversations WHERE role = 'user') WHERE rn <= 3""")
+def win2_first_k(spark, sf):
+    """WIN2: first 3 user turns per conversation (salted two-round top-k)."""
+    c = D.table(spark, sf, "conversations").filter(F.col("role") == "user")
+    c = c.withColumn("id", F.col("conv_id") * 100 + F.col("turn"))
+    return first_k(c, "conv_id", ["turn"], 3, rank_col="rn").select("conv_id", "turn", F.col("rn").cast("long"))
+
+
+@register("win4_first_wins", with_(S.POSTINGS) +
+          "SELECT url, arg_min(id, (scraped_at, id)) AS id FROM postings GROUP BY url")
+def win4_first_wins(spark, sf):
+    p = D.postings(spark, sf)
+    return DD.first_wins(p, ["url"], ["scraped_at", "id"]).select("url", "id")
+
+
+@register("meta4_with_defaults", with_(S.PAGE_POSTINGS) + f"""
+SELECT id, coalesce(nullif(company, ''), 'Unknown') AS company,
+       coalesce(nullif(title, ''), 'Untitled Position') AS title,
+       strftime({S.AS_OF}, '%Y-%m-%d %H:%M:%S') AS posted_date
+FROM page_postings""")
+def meta4_with_defaults(spark, sf):
+    """META4 on captured pages: empty extracted fields count as absent."""
+    p = D.page_postings(spark, sf)
+    p = (p.withColumn("company", F.nullif("company", F.lit(""))).withColumn("title", F.nullif("title", F.lit("")))
+          .withColumn("posted_date", F.lit(None).cast("timestamp")))
+    d = with_defaults(p, "posting", as_of())
+    return d.select("id", "company", "title", F.date_format("posted_date", "yyyy-MM-dd HH:mm:ss").alias("posted_date"))
