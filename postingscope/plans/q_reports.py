@@ -1 +1,363 @@
-"""Queries."""
+"""Queries: report and dashboard tables (JOIN1-3, JOIN5, SRC2, SRC12,
+AGG5-9, AGG15, AGG19-22, FLT2-5, TOP2-3, RPT1, RPT3, JOB7, JOB8)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from postingscope.functions.features import pyround, risk_band, signals
+from postingscope.functions.text import slugify
+from postingscope.operators import reports as RP
+from postingscope.operators import scoring as SC
+from postingscope.operators.sentiment import sentiment_all, sentiment_by_company
+from postingscope.plans import sqlgen as S
+from postingscope.plans.catalog import as_of, register, with_
+from postingscope.sources import driver as D
+
+
+def r6(c):
+    return pyround(F.col(c) if isinstance(c, str) else c, 9)
+
+
+def _scores(spark, sf):
+    """Scores exist for the postings that carry an embedding (the others
+    were never scored)."""
+    p = D.postings(spark, sf)
+    emb = D.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))
+    sp = p.join(emb, "id", "left_semi")
+    sent = sentiment_by_company(D.reviews(spark, sf), as_of(), D.DATA_FRUSTRATION)
+    return SC.score_postings(sp, sent, as_of(), generic=D.DATA_GENERIC, urgent=D.DATA_URGENT)
+
+
+def _dash(spark, sf):
+    """Dashboard frame: every posting with scores or defaults, and industry."""
+    d = RP.scored_or_default(D.postings(spark, sf), _scores(spark, sf))
+    return RP.with_industry(d, RP.industry_dim(D.companies(spark, sf)))
+
+
+DASH = with_(S.POSTINGS, S.REVIEWS, S.review_scores_sql(D.DATA_FRUSTRATION), S.sentiment_sql(D.DATA_FRUSTRATION),
+             "scored_postings AS (SELECT * FROM postings WHERE id IN (SELECT vec_id FROM embeddings))",
+             S.features_sql("scored_postings", D.DATA_GENERIC, D.DATA_URGENT), S.scores_sql(), S.COMPANIES, """
+dash AS (
+  SELECT p.id AS posting_id, p.company, p.title, p.url, coalesce(p.location, 'Not Specified') AS location,
+         coalesce(s.genericness_score, 0.0) AS genericness_score, coalesce(s.vagueness_score, 0.0) AS vagueness_score,
+         coalesce(s.repost_score, 0.0) AS repost_score, coalesce(s.urgency_score, 0.0) AS urgency_score,
+         coalesce(s.bert_score, 0.0) AS bert_score, coalesce(s.sentiment_score, 0.0) AS sentiment_score,
+         coalesce(s.final_score, 0.0) AS final_ghost_score,
+         coalesce(c.industry, 'General Tech') AS industry
+  FROM postings p LEFT JOIN scores s ON p.id = s.job_posting_id
+  LEFT JOIN (SELECT name AS company, coalesce(industry, 'General Tech') AS industry FROM companies) c
+    ON p.company = c.company
+),
+joined AS (SELECT p.*, s.final_score, s.genericness_score, s.vagueness_score, s.repost_score, s.urgency_score,
+                  s.bert_score, s.sentiment_score
+           FROM postings p JOIN scores s ON p.id = s.job_posting_id),
+best AS (
+  SELECT b.company, b.id AS best_posting_id, b.url AS career_url, b.final_score, b.genericness_score,
+         b.vagueness_score, b.repost_score, b.urgency_score, b.bert_score, b.sentiment_score,
+         coalesce(pc.n, 0) AS posting_count, coalesce(rc.n, 0) AS review_count
+  FROM (SELECT *, row_number() OVER (PARTITION BY company ORDER BY final_score DESC, id) AS r FROM joined) b
+  LEFT JOIN (SELECT company, count(*) AS n FROM postings GROUP BY company) pc ON b.company = pc.company
+  LEFT JOIN (SELECT company, count(*) AS n FROM reviews GROUP BY company) rc ON b.company = rc.company
+  WHERE b.r = 1
+)""")
+
+
+@register("join1_scored", DASH + "SELECT id, company, final_score FROM joined")
+def join1_scored(spark, sf):
+    return RP.scored(D.postings(spark, sf), _scores(spark, sf)).select("id", "company", "final_score")
+
+
+@register("join2_scored_or_default", DASH + "SELECT posting_id, location, bert_score, final_ghost_score FROM dash")
+def join2_scored_or_default(spark, sf):
+    d = RP.scored_or_default(D.postings(spark, sf), _scores(spark, sf))
+    return d.select("posting_id", "location", "bert_score", "final_ghost_score")
+
+
+@register("join3_with_industry", DASH + "SELECT posting_id, company, industry FROM dash")
+def join3_with_industry(spark, sf):
+    return _dash(spark, sf).select("posting_id", "company", "industry")
+
+
+@register("src2_industry_dim", with_(S.COMPANIES) +
+          "SELECT name AS company, coalesce(industry, 'General Tech') AS industry FROM companies")
+def src2_industry_dim(spark, sf):
+    return RP.industry_dim(D.companies(spark, sf))
+
+
+BEST_COLS = "company, best_posting_id, career_url, ghost_score, posting_count, review_count"
+
+
+@register("agg5_best_per_company", DASH + f"""
+SELECT company, best_posting_id, career_url, {S.rnd('final_score', 1)} AS ghost_score,
+       posting_count, review_count FROM best""")
+def agg5_best_per_company(spark, sf):
+    p, r = D.postings(spark, sf), D.reviews(spark, sf)
+    b = RP.best_per_company(RP.scored(p, _scores(spark, sf)), p, r)
+    return b.select(*[c.strip() for c in BEST_COLS.split(",")])
+
+
+@register("agg6_by_industry", DASH + f"""
+SELECT industry, count(*) AS postings, {S.rnd('avg(final_ghost_score)', 9)} AS avg_score,
+       {S.rnd('avg(vagueness_score)', 9)} AS avg_vagueness, {S.rnd('avg(genericness_score)', 9)} AS avg_genericness,
+       {S.rnd('avg(repost_score)', 9)} AS avg_repost
+FROM dash GROUP BY industry""")
+def agg6_by_industry(spark, sf):
+    a = RP.by_industry(_dash(spark, sf))
+    return a.select("industry", "postings", *[r6(c).alias(c) for c in
+                                              ["avg_score", "avg_vagueness", "avg_genericness", "avg_repost"]])
+
+
+@register("agg7_by_company", DASH + f"""
+SELECT company, {S.rnd('avg(final_ghost_score)', 9)} AS avg_score, {S.rnd('avg(bert_score)', 9)} AS avg_probability,
+       arg_min(sentiment_score, posting_id) FILTER (WHERE sentiment_score IS NOT NULL) AS sentiment,
+       count(*) AS postings
+FROM dash GROUP BY company""")
+def agg7_by_company(spark, sf):
+    a = RP.by_company(_dash(spark, sf))
+    return a.select("company", r6("avg_score").alias("avg_score"), r6("avg_probability").alias("avg_probability"),
+                    "sentiment", "postings")
+
+
+@register("agg8_score_by_company", DASH + f"""
+SELECT company, {S.rnd('avg(final_ghost_score)', 9)} AS avg_score, count(*) AS postings FROM dash GROUP BY company""")
+def agg8_score_by_company(spark, sf):
+    a = RP.score_by_company(_dash(spark, sf))
+    return a.select("company", r6("avg_score").alias("avg_score"), "postings")
+
+
+@register("job8_overview_kpis", DASH + f""",
+sall AS (SELECT u.company, coalesce(s.review_count, 0) AS review_count
+         FROM (SELECT company FROM reviews UNION SELECT company FROM postings) u LEFT JOIN sentiment s USING (company))
+SELECT count(*) AS postings, {S.rnd('avg(final_ghost_score)', 9)} AS avg_score,
+       count(*) FILTER (WHERE final_ghost_score >= 10.0) AS high_risk, count(DISTINCT company) AS companies,
+       (SELECT CAST(sum(review_count) AS BIGINT) FROM sall) AS reviews
+FROM dash""")
+def job8_overview_kpis(spark, sf):
+    """JOB8 overview = AGG9 KPIs over the dashboard frame and AGG4 sentiments."""
+    sents = sentiment_all(D.reviews(spark, sf), D.postings(spark, sf), as_of(), D.DATA_FRUSTRATION)
+    k = RP.kpis(_dash(spark, sf), sents, high=10.0)
+    return k.select("postings", r6("avg_score").alias("avg_score"), "high_risk", "companies", "reviews")
+
+
+@register("agg15_company_correlation", DASH + f""",
+bc AS (SELECT company, avg(final_ghost_score) AS avg_score,
+              arg_min(sentiment_score, posting_id) FILTER (WHERE sentiment_score IS NOT NULL) AS sentiment
+       FROM dash GROUP BY company)
+SELECT CASE WHEN count(*) < 2 OR min(avg_score) = max(avg_score) OR min(sentiment) = max(sentiment) THEN NULL
+            ELSE {S.rnd('covar_pop(avg_score, sentiment) / (stddev_pop(avg_score) * stddev_pop(sentiment))', 9)} END AS r,
+       count(*) AS n
+FROM bc WHERE avg_score IS NOT NULL AND sentiment IS NOT NULL""")
+def agg15_company_correlation(spark, sf):
+    """AGG15: company sentiment vs company mean score (no invented fallback)."""
+    bc = RP.by_company(_dash(spark, sf))
+    c = RP.company_correlation(bc, "avg_score", "sentiment")
+    return c.select(r6("r").alias("r"), "n")
+
+
+DATA_THEMES = [["tion", "ment"], ["sch", "ß"], ["ing the", "zz"]]
+
+
+def _theme_sql():
+    from postingscope import lexicons as L
+    found = []
+    for i, g in enumerate(DATA_THEMES):
+        cond = " OR ".join(f"contains(lower(text), {S.q(k)})" for k in g)
+        found.append(f"bool_or({cond}) AS g{i}")
+    texts = [S.q(t) for t in L.THEME_TEXT]
+    fill = S.q(L.THEME_FILLER)
+    arr = (f"list_filter([CASE WHEN g0 THEN {texts[0]} END, CASE WHEN g1 THEN {texts[1]} END, "
+           f"CASE WHEN g2 THEN {texts[2]} END], lambda x: x IS NOT NULL)")
+    padded = f"list_slice(list_concat({arr}, [{fill}, {fill}, {fill}]), 1, 3)"
+    defaults = "[" + ", ".join(S.q(t) for t in L.THEME_DEFAULTS) + "]"
+    return DASH + f""",
+hit AS (SELECT company, {', '.join(found)} FROM reviews GROUP BY company)
+SELECT c.company, array_to_string(CASE WHEN h.g0 IS NULL THEN {defaults} ELSE {padded} END, ' | ') AS themes
+FROM (SELECT DISTINCT company FROM postings) c LEFT JOIN hit h USING (company)"""
+
+
+@register("agg20_complaint_themes", _theme_sql())
+def agg20_complaint_themes(spark, sf):
+    t = RP.complaint_themes(D.reviews(spark, sf), D.postings(spark, sf), DATA_THEMES)
+    return t.select("company", F.array_join("themes", " | ").alias("themes"))
+
+
+@register("agg21_spotlight", DASH + f"""
+SELECT count(*) AS postings, {S.rnd('avg(final_ghost_score)', 9)} AS avg_score,
+       {S.rnd('avg(repost_score)', 9)} AS avg_repost, {S.rnd('avg(vagueness_score)', 9)} AS avg_vagueness,
+       CASE WHEN coalesce(avg(final_ghost_score), 0) >= 15 THEN 'elevated'
+            WHEN coalesce(avg(final_ghost_score), 0) >= 8 THEN 'moderate' ELSE 'low' END AS band
+FROM dash WHERE company = 'src3'""")
+def agg21_spotlight(spark, sf):
+    s = RP.spotlight(_dash(spark, sf), "src3")
+    return s.select("postings", r6("avg_score").alias("avg_score"), r6("avg_repost").alias("avg_repost"),
+                    r6("avg_vagueness").alias("avg_vagueness"), "band")
+
+
+@register("agg22_companies_of", DASH + "SELECT DISTINCT company FROM dash")
+def agg22_companies_of(spark, sf):
+    return RP.companies_of(_dash(spark, sf))
+
+
+@register("flt2_by_company_and_score", DASH +
+          "SELECT posting_id FROM dash WHERE company IN ('src1', 'src2', 'src5') "
+          "AND final_ghost_score BETWEEN 1.0 AND 20.0")
+def flt2_by_company_and_score(spark, sf):
+    return RP.by_company_and_score(_dash(spark, sf), ["src1", "src2", "src5"], 1.0, 20.0).select("posting_id")
+
+
+@register("flt3_search", DASH +
+          "SELECT posting_id FROM dash WHERE coalesce(regexp_matches(title, '(?i)ou|EI') "
+          "OR regexp_matches(company, '(?i)ou|EI'), false)")
+def flt3_search(spark, sf):
+    return RP.search(_dash(spark, sf), "ou|EI").select("posting_id")
+
+
+@register("flt4_high_risk", DASH + "SELECT posting_id FROM dash WHERE final_ghost_score >= 10.0")
+def flt4_high_risk(spark, sf):
+    return RP.high_risk(_dash(spark, sf), 10.0).select("posting_id")
+
+
+@register("flt5_at_least_or_all", DASH + f"""
+SELECT 't60' AS variant, company FROM best
+WHERE {S.rnd('final_score', 1)} >= 60.0 OR NOT (SELECT coalesce(bool_or({S.rnd('final_score', 1)} >= 60.0), false) FROM best)
+UNION ALL
+SELECT 't12' AS variant, company FROM best
+WHERE {S.rnd('final_score', 1)} >= 12.0 OR NOT (SELECT coalesce(bool_or({S.rnd('final_score', 1)} >= 12.0), false) FROM best)""")
+def flt5_at_least_or_all(spark, sf):
+    """FLT5 at a threshold nothing reaches (keeps all) and one some reach."""
+    p, r = D.postings(spark, sf), D.reviews(spark, sf)
+    b = RP.best_per_company(RP.scored(p, _scores(spark, sf)), p, r)
+    a = RP.at_least_or_all(b, "ghost_score", 60.0).select(F.lit("t60").alias("variant"), "company")
+    c = RP.at_least_or_all(b, "ghost_score", 12.0).select(F.lit("t12").alias("variant"), "company")
+    return a.unionByName(c)
+
+
+@register("top2_ranked", DASH + f"""
+SELECT row_number() OVER (ORDER BY {S.rnd('final_score', 1)} DESC, company) AS rank, company,
+       {S.rnd('final_score', 1)} AS ghost_score FROM best""")
+def top2_ranked(spark, sf):
+    p, r = D.postings(spark, sf), D.reviews(spark, sf)
+    b = RP.best_per_company(RP.scored(p, _scores(spark, sf)), p, r)
+    w = Window.orderBy(F.col("ghost_score").desc(), F.col("company").asc())
+    return b.select(F.row_number().over(w).cast("long").alias("rank"), "company", "ghost_score")
+
+
+@register("top3_recent_events", """
+SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, event_type FROM events
+ORDER BY ts DESC, event_id DESC LIMIT 50""")
+def top3_recent_events(spark, sf):
+    ev = D.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    top = RP.recent_events(ev, 50)
+    return top.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "event_type")
+
+
+SIGNAL_SQL = None
+
+
+def _signals_sql():
+    from postingscope import lexicons as L
+    T = L.SIGNAL_TEXT
+    c = L.SIGNAL_CUTS
+    parts = [f"CASE WHEN coalesce(repost_score, 0) > {c['repost']} THEN {S.q(T['repost'][0])} END",
+             f"CASE WHEN coalesce(genericness_score, 0) > {c['genericness']} THEN {S.q(T['genericness'][0])} END",
+             f"CASE WHEN coalesce(vagueness_score, 0) > {c['vagueness']} THEN {S.q(T['vagueness'][0])} END",
+             f"CASE WHEN coalesce(urgency_score, 0) > {c['urgency']} THEN {S.q(T['urgency'][0])} END",
+             f"CASE WHEN coalesce(sentiment_score, 0) > {c['sentiment']} THEN {S.q(T['sentiment'][0])} END"]
+    arr = "list_filter([" + ", ".join(parts) + "], lambda x: x IS NOT NULL)"
+    return f"CASE WHEN len({arr}) = 0 THEN {S.q(T['standard'][0])} ELSE array_to_string({arr}, ' | ') END"
+
+
+@register("rpt1_signals", DASH + f"SELECT job_posting_id, {_signals_sql()} AS signals FROM scores")
+def rpt1_signals(spark, sf):
+    s = _scores(spark, sf)
+    sig = signals("repost_score", "genericness_score", "vagueness_score", "urgency_score", "sentiment_score")
+    return s.select("job_posting_id", F.array_join(F.transform(sig, lambda x: x["title"]), " | ").alias("signals"))
+
+
+@register("rpt3_risk_band", DASH + """
+SELECT posting_id, CASE WHEN final_ghost_score < 5 THEN 'low' WHEN final_ghost_score < 10 THEN 'medium'
+                        ELSE 'high' END AS band FROM dash""")
+def rpt3_risk_band(spark, sf):
+    return _dash(spark, sf).select("posting_id", risk_band("final_ghost_score", (5.0, 10.0)).alias("band"))
+
+
+@register("job7_company_reports", DASH + f""",
+themes AS (
+  SELECT company, CASE WHEN h IS NULL THEN 'x' END AS d FROM (SELECT company, NULL AS h FROM reviews) WHERE false
+)
+SELECT b.company, {S.slugify('b.company')} AS slug, {S.rnd('b.final_score', 1)} AS ghost_score,
+       CASE WHEN {S.rnd('b.final_score', 1)} < 30 THEN 'low' WHEN {S.rnd('b.final_score', 1)} < 60 THEN 'medium'
+            ELSE 'high' END AS band,
+       {_signals_sql().replace('repost_score', 'b.repost_score').replace('genericness_score', 'b.genericness_score').replace('vagueness_score', 'b.vagueness_score').replace('urgency_score', 'b.urgency_score').replace('sentiment_score', 'b.sentiment_score')} AS signals,
+       b.posting_count, b.review_count
+FROM best b
+WHERE {S.rnd('b.final_score', 1)} >= 60.0 OR NOT (SELECT coalesce(bool_or({S.rnd('final_score', 1)} >= 60.0), false) FROM best)""")
+def job7_company_reports(spark, sf):
+    """JOB7: JOIN1 -> AGG5 -> FLT5 -> TOP2 -> RPT1-3 (+ AGG20 themes)."""
+    p, r = D.postings(spark, sf), D.reviews(spark, sf)
+    b = RP.best_per_company(RP.scored(p, _scores(spark, sf)), p, r)
+    themes = RP.complaint_themes(r, b.select("company"))
+    rows = RP.report_rows(b, themes, 60.0)
+    return rows.select("company", "slug", "ghost_score", "band",
+                       F.array_join(F.transform("signals", lambda x: x["title"]), " | ").alias("signals"),
+                       "posting_count", "review_count")
+
+
+PAGE_REPORT = with_(S.PAGE_EVENTS, """
+report AS (
+  SELECT page_path AS pagePath, count(*) FILTER (WHERE event_type = 'view') AS screenPageViews,
+         sum(engagement) AS userEngagementDuration,
+         count(*) FILTER (WHERE event_type = 'error') / count(*) AS bounceRate
+  FROM page_events GROUP BY page_path
+)""")
+
+
+def page_report(spark, sf):
+    ev = D.page_events(spark, sf)
+    return ev.groupBy(F.col("page_path").alias("pagePath")).agg(
+        F.count_if(F.col("event_type") == "view").alias("screenPageViews"),
+        F.sum("engagement").alias("userEngagementDuration"),
+        (F.count_if(F.col("event_type") == "error") / F.count(F.lit(1))).alias("bounceRate"))
+
+
+@register("src12_page_metrics", PAGE_REPORT + f"""
+SELECT {S.title_case("replace(replace(split_part(pagePath, '/company/', -1), '.html', ''), '-', ' ')")} AS company,
+       pagePath AS page, screenPageViews AS pageviews,
+       {S.rnd('CASE WHEN screenPageViews > 0 THEN userEngagementDuration / screenPageViews ELSE 0.0 END', 1)} AS avg_time_on_page,
+       {S.rnd('bounceRate', 3)} AS bounce_rate
+FROM report WHERE contains(pagePath, '/company/')""")
+def src12_page_metrics(spark, sf):
+    return RP.page_metrics(page_report(spark, sf))
+
+
+@register("agg19_traffic_kpis", PAGE_REPORT + f""",
+m AS (SELECT screenPageViews AS pageviews,
+             {S.rnd('CASE WHEN screenPageViews > 0 THEN userEngagementDuration / screenPageViews ELSE 0.0 END', 1)} AS t,
+             {S.rnd('bounceRate', 3)} AS b FROM report WHERE contains(pagePath, '/company/'))
+SELECT CAST(sum(pageviews) AS BIGINT) AS total_views, {S.rnd('avg(t)', 9)} AS avg_time,
+       {S.rnd('avg(b) * 100.0', 9)} AS avg_bounce_pct,
+       CAST(floor(sum(pageviews) * 0.4) AS BIGINT) AS active_users, CAST(floor(sum(pageviews) * 0.6) AS BIGINT) AS sessions
+FROM m""")
+def agg19_traffic_kpis(spark, sf):
+    k = RP.traffic_kpis(RP.page_metrics(page_report(spark, sf)))
+    return k.select("total_views", r6("avg_time").alias("avg_time"), r6("avg_bounce_pct").alias("avg_bounce_pct"),
+                    "active_users", "sessions")
+
+
+@register("join5_traffic_vs_score", DASH + "," + PAGE_REPORT[len("WITH "):] + f""",
+m AS (SELECT {S.title_case("replace(replace(split_part(pagePath, '/company/', -1), '.html', ''), '-', ' ')")} AS company,
+             screenPageViews AS pageviews FROM report WHERE contains(pagePath, '/company/')),
+cs AS (SELECT company, avg(final_ghost_score) AS avg_score FROM dash GROUP BY company)
+SELECT m.company, m.pageviews, {S.rnd('cs.avg_score', 9)} AS avg_score
+FROM m JOIN cs ON {S.slugify('m.company')} = {S.slugify('cs.company')}""")
+def join5_traffic_vs_score(spark, sf):
+    """JOIN5: page traffic joined to the company mean score on the company
+    slug (page names are title-cased slugs of the company name)."""
+    m = RP.page_metrics(page_report(spark, sf)).withColumn("_slug", slugify(F.col("company")))
+    cs = RP.score_by_company(_dash(spark, sf)).select(slugify(F.col("company")).alias("_slug"), "avg_score")
+    j = RP.traffic_vs_score(m.drop("company").withColumnRenamed("_slug", "company"),
+                            cs.withColumnRenamed("_slug", "company"))
+    out = j.join(m.select(F.col("_slug").alias("company"), F.col("company").alias("name")), "company")
+    return out.select(F.col("name").alias("company"), "pageviews", r6("avg_score").alias("avg_score"))

@@ -14,11 +14,11 @@ SENT_CTES = with_(S.REVIEWS, S.review_scores_sql(D.DATA_FRUSTRATION), S.sentimen
 
 
 @register("sent3_frustration", SENT_CTES +
-          f"SELECT id, frustration, {S.rnd('weight', 6)} AS weight FROM review_scores")
+          f"SELECT id, frustration, {S.rnd('weight', 9)} AS weight FROM review_scores")
 def sent3_frustration(spark, sf):
     """SENT1 (no valence table -> baseline 0), SENT3 and SENT4 per review."""
     r = SE.review_scores(D.reviews(spark, sf), as_of(), D.DATA_FRUSTRATION)
-    return r.select("id", "frustration", FX.pyround(F.col("weight"), 6).alias("weight"))
+    return r.select("id", "frustration", FX.pyround(F.col("weight"), 9).alias("weight"))
 
 
 @register("sent1_baseline_negativity", with_(S.REVIEWS) + f"""
@@ -34,11 +34,11 @@ def sent1_baseline_negativity(spark, sf):
 
 
 @register("sent4_recency_weight", with_(S.REVIEWS) +
-          f"SELECT id, {S.rnd(f'exp(-0.03 * {S.elapsed_days('coalesce(posted_at, scraped_at)', S.AS_OF)})', 6)} "
+          f"SELECT id, {S.rnd(f'exp(-0.03 * {S.elapsed_days('coalesce(posted_at, scraped_at)', S.AS_OF)})', 9)} "
           "AS weight FROM reviews")
 def sent4_recency_weight(spark, sf):
     r = D.reviews(spark, sf)
-    return r.select("id", FX.pyround(FX.recency_weight("posted_at", "scraped_at", as_of()), 6).alias("weight"))
+    return r.select("id", FX.pyround(FX.recency_weight("posted_at", "scraped_at", as_of()), 9).alias("weight"))
 
 
 @register("agg3_sentiment_by_company", SENT_CTES + "SELECT company, score, review_count FROM sentiment")
@@ -69,8 +69,8 @@ tok AS (SELECT id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'
 agg AS (SELECT id, sum(valence) AS s, sum(CASE WHEN valence < 0 THEN -valence ELSE 0.0 END) AS neg,
                sum(abs(valence)) AS tot
         FROM tok JOIN lex USING (token) GROUP BY id)
-SELECT r.id, {S.rnd('coalesce(a.s / sqrt(a.s * a.s + 15.0), 0.0)', 6)} AS compound,
-       {S.rnd('coalesce(a.neg / nullif(a.tot, 0), 0.0)', 6)} AS neg
+SELECT r.id, {S.rnd('coalesce(a.s / sqrt(a.s * a.s + 15.0), 0.0)', 9)} AS compound,
+       {S.rnd('coalesce(a.neg / nullif(a.tot, 0), 0.0)', 9)} AS neg
 FROM reviews r LEFT JOIN agg a ON r.id = a.id"""
 
 
@@ -80,5 +80,5 @@ def sent2_polarity_valence(spark, sf):
     lex = spark.createDataFrame([("the", 1.5), ("and", -0.8), ("of", 0.4), ("is", -1.2)],
                                 "token string, valence double")
     p = SE.polarity(D.reviews(spark, sf), lex)
-    return p.select("id", FX.pyround(F.col("compound"), 6).alias("compound"),
-                    FX.pyround(F.col("neg"), 6).alias("neg"))
+    return p.select("id", FX.pyround(F.col("compound"), 9).alias("compound"),
+                    FX.pyround(F.col("neg"), 9).alias("neg"))

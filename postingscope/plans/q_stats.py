@@ -16,13 +16,13 @@ from postingscope.sources import driver as D
 
 
 def r6(c):
-    return pyround(F.col(c) if isinstance(c, str) else c, 6)
+    return pyround(F.col(c) if isinstance(c, str) else c, 9)
 
 
 @register("agg10_score_summary", SCORES_CTES + f"""
-SELECT count(final_score) AS n, {S.rnd('avg(final_score)', 6)} AS mean, {S.rnd('stddev_pop(final_score)', 6)} AS std,
-       min(final_score) AS min, {S.rnd('quantile_cont(final_score, 0.25)', 6)} AS p25,
-       {S.rnd('quantile_cont(final_score, 0.5)', 6)} AS median, {S.rnd('quantile_cont(final_score, 0.75)', 6)} AS p75,
+SELECT count(final_score) AS n, {S.rnd('avg(final_score)', 9)} AS mean, {S.rnd('stddev_pop(final_score)', 9)} AS std,
+       min(final_score) AS min, {S.rnd('quantile_cont(final_score, 0.25)', 9)} AS p25,
+       {S.rnd('quantile_cont(final_score, 0.5)', 9)} AS median, {S.rnd('quantile_cont(final_score, 0.75)', 9)} AS p75,
        max(final_score) AS max, count(*) FILTER (WHERE final_score >= 10.0) AS high_risk
 FROM scores""")
 def agg10_score_summary(spark, sf):
@@ -42,7 +42,7 @@ def agg12_histogram(spark, sf):
 
 @register("agg13_pearson", SCORES_CTES + f"""
 SELECT CASE WHEN count(*) < 2 OR min(bert_score) = max(bert_score) OR min(sentiment_score) = max(sentiment_score)
-            THEN 0.0 ELSE {S.rnd('covar_pop(bert_score, sentiment_score) / (stddev_pop(bert_score) * stddev_pop(sentiment_score))', 6)} END AS r,
+            THEN 0.0 ELSE {S.rnd('covar_pop(bert_score, sentiment_score) / (stddev_pop(bert_score) * stddev_pop(sentiment_score))', 9)} END AS r,
        count(*) AS n
 FROM scores WHERE bert_score IS NOT NULL AND sentiment_score IS NOT NULL""")
 def agg13_pearson(spark, sf):
@@ -55,7 +55,7 @@ SPEARMAN_SQL = SCORES_CTES + f""",
 v AS (SELECT bert_score AS x, sentiment_score AS y FROM scores WHERE bert_score IS NOT NULL AND sentiment_score IS NOT NULL),
 rk AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx,
               rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM v)
-SELECT {S.rnd('covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry))', 6)} AS rho, count(*) AS n FROM rk"""
+SELECT {S.rnd('covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry))', 9)} AS rho, count(*) AS n FROM rk"""
 
 
 @register("agg14_spearman", SPEARMAN_SQL)
@@ -80,8 +80,8 @@ fit AS (SELECT regr_slope(final_score, bert_score) AS m, regr_intercept(final_sc
         WHERE bert_score IS NOT NULL AND final_score IS NOT NULL),
 pts AS (SELECT range AS i, m, b, CASE WHEN range = 49 THEN hi ELSE lo + range * ((hi - lo) / 49.0) END AS x
         FROM fit, range(50))
-SELECT i, {S.rnd('m', 6)} AS slope, {S.rnd('b', 6)} AS intercept, {S.rnd('x', 6)} AS x,
-       {S.rnd('m * x + b', 6)} AS y_hat FROM pts""")
+SELECT i, {S.rnd('m', 9)} AS slope, {S.rnd('b', 9)} AS intercept, {S.rnd('x', 9)} AS x,
+       {S.rnd('m * x + b', 9)} AS y_hat FROM pts""")
 def agg16_trend_line(spark, sf):
     t = ST.trend_line(_scores(spark, sf), "bert_score", "final_score")
     return t.select(F.col("i").cast("long").alias("i"), r6("slope").alias("slope"),
@@ -140,8 +140,8 @@ def ml4_evaluate(spark, sf):
 @register("job9_summary_stats", SCORES_CTES + f"""
 SELECT (SELECT count(*) FROM postings) AS postings, (SELECT count(*) FROM reviews) AS reviews,
        (SELECT count(DISTINCT company) FROM (SELECT company FROM postings UNION ALL SELECT company FROM reviews)) AS companies,
-       {S.rnd('avg(final_score)', 6)} AS mean, {S.rnd('stddev_pop(final_score)', 6)} AS std,
-       {S.rnd('quantile_cont(final_score, 0.5)', 6)} AS median,
+       {S.rnd('avg(final_score)', 9)} AS mean, {S.rnd('stddev_pop(final_score)', 9)} AS std,
+       {S.rnd('quantile_cont(final_score, 0.5)', 9)} AS median,
        count(*) FILTER (WHERE final_score >= 60.0) AS high_risk
 FROM scores""")
 def job9_summary_stats(spark, sf):
