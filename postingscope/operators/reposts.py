@@ -24,7 +24,7 @@ spread over many tasks):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postingscope import lexicons as L
@@ -39,20 +39,9 @@ def _dot(a, b):
 def company_rank(df: DataFrame, order: list[str], key: str = "company",
                  partitions: int | None = None) -> DataFrame:
     """Add `_rn`: 1-based rank of each row inside its `key` group by `order`,
-    computed without a per-group task."""
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cols = [key] + order
-    ranged = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
-                .withColumn("_mid", F.monotonically_increasing_id())
-                .withColumn("_pid", F.spark_partition_id()))
-    ranged = ranged.checkpoint(eager=True)
-    stats = ranged.groupBy("_pid", key).agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stats.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    out = ranged.join(offsets, ["_pid", key])
-    return (out.withColumn("_rn", F.col("_mid") - F.col("_m0") + 1 + F.col("_off"))
-               .drop("_mid", "_m0", "_off", "_pid"))
+    computed without a per-group task (see `operators.sequence`)."""
+    from postingscope.operators.sequence import keyed_rank
+    return keyed_rank(df, key, order, "_rn")
 
 
 def mark_reposts(incoming: DataFrame, stored: DataFrame | None = None, *, k: int = L.REPOST_WINDOW,

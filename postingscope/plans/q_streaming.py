@@ -1 +1,54 @@
-"""Queries."""
+"""Queries: batch twins of the streaming jobs (STR3)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from postingscope.functions.features import pyround
+from postingscope.plans import sqlgen as S
+from postingscope.plans.catalog import as_of, register, with_
+from postingscope.sources import driver as D
+from postingscope.streaming.traffic import (daily_views_stream, page_rollup, rolling_30d,
+                                            traffic_sessions_batch)
+
+SESSIONS_SQL = with_(S.PAGE_EVENTS, """
+g AS (
+  SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new_s
+  FROM page_events WINDOW w AS (PARTITION BY page_path, user_id ORDER BY ts, event_id)
+),
+s AS (SELECT *, sum(new_s) OVER (PARTITION BY page_path, user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM g),
+sess AS (SELECT page_path, user_id, sid, count(*) AS n_events, sum(engagement) AS engagement,
+                count(*) FILTER (WHERE event_type = 'view') AS views FROM s GROUP BY page_path, user_id, sid)""")
+
+
+@register("str3_traffic_sessions", SESSIONS_SQL + f"""
+SELECT page_path, count(*) AS sessions, count(*) FILTER (WHERE n_events = 1) AS bounced,
+       CAST(sum(n_events) AS BIGINT) AS events, CAST(sum(views) AS BIGINT) AS views,
+       {S.rnd('sum(engagement)', 6)} AS engagement,
+       {S.rnd('count(*) FILTER (WHERE n_events = 1) / count(*)', 9)} AS bounce_rate
+FROM sess GROUP BY page_path""")
+def str3_traffic_sessions(spark, sf):
+    """STR3 batch twin: 30-minute sessions per (page, user) -> page roll-up."""
+    s = traffic_sessions_batch(D.page_events(spark, sf))
+    p = page_rollup(s)
+    return p.select("page_path", "sessions", "bounced", F.col("events").cast("long"), F.col("views").cast("long"),
+                    pyround(F.col("engagement"), 6).alias("engagement"),
+                    pyround(F.col("bounced") / F.col("sessions"), 9).alias("bounce_rate"))
+
+
+@register("str3_session_count", SESSIONS_SQL + "SELECT count(*) AS sessions FROM sess")
+def str3_session_count(spark, sf):
+    s = traffic_sessions_batch(D.page_events(spark, sf))
+    return s.agg(F.count(F.lit(1)).alias("sessions"))
+
+
+@register("str3_rolling_30d_views", with_(S.PAGE_EVENTS) + f"""
+SELECT page_path, count(*) FILTER (WHERE event_type = 'view') AS views_30d, {S.rnd('sum(engagement)', 6)} AS engagement_30d
+FROM page_events
+WHERE date_trunc('day', ts) >= {S.AS_OF} - INTERVAL 30 DAY AND date_trunc('day', ts) < {S.AS_OF}
+GROUP BY page_path""")
+def str3_rolling_30d_views(spark, sf):
+    """Daily tumbling partials (the streaming state) summed over 30 days."""
+    daily = daily_views_stream(D.page_events(spark, sf))
+    r = rolling_30d(daily, as_of())
+    return r.select("page_path", F.col("views_30d").cast("long"), pyround(F.col("engagement_30d"), 6).alias("engagement_30d"))
