@@ -173,7 +173,8 @@ def has_salary(c) -> Column:
 def elapsed_days(ts, as_of) -> Column:
     """max(0, floor(elapsed seconds / 86400)) -- elapsed, not calendar, days."""
     micros = F.unix_micros(col(as_of)) - F.unix_micros(col(ts))
-    return F.greatest(F.lit(0), F.floor(micros / F.lit(86_400_000_000)).cast("long"))
+    days = F.greatest(F.lit(0), F.floor(micros / F.lit(86_400_000_000)).cast("long"))
+    return F.when(col(ts).isNull(), F.lit(None).cast("long")).otherwise(days)
 
 
 def days_since(posted="posted_date", scraped="scraped_at", as_of=None) -> Column:

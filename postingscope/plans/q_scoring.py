@@ -134,3 +134,41 @@ def top1_extremes(spark, sf):
 def ml1_training_set(spark, sf):
     t = SC.training_set(D.postings(spark, sf), D.DATA_GENERIC, D.DATA_URGENT)
     return t.drop("title", "description")
+
+
+def _train_set(spark, sf):
+    """Verified labels: y = 1 - quality for the labelled documents."""
+    lab = D.table(spark, sf, "labels").select(F.col("doc_id").alias("id"),
+                                             (F.lit(1) - F.col("quality")).alias("manually_verified_label"))
+    t = SC.training_set(D.postings(spark, sf), D.DATA_GENERIC, D.DATA_URGENT).drop("manually_verified_label")
+    return t.join(lab, "id")
+
+
+@register("ml2_train_predict", None)
+def ml2_train_predict(spark, sf):
+    """ML2 + ML3: fit TF-IDF + logistic regression on the labelled postings,
+    score every posting (probability in [0, 1], 4 decimals)."""
+    from postingscope.operators.ml import predict, train
+    model = train(_train_set(spark, sf), "description", "manually_verified_label", num_features=1 << 14)
+    f = SC.posting_features(D.postings(spark, sf), D.DATA_GENERIC, D.DATA_URGENT)
+    return predict(f, model, text="_text", out="bert_score").select("id", "bert_score")
+
+
+@register("ml5_embed", None)
+def ml5_embed(spark, sf):
+    """ML5: hashed TF-IDF embeddings of every posting (norm reported)."""
+    from postingscope.operators.ml import embed
+    e = embed(D.postings(spark, sf).select("id", "description"), dims=1 << 10)
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    return e.select("id", F.size("embedding").alias("dims"), FX.pyround(norm, 6).alias("norm"))
+
+
+@register("job5_score_with_model", None)
+def job5_score_with_model(spark, sf):
+    """JOB5 with a trained model (ML3) instead of the rule probability."""
+    from postingscope.operators.ml import train
+    model = train(_train_set(spark, sf), "description", "manually_verified_label", num_features=1 << 14)
+    p = D.postings(spark, sf)
+    sent = sentiment_by_company(D.reviews(spark, sf), as_of(), D.DATA_FRUSTRATION)
+    return SC.score_postings(p, sent, as_of(), generic=D.DATA_GENERIC, urgent=D.DATA_URGENT,
+                             model=model).drop("computed_at")

@@ -101,7 +101,8 @@ def frustration(e: str, weighted=None, baseline: str = "0.0") -> str:
 
 
 def elapsed_days(ts: str, as_of: str) -> str:
-    return (f"greatest(0, CAST(floor((epoch_us({as_of}) - epoch_us({ts})) / 86400000000.0) AS BIGINT))")
+    return (f"(CASE WHEN {ts} IS NULL THEN NULL ELSE "
+            f"greatest(0, CAST(floor((epoch_us({as_of}) - epoch_us({ts})) / 86400000000.0) AS BIGINT)) END)")
 
 
 def final_score(g, v, r, u, b, s, weights=None) -> str:
