@@ -14,38 +14,49 @@ from postingscope import lexicons as L
 from postingscope.functions.text import col, is_blank, word_count
 
 
+def _round_body(v: Column, n: int) -> Column:
+    s = F.lit(float(10 ** n))
+    p = v * s
+    c = F.lit(134217729.0) * v
+    hi = c - (c - v)
+    err = (hi * s - p) + (v - hi) * s
+    fl = F.floor(p).cast("double")
+    frac = p - fl
+    up = fl + F.lit(1.0)
+    tie = (F.when(err > 0, up).when(err < 0, fl)
+            .when(F.pmod(fl, F.lit(2.0)) == 0, fl).otherwise(up))
+    k = F.when(frac > 0.5, up).when(frac < 0.5, fl).otherwise(tie)
+    return F.when(F.abs(p) >= F.lit(4503599627370496.0), v).otherwise(k / s)
+
+
 def pyround(x: Column, n: int) -> Column:
     """Round a double to n decimals exactly like Python's `round`.
 
     Python rounds the exact binary value (half-even only on exact ties);
     Spark's `round` rounds the shortest decimal form half-up, so they
     disagree on values such as 0.045649999999999996.  The scaled product's
-    rounding error is recovered exactly (Dekker split, double arithmetic)
-    and decides the only ambiguous case, a scaled value landing on .5.
-    `x` is bound once through a one-element array so the (possibly
-    expensive) argument is evaluated a single time.
+    rounding error is recovered exactly (Dekker split, double arithmetic,
+    whole-stage codegen) and decides the only ambiguous case, a scaled
+    value landing on .5.
+
+    `x` is referenced several times: pass a column or a cheap expression.
+    Operators stage expensive inputs into their own column first; because
+    that column is then consumed more than once, the optimizer keeps it in
+    its own projection and computes it once.  `pyround_once` binds an
+    arbitrary expression once instead.
     """
-    s = F.lit(float(10 ** n))
+    return _round_body(x.cast("double"), n)
 
-    def body(v):
-        p = v * s
-        c = F.lit(134217729.0) * v
-        hi = c - (c - v)
-        err = (hi * s - p) + (v - hi) * s
-        fl = F.floor(p).cast("double")
-        frac = p - fl
-        up = fl + F.lit(1.0)
-        tie = (F.when(err > 0, up).when(err < 0, fl)
-                .when(F.pmod(fl, F.lit(2.0)) == 0, fl).otherwise(up))
-        k = F.when(frac > 0.5, up).when(frac < 0.5, fl).otherwise(tie)
-        return F.when(F.abs(p) >= F.lit(4503599627370496.0), v).otherwise(k / s)
 
-    return F.transform(F.array(x.cast("double")), body).getItem(0)
+def pyround_once(x: Column, n: int) -> Column:
+    """`pyround` of an expensive expression, evaluated a single time."""
+    return F.transform(F.array(x.cast("double")), lambda v: _round_body(v, n)).getItem(0)
 
 
-def clamp01r4(x: Column) -> Column:
+def clamp01r4(x: Column, once: bool = False) -> Column:
     """min(1, max(0, round(x, 4))) with Python rounding."""
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), pyround(x, 4)))
+    r = pyround_once(x, 4) if once else pyround(x, 4)
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), r))
 
 
 def ts(value: str) -> Column:
@@ -57,21 +68,29 @@ def _phrases(phrases) -> list[str]:
     return [p.strip().lower() for p in phrases if p and p.strip()]
 
 
-def phrase_hits(text, phrases) -> Column:
-    """Number of distinct lexicon phrases occurring as substrings of lower(text)."""
-    lt = F.lower(F.coalesce(col(text), F.lit("")))
+def phrase_hits(text, phrases, lowered: bool = False) -> Column:
+    """Number of distinct lexicon phrases occurring as substrings of lower(text)
+    (a sum of `contains` tests: JVM-side, codegen'd, no join)."""
+    lt = F.coalesce(col(text), F.lit("")) if lowered else F.lower(F.coalesce(col(text), F.lit("")))
     ps = _phrases(phrases)
     if not ps:
         return F.lit(0)
-    arr = F.array(*[F.lit(p) for p in ps])
-    return F.size(F.filter(arr, lambda p: F.contains(lt, p)))
+    out = None
+    for p in ps:
+        t = F.when(lt.contains(p), F.lit(1)).otherwise(F.lit(0))
+        out = t if out is None else out + t
+    return out
+
+
+def density_of(hits, words, scale: float, min_words: int = L.MIN_WORDS, once: bool = False) -> Column:
+    """clamp01r4(hits / greatest(min_words, words) * scale); no words -> 0."""
+    dens = col(hits) / F.greatest(F.lit(min_words), col(words)) * F.lit(float(scale))
+    return F.when(col(words) == 0, F.lit(0.0)).otherwise(clamp01r4(dens, once))
 
 
 def phrase_density(text, phrases, scale: float, min_words: int = L.MIN_WORDS) -> Column:
     """clamp01r4(hits / greatest(min_words, words) * scale); no words -> 0."""
-    words = word_count(text)
-    dens = phrase_hits(text, phrases) / F.greatest(F.lit(min_words), words) * F.lit(float(scale))
-    return F.when(words == 0, F.lit(0.0)).otherwise(clamp01r4(dens))
+    return density_of(phrase_hits(text, phrases), word_count(text), scale, min_words, once=True)
 
 
 # FEAT1
@@ -125,26 +144,36 @@ def baseline_negativity(compound, neg, text) -> Column:
 
 
 # SENT3
-def frustration(text, weighted_phrases=None, baseline=None) -> Column:
-    """0.4 * baseline + 0.6 * density with density =
-    least(1, sum(weights) / least(3, matched) * 0.85), 0 when nothing matched."""
+def frustration_parts(text, weighted_phrases=None, lowered: bool = False) -> tuple[Column, Column]:
+    """(matched count, matched weight sum) as codegen'd sums of `contains`;
+    the weight sum adds 0.0 for misses, which leaves the in-order sum of the
+    matched weights bit-identical."""
     wp = L.FRUSTRATION_PHRASES if weighted_phrases is None else weighted_phrases
     wp = [(p.strip().lower(), float(w)) for p, w in wp if p and p.strip()]
-    lt = F.lower(F.coalesce(col(text), F.lit("")))
-    base = F.lit(0.0) if baseline is None else col(baseline)
-    if wp:
-        lex = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(w).alias("w")) for p, w in wp])
-        acc0 = F.struct(F.lit(0).alias("m"), F.lit(0.0).alias("s"))
-        acc = F.aggregate(lex, acc0, lambda a, x: F.when(
-            F.contains(lt, x["p"]),
-            F.struct((a["m"] + 1).alias("m"), (a["s"] + x["w"]).alias("s"))).otherwise(a))
-        cap, scale = L.FRUSTRATION_DENSITY
-        density = F.when(acc["m"] == 0, F.lit(0.0)).otherwise(
-            F.least(F.lit(1.0), acc["s"] / F.least(F.lit(cap), acc["m"].cast("double")) * F.lit(scale)))
-    else:
-        density = F.lit(0.0)
+    lt = F.coalesce(col(text), F.lit("")) if lowered else F.lower(F.coalesce(col(text), F.lit("")))
+    m, s = F.lit(0), F.lit(0.0)
+    for p, w in wp:
+        hit = lt.contains(p)
+        m = m + F.when(hit, F.lit(1)).otherwise(F.lit(0))
+        s = s + F.when(hit, F.lit(w)).otherwise(F.lit(0.0))
+    return m, s
+
+
+def frustration_of(m, s, baseline, text, once: bool = False) -> Column:
+    """0.4 * baseline + 0.6 * least(1, s / least(3, m) * 0.85) (0 if m = 0)."""
+    cap, scale = L.FRUSTRATION_DENSITY
+    density = F.when(col(m) == 0, F.lit(0.0)).otherwise(
+        F.least(F.lit(1.0), col(s) / F.least(F.lit(cap), col(m).cast("double")) * F.lit(scale)))
     a, b = L.FRUSTRATION_BLEND
-    return F.when(is_blank(text), F.lit(0.0)).otherwise(clamp01r4(F.lit(a) * base + F.lit(b) * density))
+    base = F.lit(0.0) if baseline is None else col(baseline)
+    return F.when(is_blank(text), F.lit(0.0)).otherwise(clamp01r4(F.lit(a) * base + F.lit(b) * density, once))
+
+
+def frustration(text, weighted_phrases=None, baseline=None) -> Column:
+    """SENT3: 0.4 * baseline + 0.6 * density with density =
+    least(1, sum(weights) / least(3, matched) * 0.85), 0 when nothing matched."""
+    m, s = frustration_parts(text, weighted_phrases)
+    return frustration_of(m, s, baseline, text, once=True)
 
 
 # SENT4

@@ -48,13 +48,28 @@ def vagueness(df: DataFrame, nouns: DataFrame | None = None, text: str = "_text"
 def posting_features(postings: DataFrame, generic=None, urgent=None,
                      nouns: DataFrame | None = None) -> DataFrame:
     """FEAT1-5 on best text: genericness, vagueness, repost, urgency and the
-    rule probability used when no trained model is supplied."""
+    rule probability used when no trained model is supplied.
+
+    The lowered text, its word count and the phrase hit counts are staged as
+    columns: each is consumed more than once, so the optimizer keeps each in
+    its own projection and every text is lowered and scanned once, all in
+    whole-stage codegen.
+    """
+    from postingscope.functions.features import density_of, phrase_hits
+    from postingscope.functions.text import WORD
+    g_lex = L.GENERIC_BUZZWORDS if generic is None else generic
+    u_lex = L.URGENCY_PHRASES if urgent is None else urgent
     df = postings.withColumn("_text", best_text("cleaned_text", "description"))
     df = vagueness(df, nouns)
+    df = df.withColumn("_lt", F.lower(F.col("_text")))
+    df = (df.withColumn("_words", F.coalesce(F.regexp_count(F.col("_lt"), F.lit(WORD)), F.lit(0)))
+            .withColumn("_gh", phrase_hits("_lt", g_lex, lowered=True))
+            .withColumn("_uh", phrase_hits("_lt", u_lex, lowered=True)))
     cnt = "repost_count" if "repost_count" in postings.columns else None
-    df = (df.withColumn("genericness_score", genericness("_text", generic))
-            .withColumn("urgency_score", urgency("_text", urgent))
-            .withColumn("repost_score", repost_score("repost_of_id", cnt)))
+    df = (df.withColumn("genericness_score", density_of("_gh", "_words", L.GENERICNESS_SCALE))
+            .withColumn("urgency_score", density_of("_uh", "_words", L.URGENCY_SCALE))
+            .withColumn("repost_score", repost_score("repost_of_id", cnt))
+            .drop("_lt", "_gh", "_uh", "_words"))
     return df.withColumn("bert_score", rule_probability(
         "genericness_score", "vagueness_score", "repost_score", "urgency_score", "_text"))
 

@@ -47,10 +47,14 @@ def polarity(reviews: DataFrame, valence: DataFrame | None = None,
 def review_scores(reviews: DataFrame, as_of, weighted_phrases=None,
                   valence: DataFrame | None = None, lam: float = L.DECAY_LAMBDA) -> DataFrame:
     """Per review: baseline negativity, frustration and recency weight."""
+    from postingscope.functions.features import frustration_of, frustration_parts
     df = polarity(reviews, valence)
-    return (df.withColumn("baseline", baseline_negativity("compound", "neg", "text"))
-              .withColumn("frustration", frustration("text", weighted_phrases, "baseline"))
-              .withColumn("weight", recency_weight("posted_at", "scraped_at", as_of, lam)))
+    m, s = frustration_parts(F.lower(F.col("text")), weighted_phrases, lowered=True)
+    df = (df.withColumn("baseline", baseline_negativity("compound", "neg", "text"))
+            .withColumn("_fm", m).withColumn("_fs", s))
+    return (df.withColumn("frustration", frustration_of("_fm", "_fs", "baseline", "text"))
+              .withColumn("weight", recency_weight("posted_at", "scraped_at", as_of, lam))
+              .drop("_fm", "_fs"))
 
 
 def sentiment_by_company(reviews: DataFrame, as_of, weighted_phrases=None,

@@ -138,20 +138,51 @@ def range_cumsum(df: DataFrame, order: str, weight: str, partitions: int | None
     return out.withColumn("_before", F.col("_loc") + F.col("_off")).drop("_loc", "_off", "_pid")
 
 
-def average_rank(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Average rank (ties share the mean of their positions), 1-based."""
-    freq = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("_val")).agg(
-        F.count(F.lit(1)).alias("_cnt"))
-    cum = range_cumsum(freq, "_val", "_cnt")
-    ranks = cum.select(F.col("_val"), ((F.col("_before") * 2 + F.col("_cnt") + 1) / F.lit(2.0)).alias(out))
-    return df.join(ranks, df[col] == ranks["_val"], "left").drop("_val")
+def average_rank(freq: DataFrame, val: str, cnt: str, out: str) -> DataFrame:
+    """(value, count) table -> (value, average 1-based rank): ties share the
+    mean of their positions."""
+    cum = range_cumsum(freq, val, cnt)
+    return cum.select(F.col(val), ((F.col("_before") * 2 + F.col(cnt) + 1) / F.lit(2.0)).alias(out))
+
+
+def weighted_pearson(df: DataFrame, x: str, y: str, w: str, with_p: bool = True,
+                     degenerate_r: float | None = 0.0) -> DataFrame:
+    """Pearson r over rows carrying a multiplicity `w` (two passes: means,
+    then centred moments -- no cancellation on large ranks).  Always one
+    row; empty input gives the degenerate result."""
+    m = df.agg(F.coalesce(F.sum(w), F.lit(0)).alias("n"),
+               (F.sum(F.col(w) * F.col(x)) / F.sum(w)).alias("_mx"),
+               (F.sum(F.col(w) * F.col(y)) / F.sum(w)).alias("_my"),
+               F.min(x).alias("_xmin"), F.max(x).alias("_xmax"), F.min(y).alias("_ymin"), F.max(y).alias("_ymax"))
+    dx, dy = F.col(x) - F.col("_mx"), F.col(y) - F.col("_my")
+    mom = df.crossJoin(F.broadcast(m.select("_mx", "_my"))).agg(  # m is one row
+        F.sum(F.col(w) * dx * dy).alias("_sxy"), F.sum(F.col(w) * dx * dx).alias("_sxx"),
+        F.sum(F.col(w) * dy * dy).alias("_syy"))
+    agg = m.crossJoin(mom)  # one row x one row
+    r0 = F.try_divide(F.col("_sxy"), F.sqrt(F.col("_sxx")) * F.sqrt(F.col("_syy")))
+    degenerate = ((F.col("n") < 2) | (F.col("_xmin") == F.col("_xmax")) | (F.col("_ymin") == F.col("_ymax"))
+                  | r0.isNull())
+    r = F.when(degenerate, F.lit(degenerate_r).cast("double")).otherwise(
+        F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r0)))
+    out = agg.select(r.alias("r"), F.col("n").cast("long").alias("n"), degenerate.alias("_deg"))
+    if with_p:
+        out = out.withColumn("p", F.when(F.col("_deg"), F.lit(1.0)).otherwise(_p_value("r", "n")))
+    return out.drop("_deg")
 
 
 def spearman(df: DataFrame, x: str, y: str, with_p: bool = True) -> DataFrame:
-    """AGG14: Pearson on average ranks of the valid pairs."""
-    v = valid_pairs(df, x, y)
-    r = average_rank(average_rank(v, x, "_rx"), y, "_ry")
-    return pearson(r, "_rx", "_ry", with_p)
+    """AGG14: Pearson on average ranks of the valid pairs.
+
+    Works on the (x, y) frequency table: one partial aggregation over the
+    rows (checkpointed, so the input plan runs once), ranks from
+    range-partitioned prefix sums of the per-value counts, then a weighted
+    Pearson over the pairs table."""
+    pairs = (valid_pairs(df, x, y).groupBy(F.col(x).alias("_x"), F.col(y).alias("_y"))
+             .agg(F.count(F.lit(1)).alias("_c")).checkpoint(eager=True))
+    rx = average_rank(pairs.groupBy("_x").agg(F.sum("_c").alias("_cx")), "_x", "_cx", "_rx")
+    ry = average_rank(pairs.groupBy("_y").agg(F.sum("_c").alias("_cy")), "_y", "_cy", "_ry")
+    j = pairs.join(rx, "_x").join(ry, "_y")
+    return weighted_pearson(j, "_rx", "_ry", "_c", with_p)
 
 
 # ------------------------------------------------------------- AGG12
