@@ -35,9 +35,31 @@ def keyed_cumsum(df: DataFrame, key: str, order: list[str], value, out: str = "_
     return res.withColumn(out, F.col("_loc") + F.col("_off")).drop("_loc", "_off", "_pid", "_v")
 
 
-def keyed_rank(df: DataFrame, key: str, order: list[str], out: str = "_rn") -> DataFrame:
-    """1-based row number inside each key (order must be unique within a key)."""
-    return keyed_cumsum(df, key, order, None, out)
+def keyed_rank(df: DataFrame, key: str, order: list[str], out: str = "_rn",
+               partitions: int | None = None) -> DataFrame:
+    """1-based row number inside each key (order must be unique within a key).
+
+    Rows are range-partitioned by (key, order), sorted inside each partition
+    and numbered with `monotonically_increasing_id` (position inside the
+    partition), then checkpointed.  The rank is the position minus the
+    key's first position in that partition, plus the key's row count in
+    earlier partitions: only a (partition, key) table of at most
+    #partitions + #keys rows is aggregated and joined back (AQE broadcasts
+    it); the wide rows are shuffled once, by the range exchange.
+    """
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cols = [key] + list(order)
+    ranged = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+                .withColumn("_mid", F.monotonically_increasing_id())
+                .withColumn("_pid", F.spark_partition_id())
+                .checkpoint(eager=True))
+    stats = ranged.groupBy("_pid", key).agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_n"))
+    wo = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = stats.withColumn("_off", F.coalesce(F.sum("_n").over(wo), F.lit(0))).drop("_n")
+    res = ranged.join(offsets, ["_pid", key])
+    return (res.withColumn(out, F.col("_mid") - F.col("_m0") + 1 + F.col("_off"))
+               .drop("_mid", "_m0", "_off", "_pid"))
 
 
 def sessions(events: DataFrame, key: list[str], ts: str = "ts", gap_seconds: int = 1800,
