@@ -1,9 +1,13 @@
 """JOIN8: text x lexicon on substring containment, for lexicons too large
 to inline as a literal array.
 
-The lexicon side is broadcast only after its size is checked (`max_rows`);
-beyond that the match uses a word-level equi-join on the phrase's first
-token, which scales with the data instead of the product.
+Small lexicons (checked: at most `max_rows` phrases) are broadcast and
+tested with `contains` against every text (a broadcast nested-loop join).
+Beyond that, candidate pairs come from an equi-join on the phrase's first
+character trigram against the distinct trigrams of each text -- every
+occurrence of a phrase contains its first trigram, so no match is lost --
+and are then verified with `contains`.  Work grows with the data, not with
+texts x phrases.
 """
 
 from __future__ import annotations
@@ -11,21 +15,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postingscope.functions.text import WORD
-
 
 def match_phrases(df: DataFrame, lexicon: DataFrame, text: str = "text", key: str = "id",
-                  max_rows: int = 100_000) -> DataFrame:
-    """(key, phrase[, weight]) for every distinct phrase contained in lower(text)."""
-    n = lexicon.limit(max_rows + 1).count()
+                  max_rows: int = 10_000) -> DataFrame:
+    """(key, phrase, other lexicon columns) for every distinct phrase contained
+    in lower(text)."""
     lt = df.select(F.col(key), F.lower(F.col(text)).alias("_lt"))
-    lex = lexicon.select(F.lower("phrase").alias("phrase"), *[c for c in lexicon.columns if c != "phrase"])
+    extra = [c for c in lexicon.columns if c != "phrase"]
+    lex = (lexicon.select(F.lower(F.col("phrase")).alias("phrase"), *extra)
+           .filter(F.col("phrase").isNotNull() & (F.col("phrase") != "")))
+    n = lex.limit(max_rows + 1).count()
     if n <= max_rows:
         j = lt.crossJoin(F.broadcast(lex)).filter(F.col("_lt").contains(F.col("phrase")))
-        return j.drop("_lt")
-    # Large lexicon: candidate pairs share the phrase's first word token.
-    first = F.regexp_extract("phrase", r"[\p{L}\p{N}_]+", 0)
-    lexk = lex.withColumn("_tok", first)
-    toks = lt.select(key, "_lt", F.explode(F.array_distinct(F.regexp_extract_all("_lt", F.lit(WORD), 0))).alias("_tok"))
-    j = toks.join(lexk, "_tok").filter(F.col("_lt").contains(F.col("phrase")))
-    return j.drop("_lt", "_tok").dropDuplicates([key, "phrase"])
+        return j.select(key, "phrase", *extra)
+    short = lex.filter(F.length("phrase") < 3)
+    longp = lex.filter(F.length("phrase") >= 3).withColumn("_g", F.substring("phrase", 1, 3))
+    grams = lt.select(key, F.explode(F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length("_lt") - 2, F.lit(1))),
+        lambda i: F.substring(F.col("_lt"), i, 3)))).alias("_g"))
+    # candidates carry only (key, phrase); the text joins back once per candidate
+    cand = grams.join(longp.select("_g", "phrase"), "_g").select(key, "phrase").distinct()
+    j = (cand.join(lt, key).filter(F.col("_lt").contains(F.col("phrase")))
+             .join(lex, "phrase").select(key, "phrase", *extra))
+    # phrases shorter than a trigram: few by construction (at most alphabet^2)
+    s = lt.crossJoin(F.broadcast(short)).filter(F.col("_lt").contains(F.col("phrase"))).select(key, "phrase", *extra)
+    return j.unionByName(s)

@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,7 +67,7 @@ def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
 def write_version(df: DataFrame, path: str) -> str:
     """Write `df` as a new version and repoint the table to it."""
     spark = df.sparkSession
-    version = f"v-{datetime.utcnow():%Y%m%d%H%M%S}-{uuid.uuid4().hex[:8]}"
+    version = f"v-{datetime.now(timezone.utc):%Y%m%d%H%M%S}-{uuid.uuid4().hex[:8]}"
     df.write.mode("error").parquet(f"{path}/{version}")
     fs, p, jvm = _fs(spark, path)
     tmp = jvm.org.apache.hadoop.fs.Path(p, f"{POINTER}.{version}.tmp")

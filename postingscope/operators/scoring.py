@@ -18,27 +18,29 @@ def vagueness(df: DataFrame, nouns: DataFrame | None = None, text: str = "_text"
     """FEAT3: share of nouns that are vague common nouns without a numeric modifier.
 
     `nouns=None` is the tagger-less path: no token is tagged as a noun, so the
-    score is 0.0.  With a noun table `(token, lemma, is_proper)`: tokens are
-    exploded with their position, joined to the noun table (AQE broadcasts it
-    at runtime when small), a token directly preceded by a number counts as
-    numerically modified, and the ratio is aggregated per posting.
+    score is 0.0.  With a noun table `(token, lemma, is_proper)`: each text's
+    tokens are paired with their predecessor inside the array (no shuffle),
+    exploded, joined to the noun table (AQE broadcasts it when small), and
+    counted per posting with map-side partial aggregation.  A token directly
+    preceded by a number counts as numerically modified.
     """
     if nouns is None:
         return df.withColumn("vagueness_score", F.lit(0.0))
     vague = [v.lower() for v in (L.VAGUE_NOUNS if vague is None else vague)]
     toks = df.select(F.col(key).alias("_k"),
-                     F.posexplode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), 0))
-                     .alias("pos", "token"))
-    from pyspark.sql import Window
-    w = Window.partitionBy("_k").orderBy("pos")
-    toks = toks.withColumn("_prev_num", F.coalesce(F.lag("token").over(w).rlike("^[0-9]+$"),
-                                                   F.lit(False)))
+                     F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), 0).alias("_toks"))
+    # the token array is its own column (consumed twice below, so it is
+    # computed once); each token is paired with its predecessor in-array
+    pairs = F.transform("_toks", lambda t, i: F.struct(
+        t.alias("token"),
+        F.coalesce(F.when(i > 0, F.element_at(F.col("_toks"), i).rlike("^[0-9]+$")), F.lit(False)).alias("num")))
+    ex = toks.select("_k", F.explode(pairs).alias("_t"))
+    ex = ex.select("_k", F.col("_t.token").alias("token"), F.col("_t.num").alias("_num"))
     nn = nouns.select(F.lower("token").alias("token"), F.lower("lemma").alias("lemma"),
-                      F.col("is_proper").cast("boolean").alias("is_proper"))
-    j = toks.join(nn, "token")
-    is_vague = F.col("lemma").isin(vague) & ~F.col("is_proper") & ~F.col("_prev_num")
-    agg = j.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"),
-                              F.count_if(is_vague).alias("_v"))
+                      F.col("is_proper").cast("boolean").alias("is_proper")).dropDuplicates(["token"])
+    j = ex.join(nn, "token")
+    is_vague = F.col("lemma").isin(vague) & ~F.col("is_proper") & ~F.col("_num")
+    agg = j.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"), F.count_if(is_vague).alias("_v"))
     out = df.join(agg, df[key] == agg["_k"], "left").drop("_k")
     score = F.when(F.coalesce("_n", F.lit(0)) == 0, F.lit(0.0)).otherwise(
         clamp01r4(F.col("_v") / F.col("_n")))

@@ -172,3 +172,75 @@ def job5_score_with_model(spark, sf):
     sent = sentiment_by_company(D.reviews(spark, sf), as_of(), D.DATA_FRUSTRATION)
     return SC.score_postings(p, sent, as_of(), generic=D.DATA_GENERIC, urgent=D.DATA_URGENT,
                              model=model).drop("computed_at")
+
+
+DATA_VAGUE = ["the", "that", "with", "from", "der", "des", "que", "and"]
+
+
+def noun_table(spark, sf):
+    """A noun dictionary derived from the benchmark passages: every distinct
+    token of three or more characters, lemma without a plural -s, and a
+    rule-based proper-noun flag."""
+    from postingscope.functions.text import WORD
+    b = D.table(spark, sf, "benchmark")
+    t = b.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), 0)).alias("token")).distinct()
+    t = t.filter(F.length("token") >= 3)
+    lemma = F.when(F.length("token") > 3, F.regexp_replace("token", "s$", "")).otherwise(F.col("token"))
+    return t.select("token", lemma.alias("lemma"), (F.length("token") % 7 == 0).alias("is_proper"))
+
+
+NOUNS_SQL = """
+nouns AS (
+  SELECT token, CASE WHEN length(token) > 3 THEN regexp_replace(token, 's$', '') ELSE token END AS lemma,
+         length(token) % 7 = 0 AS is_proper
+  FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS token FROM benchmark)
+  WHERE length(token) >= 3
+)"""
+
+VAGUE_SQL = with_(S.POSTINGS, NOUNS_SQL, """
+toks AS (SELECT id, regexp_extract_all(lower(description), '[\\p{L}\\p{N}_]+') AS t FROM postings),
+ex AS (SELECT id, unnest(t) AS token, unnest(range(len(t))) AS pos, t FROM toks),
+ex2 AS (SELECT id, token, coalesce(CASE WHEN pos > 0 THEN regexp_full_match(t[pos], '[0-9]+') END, false) AS num FROM ex),
+agg AS (SELECT e.id, count(*) AS n,
+               count(*) FILTER (WHERE n.lemma IN (""" + ", ".join(f"'{v}'" for v in DATA_VAGUE) + """)
+                                 AND NOT n.is_proper AND NOT e.num) AS v
+        FROM ex2 e JOIN nouns n USING (token) GROUP BY e.id)""") + f"""
+SELECT p.id, CASE WHEN coalesce(a.n, 0) = 0 THEN 0.0 ELSE {S.clamp01r4('a.v / a.n')} END AS vagueness_score
+FROM postings p LEFT JOIN agg a ON p.id = a.id"""
+
+
+@register("feat3_vagueness_nouns", VAGUE_SQL)
+def feat3_vagueness_nouns(spark, sf):
+    """FEAT3 with a noun table (the tagger-less default is 0.0 everywhere)."""
+    p = D.postings(spark, sf).withColumn("_text", F.col("description"))
+    return SC.vagueness(p, noun_table(spark, sf), vague=DATA_VAGUE).select("id", "vagueness_score")
+
+
+@register("join8_match_phrases", with_(S.POSTINGS) + "SELECT p.id, l.phrase FROM postings p, (VALUES " +
+          ", ".join(f"('{x}')" for x in D.DATA_GENERIC + D.DATA_URGENT) +
+          ") l(phrase) WHERE contains(lower(p.description), l.phrase)")
+def join8_match_phrases(spark, sf):
+    """JOIN8: postings x lexicon table on containment (broadcast path)."""
+    from postingscope.operators.lexicon import match_phrases
+    lex = spark.createDataFrame([(x,) for x in D.DATA_GENERIC + D.DATA_URGENT], "phrase string")
+    return match_phrases(D.postings(spark, sf), lex, text="description")
+
+
+@register("join8_match_phrases_trigram", with_(S.POSTINGS) + "SELECT p.id, l.phrase FROM postings p, (VALUES " +
+          ", ".join(f"('{x}')" for x in D.DATA_GENERIC + D.DATA_URGENT) +
+          ") l(phrase) WHERE contains(lower(p.description), l.phrase)")
+def join8_match_phrases_trigram(spark, sf):
+    """JOIN8 through the trigram equi-join path used for large lexicons."""
+    from postingscope.operators.lexicon import match_phrases
+    lex = spark.createDataFrame([(x,) for x in D.DATA_GENERIC + D.DATA_URGENT], "phrase string")
+    return match_phrases(D.postings(spark, sf), lex, text="description", max_rows=0)
+
+
+@register("win3_rank_labels", SCORES_CTES + """
+SELECT job_posting_id, 'HIGH #' || CAST(row_number() OVER (ORDER BY final_score DESC, job_posting_id) AS VARCHAR) AS rank_label
+FROM scores ORDER BY final_score DESC, job_posting_id LIMIT 5""")
+def win3_rank_labels(spark, sf):
+    """WIN3: 'HIGH #1'..'HIGH #5' over the top-5 postings."""
+    from postingscope.operators.windows import rank_labels
+    top, _ = SC.extremes(_scores(spark, sf), 5)
+    return rank_labels(top, "HIGH").select("job_posting_id", "rank_label")

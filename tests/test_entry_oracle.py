@@ -22,7 +22,7 @@ def test_entry(spark):
 
 def test_registry_consistent():
     q, o = E.queries(), E.oracle_sql()
-    assert set(o) <= set(q) and len(q) >= 80
+    assert set(o) <= set(q) and len(q) >= 95
 
 
 @pytest.fixture(scope="module")
