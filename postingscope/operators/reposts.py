@@ -46,27 +46,34 @@ def company_rank(df: DataFrame, order: list[str], key: str = "company",
 
 def mark_reposts(incoming: DataFrame, stored: DataFrame | None = None, *, k: int = L.REPOST_WINDOW,
                  threshold: float = L.SIMILARITY_THRESHOLD, min_len: int = L.MIN_DESCRIPTION,
-                 order: tuple[str, ...] = ("scraped_at", "id"), emb: str = "embedding") -> DataFrame:
-    """Return `incoming` with `repost_of_id`, `max_similarity`, `status`
-    ('new' | 'repost').  `stored` may be the full stored table or just its
-    last k rows per company (the result of a previous run)."""
+                 order: tuple[str, ...] = ("scraped_at", "id"), emb: str = "embedding",
+                 with_columns: bool = False) -> DataFrame:
+    """Mark reposts among `incoming` (already url-de-duplicated).
+
+    Returns (id, company, repost_of_id, max_similarity, status) with status
+    'new' | 'repost'; `with_columns=True` joins the result back onto all
+    incoming columns.  `stored` may be the full stored table or only its
+    last k rows per company.  Only narrow columns (ids, order, embedding,
+    an eligibility flag) travel through the range shuffle and checkpoint;
+    a precomputed boolean `_eligible` column on `incoming` is used as is.
+    """
     order = list(order)
     base_cols = ["id", "company", *[c for c in order if c != "id"], emb]
-    inc = incoming.select(*base_cols, F.col("description").alias("_desc")).withColumn("_inc", F.lit(True))
+    ok = (F.col("_eligible") if "_eligible" in incoming.columns else
+          (F.col("description").isNotNull() & (F.length(strip_ws(F.col("description"))) > min_len)))
+    inc = incoming.select(*base_cols, ok.alias("_ok")).withColumn("_inc", F.lit(True))
     if stored is not None:
-        st = stored.select(*base_cols, F.lit(None).cast("string").alias("_desc")).withColumn("_inc", F.lit(False))
+        st = stored.select(*base_cols, F.lit(False).alias("_ok")).withColumn("_inc", F.lit(False))
         allrows = st.unionByName(inc)
     else:
         allrows = inc
-    norm = F.sqrt(_dot(F.col(emb), F.col(emb)))
-    allrows = allrows.withColumn("_norm", norm)
+    allrows = allrows.withColumn("_norm", F.sqrt(_dot(F.col(emb), F.col(emb))))
     # Stored postings precede every incoming one (incoming rows are stored
     # at ingest time), then arrival order.
     ranked = company_rank(allrows, ["_inc"] + [c for c in order if c != "id"] + ["id"])
     ranked = ranked.withColumn("_b", F.floor((F.col("_rn") - 1) / k).cast("long"))
 
-    ok = (F.col("_desc").isNotNull() & (F.length(strip_ws(F.col("_desc"))) > min_len))
-    probes = (ranked.filter(F.col("_inc") & ok)
+    probes = (ranked.filter(F.col("_inc") & F.col("_ok"))
               .select(F.col("id").alias("_pid_"), "company", F.col("_rn").alias("_prn"),
                       F.col(emb).alias("_pe"), F.col("_norm").alias("_pn"),
                       F.explode(F.array(F.col("_b"), F.col("_b") - 1)).alias("_b")))
@@ -80,9 +87,13 @@ def mark_reposts(incoming: DataFrame, stored: DataFrame | None = None, *, k: int
             .groupBy("_pid_")
             .agg(F.max_by("_cid", F.struct("_sim", "_crn")).alias("_best"),
                  F.max("_sim").alias("max_similarity")))
-    src = incoming.drop("repost_of_id", "max_similarity", "status")
-    out = src.join(best, src["id"] == best["_pid_"], "left").drop("_pid_")
+    mine = ranked.filter(F.col("_inc")).select("id", "company")
+    out = mine.join(best, mine["id"] == best["_pid_"], "left").drop("_pid_")
     is_rep = F.col("max_similarity") >= F.lit(threshold)
-    return (out.withColumn("repost_of_id", F.when(is_rep, F.col("_best")).cast("long"))
-               .withColumn("status", F.when(is_rep, F.lit("repost")).otherwise(F.lit("new")))
-               .drop("_best"))
+    out = (out.withColumn("repost_of_id", F.when(is_rep, F.col("_best")).cast("long"))
+              .withColumn("status", F.when(is_rep, F.lit("repost")).otherwise(F.lit("new")))
+              .drop("_best"))
+    if with_columns:
+        src = incoming.drop("repost_of_id", "max_similarity", "status", "_eligible")
+        return src.join(out.drop("company"), "id", "left")
+    return out

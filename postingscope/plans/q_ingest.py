@@ -25,8 +25,18 @@ def _split(df, col, cut):
 
 
 def ingest(spark, sf, threshold=D.DATA_THRESHOLD):
-    """JOB1 body: url de-dup (JOIN6) then repost marking (WIN1)."""
+    """JOB1 body: url de-dup (JOIN6) then repost marking (WIN1).
+
+    The incoming batch is narrowed (ids, url, order, embedding, an
+    eligibility flag instead of the text) and checkpointed once, so the
+    text scan and the embeddings join run a single time however many
+    branches read the batch."""
+    from postingscope.functions.text import strip_ws
     inc, st = _split(D.embedded_postings(spark, sf), "scraped_at", CUT)
+    eligible = F.col("description").isNotNull() & (F.length(strip_ws(F.col("description"))) > 10)
+    inc = inc.select("id", "company", "url", "scraped_at", "embedding", eligible.alias("_eligible")) \
+             .checkpoint(eager=True)
+    st = st.select("id", "company", "url", "scraped_at", "embedding")
     kept, skipped = DD.new_by_url(inc, st)
     marked = mark_reposts(kept, st, threshold=threshold)
     return marked, skipped
