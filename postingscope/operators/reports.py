@@ -193,11 +193,15 @@ def high_risk(df: DataFrame, cut: float = L.HIGH_RISK, score: str = "final_ghost
     return df.filter(F.col(score) >= cut)
 
 
-def at_least_or_all(df: DataFrame, col: str, threshold: float) -> DataFrame:
+def at_least_or_all(df: DataFrame, col: str, threshold: float, materialize: bool = False) -> DataFrame:
     """FLT5: rows with col >= threshold, or all rows if none qualifies.
 
-    One plan: a global bool_or (one row, broadcast) joined to every row; no
-    driver-side count."""
+    A global bool_or (one row, broadcast) joined to every row; no
+    driver-side count.  The input is read twice (flag and rows);
+    `materialize=True` checkpoints it first so an expensive lineage is not
+    computed twice."""
+    if materialize:
+        df = df.checkpoint(eager=True)
     flag = df.agg(F.coalesce(F.bool_or(F.col(col) >= threshold), F.lit(False)).alias("_any"))
     j = df.crossJoin(F.broadcast(flag))
     return j.filter(~F.col("_any") | (F.col(col) >= threshold)).drop("_any")
@@ -238,7 +242,7 @@ def page_metrics(report: DataFrame) -> DataFrame:
 def report_rows(best: DataFrame, themes: DataFrame, threshold: float = L.REPORT_THRESHOLD,
                 signal_cuts=None) -> DataFrame:
     """JOB7 body: threshold-or-all, signals, band, themes, ordered by score."""
-    kept = at_least_or_all(best, "ghost_score", threshold)
+    kept = at_least_or_all(best, "ghost_score", threshold, materialize=True)
     j = kept.join(themes, "company", "left")
     sig = signals("repost_score", "genericness_score", "vagueness_score", "urgency_score",
                   "sentiment_score", signal_cuts)

@@ -297,7 +297,8 @@ WHERE {S.rnd('b.final_score', 1)} >= 60.0 OR NOT (SELECT coalesce(bool_or({S.rnd
 def job7_company_reports(spark, sf):
     """JOB7: JOIN1 -> AGG5 -> FLT5 -> TOP2 -> RPT1-3 (+ AGG20 themes)."""
     p, r = D.postings(spark, sf), D.reviews(spark, sf)
-    b = RP.best_per_company(RP.scored(p, _scores(spark, sf)), p, r)
+    # one row per company; materialised once, read by themes, flag and rows
+    b = RP.best_per_company(RP.scored(p, _scores(spark, sf)), p, r).checkpoint(eager=True)
     themes = RP.complaint_themes(r, b.select("company"))
     rows = RP.report_rows(b, themes, 60.0)
     return rows.select("company", "slug", "ghost_score", "band",

@@ -40,3 +40,9 @@ def start_dedup(stream: DataFrame, keys: list[str], ts: str, delay: str, stored_
     if trigger:
         q = q.trigger(**trigger)
     return q.start()
+
+
+def late_rows_dropped(query) -> int:
+    """Rows dropped behind the watermark so far (from the last progress)."""
+    prog = query.lastProgress or {}
+    return sum(int(op.get("numRowsDroppedByWatermark", 0)) for op in prog.get("stateOperators", []))
