@@ -29,7 +29,36 @@ def _round_body(v: Column, n: int) -> Column:
     return F.when(F.abs(p) >= F.lit(4503599627370496.0), v).otherwise(k / s)
 
 
-def pyround(x: Column, n: int) -> Column:
+def round_sql(e: str, n: int) -> str:
+    """Spark SQL text of Python's round(e, n) (same rule as `_round_body`).
+
+    Building the expression from text costs one parser call instead of a
+    hundred Column constructions; `e` should be cheap (it is repeated)."""
+    s = f"{float(10 ** n)!r}D"
+    v = f"CAST(({e}) AS DOUBLE)"
+    p = f"({v} * {s})"
+    fl = f"CAST(FLOOR({p}) AS DOUBLE)"
+    hi = f"((134217729.0D * {v}) - ((134217729.0D * {v}) - {v}))"
+    err = f"(({hi} * {s} - {p}) + ({v} - {hi}) * {s})"
+    return (f"(CASE WHEN abs({p}) >= 4503599627370496.0D THEN {v} "
+            f"WHEN {p} - {fl} > 0.5D THEN ({fl} + 1.0D) / {s} "
+            f"WHEN {p} - {fl} < 0.5D THEN {fl} / {s} "
+            f"WHEN {err} > 0.0D THEN ({fl} + 1.0D) / {s} "
+            f"WHEN {err} < 0.0D THEN {fl} / {s} "
+            f"WHEN pmod({fl}, 2.0D) = 0.0D THEN {fl} / {s} "
+            f"ELSE ({fl} + 1.0D) / {s} END)")
+
+
+def clamp01r4_sql(e: str) -> str:
+    return f"least(1.0D, greatest(0.0D, {round_sql(e, 4)}))"
+
+
+def q(name: str) -> str:
+    """Quoted column reference for SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def pyround(x, n: int) -> Column:
     """Round a double to n decimals exactly like Python's `round`.
 
     Python rounds the exact binary value (half-even only on exact ties);
@@ -43,8 +72,11 @@ def pyround(x: Column, n: int) -> Column:
     Operators stage expensive inputs into their own column first; because
     that column is then consumed more than once, the optimizer keeps it in
     its own projection and computes it once.  `pyround_once` binds an
-    arbitrary expression once instead.
+    arbitrary expression once instead.  A column name (str) takes the
+    SQL-text fast path.
     """
+    if isinstance(x, str):
+        return F.expr(round_sql(q(x), n))
     return _round_body(x.cast("double"), n)
 
 
@@ -84,6 +116,9 @@ def phrase_hits(text, phrases, lowered: bool = False) -> Column:
 
 def density_of(hits, words, scale: float, min_words: int = L.MIN_WORDS, once: bool = False) -> Column:
     """clamp01r4(hits / greatest(min_words, words) * scale); no words -> 0."""
+    if isinstance(hits, str) and isinstance(words, str) and not once:
+        d = f"{q(hits)} / greatest({int(min_words)}, {q(words)}) * {float(scale)!r}D"
+        return F.expr(f"CASE WHEN {q(words)} = 0 THEN 0.0D ELSE {clamp01r4_sql(d)} END")
     dens = col(hits) / F.greatest(F.lit(min_words), col(words)) * F.lit(float(scale))
     return F.when(col(words) == 0, F.lit(0.0)).otherwise(clamp01r4(dens, once))
 
@@ -121,6 +156,10 @@ def repost_score(repost_of_id="repost_of_id", repost_count=None) -> Column:
 
 # FEAT5
 def rule_probability(g, v, r, u, text) -> Column:
+    if all(isinstance(c, str) for c in (g, v, r, u)):
+        a, b, c_, d = (f"{float(w)!r}D" for w in L.RULE_WEIGHTS)
+        e = f"{a} * {q(g)} + {b} * {q(v)} + {c_} * {q(r)} + {d} * {q(u)}"
+        return F.when(is_blank(text), F.lit(0.0)).otherwise(F.expr(clamp01r4_sql(e)))
     wg, wv, wr, wu = (F.lit(w) for w in L.RULE_WEIGHTS)
     p = wg * col(g) + wv * col(v) + wr * col(r) + wu * col(u)
     return F.when(is_blank(text), F.lit(0.0)).otherwise(clamp01r4(p))
@@ -162,6 +201,12 @@ def frustration_parts(text, weighted_phrases=None, lowered: bool = False) -> tup
 def frustration_of(m, s, baseline, text, once: bool = False) -> Column:
     """0.4 * baseline + 0.6 * least(1, s / least(3, m) * 0.85) (0 if m = 0)."""
     cap, scale = L.FRUSTRATION_DENSITY
+    if isinstance(m, str) and isinstance(s, str) and isinstance(baseline, str) and not once:
+        a, b = L.FRUSTRATION_BLEND
+        dens = (f"(CASE WHEN {q(m)} = 0 THEN 0.0D ELSE least(1.0D, {q(s)} / least({float(cap)!r}D, "
+                f"CAST({q(m)} AS DOUBLE)) * {float(scale)!r}D) END)")
+        e = f"{float(a)!r}D * {q(baseline)} + {float(b)!r}D * {dens}"
+        return F.when(is_blank(text), F.lit(0.0)).otherwise(F.expr(clamp01r4_sql(e)))
     density = F.when(col(m) == 0, F.lit(0.0)).otherwise(
         F.least(F.lit(1.0), col(s) / F.least(F.lit(cap), col(m).cast("double")) * F.lit(scale)))
     a, b = L.FRUSTRATION_BLEND
@@ -197,6 +242,14 @@ def final_score(g, v, r, u, b, s, weights: dict | None = None) -> Column:
     wsum = sum(w.values())
     if wsum == 0:
         return F.lit(0.0)
+    cols = [g, v, r, u, b, s]
+    if all(isinstance(c, str) for c in cols):
+        raw = None
+        for k, c in zip(SCORE_KEYS, cols):
+            t = f"{float(w.get(k, L.DEFAULT_WEIGHTS[k]))!r}D * {q(c)}"
+            raw = t if raw is None else f"({raw} + {t})"
+        e = f"{raw} / {float(wsum)!r}D * 100.0D"
+        return F.expr(f"least(100.0D, greatest(0.0D, {round_sql(e, 2)}))")
     terms = [F.lit(float(w.get(k, L.DEFAULT_WEIGHTS[k]))) * col(c)
              for k, c in zip(SCORE_KEYS, [g, v, r, u, b, s])]
     raw = terms[0]
