@@ -85,8 +85,10 @@ def pyround_once(x: Column, n: int) -> Column:
     return F.transform(F.array(x.cast("double")), lambda v: _round_body(v, n)).getItem(0)
 
 
-def clamp01r4(x: Column, once: bool = False) -> Column:
-    """min(1, max(0, round(x, 4))) with Python rounding."""
+def clamp01r4(x, once: bool = False) -> Column:
+    """min(1, max(0, round(x, 4))) with Python rounding (x: Column or name)."""
+    if isinstance(x, str):
+        return F.expr(clamp01r4_sql(q(x)))
     r = pyround_once(x, 4) if once else pyround(x, 4)
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), r))
 

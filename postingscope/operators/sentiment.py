@@ -70,7 +70,8 @@ def sentiment_by_company(reviews: DataFrame, as_of, weighted_phrases=None,
         F.sum(F.col("weight") * F.col("frustration")).alias("_ws"),
         F.sum("weight").alias("_w"),
         F.count(F.lit(1)).alias("review_count"))
-    score = F.coalesce(clamp01r4(F.try_divide(F.col("_ws"), F.col("_w"))), F.lit(0.0))
+    agg = agg.withColumn("_ratio", F.try_divide(F.col("_ws"), F.col("_w")))
+    score = F.coalesce(clamp01r4("_ratio"), F.lit(0.0))
     return agg.select("company", score.alias("score"), F.col("review_count").cast("int"))
 
 

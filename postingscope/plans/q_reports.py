@@ -17,7 +17,7 @@ from postingscope.sources import driver as D
 
 
 def r6(c):
-    return pyround(F.col(c) if isinstance(c, str) else c, 9)
+    return pyround(c, 9)
 
 
 def _scores(spark, sf):
