@@ -174,13 +174,19 @@ def spearman(df: DataFrame, x: str, y: str, with_p: bool = True) -> DataFrame:
     """AGG14: Pearson on average ranks of the valid pairs.
 
     Works on the (x, y) frequency table: one partial aggregation over the
-    rows (checkpointed, so the input plan runs once), ranks from
-    range-partitioned prefix sums of the per-value counts, then a weighted
-    Pearson over the pairs table."""
+    rows (checkpointed, so the input plan runs once).  The per-value counts
+    of x and of y are stacked into one table and ranked together with a
+    keyed, range-partitioned prefix sum; then a weighted Pearson runs over
+    the pairs table."""
+    from postingscope.operators.sequence import keyed_cumsum
     pairs = (valid_pairs(df, x, y).groupBy(F.col(x).alias("_x"), F.col(y).alias("_y"))
              .agg(F.count(F.lit(1)).alias("_c")).checkpoint(eager=True))
-    rx = average_rank(pairs.groupBy("_x").agg(F.sum("_c").alias("_cx")), "_x", "_cx", "_rx")
-    ry = average_rank(pairs.groupBy("_y").agg(F.sum("_c").alias("_cy")), "_y", "_cy", "_ry")
+    fx = pairs.groupBy(F.col("_x").alias("_val")).agg(F.sum("_c").alias("_cnt")).withColumn("_var", F.lit("x"))
+    fy = pairs.groupBy(F.col("_y").alias("_val")).agg(F.sum("_c").alias("_cnt")).withColumn("_var", F.lit("y"))
+    cum = keyed_cumsum(fx.unionByName(fy), "_var", ["_val"], "_cnt", "_before", inclusive=False)
+    rank = (F.col("_before") * 2 + F.col("_cnt") + 1) / F.lit(2.0)
+    rx = cum.filter(F.col("_var") == "x").select(F.col("_val").alias("_x"), rank.alias("_rx"))
+    ry = cum.filter(F.col("_var") == "y").select(F.col("_val").alias("_y"), rank.alias("_ry"))
     j = pairs.join(rx, "_x").join(ry, "_y")
     return weighted_pearson(j, "_rx", "_ry", "_c", with_p)
 
