@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 
 def match_phrases(df: DataFrame, lexicon: DataFrame, text: str = "text", key: str = "id",
-                  max_rows: int = 10_000) -> DataFrame:
+                  max_rows: int = 1_000) -> DataFrame:
     """(key, phrase, other lexicon columns) for every distinct phrase contained
     in lower(text)."""
     lt = df.select(F.col(key), F.lower(F.col(text)).alias("_lt"))

@@ -362,3 +362,29 @@ def join5_traffic_vs_score(spark, sf):
                             cs.withColumnRenamed("_slug", "company"))
     out = j.join(m.select(F.col("_slug").alias("company"), F.col("company").alias("name")), "company")
     return out.select(F.col("name").alias("company"), "pageviews", r6("avg_score").alias("avg_score"))
+
+
+@register("top2_traffic_ranked", PAGE_REPORT + f"""
+SELECT row_number() OVER (ORDER BY screenPageViews DESC, pagePath) AS rank, pagePath AS page,
+       screenPageViews AS pageviews
+FROM report WHERE contains(pagePath, '/company/')""")
+def top2_traffic_ranked(spark, sf):
+    """TOP2 / AGG19 per-page list: report pages by views, descending."""
+    m = RP.page_metrics(page_report(spark, sf))
+    w = Window.orderBy(F.col("pageviews").desc(), F.col("page").asc())
+    return m.select(F.row_number().over(w).cast("long").alias("rank"), "page", "pageviews")
+
+
+@register("rpt2_json_ld", DASH + """
+SELECT company,
+       '{"@context":"https://schema.org","@graph":[{"@type":"Organization","name":"' || company || '","url":"'
+       || coalesce(career_url, 'https://example.com/careers/' || company) || '"},{"@type":"Report","headline":"'
+       || 'Hiring transparency report: ' || company || '","description":"Posting-viability risk for ' || company
+       || ': ' || CAST(ghost_score AS VARCHAR) || '/100."}]}' AS json_ld
+FROM (SELECT company, career_url, """ + S.rnd("final_score", 1) + """ AS ghost_score FROM best)""")
+def rpt2_json_ld(spark, sf):
+    """RPT2: JSON-LD block per company report."""
+    p, r = D.postings(spark, sf), D.reviews(spark, sf)
+    b = RP.best_per_company(RP.scored(p, _scores(spark, sf)), p, r)
+    return b.select("company", RP.json_ld(F.col("company"), F.col("career_url"), F.col("ghost_score"),
+                                          F.col("slug")).alias("json_ld"))
