@@ -130,9 +130,17 @@ def fix_sentence_gap(c) -> Column:
     return F.regexp_replace(col(c), r"""([a-z0-9.)'"])([.!?])([A-Z])""", "$1$2 $3")
 
 
+# Whitespace except the line feed, for per-line trimming.
+WS_NO_LF = WS_CHARS.replace(r"\n", "")
+
+
 def trim_lines(c) -> Column:
-    lines = F.transform(F.split(col(c), "\n"), lambda x: strip_ws(x))
-    return F.array_join(F.filter(lines, lambda x: x != F.lit("")), "\n")
+    """Strip every line, drop empty lines, rejoin with '\n' -- as three
+    regex passes (codegen'd, no per-line arrays).  `(?md)`: only '\n' ends a
+    line, as for Python's split('\n')."""
+    out = F.regexp_replace(col(c), f"(?md)^[{WS_NO_LF}]+|[{WS_NO_LF}]+$", "")
+    out = F.regexp_replace(out, "\n+", "\n")
+    return F.regexp_replace(out, "^\n|\n$", "")
 
 
 # --------------------------------------------------------------------- TXT8

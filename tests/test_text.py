@@ -119,3 +119,12 @@ def test_clean_idempotent_on_plain_text(spark, s):
     once = col1(spark, TX.clean_text, [s])[0]
     twice = col1(spark, TX.clean_text, [once])[0]
     assert once == twice
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("ab \t\r\x0b\x0c\xa0 　\n")), max_size=12),
+                max_size=6))
+def test_trim_lines_matches_python(spark, parts):
+    s = "\n".join(parts)
+    expected = "\n".join(line.strip() for line in s.split("\n") if line.strip())
+    assert col1(spark, TX.trim_lines, [s])[0] == expected
