@@ -10,15 +10,17 @@ similarity reaches the threshold and the description is longer than
 Plan (no per-company task, so a company with a third of all rows is
 spread over many tasks):
 
-1. Range-partition all postings by (company, order, id) and number rows
-   inside each partition; the sample-based range partitioner splits a hot
-   company over several partitions.  The numbered rows are checkpointed so
-   the numbering is stable under task retries and executor loss.
-2. Per-(partition, company) counts -> prefix sums over partitions (a table
-   no larger than #partitions + #companies) -> a global per-company rank.
-3. Bucket = (rank-1) div k.  Each probe looks at its own and the previous
+1. Range-partition all postings by (company, order, id), sort inside each
+   partition and give every row its global position (index inside the
+   partition + rows of earlier partitions, a one-row-per-partition table,
+   broadcast); the sample-based range partitioner splits a hot company
+   over several partitions.  The positioned rows are checkpointed so the
+   numbering is stable under task retries and executor loss.
+2. A company's rows are contiguous in that order, so its k preceding rows
+   are those at positions [p-k, p-1] with the same company.
+3. Bucket = position div k.  Each probe looks at its own and the previous
    bucket of its company: an equi-join on (company, bucket) yielding at
-   most 2k pairs per probe, filtered to the k preceding ranks.
+   most 2k pairs per probe, filtered to the k preceding positions.
 4. Cosine per pair from pre-computed norms, arg-max per probe id.
 """
 
@@ -68,10 +70,13 @@ def mark_reposts(incoming: DataFrame, stored: DataFrame | None = None, *, k: int
     else:
         allrows = inc
     allrows = allrows.withColumn("_norm", F.sqrt(_dot(F.col(emb), F.col(emb))))
-    # Stored postings precede every incoming one (incoming rows are stored
-    # at ingest time), then arrival order.
-    ranked = company_rank(allrows, ["_inc"] + [c for c in order if c != "id"] + ["id"])
-    ranked = ranked.withColumn("_b", F.floor((F.col("_rn") - 1) / k).cast("long"))
+    # Total order: company, then stored postings before every incoming one
+    # (incoming rows are stored at ingest time), then arrival order.  A
+    # company's rows are contiguous in it, so its k preceding rows are the
+    # rows at positions [p-k, p-1] carrying the same company.
+    from postingscope.operators.sequence import global_position
+    ranked = global_position(allrows, ["company", "_inc"] + [c for c in order if c != "id"] + ["id"], "_rn")
+    ranked = ranked.withColumn("_b", F.floor(F.col("_rn") / k).cast("long"))
 
     probes = (ranked.filter(F.col("_inc") & F.col("_ok"))
               .select(F.col("id").alias("_pid_"), "company", F.col("_rn").alias("_prn"),

@@ -35,6 +35,33 @@ def keyed_cumsum(df: DataFrame, key: str, order: list[str], value, out: str = "_
     return res.withColumn(out, F.col("_loc") + F.col("_off")).drop("_loc", "_off", "_pid", "_v")
 
 
+def global_position(df: DataFrame, order: list[str], out: str = "_gpos",
+                    partitions: int | None = None) -> DataFrame:
+    """0-based position of every row in the total order `order` (unique).
+
+    Range-partition, sort inside partitions, take each row's index inside
+    its partition (`monotonically_increasing_id` low bits) and add the row
+    count of all earlier partitions -- a table of one row per partition,
+    broadcast (a proven bound).  The numbered rows are checkpointed, so
+    positions are stable under retries; the wide rows are shuffled once.
+    With the key first in `order`, every key's rows are contiguous, so "the
+    k rows before me in my key" are the rows at positions [p-k, p-1] that
+    carry my key.
+    """
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+                .withColumn("_mid", F.monotonically_increasing_id())
+                .checkpoint(eager=True))
+    pid = F.shiftright(F.col("_mid"), 33)
+    sizes = ranged.groupBy(pid.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    res = ranged.withColumn("_p", pid).join(F.broadcast(offsets), "_p")
+    idx = F.col("_mid") - F.shiftleft(F.col("_p"), 33)
+    return res.withColumn(out, idx + F.col("_off")).drop("_mid", "_p", "_off")
+
+
 def keyed_rank(df: DataFrame, key: str, order: list[str], out: str = "_rn",
                partitions: int | None = None) -> DataFrame:
     """1-based row number inside each key (order must be unique within a key).
