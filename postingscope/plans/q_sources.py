@@ -8,6 +8,7 @@ from postingscope.plans import sqlgen as S
 from postingscope.plans.catalog import as_of, register
 from postingscope.sources import driver as D
 from postingscope.sources.forum import extract_forum_comments, extract_forum_posts, flatten_submissions
+from postingscope.operators.windows import first_k
 from postingscope.sources.pages import extract_postings, extract_snippets
 
 EPOCH_S = 1704067200  # 2024-01-01 00:00:00 UTC
@@ -21,10 +22,16 @@ def _turns(spark, sf):
                     F.concat(F.lit("src"), (F.col("conv_id") % D.N_COMPANIES).cast("string")).alias("company"))
 
 
+PAGE_SIZE = 50      # results per captured search page
+THREAD_PAGE = 25    # comments per captured thread page
+
+
 def forum_pages(spark, sf):
-    """One captured search page (JSON) per conversation; its user turns are
-    the results.  A conversation is a handful of turns."""
+    """Captured search pages (JSON): a conversation's user turns are the
+    results, PAGE_SIZE turn numbers per page, so no page (group) grows with
+    the data however long a conversation is."""
     u = _turns(spark, sf).filter(F.col("role") == "user")
+    u = u.withColumn("conv_id", F.col("conv_id") * 1000 + F.floor(F.col("turn") / PAGE_SIZE))
     child = F.struct(F.col("turn"), F.struct(F.substring("text", 1, 30).alias("title"),
                                              F.substring("text", 31, 1 << 30).alias("selftext"),
                                              F.col("created_utc"),
@@ -38,12 +45,12 @@ def forum_pages(spark, sf):
 
 @register("src8_forum_posts", f"""
 WITH u AS (
-  SELECT conv_id, turn, text, 'src' || CAST(conv_id % 20 AS VARCHAR) AS company,
+  SELECT conv_id * 1000 + turn // {PAGE_SIZE} AS page_id, turn, text, 'src' || CAST(conv_id % 20 AS VARCHAR) AS company,
          CASE WHEN turn = 0 THEN 0.0 ELSE {EPOCH_S} + conv_id * 3600 + turn * 60 END AS created_utc,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos
+         row_number() OVER (PARTITION BY conv_id, turn // {PAGE_SIZE} ORDER BY turn) - 1 AS pos
   FROM conversations WHERE role = 'user'
 ), t AS (
-  SELECT conv_id * 10000 + pos AS id, company, conv_id, pos,
+  SELECT page_id * 10000 + pos AS id, company, page_id AS conv_id, pos,
          {S.strip("substr(text, 1, 30) || chr(10) || chr(10) || substr(text, 31)")} AS text, created_utc
   FROM u
 ), k AS (SELECT * FROM t WHERE length(text) >= 20)
@@ -62,7 +69,10 @@ def forum_threads(spark, sf):
     t = _turns(spark, sf)
     first = t.filter((F.col("role") == "user")).groupBy("conv_id").agg(
         F.min_by(F.substring("text", 1, 30), F.col("turn")).alias("title"))
-    com = t.filter(F.col("role") == "assistant")
+    # a captured thread page holds its first THREAD_PAGE comments (exact
+    # salted top-k per conversation, so a huge thread is never one group)
+    com = first_k(t.filter(F.col("role") == "assistant").withColumn("id", F.col("conv_id") * 100 + F.col("turn")),
+                  "conv_id", ["turn"], THREAD_PAGE)
     item = F.struct(F.col("turn"), F.struct(F.col("text").alias("body"), F.col("created_utc")).alias("data"))
     g = com.groupBy("conv_id", "company").agg(F.array_sort(F.collect_list(item)).alias("_c"))
     g = g.join(first, "conv_id")
@@ -95,7 +105,9 @@ def submissions(spark, sf):
     t = _turns(spark, sf)
     first = t.filter(F.col("role") == "user").groupBy("conv_id", "company").agg(
         F.min_by(F.struct("text", "created_utc"), F.col("turn")).alias("_f"))
-    com = t.filter(F.col("role") == "assistant").groupBy("conv_id").agg(
+    com = first_k(t.filter(F.col("role") == "assistant").withColumn("id", F.col("conv_id") * 100 + F.col("turn")),
+                  "conv_id", ["turn"], THREAD_PAGE)
+    com = com.groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.struct("turn", "text", "created_utc"))).alias("_c"))
     j = first.join(com, "conv_id", "left")
     return j.select(F.col("conv_id").alias("sub_id"), "company",
