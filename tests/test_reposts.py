@@ -108,3 +108,23 @@ def test_keyed_cumsum_and_sessions(spark):
                                 (5, "p", 2, T0)], "event_id long, page string, user long, ts timestamp")
     s = {r.event_id: r._session for r in sessions(ev, ["page", "user"], "ts", 1800).collect()}
     assert s == {1: 1, 2: 1, 3: 2, 4: 3, 5: 1}  # a gap of exactly 30 min opens a session
+
+
+def test_partition_count_invariance(spark):
+    """Repost marks and session ids do not depend on the partition count."""
+    rnd = random.Random(11)
+    items = [(i, rnd.choice(["HOT", "HOT", "HOT", "a", "b"]), None, "d" * 30,
+              [float(rnd.choice([0.0, 1.0])) for _ in range(3)]) for i in range(1, 300)]
+    df = spark.createDataFrame(rows(items), SCHEMA)
+    ev = spark.createDataFrame([(i, "p", i % 5, T0 + timedelta(minutes=7 * i + (i % 3) * 11)) for i in range(200)],
+                               "event_id long, page string, user long, ts timestamp")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    results = []
+    try:
+        for n in ("2", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            results.append((status(mark_reposts(df, None, threshold=0.9)),
+                            {r.event_id: r._session for r in sessions(ev, ["page", "user"], "ts", 1800).collect()}))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert results[0] == results[1]
