@@ -92,3 +92,23 @@ def test_signals_and_bands(spark):
     assert "3 times" in rows[0].sig[0]["description"]
     assert [x["title"] for x in rows[1].sig] == [L.SIGNAL_TEXT["standard"][0]]
     assert [r.b for r in rows] == ["high", "low"]
+
+
+def test_default_weights_sum_to_one():
+    assert abs(sum(L.DEFAULT_WEIGHTS.values()) - 1.0) < 1e-12
+
+
+def test_training_set_csv(spark, tmpdir_path):
+    import os
+    from postingscope.operators.maintenance import write_csv
+    from postingscope.operators.scoring import training_set
+    p = spark.createDataFrame([(1, "A", "Dev", BUZZ, None, None), (2, "B", "Ops", TECH, "", 5)],
+                              "id long, company string, title string, description string, cleaned_text string, "
+                              "repost_of_id long")
+    t = training_set(p)
+    path = write_csv(t, os.path.join(tmpdir_path, "train"))
+    back = spark.read.option("header", True).csv(path)
+    assert back.columns == ["id", "company", "title", "description", "genericness_score", "vagueness_score",
+                            "repost_score", "urgency_score", "bootstrap_ghost_label", "manually_verified_label"]
+    rows = {int(r.id): r for r in back.collect()}
+    assert rows[2].repost_score == "0.55" and rows[1].bootstrap_ghost_label == rows[1].manually_verified_label
