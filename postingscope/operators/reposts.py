@@ -38,14 +38,6 @@ def _dot(a, b):
                        F.lit(0.0), lambda acc, v: acc + F.coalesce(v, F.lit(0.0)))
 
 
-def company_rank(df: DataFrame, order: list[str], key: str = "company",
-                 partitions: int | None = None) -> DataFrame:
-    """Add `_rn`: 1-based rank of each row inside its `key` group by `order`,
-    computed without a per-group task (see `operators.sequence`)."""
-    from postingscope.operators.sequence import keyed_rank
-    return keyed_rank(df, key, order, "_rn")
-
-
 def mark_reposts(incoming: DataFrame, stored: DataFrame | None = None, *, k: int = L.REPOST_WINDOW,
                  threshold: float = L.SIMILARITY_THRESHOLD, min_len: int = L.MIN_DESCRIPTION,
                  order: tuple[str, ...] = ("scraped_at", "id"), emb: str = "embedding",

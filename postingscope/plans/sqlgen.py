@@ -196,7 +196,6 @@ sentiment AS (
 def features_sql(src: str = "postings", generic=None, urgent=None) -> str:
     text = "coalesce(nullif(cleaned_text, ''), nullif(description, ''), '')"
     g = genericness("_text", generic)
-    u = urgency("_text", urgent)
     return f"""
 feat0 AS (SELECT *, {text} AS _text FROM {src}),
 feat1 AS (
@@ -207,7 +206,7 @@ feat1 AS (
 features AS (
   SELECT *, {rule_prob('genericness_score', 'vagueness_score', 'repost_score', 'urgency_score', '_text')} AS bert_score
   FROM feat1
-)""".replace(u, u)
+)"""
 
 
 def scores_sql(weights=None) -> str:
