@@ -30,9 +30,9 @@ def match_phrases(df: DataFrame, lexicon: DataFrame, text: str = "text", key: st
         return j.select(key, "phrase", *extra)
     short = lex.filter(F.length("phrase") < 3)
     longp = lex.filter(F.length("phrase") >= 3).withColumn("_g", F.substring("phrase", 1, 3))
-    grams = lt.select(key, F.explode(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length("_lt") - 2, F.lit(1))),
-        lambda i: F.substring(F.col("_lt"), i, 3)))).alias("_g"))
+    # every overlapping character trigram, in one regex pass (lookahead)
+    grams = lt.select(key, F.explode(F.array_distinct(
+        F.regexp_extract_all(F.col("_lt"), F.lit("(?s)(?=(.{3}))"), 1))).alias("_g"))
     # candidates carry only (key, phrase); the text joins back once per candidate
     cand = grams.join(longp.select("_g", "phrase"), "_g").select(key, "phrase").distinct()
     j = (cand.join(lt, key).filter(F.col("_lt").contains(F.col("phrase")))
