@@ -29,13 +29,14 @@ def vagueness(df: DataFrame, nouns: DataFrame | None = None, text: str = "_text"
     vague = [v.lower() for v in (L.VAGUE_NOUNS if vague is None else vague)]
     toks = df.select(F.col(key).alias("_k"),
                      F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), 0).alias("_toks"))
-    # the token array is its own column (consumed twice below, so it is
-    # computed once); each token is paired with its predecessor in-array
-    pairs = F.transform("_toks", lambda t, i: F.struct(
-        t.alias("token"),
-        F.coalesce(F.when(i > 0, F.element_at(F.col("_toks"), i).rlike("^[0-9]+$")), F.lit(False)).alias("num")))
-    ex = toks.select("_k", F.explode(pairs).alias("_t"))
-    ex = ex.select("_k", F.col("_t.token").alias("token"), F.col("_t.num").alias("_num"))
+    # each token beside its predecessor: zip the array with itself shifted by
+    # one (built-in array functions, no lambda), then explode
+    prev = F.when(F.size("_toks") > 0, F.concat(F.array(F.lit(None).cast("string")),
+                                                  F.slice("_toks", F.lit(1), F.size("_toks") - 1)))
+    toks = toks.withColumn("_prev", prev)
+    ex = toks.select("_k", F.explode(F.arrays_zip("_toks", "_prev")).alias("_t"))
+    ex = ex.select("_k", F.col("_t._toks").alias("token"),
+                   F.coalesce(F.col("_t._prev").rlike("^[0-9]+$"), F.lit(False)).alias("_num"))
     nn = nouns.select(F.lower("token").alias("token"), F.lower("lemma").alias("lemma"),
                       F.col("is_proper").cast("boolean").alias("is_proper")).dropDuplicates(["token"])
     j = ex.join(nn, "token")
