@@ -93,13 +93,20 @@ def sessions(events: DataFrame, key: list[str], ts: str = "ts", gap_seconds: int
              tiebreak: str = "event_id") -> DataFrame:
     """Session id per event: a new session starts when the gap to the
     previous event of the same key reaches `gap_seconds` (the rule of
-    `session_window`).  Returns events with `_session` (1-based per key)."""
+    `session_window`).  Returns events with `_session` (1-based per key).
+
+    Events get global positions in the order (key, ts, tiebreak); a key's
+    events are contiguous there, so an event's predecessor is the event at
+    position - 1 if it has the same key (an equi-join on the unique
+    position).  Session ids are a keyed running sum of the start flags."""
     k = events.withColumn("_key", F.concat_ws("\u0001", *[F.col(c).cast("string") for c in key]))
-    ranked = keyed_rank(k, "_key", [ts, tiebreak])
-    prev = ranked.select("_key", (F.col("_rn") + 1).alias("_rn"), F.col(ts).alias("_prev_ts"))
-    j = ranked.join(prev, ["_key", "_rn"], "left")
+    pos = global_position(k, ["_key", ts, tiebreak], "_gpos")
+    prev = pos.select((F.col("_gpos") + 1).alias("_gpos"), F.col("_key").alias("_pkey"),
+                      F.col(ts).alias("_prev_ts"))
+    j = pos.join(prev, "_gpos", "left")
     gap = F.unix_micros(F.col(ts)) - F.unix_micros(F.col("_prev_ts"))
-    flagged = j.withColumn("_new", F.when(F.col("_prev_ts").isNull() | (gap >= gap_seconds * 1_000_000), 1)
-                           .otherwise(0))
-    out = keyed_cumsum(flagged, "_key", ["_rn"], "_new", "_session")
-    return out.drop("_prev_ts", "_new")
+    new = (F.col("_prev_ts").isNull() | (F.col("_pkey") != F.col("_key"))
+           | (gap >= gap_seconds * 1_000_000))
+    flagged = j.withColumn("_new", F.when(new, 1).otherwise(0)).drop("_prev_ts", "_pkey")
+    out = keyed_cumsum(flagged, "_key", ["_gpos"], "_new", "_session")
+    return out.drop("_new")
