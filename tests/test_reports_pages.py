@@ -113,3 +113,11 @@ def test_snippets(spark):
     assert [r.text for r in extract_snippets(pages).collect()] == [
         "Acme ghosted me after three interview rounds, no reply"]
     assert extract_snippets(pages, enabled=False).count() == 0
+
+
+def test_malformed_pages_do_not_fail(spark):
+    pages = spark.createDataFrame([(1, "https://x.example/c", "<div class='job'><h3>Broken <b>title</h3><a href=", "career"),
+                                   (2, "https://x.example/d", None, "career")],
+                                  "page_id long, url string, html string, layout string")
+    out = extract_postings(pages).collect()
+    assert all(r.page_id in (1, 2) for r in out)
