@@ -189,6 +189,12 @@ THEME_KEYWORDS = [
 # Relative-time units (days per unit).
 RELATIVE_UNITS = [("day", 1), ("week", 7), ("month", 30)]
 
+# Ingest defaults for absent fields.
+DEFAULT_COMPANY = "Unknown"
+DEFAULT_TITLE = "Untitled Position"
+DEFAULT_POSTING_SOURCE = "Unknown"
+DEFAULT_REVIEW_SOURCE = "reddit"
+
 # Currency marks recognised by the salary extractor.
 CURRENCY_MARKS = ["$", "£", "€"]
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postingscope import lexicons as L
+
 LAYOUTS = ("career", "cards_a", "cards_b")
 
 
@@ -25,14 +27,14 @@ def union_sources(frames, source: str = "all") -> DataFrame:
 def with_defaults(df: DataFrame, kind: str, as_of) -> DataFrame:
     """META4: defaults for absent ingest fields."""
     if kind == "posting":
-        return (df.withColumn("company", F.coalesce("company", F.lit("Unknown")))
-                  .withColumn("title", F.coalesce("title", F.lit("Untitled Position")))
+        return (df.withColumn("company", F.coalesce("company", F.lit(L.DEFAULT_COMPANY)))
+                  .withColumn("title", F.coalesce("title", F.lit(L.DEFAULT_TITLE)))
                   .withColumn("description", F.coalesce("description", F.lit("")))
-                  .withColumn("source", F.coalesce("source", F.lit("Unknown")))
+                  .withColumn("source", F.coalesce("source", F.lit(L.DEFAULT_POSTING_SOURCE)))
                   .withColumn("posted_date", F.coalesce("posted_date", as_of)))
     if kind == "review":
-        return (df.withColumn("company", F.coalesce("company", F.lit("Unknown")))
-                  .withColumn("source", F.coalesce("source", F.lit("reddit")))
+        return (df.withColumn("company", F.coalesce("company", F.lit(L.DEFAULT_COMPANY)))
+                  .withColumn("source", F.coalesce("source", F.lit(L.DEFAULT_REVIEW_SOURCE)))
                   .withColumn("text", F.coalesce("text", F.lit("")))
                   .withColumn("posted_at", F.coalesce("posted_at", as_of)))
     raise ValueError(kind)
