@@ -24,59 +24,56 @@ from postingscope.operators.sequence import global_position
 BITS = 4
 
 
-def hilbert_index(dims: list[Column], bits: int = BITS) -> Column:
-    """Index of integer coordinates (each below 2**bits) on the Hilbert curve (Skilling's transform).
+def hilbert_index(dims: list[Column], bits: int = BITS) -> tuple[Column, list[Column]]:
+    """Skilling's transform of integer coordinates (each below 2**bits) to the Hilbert curve.
 
-    The state of a fold is the coordinate array; the steps (bit, dimension) are literals.
+    Returns the folded state and the bits of the index, highest first, as expressions over the state column
+    `_x` (struct x: array, t).  The fold runs over the bit planes; a plane's dimensions are literal steps.
     """
     n = len(dims)
-    start = F.array(*[d.cast("int") for d in dims])
 
-    def put(x: Column, i: int, v: Column, j: int | None = None, u: Column | None = None) -> Column:
-        return F.array(*[v if k == i else (u if k == j else F.get(x, F.lit(k))) for k in range(n)])
+    def at(x: Column, k: int) -> Column:
+        return F.get(x, F.lit(k))
+
+    def with_items(x: Column, items: dict[int, Column]) -> Column:
+        return F.array(*[items.get(k, at(x, k)) for k in range(n)])
+
+    def step(i: int, q: Column):
+        def go(x: Column) -> Column:
+            inverted = with_items(x, {0: at(x, 0).bitwiseXOR(q - 1)})
+            t = at(x, 0).bitwiseXOR(at(x, i)).bitwiseAND(q - 1)
+            swapped = with_items(x, {0: at(x, 0).bitwiseXOR(t), i: at(x, i).bitwiseXOR(t)}) if i else x
+            return F.when(at(x, i).bitwiseAND(q) != 0, inverted).otherwise(swapped)
+        return go
 
     def undo(x: Column, q: Column) -> Column:
-        """One bit plane: invert or exchange the low bits, dimension by dimension."""
         for i in range(n):
-            x = F.transform(F.array(x), lambda x, i=i: F.when(
-                F.get(x, F.lit(i)).bitwiseAND(q) != 0, put(x, 0, F.get(x, F.lit(0)).bitwiseXOR(q - 1)))
-                .otherwise(_exchange(x, i, q, put)))[0]
+            x = F.transform(F.array(x), step(i, q))[0]          # a let-binding: x is used many times
         return x
 
-    planes = F.array(*[F.lit(1 << b) for b in range(bits - 1, 0, -1)])
-    x = F.aggregate(planes, start, undo)
-    # Gray encode
     def gray(x: Column) -> Column:
-        parts = [F.get(x, F.lit(0))]
+        parts = [at(x, 0)]
         for k in range(1, n):
-            parts.append(F.get(x, F.lit(k)).bitwiseXOR(parts[-1]))
+            parts.append(at(x, k).bitwiseXOR(parts[-1]))
         return F.array(*parts)
 
-    def flip(t: Column, q: Column) -> Column:
-        return F.when(t["last"].bitwiseAND(q) != 0, F.struct(t["t"].bitwiseXOR(q - 1).alias("t"), t["last"].alias("last"))).otherwise(t)
+    def flip(last: Column):
+        return lambda t, q: F.when(last.bitwiseAND(q) != 0, t.bitwiseXOR(q - 1)).otherwise(t)
 
     def finish(x: Column) -> Column:
-        t = F.aggregate(planes, F.struct(F.lit(0).alias("t"), F.get(x, F.lit(n - 1)).alias("last")), flip)["t"]
-        return F.struct(x.alias("x"), t.alias("t"))
-
-    done = F.transform(F.transform(F.array(x), gray), finish)[0]
-    index = F.lit(0).cast("bigint")
-    for b in range(bits - 1, -1, -1):
-        for k in range(n):
-            bit = F.shiftright(F.get(F.col("_x.x"), F.lit(k)).bitwiseXOR(F.col("_x.t")), b).bitwiseAND(F.lit(1)).cast("bigint")
-            index = F.shiftleft(index, 1).bitwiseOR(bit)
-    return done, index
+        return F.struct(x.alias("x"), F.aggregate(planes, F.lit(0), flip(at(x, n - 1))).alias("t"))
 
-
-def _exchange(x: Column, i: int, q: Column, put) -> Column:
-    t = F.get(x, F.lit(0)).bitwiseXOR(F.get(x, F.lit(i))).bitwiseAND(q - 1)
-    if i == 0:
-        return x
-    return put(x, 0, F.get(x, F.lit(0)).bitwiseXOR(t), i, F.get(x, F.lit(i)).bitwiseXOR(t))
+    planes = F.array(*[F.lit(1 << b) for b in range(bits - 1, 0, -1)])
+    x = F.aggregate(planes, F.array(*[d.cast("int") for d in dims]), undo)
+    state = F.transform(F.transform(F.array(x), gray), finish)[0]
+    out = [F.shiftright(F.get(F.col("_x.x"), F.lit(k)).bitwiseXOR(F.col("_x.t")), b).bitwiseAND(F.lit(1)).cast("bigint")
+           for b in range(bits - 1, -1, -1) for k in range(n)]
+    return state, out
 
 
 def with_hilbert(df: DataFrame, dims: list[Column], out: str, bits: int = BITS) -> DataFrame:
-    state, index = hilbert_index(dims, bits)
+    state, index_bits = hilbert_index(dims, bits)
+    index = sum(F.shiftleft(b, len(index_bits) - 1 - i) for i, b in enumerate(index_bits))
     return df.withColumn("_x", state).withColumn(out, index).drop("_x")
 
 

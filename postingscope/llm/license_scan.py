@@ -26,6 +26,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postingscope.llm.common import cut
+
 THRESHOLD = 0.6
 # short statements by which a file declares its licence
 TEMPLATES = (
@@ -67,29 +69,32 @@ class Weights:
         self.anchors = sorted(anchors)
 
 
-def _lookup(pairs: dict[str, float], word: Column, default: float) -> Column:
-    m = F.create_map(*[F.lit(x) for w, v in sorted(pairs.items()) for x in (w, float(v))])
-    return F.coalesce(m[word], F.lit(default))
-
-
 def declared(files: DataFrame, path: str = "path", text: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(path, license, score, line) of every file that declares a licence."""
     w = Weights(templates, threshold)
     anchor = r"(?i)(?<![A-Za-z0-9])(?:" + "|".join(w.anchors) + r")(?![A-Za-z0-9])"
     lines = (files.where(F.col(path).isNotNull()).select(F.col(path).alias("path"), F.col(text).alias("text")).where(F.col("text").rlike(anchor))
-             .select("path", F.posexplode(F.split("text", "\n")).alias("line", "t")).where(F.col("t").rlike(anchor)))
-    bag = lines.withColumn("w", F.regexp_extract_all(F.lower("t"), F.lit("([a-z0-9]+)"), F.lit(1)))
-    # tf * idf of the distinct words, then the norm and one dot product per template
-    tf = F.transform(F.array_distinct("w"), lambda x: F.struct(
-        x.alias("w"), (F.size(F.filter("w", lambda y: y == x)) * _lookup(w.idf, x, w.other)).alias("v")))
-    vec = bag.withColumn("v", tf).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x["v"] * x["v"])))
-    dots = [F.aggregate("v", F.lit(0.0), lambda a, x, v=v: a + x["v"] * _lookup(v, x["w"], 0.0)) / F.col("norm") for v in w.vectors]
-    best = vec.withColumn("cos", F.array(*dots)).withColumn("score", F.array_max("cos")) \
-        .where(F.col("score") >= threshold).withColumn("k", F.array_position("cos", F.col("score")).cast("int"))
+             .select("path", F.xxhash64("text").alias("body"), F.posexplode(F.split("text", "\n")).alias("line", "t")).where(F.col("t").rlike(anchor)))
+    bag = (lines.select("path", "body", "line", F.explode(F.regexp_extract_all(F.lower("t"), F.lit("([a-z0-9]+)"), F.lit(1))).alias("word"))
+           .groupBy("path", "body", "line", "word").agg(F.count(F.lit(1)).alias("tf")))
+    # sparse vectors: one row per word; the template weights are as many rows as the templates have words
+    table = [(x, float(i), [float(v.get(x, 0.0)) for v in w.vectors]) for x, i in sorted(w.idf.items())]
+    weights = files.sparkSession.createDataFrame(table, "term string, idf double, parts array<double>")
+    x = F.col("tf") * F.coalesce("idf", F.lit(w.other))
+    dots = [F.sum(x * F.coalesce(F.get("parts", F.lit(k)), F.lit(0.0))).alias(f"dot{k}") for k in range(len(w.names))]
+    cos = (bag.join(F.broadcast(weights), F.col("word") == F.col("term"), "left").groupBy("path", "body", "line")
+           .agg(F.sqrt(F.sum(x * x)).alias("norm"), *dots))
+    scored = cos.select("path", "line", F.explode(F.array(*[
+        F.struct((F.round(F.col(f"dot{k}") / F.col("norm"), 9)).alias("score"), F.lit(-k).alias("k")) for k in range(len(w.names))])).alias("s"))
     names = F.array(*[F.lit(n) for n in w.names])
-    pick = F.max(F.struct("score", (-F.col("k")).alias("k"), (-F.col("line")).alias("line")))
-    return best.groupBy("path").agg(pick.alias("b")).select(
-        "path", F.element_at(names, -F.col("b.k")).alias("license"), F.col("b.score").alias("score"), (-F.col("b.line")).alias("line"))
+    return (scored.where(F.col("s.score") >= threshold).groupBy("path")
+            .agg(F.max(F.struct("s.score", "s.k", (-F.col("line")).alias("line"))).alias("b"))
+            .select("path", F.get(names, -F.col("b.k")).alias("license"), F.col("b.score").alias("score"), (-F.col("b.line")).alias("line")))
+
+
+def cut_declared(files: DataFrame, path: str = "path", text: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """declared(), written to the shared folder: both the file's own licence and its directory's read it."""
+    return cut(declared(files, path, text, templates, threshold))
 
 
 def parent(path: Column) -> Column:
@@ -118,6 +123,5 @@ def inherit(files: DataFrame, own: DataFrame, licence_files: DataFrame, path: st
 
 def license_scan(files: DataFrame, path: str = "path", text: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD,
                  licence_file: str = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$") -> DataFrame:
-    from postingscope.llm.common import cut
-    own = cut(declared(files, path, text, templates, threshold))
+    own = cut_declared(files, path, text, templates, threshold)
     return inherit(files, own, own.where(F.col("path").rlike(licence_file)), path)

@@ -43,29 +43,36 @@ RULES = {
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper of the whole text."""
     t = F.coalesce(F.col(text), F.lit(""))
-    a = docs.withColumn("_t", t).withColumn("_w", F.array_remove(F.split("_t", SPACES), ""))
+    a = (docs.withColumn("_t", t).withColumn("_w", F.array_remove(F.split("_t", SPACES), ""))
+         .withColumn("_v", F.transform("_w", lambda w: F.xxhash64(w))))
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     b = (a.withColumn("n_words", F.size("_w").cast("bigint"))
          .withColumn("word_chars", F.length(F.concat_ws("", "_w")).cast("bigint"))
-         .withColumn("n_symbols", F.length(F.regexp_replace("_t", r"[^#*$%&|<>]+", "")).cast("bigint"))
-         .withColumn("n_upper", F.length(F.regexp_replace("_t", r"[^\p{Lu}]+", "")).cast("bigint"))
+         .withColumn("_m", F.regexp_replace("_t", r"[^#*$%&|<>\p{Lu}]+", ""))                # symbols and capitals
          .withColumn("_l", lines)
-         # 3-word windows as 64-bit hashes (per text, so a chance collision is out of reach)
-         .withColumn("_h", F.when(F.col("n_words") >= 3, F.transform(
+         # a 3-word window as 40 bits of its hash and its place: sorted, likely repeats become neighbours
+         .withColumn("_h", F.when(F.col("n_words").between(3, 1 << 24), F.sort_array(F.transform(
              F.sequence(F.lit(0), F.col("n_words").cast("int") - 3),
-             lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)))).otherwise(F.array().cast("array<bigint>")))
-         .drop("_t", "_w"))
-    c = (b.withColumn("n_lines", F.size("_l").cast("bigint"))
+             lambda i: F.shiftleft(F.xxhash64(F.get("_v", i), F.get("_v", i + 1), F.get("_v", i + 2)), 24).bitwiseOR(i.cast("bigint"))))))
+         .drop("_t", "_v"))
+    gap = lambda x, k: F.shiftright(F.get("_h", k).bitwiseXOR(x), 24) == 0
+    c = (b.withColumn("n_symbols", F.length(F.regexp_replace("_m", r"[^#*$%&|<>]+", "")).cast("bigint"))
+         .withColumn("n_upper", F.length("_m") - F.col("n_symbols")).drop("_m")
+         .withColumn("n_lines", F.size("_l").cast("bigint"))
          .withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("bigint"))
-         .withColumn("_again", F.size("_h") > F.size(F.array_distinct("_h")))
          .drop("_l")
-         # equal windows become neighbours; only texts that repeat one are sorted
-         .withColumn("_s", F.when(F.col("_again"), F.sort_array(F.arrays_zip(
-             F.col("_h").alias("h"), F.sequence(F.lit(0), F.size("_h") - 1).alias("i"))))))
+         .withColumn("_c", F.when(F.col("n_words") > 1 << 24, F.sequence(F.lit(0), F.col("n_words").cast("int") - 3)).when(
+             F.exists(F.filter("_h", lambda x, k: gap(x, k + 1)), lambda x: x.isNotNull()),
+             F.transform(F.filter("_h", lambda x, k: gap(x, k + 1) | gap(x, k - 1)), lambda x: x.bitwiseAND((1 << 24) - 1).cast("int"))))
+         .drop("_h")
+         # the likely repeats are compared by their words
+         .withColumn("_s", F.when(F.col("_c").isNotNull(), F.sort_array(F.transform("_c", lambda i: F.struct(
+             F.struct(F.get("_w", i).alias("a"), F.get("_w", i + 1).alias("b"), F.get("_w", i + 2).alias("c")).alias("g"), i.alias("i"))))))
+         .drop("_w", "_c"))
     d = c.withColumn("_p", F.transform(F.filter(
-        "_s", lambda x, k: (F.get("_s", k - 1)["h"] == x["h"]) | (F.get("_s", k + 1)["h"] == x["h"])), lambda x: x["i"])).drop("_s", "_h")
+        "_s", lambda x, k: (F.get("_s", k - 1)["g"] == x["g"]) | (F.get("_s", k + 1)["g"] == x["g"])), lambda x: x["i"])).drop("_s")
     covered = F.array_union(F.array_union("_p", F.transform("_p", lambda x: x + 1)), F.transform("_p", lambda x: x + 2))
-    return d.withColumn("n_repeat_words", F.when(F.col("_again"), F.size(covered)).otherwise(0).cast("bigint")).drop("_p", "_again")
+    return d.withColumn("n_repeat_words", F.when(F.col("_p").isNotNull(), F.size(covered)).otherwise(0).cast("bigint")).drop("_p")
 
 
 def base_failed() -> Column:
