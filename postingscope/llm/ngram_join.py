@@ -50,8 +50,8 @@ VERIFY_COST = 8             # verifying one partner costs as much as reading so
 FAMILY_FREQUENCY = 64       # mean token frequency in the prefix from which a class is compared with pivots first
 PIVOT_ROUNDS = 4
 FAMILY_GROUP = 1_000        # members that one pivot meets
-BLOCK = 32                  # component members verified together
-GUESTS = 1_000              # classes that meet one block together
+BLOCK = 256                 # component members verified together
+GUESTS = 256                # classes that meet one block together
 
 
 def need(n: np.ndarray) -> np.ndarray:
@@ -229,8 +229,11 @@ def _prefixes(ordered: DataFrame) -> DataFrame:
     return cut(ordered.mapInArrow(run, "cid bigint, n bigint, toks array<bigint>, freqs array<bigint>, l int, k int, family boolean, hashes array<bigint>"))
 
 
-def overlaps(a_sets: list[np.ndarray], b_sets: list[np.ndarray]) -> np.ndarray:
-    """Matrix of intersection sizes of token sets (any order inside a set)."""
+def overlaps(a_sets: list[np.ndarray], b_sets: list[np.ndarray], least: np.ndarray | None = None) -> np.ndarray:
+    """Matrix of intersection sizes of token sets (any order inside a set).
+
+    Rows whose overlap with the union of all b_sets stays below `least` are left at zero.
+    """
     flat = np.concatenate(b_sets) if b_sets else np.zeros(0, np.int64)
     who = np.repeat(np.arange(len(b_sets)), [len(x) for x in b_sets])
     order = np.argsort(flat, kind="stable")
@@ -239,6 +242,8 @@ def overlaps(a_sets: list[np.ndarray], b_sets: list[np.ndarray]) -> np.ndarray:
     for i, s in enumerate(a_sets):
         lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
         size = hi - lo
+        if least is not None and np.count_nonzero(size) < least[i]:
+            continue
         at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         out[i] = np.bincount(who[at], minlength=len(b_sets))
     return out
@@ -300,7 +305,7 @@ def _verified(prefixed: DataFrame, first: DataFrame) -> DataFrame:
         if not a.num_rows or not b.num_rows:
             return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
         ca, cb, na, nb = a["gcid"].to_numpy(), b["hcid"].to_numpy(), a["gn"].to_numpy(), b["hn"].to_numpy()
-        ok = links(overlaps(_sets(a["gtoks"]), _sets(b["htoks"])), na[:, None], nb[None, :])
+        ok = links(overlaps(_sets(a["gtoks"]), _sets(b["htoks"]), need(na)), na[:, None], nb[None, :])
         i = np.flatnonzero(ok.any(axis=1))
         return pa.table({"u": pa.array(ca[i], pa.int64()), "v": pa.array(cb[ok[i].argmax(axis=1)], pa.int64())})
 
