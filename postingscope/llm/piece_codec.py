@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHE_WORDS = 300_000       # encoded words remembered by a worker; the store is emptied when full
+CACHE_WORDS = 600_000       # encoded words remembered by a worker; the store is emptied when full
 CHUNK_CHARS = 1 << 20
 NONE = np.int64(1 << 40)
 
@@ -67,6 +67,8 @@ class PieceCodec:
         self.char_ids = np.array([i for _, i in single], dtype=np.int64)
         open_end = any(SPACE in p.lstrip(SPACE) for p in ids)             # a piece continues over a space
         self.cutter = re.compile("(?s).+" if open_end else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.plain = set(plain)
+        self.names = [str(i) for i in range(self.size)]
         self.seen: dict[str, tuple[str, int, str]] = {}
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,8 +124,8 @@ class PieceCodec:
             return sym, word, pos
         return tuple(np.concatenate(x) for x in zip(*done))
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of every word (texts whose spaces are already space marks), encoded together."""
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, end of each word in them) of texts whose spaces are already space marks."""
         code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
         length = np.array([len(w) for w in words], dtype=np.int64)
         owner = np.repeat(np.arange(len(words)), length)
@@ -145,7 +147,7 @@ class PieceCodec:
             fill = np.repeat(sym < 0, times)
             sym = np.repeat(sym, times)
             sym[fill] = self.byte_id[np.frombuffer(b"".join(raw), dtype=np.uint8)]
-        return np.split(sym, np.searchsorted(pos, np.cumsum(length)[:-1])) if words else []
+        return sym, np.searchsorted(pos, np.cumsum(length))
 
     def decode_raw(self, ids) -> str:
         """Pieces of the ids joined: byte pieces as UTF-8, space marks kept, control ids left out."""
@@ -174,9 +176,14 @@ class PieceCodec:
         if len(self.seen) + len(new) > CACHE_WORDS:
             self.seen.clear()
             new = list(words)
-        for w, ids in zip(new, self.encode_words(new)):
-            got = ids.tolist()
-            self.seen[w] = (" ".join(map(str, got)), len(got), self.decode_raw(got))
+        names, pieces, plain = self.names, self.pieces, self.plain
+        flat, ends = self.encode_words(new)
+        flat, a = flat.tolist(), 0
+        for w, z in zip(new, ends.tolist()):
+            ids = flat[a:z]
+            a = z
+            text = "".join([pieces[i] for i in ids]) if plain.issuperset(ids) else self.decode_raw(ids)
+            self.seen[w] = (" ".join([names[i] for i in ids]), len(ids), text)
 
     def codes(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """(number of ids, ids joined by a space, decoded text) of every text, end id included."""
@@ -189,10 +196,11 @@ class PieceCodec:
             split = [self.split(t) for t in texts[a:z]]
             self._learn(set().union(*split))
             for words in split:
-                got = [self.seen[w] for w in words]
-                ids = " ".join([g[0] for g in got] + [str(self.end)])
-                text = "".join([g[2] for g in got]).removeprefix(SPACE).replace(SPACE, " ")
-                yield sum(g[1] for g in got) + 1, ids, text
+                if not words:
+                    yield 1, str(self.end), ""
+                    continue
+                ids, count, text = zip(*map(self.seen.__getitem__, words))
+                yield sum(count) + 1, f"{' '.join(ids)} {self.end}", "".join(text).removeprefix(SPACE).replace(SPACE, " ")
             a = z
 
 

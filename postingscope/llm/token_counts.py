@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD_END = "</w>"
-CACHE_WORDS = 500_000       # words remembered by a worker; the store is emptied when full
+CACHE_WORDS = 800_000       # words remembered by a worker; the store is emptied when full
 PLAIN_LIMIT = 0x250         # below: Latin script, stable in all Unicode versions
 
 
@@ -53,6 +53,7 @@ class PrefixCounter:
         self.lib = Tokenizer.from_file(path)
         self.specials = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
+        self.ascii_split = re.compile(r"[a-z]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\sa-z0-9]+", re.ASCII)
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.born: dict[str, int] = {}
         self.parts: dict[str, tuple[str, str]] = {}
@@ -60,6 +61,9 @@ class PrefixCounter:
             if self.born.setdefault("".join(pair), rank) == rank:
                 self.parts["".join(pair)] = pair
         self.forms: dict[str, bool] = {}
+        self.forming = {t for t in self.vocab if self.alone(t)}
+        self.seams: dict[tuple[str, str], bool] = {}
+        self.prefixes: dict[str, tuple[str, int]] = {}
         self.words: dict[str, int] = {}
 
     def fits(self, left: str, right: str, limit: int = 1 << 60) -> bool:
@@ -92,23 +96,45 @@ class PrefixCounter:
 
     def _interior(self, word: str) -> tuple[list[str], list[int]]:
         """last[i], count[i] of every prefix word[:i] without a word-end mark."""
-        vocab, fits, longest = self.vocab, self.fits, self.longest
+        known, forming, seams, longest = self.prefixes, self.forming, self.seams, self.longest
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        if len(seams) > CACHE_WORDS:
+            seams.clear()
         n = len(word)
         last, count = [""] * (n + 1), [0] * (n + 1)
         for i in range(1, n):
-            for j in range(max(0, i - longest), i):
-                token = word[j:i]
-                if token in vocab and (fits(last[j], token) if j else self.alone(token)) and (j == 0 or self.alone(token)):
-                    last[i], count[i] = token, count[j] + 1
-                    break
+            got = known.get(word[:i])                       # a prefix's answer is the same in every word
+            if got is None:
+                for j in range(max(0, i - longest), i):
+                    token = word[j:i]
+                    if token in forming:
+                        if not j:
+                            got = token, 1
+                            break
+                        seam = last[j], token
+                        ok = seams.get(seam)
+                        if ok is None:
+                            ok = seams[seam] = self.fits(*seam)
+                        if ok:
+                            got = token, count[j] + 1
+                            break
+                known[word[:i]] = got
+            last[i], count[i] = got
         return last, count
 
     def _close(self, word: str, i: int, last: list[str], count: list[int]) -> int:
         """Tokens of word[:i] read as a whole word."""
         for j in range(max(0, i - self.longest), i):
             token = word[j:i] + WORD_END
-            if token in self.vocab and self.alone(token) and (j == 0 or self.fits(last[j], token)):
-                return count[j] + 1
+            if token in self.forming:
+                if not j:
+                    return 1
+                ok = self.seams.get((last[j], token))
+                if ok is None:
+                    ok = self.seams[last[j], token] = self.fits(last[j], token)
+                if ok:
+                    return count[j] + 1
         raise ValueError(f"no token closes {word[:i]!r}")
 
     def prefix_table(self, word: str) -> np.ndarray:
@@ -123,7 +149,7 @@ class PrefixCounter:
                 self.words.clear()
             marked = "".join(self.bytes[b] for b in word.encode())
             whole = marked + WORD_END
-            got = 1 if whole in self.vocab and self.alone(whole) else self._close(marked, len(marked), *self._interior(marked))
+            got = 1 if whole in self.forming else self._close(marked, len(marked), *self._interior(marked))
             self.words[word] = got
         return got
 
@@ -132,7 +158,7 @@ class PrefixCounter:
         if not text:
             return []
         if text.isascii():
-            return self.split.findall(text.lower())
+            return self.ascii_split.findall(text.lower())
         if ord(max(text)) < PLAIN_LIMIT and "İ" not in text:
             return self.split.findall(unicodedata.normalize("NFC", text).lower())
         plain = self.lib.normalizer.normalize_str(text)
@@ -155,7 +181,9 @@ class PrefixCounter:
             words = self.split_words(text)
             got = list(map(known.get, words))
             if None in got:
-                got = [self.count_word(w) for w in words]
+                fresh = {w for w, n in zip(words, got) if n is None}
+                new = {w: self.count_word(w) for w in fresh}
+                got = [new[w] if n is None else n for w, n in zip(words, got)]
         else:
             got = [1 if w is None else self.count_word(w) for w in self.pieces(text)]
         return np.cumsum(np.array(got, dtype=np.int64))
