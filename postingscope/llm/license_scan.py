@@ -4,7 +4,7 @@ Every line of a file is compared with the licence templates: cosine of the TF-ID
 (letters and digits, lower case); the best line and template at or above `threshold` declare the file's licence.
 A word outside all templates has the weight of the rarest, so long lines that merely mention a licence score low.
 
-Only lines that hold an anchor word are compared.  A template's anchors are its heaviest words, as many as
+Only lines that hold an anchor word are compared.  A template's anchors are its telling words, as many as
 are needed until a line without any of them cannot reach the threshold with it (the rest of the template's
 vector is too short), so nothing is lost.
 
@@ -29,6 +29,9 @@ from pyspark.sql import functions as F
 from postingscope.llm.common import cut
 
 THRESHOLD = 0.6
+# words that any text may hold: they weigh little and become anchors last
+COMMON_IDF = 0.3
+COMMON = frozenset("a an and any are by code form in is of or source the this to use with without work".split())
 # short statements by which a file declares its licence
 TEMPLATES = (
     ("MIT", "Released under the MIT License"),
@@ -53,7 +56,7 @@ class Weights:
         self.names = [n for n, _ in templates]
         bags = [Counter(words_of(t)) for _, t in templates]
         df = Counter(w for b in bags for w in b)
-        self.idf = {w: math.log((len(bags) + 1) / (n + 1)) + 1 for w, n in df.items()}
+        self.idf = {w: COMMON_IDF if w in COMMON or len(w) == 1 else math.log((len(bags) + 1) / (n + 1)) + 1 for w, n in df.items()}
         self.other = math.log(len(bags) + 1) + 1
         vectors = [{w: n * self.idf[w] for w, n in b.items()} for b in bags]
         norms = [math.sqrt(sum(x * x for x in v.values())) for v in vectors]
@@ -61,7 +64,7 @@ class Weights:
         anchors = set()
         for v in self.vectors:
             rest = 1.0
-            for w in sorted(v, key=lambda w: (-v[w], w)):
+            for w in sorted(v, key=lambda w: (w in COMMON, len(w) < 4, -v[w], w)):
                 if math.sqrt(max(rest, 0.0)) < threshold:      # what is left cannot reach the threshold alone
                     break
                 anchors.add(w)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from postingscope.llm import textbytes as tb
 
-MAX_LABELLED = 12_000
+MAX_LABELLED = 6_000
 HASH_BITS = 20
 STEMS = (4, 6, 7, 9)        # stem lengths in bytes
 SEED = 7
@@ -96,25 +96,27 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, identity: tuple = IDENTITY_T
     if not len(y) or share in (0.0, 1.0):
         p = min(max(share, 1e-9), 1 - 1e-9)
         return Model(np.zeros(size, dtype=np.float32), float(np.log(p / (1 - p))))
-    flat = np.concatenate(rows)
-    used, col = np.unique(flat, return_inverse=True)
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    often = np.bincount(col) >= 3                       # a word in one or two texts says nothing reliable
-    keep = often[col]
-    col, at = col[keep], at[keep]
+    df = np.zeros(size, dtype=np.int32)
+    for r in rows:
+        df[r] += 1                                      # ids are distinct inside a row
+    used = np.flatnonzero(df >= 3)                      # a word in one or two texts says nothing reliable
+    place = np.full(size, -1, dtype=np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    rows = [c[c >= 0] for c in (place[r] for r in rows)]
+    col = np.concatenate(rows)
+    at = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    rows = []
     # swaps: +1 the term found, -1 its replacement, one pair per labelled text, term and replacement
-    place = {int(u): i for i, u in enumerate(used)}
     swaps: dict[tuple[int, int], int] = {}
-    df = np.bincount(col, minlength=len(used))
     for group in identity:
         ids = [term_id(t) for t in group]
         for k, a in enumerate(ids):
             for b in {ids[(k + 1) % len(ids)], ids[-1]} - {a}:
-                if a in place and df[place[a]]:
-                    swaps[a, b] = int(df[place[a]])
-    extra = [x for x in {t for ab in swaps for t in ab} if x not in place]
+                if place[a] >= 0:
+                    swaps[a, b] = int(df[a])
+    extra = sorted(x for x in {t for ab in swaps for t in ab} if place[x] < 0)
+    place[extra] = np.arange(len(used), len(used) + len(extra), dtype=np.int32)
     used = np.r_[used, np.array(extra, dtype=np.int64)]
-    place |= {x: len(place) + i for i, x in enumerate(extra)}
     sa = np.array([place[a] for a, _ in swaps], dtype=np.int64)
     sb = np.array([place[b] for _, b in swaps], dtype=np.int64)
     sn = np.array(list(swaps.values()), dtype=np.float64) * swap_penalty / len(y)
