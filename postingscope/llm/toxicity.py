@@ -16,6 +16,7 @@ label 1 (0 without labels); an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -75,10 +76,9 @@ def feature_ids(texts: pa.Array) -> Iterator[np.ndarray]:
             yield np.unique(ids[a:z])
 
 
-def term_id(term: str) -> int:
-    data = np.frombuffer(term.encode(), dtype=np.uint8)
-    whole = tb.word_hashes(data, np.array([0]), np.array([len(data)]))
-    return int(whole[0] >> np.uint64(64 - HASH_BITS))
+def term_features(term: str) -> list[int]:
+    """Feature ids that a term in a text stands for: the word and its stems."""
+    return next(feature_ids(pa.array([term]))).tolist()
 
 
 @dataclass
@@ -106,20 +106,24 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, identity: tuple = IDENTITY_T
     col = np.concatenate(rows)
     at = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     rows = []
-    # swaps: +1 the term found, -1 its replacement, one pair per labelled text, term and replacement
-    swaps: dict[tuple[int, int], int] = {}
+    # a swap: +1 the features of the term found, -1 those of its replacement; it counts once per text with the term
+    swaps: list[tuple[float, dict[int, int]]] = []
     for group in identity:
-        ids = [term_id(t) for t in group]
-        for k, a in enumerate(ids):
-            for b in {ids[(k + 1) % len(ids)], ids[-1]} - {a}:
-                if place[a] >= 0:
-                    swaps[a, b] = int(df[a])
-    extra = sorted(x for x in {t for ab in swaps for t in ab} if place[x] < 0)
+        for k, term in enumerate(group):
+            here = term_features(term)
+            found = int(min(df[i] for i in here)) if all(place[i] >= 0 for i in here) else 0
+            for other in {group[(k + 1) % len(group)], group[-1]} - {term}:
+                if found:
+                    change = Counter(here)
+                    change.subtract(term_features(other))
+                    swaps.append((found * swap_penalty / len(y), {i: d for i, d in change.items() if d}))
+    extra = sorted({i for _, c in swaps for i in c if place[i] < 0})
     place[extra] = np.arange(len(used), len(used) + len(extra), dtype=np.int32)
     used = np.r_[used, np.array(extra, dtype=np.int64)]
-    sa = np.array([place[a] for a, _ in swaps], dtype=np.int64)
-    sb = np.array([place[b] for _, b in swaps], dtype=np.int64)
-    sn = np.array(list(swaps.values()), dtype=np.float64) * swap_penalty / len(y)
+    sp = np.array([k for k, (_, c) in enumerate(swaps) for _ in c], dtype=np.int64)
+    sf = np.array([place[i] for _, c in swaps for i in c], dtype=np.int64)
+    sd = np.array([d for _, c in swaps for d in c.values()], dtype=np.float64)
+    sn = np.array([x for x, _ in swaps])
     n, m = len(y), len(used)
     scale = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))  # both classes weigh the same
     scale /= scale.sum()
@@ -130,7 +134,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, identity: tuple = IDENTITY_T
         g = np.r_[np.bincount(col, weights=(scale * z)[at], minlength=m), (scale * z).sum()]
         top = np.linalg.norm(g)
         v = g / top
-    step = 1 / (0.25 * top * 1.05 + 4 * (np.bincount(np.r_[sa, sb], weights=np.r_[sn, sn]).max() if len(sn) else 0))
+    step = 1 / (0.25 * top * 1.05 + (np.bincount(sf, weights=2 * sn[sp] * np.abs(sd) * np.bincount(sp, weights=np.abs(sd))[sp]).max() if len(sn) else 0))
     w, b = np.zeros(m), float(np.log(share / (1 - share)))
     u, ub, t = w.copy(), b, 1.0
     for _ in range(rounds):
@@ -138,8 +142,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, identity: tuple = IDENTITY_T
         r = scale * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
         g = np.bincount(col, weights=r[at], minlength=m)
         if len(sn):
-            change = 2 * sn * (u[sa] - u[sb])
-            g += np.bincount(sa, weights=change, minlength=m) - np.bincount(sb, weights=change, minlength=m)
+            gap = 2 * sn * np.bincount(sp, weights=sd * u[sf])
+            g += np.bincount(sf, weights=gap[sp] * sd, minlength=m)
         new = u - step * g
         new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
         nb = ub - step * r.sum()
