@@ -2,8 +2,8 @@
 
 A text's features are the hashes of its distinct letter runs (A-Z as a-z) and of their stems.  Training minimises the logistic
 loss, an L1 term, and for every labelled text that names a group the squared change of its logit when the
-group term is swapped for another of its kind or for a neutral word.  So the weights of group terms are drawn
-together, towards that of the neutral word, and the mention of a group alone does not raise a score.
+group term is swapped for another of its kind, for a neutral word or for nothing.  So the weights of group terms
+are drawn together and to zero, and the mention of a group alone does not raise a score.
 
 The classifier is fitted on at most MAX_LABELLED labelled texts, chosen by a seeded hash of their id; their
 feature ids (not texts) go to the driver.  Scoring covers every whole text; the weights are broadcast
@@ -112,10 +112,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, identity: tuple = IDENTITY_T
         for k, term in enumerate(group):
             here = term_features(term)
             found = int(min(df[i] for i in here)) if all(place[i] >= 0 for i in here) else 0
-            for other in {group[(k + 1) % len(group)], group[-1]} - {term}:
+            for other in sorted({group[(k + 1) % len(group)], group[-1]} - {term}) + [None]:
                 if found:
                     change = Counter(here)
-                    change.subtract(term_features(other))
+                    change.subtract(term_features(other) if other else [])      # None: the term left out
                     swaps.append((found * swap_penalty / len(y), {i: d for i, d in change.items() if d}))
     extra = sorted({i for _, c in swaps for i in c if place[i] < 0})
     place[extra] = np.arange(len(used), len(used) + len(extra), dtype=np.int32)
