@@ -1,13 +1,12 @@
-"""JOIN8: text x lexicon on substring containment, for lexicons too large
-to inline as a literal array.
-
-Small lexicons (checked: at most `max_rows` phrases) are broadcast and
-tested with `contains` against every text (a broadcast nested-loop join).
-Beyond that, candidate pairs come from an equi-join on the phrase's first
-character trigram against the distinct trigrams of each text -- every
-occurrence of a phrase contains its first trigram, so no match is lost --
-and are then verified with `contains`.  Work grows with the data, not with
-texts x phrases.
+"""JOIN8: text x lexicon on substring containment.
+
+`match_phrases` takes a lexicon table of any size: candidate pairs come from
+an equi-join of the phrase's first character n-gram (n = 3, or the length of
+a shorter phrase) with the distinct n-grams of each text -- every occurrence
+of a phrase contains its first n-gram, so no match is lost -- and are then
+verified with `contains`.  Work grows with the data, not with texts x
+phrases.  `match_phrase_list` is the form for a literal list of phrases (a
+configuration value): an expression per text, no join.  The caller chooses.
 """
 
 from __future__ import annotations
@@ -16,27 +15,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def match_phrases(df: DataFrame, lexicon: DataFrame, text: str = "text", key: str = "id",
-                  max_rows: int = 1_000) -> DataFrame:
+def match_phrase_list(df: DataFrame, phrases: list[str], text: str = "text", key: str = "id") -> DataFrame:
+    """(key, phrase) for every distinct phrase of the list contained in lower(text)."""
+    wanted = sorted({p.lower() for p in phrases if p})
+    if not wanted:
+        return df.select(key, F.lit("").alias("phrase")).limit(0)
+    lt = df.select(F.col(key), F.lower(F.col(text)).alias("_lt"))
+    hits = F.array_compact(F.array(*[F.when(F.col("_lt").contains(p), F.lit(p)) for p in wanted]))
+    return lt.select(key, F.explode(hits).alias("phrase"))
+
+
+def match_phrases(df: DataFrame, lexicon: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
     """(key, phrase, other lexicon columns) for every distinct phrase contained
     in lower(text)."""
     lt = df.select(F.col(key), F.lower(F.col(text)).alias("_lt"))
     extra = [c for c in lexicon.columns if c != "phrase"]
     lex = (lexicon.select(F.lower(F.col("phrase")).alias("phrase"), *extra)
-           .filter(F.col("phrase").isNotNull() & (F.col("phrase") != "")))
-    n = lex.limit(max_rows + 1).count()
-    if n <= max_rows:
-        j = lt.crossJoin(F.broadcast(lex)).filter(F.col("_lt").contains(F.col("phrase")))
-        return j.select(key, "phrase", *extra)
-    short = lex.filter(F.length("phrase") < 3)
-    longp = lex.filter(F.length("phrase") >= 3).withColumn("_g", F.substring("phrase", 1, 3))
-    # every overlapping character trigram, in one regex pass (lookahead)
-    grams = lt.select(key, F.explode(F.array_distinct(
-        F.regexp_extract_all(F.col("_lt"), F.lit("(?s)(?=(.{3}))"), 1))).alias("_g"))
+           .filter(F.col("phrase").isNotNull() & (F.col("phrase") != ""))
+           .withColumn("_g", F.substring("phrase", 1, 3)))
+
+    def grams(n):   # every overlapping n-gram in one regex pass (lookahead)
+        return F.array_distinct(F.regexp_extract_all(F.col("_lt"), F.lit(f"(?s)(?=(.{{{n}}}))"), 1))
+
+    text_grams = lt.select(key, F.explode(F.concat(grams(1), grams(2), grams(3))).alias("_g"))
     # candidates carry only (key, phrase); the text joins back once per candidate
-    cand = grams.join(longp.select("_g", "phrase"), "_g").select(key, "phrase").distinct()
-    j = (cand.join(lt, key).filter(F.col("_lt").contains(F.col("phrase")))
-             .join(lex, "phrase").select(key, "phrase", *extra))
-    # phrases shorter than a trigram: few by construction (at most alphabet^2)
-    s = lt.crossJoin(F.broadcast(short)).filter(F.col("_lt").contains(F.col("phrase"))).select(key, "phrase", *extra)
-    return j.unionByName(s)
+    cand = text_grams.join(lex.select("_g", "phrase"), "_g").select(key, "phrase").distinct()
+    return (cand.join(lt, key).filter(F.col("_lt").contains(F.col("phrase")))
+            .join(lex.drop("_g"), "phrase").select(key, "phrase", *extra))

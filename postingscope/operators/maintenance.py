@@ -1,9 +1,9 @@
 """Table maintenance and sinks (FLT1, UPS1, UPS3, UPS4, SNK1-3).
 
 Plain Parquet has no MERGE, so an upsert writes a new version directory
-(old rows whose key is not in the update, plus the update) and then moves
-a small pointer file; readers always resolve the pointer, so a failed or
-retried job never exposes a half-written table.
+(old rows whose key is not in the update, plus the update) and then adds
+a numbered commit file; readers take the highest, so a failed or retried
+job never exposes a half-written table and never hides the last one.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postingscope.functions.text import clean_text
+from postingscope.session import path_exists
 
-POINTER = "_CURRENT"
+COMMIT = "_commit-"
 
 
 def pending(postings: DataFrame, force: bool = False) -> DataFrame:
@@ -43,12 +44,24 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
+def _commits(fs, p, jvm) -> list[str]:
+    """Commit files of the table, oldest first."""
+    if not fs.exists(p):
+        return []
+    return sorted(f.getPath().getName() for f in fs.listStatus(p) if f.getPath().getName().startswith(COMMIT))
+
+
 def current_version(spark: SparkSession, path: str) -> str | None:
+    """The version that the highest commit file names; None if there is no table.
+
+    Versions without any commit file are not taken for an empty table."""
     fs, p, jvm = _fs(spark, path)
-    ptr = jvm.org.apache.hadoop.fs.Path(p, POINTER)
-    if not fs.exists(ptr):
+    commits = _commits(fs, p, jvm)
+    if not commits:
+        if fs.exists(p) and any(f.getPath().getName().startswith("v-") and f.isDirectory() for f in fs.listStatus(p)):
+            raise RuntimeError(f"{path} has versions but no commit file")
         return None
-    stream = fs.open(ptr)
+    stream = fs.open(jvm.org.apache.hadoop.fs.Path(p, commits[-1]))
     try:
         reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
         return json.loads(reader.readLine())["version"]
@@ -65,36 +78,46 @@ def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
 
 
 def write_version(df: DataFrame, path: str) -> str:
-    """Write `df` as a new version and repoint the table to it."""
+    """Write `df` as a new version and commit it under the next number.
+
+    The commit file is completed under another name and renamed to a name
+    that must not exist, so a crash leaves the previous commit in force and
+    of two writers one fails."""
     spark = df.sparkSession
-    version = f"v-{datetime.now(timezone.utc):%Y%m%d%H%M%S}-{uuid.uuid4().hex[:8]}"
-    df.write.mode("error").parquet(f"{path}/{version}")
     fs, p, jvm = _fs(spark, path)
-    tmp = jvm.org.apache.hadoop.fs.Path(p, f"{POINTER}.{version}.tmp")
-    out = fs.create(tmp, True)
+    before = _commits(fs, p, jvm)
+    number = int(before[-1][len(COMMIT):]) + 1 if before else 0
+    version = f"v-{datetime.now(timezone.utc):%Y%m%d%H%M%S}-{uuid.uuid4().hex[:8]}"
+    staged = jvm.org.apache.hadoop.fs.Path(p, f"_staged-{version}")
+    df.write.mode("error").parquet(f"{path}/{staged.getName()}")
+    tmp = jvm.org.apache.hadoop.fs.Path(p, f"_tmp-{version}")
+    out = fs.create(tmp, False)
     try:
         out.write(bytearray(json.dumps({"version": version}) + "\n", "utf-8"))
     finally:
         out.close()
-    ptr = jvm.org.apache.hadoop.fs.Path(p, POINTER)
-    if fs.exists(ptr):
-        fs.delete(ptr, False)
-    fs.rename(tmp, ptr)
+    commit = jvm.org.apache.hadoop.fs.Path(p, f"{COMMIT}{number:012d}")
+    if not fs.rename(staged, jvm.org.apache.hadoop.fs.Path(p, version)) or fs.exists(commit) or not fs.rename(tmp, commit):
+        raise RuntimeError(f"another writer committed version {number} of {path}")
     return version
 
 
 def merge_rows(old: DataFrame | None, rows: DataFrame, key: list[str] | str) -> DataFrame:
-    """Old rows whose key is absent from `rows`, plus `rows` (anti join + union)."""
+    """Old rows whose key is absent from `rows`, plus `rows` (anti join + union).
+
+    Columns that one side lacks are null there; of several `rows` with one key one stays."""
     key = [key] if isinstance(key, str) else list(key)
+    rows = rows.dropDuplicates(key)
     if old is None:
         return rows
-    return old.join(rows.select(*key).distinct(), key, "left_anti").unionByName(rows)
+    kept = old.join(rows.select(*key), key, "left_anti").select(*old.columns)
+    return kept.unionByName(rows, allowMissingColumns=True)
 
 
 def upsert(path: str, rows: DataFrame, key: list[str] | str) -> str:
     """UPS1: insert-or-replace `rows` by `key` into the versioned table."""
     spark = rows.sparkSession
-    old = read_table(spark, path, rows.schema)
+    old = read_table(spark, path)
     return write_version(merge_rows(old, rows, key), path)
 
 
@@ -116,10 +139,14 @@ def refresh_if_stale(cached: DataFrame, fetched: DataFrame, as_of: datetime,
 
 
 # ------------------------------------------------------------------ SNK1-3
-def export_snapshot(tables: dict[str, DataFrame | None], path: str, fmt: str = "parquet") -> dict:
-    """SNK1: one directory per table; a missing table is written empty."""
+def export_snapshot(tables: dict[str, DataFrame | None], path: str, fmt: str = "parquet", schemas: dict | None = None) -> dict:
+    """SNK1: one directory per table; a missing table is written empty where
+    its schema is given, else left out (a snapshot without it restores empty)."""
     written = {}
+    spark = next(df for df in tables.values() if df is not None).sparkSession if any(df is not None for df in tables.values()) else None
     for name, df in tables.items():
+        if df is None and spark is not None and name in (schemas or {}):
+            df = spark.createDataFrame([], schemas[name])
         if df is None:
             continue
         df.write.mode("overwrite").format(fmt).save(os.path.join(path, name))
@@ -135,7 +162,7 @@ def restore_snapshot(spark: SparkSession, path: str, schemas: dict, current: Dat
     out = {}
     for name, schema in schemas.items():
         p = os.path.join(path, name)
-        out[name] = (spark.read.schema(schema).format(fmt).load(p) if os.path.exists(p)
+        out[name] = (spark.read.schema(schema).format(fmt).load(p) if path_exists(spark, p)
                      else spark.createDataFrame([], schema))
     return out
 

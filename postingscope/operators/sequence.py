@@ -7,7 +7,7 @@ per-(partition, key) totals -- a table of at most #partitions + #keys rows
 -- supply the offsets.  The range-partitioned rows are checkpointed so
 partition ids stay stable under retries and executor loss.
 
-Used by the repost detector (rank = cumsum of 1) and by sessionization.
+Used by the repost detector (rank = cumsum of 1).
 """
 
 from __future__ import annotations
@@ -60,53 +60,3 @@ def global_position(df: DataFrame, order: list[str], out: str = "_gpos",
     res = ranged.withColumn("_p", pid).join(F.broadcast(offsets), "_p")
     idx = F.col("_mid") - F.shiftleft(F.col("_p"), 33)
     return res.withColumn(out, idx + F.col("_off")).drop("_mid", "_p", "_off")
-
-
-def keyed_rank(df: DataFrame, key: str, order: list[str], out: str = "_rn",
-               partitions: int | None = None) -> DataFrame:
-    """1-based row number inside each key (order must be unique within a key).
-
-    Rows are range-partitioned by (key, order), sorted inside each partition
-    and numbered with `monotonically_increasing_id` (position inside the
-    partition), then checkpointed.  The rank is the position minus the
-    key's first position in that partition, plus the key's row count in
-    earlier partitions: only a (partition, key) table of at most
-    #partitions + #keys rows is aggregated and joined back (AQE broadcasts
-    it); the wide rows are shuffled once, by the range exchange.
-    """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cols = [key] + list(order)
-    ranged = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
-                .withColumn("_mid", F.monotonically_increasing_id())
-                .withColumn("_pid", F.spark_partition_id())
-                .checkpoint(eager=True))
-    stats = ranged.groupBy("_pid", key).agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_n"))
-    wo = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stats.withColumn("_off", F.coalesce(F.sum("_n").over(wo), F.lit(0))).drop("_n")
-    res = ranged.join(offsets, ["_pid", key])
-    return (res.withColumn(out, F.col("_mid") - F.col("_m0") + 1 + F.col("_off"))
-               .drop("_mid", "_m0", "_off", "_pid"))
-
-
-def sessions(events: DataFrame, key: list[str], ts: str = "ts", gap_seconds: int = 1800,
-             tiebreak: str = "event_id") -> DataFrame:
-    """Session id per event: a new session starts when the gap to the
-    previous event of the same key reaches `gap_seconds` (the rule of
-    `session_window`).  Returns events with `_session` (1-based per key).
-
-    Events get global positions in the order (key, ts, tiebreak); a key's
-    events are contiguous there, so an event's predecessor is the event at
-    position - 1 if it has the same key (an equi-join on the unique
-    position).  Session ids are a keyed running sum of the start flags."""
-    k = events.withColumn("_key", F.concat_ws("\u0001", *[F.col(c).cast("string") for c in key]))
-    pos = global_position(k, ["_key", ts, tiebreak], "_gpos")
-    prev = pos.select((F.col("_gpos") + 1).alias("_gpos"), F.col("_key").alias("_pkey"),
-                      F.col(ts).alias("_prev_ts"))
-    j = pos.join(prev, "_gpos", "left")
-    gap = F.unix_micros(F.col(ts)) - F.unix_micros(F.col("_prev_ts"))
-    new = (F.col("_prev_ts").isNull() | (F.col("_pkey") != F.col("_key"))
-           | (gap >= gap_seconds * 1_000_000))
-    flagged = j.withColumn("_new", F.when(new, 1).otherwise(0)).drop("_prev_ts", "_pkey")
-    out = keyed_cumsum(flagged, "_key", ["_gpos"], "_new", "_session")
-    return out.drop("_new")

@@ -20,12 +20,12 @@ def r6(c):
     return pyround(c, 9)
 
 
-def _scores(spark, sf):
-    """Scores exist for the postings that carry an embedding (the others
-    were never scored)."""
-    p = D.postings(spark, sf)
-    emb = D.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))
-    sp = p.join(emb, "id", "left_semi")
+def _scores(spark, sf, embedded_only=False):
+    """Scores of all postings; `embedded_only` (JOIN2, where missing scores
+    are the feature) leaves those without an embedding unscored."""
+    sp = D.postings(spark, sf)
+    if embedded_only:
+        sp = sp.join(D.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id")), "id", "left_semi")
     sent = sentiment_by_company(D.reviews(spark, sf), as_of(), D.DATA_FRUSTRATION)
     return SC.score_postings(sp, sent, as_of(), generic=D.DATA_GENERIC, urgent=D.DATA_URGENT)
 
@@ -37,7 +37,7 @@ def _dash(spark, sf):
 
 
 DASH = with_(S.POSTINGS, S.REVIEWS, S.review_scores_sql(D.DATA_FRUSTRATION), S.sentiment_sql(D.DATA_FRUSTRATION),
-             "scored_postings AS (SELECT * FROM postings WHERE id IN (SELECT vec_id FROM embeddings))",
+             "scored_postings AS (SELECT * FROM postings)",
              S.features_sql("scored_postings", D.DATA_GENERIC, D.DATA_URGENT), S.scores_sql(), S.COMPANIES, """
 dash AS (
   SELECT p.id AS posting_id, p.company, p.title, p.url, coalesce(p.location, 'Not Specified') AS location,
@@ -69,9 +69,13 @@ def join1_scored(spark, sf):
     return RP.scored(D.postings(spark, sf), _scores(spark, sf)).select("id", "company", "final_score")
 
 
-@register("join2_scored_or_default", DASH + "SELECT posting_id, location, bert_score, final_ghost_score FROM dash")
+DASH_DEFAULTS = DASH.replace("scored_postings AS (SELECT * FROM postings)",
+                             "scored_postings AS (SELECT * FROM postings WHERE id IN (SELECT vec_id FROM embeddings))")
+
+
+@register("join2_scored_or_default", DASH_DEFAULTS + "SELECT posting_id, location, bert_score, final_ghost_score FROM dash")
 def join2_scored_or_default(spark, sf):
-    d = RP.scored_or_default(D.postings(spark, sf), _scores(spark, sf))
+    d = RP.scored_or_default(D.postings(spark, sf), _scores(spark, sf, embedded_only=True))
     return d.select("posting_id", "location", "bert_score", "final_ghost_score")
 
 

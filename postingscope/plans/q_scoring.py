@@ -220,10 +220,9 @@ def feat3_vagueness_nouns(spark, sf):
           ", ".join(f"('{x}')" for x in D.DATA_GENERIC + D.DATA_URGENT) +
           ") l(phrase) WHERE contains(lower(p.description), l.phrase)")
 def join8_match_phrases(spark, sf):
-    """JOIN8: postings x lexicon table on containment (broadcast path)."""
-    from postingscope.operators.lexicon import match_phrases
-    lex = spark.createDataFrame([(x,) for x in D.DATA_GENERIC + D.DATA_URGENT], "phrase string")
-    return match_phrases(D.postings(spark, sf), lex, text="description")
+    """JOIN8: postings x a literal list of phrases, as an expression."""
+    from postingscope.operators.lexicon import match_phrase_list
+    return match_phrase_list(D.postings(spark, sf), D.DATA_GENERIC + D.DATA_URGENT, text="description")
 
 
 @register("join8_match_phrases_trigram", with_(S.POSTINGS) + "SELECT p.id, l.phrase FROM postings p, (VALUES " +
@@ -233,7 +232,7 @@ def join8_match_phrases_trigram(spark, sf):
     """JOIN8 through the trigram equi-join path used for large lexicons."""
     from postingscope.operators.lexicon import match_phrases
     lex = spark.createDataFrame([(x,) for x in D.DATA_GENERIC + D.DATA_URGENT], "phrase string")
-    return match_phrases(D.postings(spark, sf), lex, text="description", max_rows=0)
+    return match_phrases(D.postings(spark, sf), lex, text="description")
 
 
 @register("win3_rank_labels", SCORES_CTES + """

@@ -1,4 +1,4 @@
-"""Queries: page extraction and forum captures (SRC5, SRC8-11)."""
+"""Queries: forum captures (SRC8-10)."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from postingscope.plans.catalog import as_of, register
 from postingscope.sources import driver as D
 from postingscope.sources.forum import extract_forum_comments, extract_forum_posts, flatten_submissions
 from postingscope.operators.windows import first_k
-from postingscope.sources.pages import extract_postings, extract_snippets
 
 EPOCH_S = 1704067200  # 2024-01-01 00:00:00 UTC
 
@@ -23,7 +22,6 @@ def _turns(spark, sf):
 
 
 PAGE_SIZE = 50      # results per captured search page
-THREAD_PAGE = 25    # comments per captured thread page
 
 
 def forum_pages(spark, sf):
@@ -63,16 +61,15 @@ def src8_forum_posts(spark, sf):
     return r.select("id", "company", "text", F.date_format("posted_at", "yyyy-MM-dd HH:mm:ss").alias("posted_at"))
 
 
-def forum_threads(spark, sf):
-    """One thread JSON per conversation: the opening post, then the
-    assistant turns as comments."""
+def forum_threads(spark, sf, k):
+    """One thread JSON per conversation: the opening post, then the first k
+    assistant turns as comments (the k of the operator that reads them)."""
     t = _turns(spark, sf)
     first = t.filter((F.col("role") == "user")).groupBy("conv_id").agg(
-        F.min_by(F.substring("text", 1, 30), F.col("turn")).alias("title"))
-    # a captured thread page holds its first THREAD_PAGE comments (exact
-    # salted top-k per conversation, so a huge thread is never one group)
+        F.min_by("text", "turn").alias("title"))
+    # exact top-k per conversation, so a huge thread is never one group
     com = first_k(t.filter(F.col("role") == "assistant").withColumn("id", F.col("conv_id") * 100 + F.col("turn")),
-                  "conv_id", ["turn"], THREAD_PAGE)
+                  "conv_id", ["turn"], k)
     item = F.struct(F.col("turn"), F.struct(F.col("text").alias("body"), F.col("created_utc")).alias("data"))
     g = com.groupBy("conv_id", "company").agg(F.array_sort(F.collect_list(item)).alias("_c"))
     g = g.join(first, "conv_id")
@@ -90,23 +87,23 @@ WITH c AS (
          {EPOCH_S} + conv_id * 3600 + turn * 60 AS created_utc,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos
   FROM conversations WHERE role = 'assistant'
-), f AS (SELECT conv_id, arg_min(substr(text, 1, 30), turn) AS title FROM conversations WHERE role = 'user' GROUP BY conv_id),
+), f AS (SELECT conv_id, arg_min(text, turn) AS title FROM conversations WHERE role = 'user' GROUP BY conv_id),
 k AS (SELECT c.conv_id * 100 + c.pos AS id, c.company, c.text AS body, c.conv_id, c.pos,
              'Comment on ''' || f.title || ''': ' || c.text AS text, c.created_utc
       FROM c JOIN f USING (conv_id) WHERE c.pos < 3 AND length(c.text) > 25)
 SELECT id, company, text, strftime(make_timestamp(CAST(created_utc * 1000000 AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS posted_at
 FROM k WHERE id = (SELECT arg_min(j.id, (j.conv_id, j.pos)) FROM k j WHERE j.company = k.company AND j.body = k.body)""")
 def src9_forum_comments(spark, sf):
-    r = extract_forum_comments(forum_threads(spark, sf), as_of())
+    r = extract_forum_comments(forum_threads(spark, sf, 3), as_of())
     return r.select("id", "company", "text", F.date_format("posted_at", "yyyy-MM-dd HH:mm:ss").alias("posted_at"))
 
 
-def submissions(spark, sf):
+def submissions(spark, sf, k):
     t = _turns(spark, sf)
     first = t.filter(F.col("role") == "user").groupBy("conv_id", "company").agg(
         F.min_by(F.struct("text", "created_utc"), F.col("turn")).alias("_f"))
     com = first_k(t.filter(F.col("role") == "assistant").withColumn("id", F.col("conv_id") * 100 + F.col("turn")),
-                  "conv_id", ["turn"], THREAD_PAGE)
+                  "conv_id", ["turn"], k)
     com = com.groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.struct("turn", "text", "created_utc"))).alias("_c"))
     j = first.join(com, "conv_id", "left")
@@ -139,20 +136,5 @@ SELECT c.conv_id * 100 + c.pos + 1, 'src' || CAST(c.conv_id % 20 AS VARCHAR),
        strftime(make_timestamp(CAST(c.created_utc * 1000000 AS BIGINT)), '%Y-%m-%d %H:%M:%S')
 FROM c JOIN u USING (conv_id) WHERE c.pos < 5 AND length(c.text) > 15""")
 def src10_flatten_submissions(spark, sf):
-    r = flatten_submissions(submissions(spark, sf), as_of())
+    r = flatten_submissions(submissions(spark, sf, 5), as_of())
     return r.select("id", "company", "text", F.date_format("posted_at", "yyyy-MM-dd HH:mm:ss").alias("posted_at"))
-
-
-@register("src5_extract_career", None)
-def src5_extract_career(spark, sf):
-    """SRC5 over every captured page (keywords tuned to the pages' markup)."""
-    pages = D.table(spark, sf, "pages")
-    out = extract_postings(pages, "career", as_of(), keywords=["ad", "the"])
-    return out.drop("posted_raw")
-
-
-@register("src11_extract_snippets", None)
-def src11_extract_snippets(spark, sf):
-    """SRC11 with the page's advert blocks standing in for result snippets."""
-    pages = D.table(spark, sf, "pages").withColumn("company", F.lit("x"))
-    return extract_snippets(pages, limit=15, min_len=30, require_company=False, selector="div.ad")

@@ -124,10 +124,10 @@ AS_OF = f"TIMESTAMP '{D.AS_OF}'"
 POSTINGS = f"""
 postings AS (
   SELECT doc_id AS id, source AS company,
-         {strip("substr(split_part(text, chr(10), 1), 1, 60)")} AS title,
+         {strip("split_part(text, chr(10), 1)")} AS title,
          text AS description,
          'https://jobs.example.com/' || source || '/' ||
-           substr(sha256(lower({strip("substr(split_part(text, chr(10), 1), 1, 60)")})), 1, 16) AS url,
+           sha256(text) AS url,
          CASE WHEN lang = 'en' THEN 'career' WHEN lang = 'fr' THEN 'cards_a' ELSE 'cards_b' END AS source,
          TIMESTAMP '{D.EPOCH}' + doc_id * INTERVAL 1 MINUTE - (n_chars % 30) * INTERVAL 1 DAY AS posted_date,
          TIMESTAMP '{D.EPOCH}' + doc_id * INTERVAL 1 MINUTE AS scraped_at,

@@ -50,12 +50,18 @@ def get_spark(master: str | None = None, app: str = "postingscope",
     return spark
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in the file system that its scheme names."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster sets it to shared storage; we only fall back to a fresh
-    scratch folder when it is unset (local tests), and never use
-    localCheckpoint.
+    scratch folder when it is unset and the master is local (tests), raise
+    on a cluster, and never use localCheckpoint.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -63,6 +69,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="postingscope-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path

@@ -8,12 +8,12 @@ driver -- it is a configuration file, not data.
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postingscope.functions.text import strip_ws
+from postingscope.session import path_exists
 
 COMPANY_SCHEMA = "name string, industry string, career_url string, query string, location string"
 
@@ -22,9 +22,8 @@ def read_companies(spark: SparkSession, path: str, limit: int | None = None) ->
     """SRC1: `{companies: [...]}` or a bare list (YAML or JSON); a missing
     file or another shape gives an empty table; optional first-N."""
     rows = []
-    if path and os.path.exists(path):
-        with open(path, encoding="utf-8") as f:
-            raw = f.read()
+    if path and path_exists(spark, path):
+        raw = spark.read.text(path, wholetext=True).first()[0]
         try:
             import yaml  # optional
             data = yaml.safe_load(raw)
@@ -43,7 +42,7 @@ def read_companies(spark: SparkSession, path: str, limit: int | None = None) ->
 
 def read_phrases(spark: SparkSession, path: str) -> DataFrame:
     """SRC3: one phrase per line; stripped, lower-cased, blanks dropped."""
-    if not path or not os.path.exists(path):
+    if not path or not path_exists(spark, path):
         return spark.createDataFrame([], "phrase string")
     t = spark.read.text(path)
     p = F.lower(strip_ws(F.col("value")))
@@ -52,22 +51,9 @@ def read_phrases(spark: SparkSession, path: str) -> DataFrame:
 
 def read_weighted_phrases(spark: SparkSession, path: str) -> DataFrame:
     """SRC4: CSV with header `phrase,weight`; unparsable weight -> 0.5."""
-    if not path or not os.path.exists(path):
+    if not path or not path_exists(spark, path):
         return spark.createDataFrame([], "phrase string, weight double")
     t = spark.read.option("header", True).csv(path)
     w = F.coalesce(F.col("weight").try_cast("double"), F.lit(0.5)) if "weight" in t.columns else F.lit(0.5)
     return (t.select(F.lower(strip_ws(F.coalesce(F.col("phrase"), F.lit("")))).alias("phrase"), w.alias("weight"))
              .filter(F.col("phrase") != ""))
-
-
-def phrases_list(df: DataFrame) -> list:
-    """Bring a lexicon table to the driver to inline it as a literal array.
-
-    Lexicons are configuration (tens to hundreds of phrases); bounded by a
-    hard limit so a data-sized table is never pulled."""
-    rows = df.limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("lexicon too large to inline; use operators.lexicon.match_phrases")
-    if "weight" in df.columns:
-        return [(r["phrase"], float(r["weight"])) for r in rows]
-    return [r["phrase"] for r in rows]

@@ -34,24 +34,16 @@ DATA_FRUSTRATION = [("and the", 0.85), ("of the", 0.90), ("is the", 0.60), ("ing
 DATA_THRESHOLD = 0.30
 
 
-_TABLES: dict = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A benchmark table; the (immutable) DataFrame is reused per session so
-    the file listing and schema are read once."""
-    key = (id(spark), spark.sparkContext.applicationId, f"{sf_dir}/{name}.parquet")
-    df = _TABLES.get(key)
-    if df is None:
-        df = _TABLES[key] = spark.read.parquet(key[2])
-    return df
+    """A benchmark table, listed anew on every call."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored postings, one per document."""
     d = table(spark, sf_dir, "documents")
     first_line = F.substring_index(F.col("text"), "\n", 1)
-    title = F.regexp_replace(F.substring(first_line, 1, 60), f"^{WS}+|{WS}+$", "")
+    title = F.regexp_replace(first_line, f"^{WS}+|{WS}+$", "")
     scraped = F.timestamp_micros(F.unix_micros(F.lit(EPOCH).cast("timestamp"))
                                  + F.col("doc_id") * F.lit(60_000_000))
     posted = F.timestamp_micros(F.unix_micros(scraped)
@@ -59,7 +51,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     layout = (F.when(F.col("lang") == "en", "career")
                .when(F.col("lang") == "fr", "cards_a").otherwise("cards_b"))
     url = F.concat(F.lit("https://jobs.example.com/"), F.col("source"), F.lit("/"),
-                   F.substring(F.sha2(F.lower(title), 256), 1, 16))
+                   F.sha2("text", 256))
     return d.select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("company"),

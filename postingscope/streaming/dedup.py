@@ -11,7 +11,8 @@ resumes exactly-once from its checkpoint.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from postingscope.session import path_exists
 
 
 def dedup_stream(stream: DataFrame, keys: list[str], ts: str, delay: str) -> DataFrame:
@@ -23,11 +24,9 @@ def append_new(stored_path: str, keys: list[str]):
     def handle(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
         b = batch.dropDuplicates(keys)
-        try:
+        if path_exists(spark, stored_path):     # any error in reading it fails the batch
             stored = spark.read.parquet(stored_path).select(*keys)
             b = b.join(stored, keys, "left_anti")
-        except Exception:  # noqa: BLE001 - first batch: no stored table yet
-            pass
         b.write.mode("append").parquet(stored_path)
     return handle
 

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from postingscope.functions.features import ts
 from postingscope.operators import reports as RP
-from postingscope.sources.pages import extract_postings, extract_snippets
 from tests.conftest import one
 
 PS = "id long, company string, title string, url string, location string, posted_date timestamp, " \
@@ -64,60 +63,3 @@ def test_page_metrics(spark):
     m = {r.company: r for r in RP.page_metrics(rep).collect()}
     assert set(m) == {"H2O Labs", "Acme"} and m["H2O Labs"].avg_time_on_page == 12.5
     assert m["H2O Labs"].bounce_rate == 0.333 and m["Acme"].avg_time_on_page == 0.0
-
-
-CAREER = """<html><body><h1>Careers</h1>
-<div class="job-card"><h3><a href="/jobs/101">Platform Engineer</a></h3><span class="location">Berlin</span>
-<span class="salary">$120,000</span><p>Own the deployment platform and its tooling.</p></div>
-<div class="job-card"><h3><a href="/jobs/102">Data Analyst</a></h3><span class="location">Remote</span>
-<p>Analyse funnel metrics for the growth team.</p></div>
-<div class="job-card"><h3><a href="https://other.example/jobs/103">Support Lead</a></h3><span class="location">Paris</span>
-<p>Lead a team of five support agents.</p></div></body></html>"""
-
-CARDS_A = """<div class="result" data-jk="abc"><h2 class="jobTitle"><span>Backend Dev</span></h2>
-<span class="companyName">Acme</span><div class="companyLocation">NYC</div>
-<div class="job-snippet"><ul><li>Go services</li></ul></div></div>
-<div class="result" data-jk="def"><h2 class="jobTitle"><span>QA</span></h2><span class="companyName">Beta</span></div>"""
-
-CARDS_B = """<ul><li><div class="base-card"><h3 class="base-search-card__title">SRE</h3>
-<h4 class="base-search-card__subtitle"><a>Gamma</a></h4><a class="base-card__full-link" href="https://x.example/j/1?trk=a"></a>
-<span class="job-search-card__location">Oslo</span><time datetime="2024-01-05">2 days ago</time></div></li>
-<li><div class="base-card"><h3 class="base-search-card__title">SRE dup</h3>
-<a class="base-card__full-link" href="https://x.example/j/1?trk=b"></a></div></li></ul>"""
-
-
-def test_extract_layouts(spark):
-    pages = spark.createDataFrame([(1, "https://careers.acme.example/open", CAREER, None, "career", None),
-                                   (2, "https://search.example/q?x=1", CARDS_A, None, "cards_a", "Remote"),
-                                   (3, "https://search.example/b", CARDS_B, None, "cards_b", "EU")],
-                                  "page_id long, url string, html string, company string, layout string, "
-                                  "query_location string")
-    out = extract_postings(pages, as_of=ts("2024-02-01 00:00:00")).orderBy("page_id", "url").collect()
-    career = [r for r in out if r.page_id == 1]
-    assert len(career) == 3
-    assert {r.url for r in career} == {"https://careers.acme.example/jobs/101", "https://careers.acme.example/jobs/102",
-                                       "https://other.example/jobs/103"}
-    sal = {r.title: r.salary_listed for r in career}
-    assert sal["Platform Engineer"] == "$120,000" and sal["Support Lead"] is None
-    assert {r.location for r in career} == {"Berlin", "Remote", "Paris"} and career[0].company == "Careers"
-    a = [r for r in out if r.page_id == 2]
-    assert len(a) == 2 and {r.company for r in a} == {"Acme", "Beta"} and all("jk=" in r.url for r in a)
-    b = [r for r in out if r.page_id == 3]
-    assert len(b) == 1 and b[0].url == "https://x.example/j/1" and b[0].posted_date == datetime(2024, 1, 5)
-
-
-def test_snippets(spark):
-    html = ('<div class="result__snippet">Acme ghosted me after three interview rounds, no reply</div>'
-            '<div class="result__snippet">short</div><div class="result__body">Unrelated company text here, long enough</div>')
-    pages = spark.createDataFrame([(1, html, "Acme")], "page_id long, html string, company string")
-    assert [r.text for r in extract_snippets(pages).collect()] == [
-        "Acme ghosted me after three interview rounds, no reply"]
-    assert extract_snippets(pages, enabled=False).count() == 0
-
-
-def test_malformed_pages_do_not_fail(spark):
-    pages = spark.createDataFrame([(1, "https://x.example/c", "<div class='job'><h3>Broken <b>title</h3><a href=", "career"),
-                                   (2, "https://x.example/d", None, "career")],
-                                  "page_id long, url string, html string, layout string")
-    out = extract_postings(pages).collect()
-    assert all(r.page_id in (1, 2) for r in out)

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 from postingscope.operators.dedupe import new_by_url
 from postingscope.operators.reposts import mark_reposts
-from postingscope.operators.sequence import keyed_cumsum, sessions
+from postingscope.operators.sequence import keyed_cumsum
 
 T0 = datetime(2024, 1, 1)
 SCHEMA = "id long, company string, url string, description string, scraped_at timestamp, embedding array<float>"
@@ -92,7 +92,7 @@ def test_new_by_url(spark):
     assert sorted(r.id for r in skipped.collect()) == [2, 4]
 
 
-def test_keyed_cumsum_and_sessions(spark):
+def test_keyed_cumsum(spark):
     rnd = random.Random(3)
     data = [(i, "hot" if rnd.random() < 0.7 else rnd.choice("abc"), rnd.randint(1, 5)) for i in range(500)]
     df = spark.createDataFrame(data, "id long, k string, v long")
@@ -103,28 +103,20 @@ def test_keyed_cumsum_and_sessions(spark):
         run[k] = run.get(k, 0) + v
         exp[i] = run[k]
     assert got == exp
-    ev = spark.createDataFrame([(1, "p", 1, T0), (2, "p", 1, T0 + timedelta(minutes=10)),
-                                (3, "p", 1, T0 + timedelta(minutes=40)), (4, "p", 1, T0 + timedelta(minutes=80)),
-                                (5, "p", 2, T0)], "event_id long, page string, user long, ts timestamp")
-    s = {r.event_id: r._session for r in sessions(ev, ["page", "user"], "ts", 1800).collect()}
-    assert s == {1: 1, 2: 1, 3: 2, 4: 3, 5: 1}  # a gap of exactly 30 min opens a session
 
 
 def test_partition_count_invariance(spark):
-    """Repost marks and session ids do not depend on the partition count."""
+    """Repost marks do not depend on the partition count."""
     rnd = random.Random(11)
     items = [(i, rnd.choice(["HOT", "HOT", "HOT", "a", "b"]), None, "d" * 30,
               [float(rnd.choice([0.0, 1.0])) for _ in range(3)]) for i in range(1, 300)]
     df = spark.createDataFrame(rows(items), SCHEMA)
-    ev = spark.createDataFrame([(i, "p", i % 5, T0 + timedelta(minutes=7 * i + (i % 3) * 11)) for i in range(200)],
-                               "event_id long, page string, user long, ts timestamp")
     old = spark.conf.get("spark.sql.shuffle.partitions")
     results = []
     try:
         for n in ("2", "7"):
             spark.conf.set("spark.sql.shuffle.partitions", n)
-            results.append((status(mark_reposts(df, None, threshold=0.9)),
-                            {r.event_id: r._session for r in sessions(ev, ["page", "user"], "ts", 1800).collect()}))
+            results.append(status(mark_reposts(df, None, threshold=0.9)))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert results[0] == results[1]

@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from postingscope.functions.features import ts
 from postingscope.operators import maintenance as M
-from postingscope.operators.lexicon import match_phrases
+from postingscope.operators.lexicon import match_phrase_list, match_phrases
 from postingscope.operators.scoring import vagueness
-from postingscope.sources.config import phrases_list, read_companies, read_phrases, read_weighted_phrases
+from postingscope.sources.config import read_companies, read_phrases, read_weighted_phrases
 from postingscope.streaming.scoring import start_scoring
 
 
@@ -29,19 +29,21 @@ def test_read_lexicons(spark, tmpdir_path):
     p = os.path.join(tmpdir_path, "u.txt")
     with open(p, "w") as f:
         f.write("  Always Hiring \n\n talent pool\n   \n")
-    assert phrases_list(read_phrases(spark, p)) == ["always hiring", "talent pool"]
+    for path in (p, "file://" + p):
+        assert [r.phrase for r in read_phrases(spark, path).collect()] == ["always hiring", "talent pool"]
     c = os.path.join(tmpdir_path, "w.csv")
     with open(c, "w") as f:
         f.write("phrase,weight\nGhosted After ,0.95\nradio silence,abc\n ,0.3\n")
-    assert phrases_list(read_weighted_phrases(spark, c)) == [("ghosted after", 0.95), ("radio silence", 0.5)]
+    for path in (c, "file://" + c):
+        assert [tuple(r) for r in read_weighted_phrases(spark, path).collect()] == [("ghosted after", 0.95), ("radio silence", 0.5)]
 
 
 def test_match_phrases_paths_agree(spark):
     docs = spark.createDataFrame([(1, "We are ALWAYS hiring for the talent pool"), (2, "nothing here"),
                                   (3, "poolside ab")], "id long, text string")
     lex = spark.createDataFrame([("always hiring",), ("talent pool",), ("pool",), ("ab",)], "phrase string")
-    small = {(r.id, r.phrase) for r in match_phrases(docs, lex).collect()}
-    large = {(r.id, r.phrase) for r in match_phrases(docs, lex, max_rows=0).collect()}
+    small = {(r.id, r.phrase) for r in match_phrase_list(docs, [r.phrase for r in lex.collect()]).collect()}
+    large = {(r.id, r.phrase) for r in match_phrases(docs, lex).collect()}
     assert small == large == {(1, "always hiring"), (1, "talent pool"), (1, "pool"), (3, "pool"), (3, "ab")}
 
 
