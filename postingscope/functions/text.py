@@ -49,6 +49,20 @@ def word_count(c) -> Column:
 
 
 # --------------------------------------------------------------------- TXT1
+def _drop_spans(c: Column, start: str, end: str) -> Column:
+    """Every span from `start` to the next `end` becomes a space.
+
+    Only the text up to the last `end` is searched: openings after it are
+    never closed, and each would scan to the end of the text in vain.  The
+    one-element array names the text once, however often it is used.
+    """
+    def closed_part(x):
+        head = F.regexp_extract(x, f"(?is)^.*{end}", 0)
+        return F.concat(F.regexp_replace(head, f"(?is){start}.*?{end}", " "),
+                        x.substr(F.length(head) + 1, F.length(x)))
+    return F.element_at(F.transform(F.array(c), closed_part), 1)
+
+
 def strip_markup(c, elements=None) -> Column:
     """Drop whole non-content elements, comments, then remaining tags.
 
@@ -58,9 +72,9 @@ def strip_markup(c, elements=None) -> Column:
     c = col(c)
     out = c
     for tag in (elements or L.DROPPED_ELEMENTS):
-        out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
-    out = F.regexp_replace(out, r"(?s)<!--.*?-->", " ")
-    out = F.regexp_replace(out, r"<[^>]*>", " ")
+        out = _drop_spans(out, rf"<{tag}\b[^>]*>", rf"</{tag}\s*>")
+    out = _drop_spans(out, "<!--", "-->")
+    out = _drop_spans(out, "<", ">")
     return F.when(c.contains("<") & c.contains(">"), out).otherwise(c)
 
 

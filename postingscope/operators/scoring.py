@@ -49,7 +49,7 @@ def vagueness(df: DataFrame, nouns: DataFrame | None = None, text: str = "_text"
 
 
 def posting_features(postings: DataFrame, generic=None, urgent=None,
-                     nouns: DataFrame | None = None) -> DataFrame:
+                     nouns: DataFrame | None = None, vague=None) -> DataFrame:
     """FEAT1-5 on best text: genericness, vagueness, repost, urgency and the
     rule probability used when no trained model is supplied.
 
@@ -63,7 +63,7 @@ def posting_features(postings: DataFrame, generic=None, urgent=None,
     g_lex = L.GENERIC_BUZZWORDS if generic is None else generic
     u_lex = L.URGENCY_PHRASES if urgent is None else urgent
     df = postings.withColumn("_text", best_text("cleaned_text", "description"))
-    df = vagueness(df, nouns)
+    df = vagueness(df, nouns, vague=vague)
     df = df.withColumn("_lt", F.lower(F.col("_text")))
     df = (df.withColumn("_words", F.coalesce(F.regexp_count(F.col("_lt"), F.lit(WORD)), F.lit(0)))
             .withColumn("_gh", phrase_hits("_lt", g_lex, lowered=True))
@@ -95,9 +95,9 @@ SCORE_COLUMNS = ["genericness_score", "vagueness_score", "repost_score", "urgenc
 
 def score_postings(postings: DataFrame, sentiment: DataFrame, as_of, weights=None,
                    generic=None, urgent=None, nouns: DataFrame | None = None,
-                   model=None) -> DataFrame:
+                   model=None, vague=None) -> DataFrame:
     """JOB5 core: one score row per posting (keyed by job_posting_id)."""
-    feats = posting_features(postings, generic, urgent, nouns)
+    feats = posting_features(postings, generic, urgent, nouns, vague)
     if model is not None:
         from postingscope.operators.ml import predict
         feats = predict(feats, model, text="_text", out="bert_score")
@@ -110,10 +110,10 @@ def score_postings(postings: DataFrame, sentiment: DataFrame, as_of, weights=Non
 
 
 def training_set(postings: DataFrame, generic=None, urgent=None,
-                 nouns: DataFrame | None = None) -> DataFrame:
-    """ML1: features plus bootstrap label; the verified label starts equal."""
-    f = posting_features(postings, generic, urgent, nouns)
-    lab = bootstrap_label("genericness_score", "vagueness_score", "urgency_score")
+                 nouns: DataFrame | None = None, vague=None, **label) -> DataFrame:
+    """ML1: features plus bootstrap label (`cut` in `label`); the verified label starts equal."""
+    f = posting_features(postings, generic, urgent, nouns, vague)
+    lab = bootstrap_label("genericness_score", "vagueness_score", "urgency_score", **label)
     return f.select("id", "company", "title", F.col("_text").alias("description"),
                     "genericness_score", "vagueness_score", "repost_score", "urgency_score",
                     lab.alias("bootstrap_ghost_label"), lab.alias("manually_verified_label"))

@@ -27,15 +27,16 @@ def valid_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
 # ---------------------------------------------------------------- AGG10
 def score_summary(df: DataFrame, col: str = "final_score", high: float = 60.0) -> DataFrame:
     """mean, population std, min, P25, median, P75, max (linear
-    interpolation, as numpy) and the high-risk count."""
+    interpolation, as numpy) and the high-risk count; one pass over `df`,
+    everything from its value-frequency table."""
     freq = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("_v")).agg(
         F.count(F.lit(1)).alias("_c"))
-    pct = freq.agg(F.percentile("_v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("_c"))
-                   .alias("_p"))
-    mom = df.agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_pop(col).alias("std"),
-                 F.min(col).alias("min"), F.max(col).alias("max"),
-                 F.count_if(F.col(col) >= high).alias("high_risk"))
-    out = mom.crossJoin(pct)  # both sides are one row
+    v, c = F.col("_v"), F.col("_c")
+    out = freq.agg(F.percentile("_v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), c).alias("_p"),
+                   F.coalesce(F.sum(c), F.lit(0)).alias("n"), (F.sum(v * c) / F.sum(c)).alias("mean"),
+                   (F.sum(v * v * c) / F.sum(c)).alias("_square"), F.min(v).alias("min"), F.max(v).alias("max"),
+                   F.coalesce(F.sum(F.when(v >= high, c)), F.lit(0)).alias("high_risk"))
+    out = out.withColumn("std", F.sqrt(F.greatest(F.lit(0.0), F.col("_square") - F.col("mean") * F.col("mean"))))
     return out.select("n", "mean", "std", "min", F.col("_p")[0].alias("p25"),
                       F.col("_p")[1].alias("median"), F.col("_p")[2].alias("p75"), "max", "high_risk")
 

@@ -12,6 +12,7 @@ from postingscope.operators.sets import fallback_union, union_sources, with_defa
 from postingscope.operators.windows import first_k
 from postingscope.plans import sqlgen as S
 from postingscope.plans.catalog import as_of, register, with_
+from postingscope.plans.q_scoring import SCORE_COLS, job5
 from postingscope.sources import driver as D
 
 # Postings scraped before CUT are the stored table; the rest arrive as a batch.
@@ -123,6 +124,21 @@ def job1_ingest_postings(spark, sf):
     return DD.ingest_stats(tagged)
 
 
+def _repost_marks(spark, sf):
+    marked, _ = ingest(spark, sf)
+    return marked.select("id", "repost_of_id")
+
+
+@register("job5_score_postings", with_(*INGEST_CTES, S.REVIEWS, S.review_scores_sql(D.DATA_FRUSTRATION),
+                                       S.sentiment_sql(D.DATA_FRUSTRATION), S.vague_sql(D.DATA_VAGUE),
+                                       "scored_postings AS (SELECT p.* EXCLUDE (repost_of_id), m.repost_of_id FROM postings p "
+                                       "LEFT JOIN marked m ON p.id = m.id)",
+                                       S.features_sql("scored_postings", D.DATA_GENERIC, D.DATA_URGENT, vague=True),
+                                       S.scores_sql()) + f"SELECT {SCORE_COLS} FROM scores")
+def job5_score_postings(spark, sf):
+    return job5(spark, sf, _repost_marks(spark, sf))
+
+
 REVIEW_CTES = [S.REVIEWS, f"""
 rinc AS (SELECT * FROM reviews WHERE posted_at >= TIMESTAMP '{REVIEW_CUT}'),
 rst AS (SELECT * FROM reviews WHERE posted_at < TIMESTAMP '{REVIEW_CUT}'),
@@ -195,7 +211,7 @@ def set1_union_all_sources(spark, sf):
 
 FALLBACK_SQL = with_(S.POSTINGS, """
 conv AS (
-  SELECT conv_id * 100 + turn AS id, 'src' || CAST(conv_id % 20 AS VARCHAR) AS company, role, turn, text,
+  SELECT conv_id * """ + str(D.TURNS) + """ + turn AS id, 'src' || CAST(conv_id % 20 AS VARCHAR) AS company, role, turn, text,
          TIMESTAMP '2024-01-30 00:00:00' - (conv_id % 120) * INTERVAL 1 DAY + turn * INTERVAL 1 MINUTE AS posted_at
   FROM conversations
 ),
@@ -219,7 +235,7 @@ def set3_fallback_union(spark, sf):
     posted = F.timestamp_micros(F.unix_micros(F.lit("2024-01-30 00:00:00").cast("timestamp"))
                                 - (F.col("conv_id") % 120) * F.lit(86_400_000_000)
                                 + F.col("turn") * F.lit(60_000_000))
-    conv = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"),
+    conv = c.select((F.col("conv_id") * D.TURNS + F.col("turn")).alias("id"),
                     F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")).alias("company"),
                     "role", "turn", "text", posted.alias("posted_at"))
     prim = conv.filter((F.col("role") == "user") & (F.col("turn") == 0)).withColumn("origin", F.lit("primary"))
@@ -235,7 +251,7 @@ SELECT conv_id, turn, rn FROM (
 def win2_first_k(spark, sf):
     """WIN2: first 3 user turns per conversation (salted two-round top-k)."""
     c = D.table(spark, sf, "conversations").filter(F.col("role") == "user")
-    c = c.withColumn("id", F.col("conv_id") * 100 + F.col("turn"))
+    c = c.withColumn("id", F.col("conv_id") * D.TURNS + F.col("turn"))
     return first_k(c, "conv_id", ["turn"], 3, rank_col="rn").select("conv_id", "turn", F.col("rn").cast("long"))
 
 
@@ -258,3 +274,16 @@ def meta4_with_defaults(spark, sf):
           .withColumn("posted_date", F.lit(None).cast("timestamp")))
     d = with_defaults(p, "posting", as_of())
     return d.select("id", "company", "title", F.date_format("posted_date", "yyyy-MM-dd HH:mm:ss").alias("posted_date"))
+
+
+@register("ups1_merge_rows", with_(S.POSTINGS) + """
+SELECT id, CASE WHEN location = 'en' THEN upper(title) ELSE title END AS title,
+       CASE WHEN location = 'en' THEN NULL ELSE company END AS company,
+       CASE WHEN location = 'en' THEN url END AS note
+FROM postings""")
+def ups1_merge_rows(spark, sf):
+    """UPS1: rows that replace others by key; each side lacks a column of the other."""
+    from postingscope.operators.maintenance import merge_rows
+    p = D.postings(spark, sf)
+    rows = p.filter("location = 'en'").select("id", F.upper("title").alias("title"), F.col("url").alias("note"))
+    return merge_rows(p.select("id", "title", "company"), rows, "id")

@@ -10,9 +10,13 @@ from postingscope.functions.features import pyround, risk_band, signals
 from postingscope.functions.text import slugify
 from postingscope.operators import reports as RP
 from postingscope.operators import scoring as SC
+from postingscope.operators import stats as ST
+from postingscope.operators.sequence import global_position
 from postingscope.operators.sentiment import sentiment_all, sentiment_by_company
 from postingscope.plans import sqlgen as S
 from postingscope.plans.catalog import as_of, register, with_
+from postingscope.plans.q_scoring import noun_table
+from postingscope.plans.q_stats import LAB, METRICS_SELECT, PRED_CUT
 from postingscope.sources import driver as D
 
 
@@ -27,7 +31,8 @@ def _scores(spark, sf, embedded_only=False):
     if embedded_only:
         sp = sp.join(D.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id")), "id", "left_semi")
     sent = sentiment_by_company(D.reviews(spark, sf), as_of(), D.DATA_FRUSTRATION)
-    return SC.score_postings(sp, sent, as_of(), generic=D.DATA_GENERIC, urgent=D.DATA_URGENT)
+    return SC.score_postings(sp, sent, as_of(), generic=D.DATA_GENERIC, urgent=D.DATA_URGENT,
+                             nouns=noun_table(spark, sf), vague=D.DATA_VAGUE)
 
 
 def _dash(spark, sf):
@@ -38,7 +43,8 @@ def _dash(spark, sf):
 
 DASH = with_(S.POSTINGS, S.REVIEWS, S.review_scores_sql(D.DATA_FRUSTRATION), S.sentiment_sql(D.DATA_FRUSTRATION),
              "scored_postings AS (SELECT * FROM postings)",
-             S.features_sql("scored_postings", D.DATA_GENERIC, D.DATA_URGENT), S.scores_sql(), S.COMPANIES, """
+             S.vague_sql(D.DATA_VAGUE),
+             S.features_sql("scored_postings", D.DATA_GENERIC, D.DATA_URGENT, vague=True), S.scores_sql(), S.COMPANIES, """
 dash AS (
   SELECT p.id AS posting_id, p.company, p.title, p.url, coalesce(p.location, 'Not Specified') AS location,
          coalesce(s.genericness_score, 0.0) AS genericness_score, coalesce(s.vagueness_score, 0.0) AS vagueness_score,
@@ -175,13 +181,14 @@ def _theme_sql():
            f"CASE WHEN g2 THEN {texts[2]} END], lambda x: x IS NOT NULL)")
     padded = f"list_slice(list_concat({arr}, [{fill}, {fill}, {fill}]), 1, 3)"
     defaults = "[" + ", ".join(S.q(t) for t in L.THEME_DEFAULTS) + "]"
-    return DASH + f""",
-hit AS (SELECT company, {', '.join(found)} FROM reviews GROUP BY company)
-SELECT c.company, array_to_string(CASE WHEN h.g0 IS NULL THEN {defaults} ELSE {padded} END, ' | ') AS themes
-FROM (SELECT DISTINCT company FROM postings) c LEFT JOIN hit h USING (company)"""
+    return f"""
+hit AS (SELECT company, {', '.join(found)} FROM reviews GROUP BY company),
+themes AS (
+  SELECT c.company, array_to_string(CASE WHEN h.g0 IS NULL THEN {defaults} ELSE {padded} END, ' | ') AS themes
+  FROM (SELECT DISTINCT company FROM postings) c LEFT JOIN hit h USING (company))"""
 
 
-@register("agg20_complaint_themes", _theme_sql())
+@register("agg20_complaint_themes", DASH + "," + _theme_sql() + "SELECT company, themes FROM themes")
 def agg20_complaint_themes(spark, sf):
     t = RP.complaint_themes(D.reviews(spark, sf), D.postings(spark, sf), DATA_THEMES)
     return t.select("company", F.array_join("themes", " | ").alias("themes"))
@@ -257,9 +264,6 @@ def top3_recent_events(spark, sf):
     return top.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "event_type")
 
 
-SIGNAL_SQL = None
-
-
 def _signals_sql():
     from postingscope import lexicons as L
     T = L.SIGNAL_TEXT
@@ -287,27 +291,30 @@ def rpt3_risk_band(spark, sf):
     return _dash(spark, sf).select("posting_id", risk_band("final_ghost_score", (5.0, 10.0)).alias("band"))
 
 
-@register("job7_company_reports", DASH + f""",
-themes AS (
-  SELECT company, CASE WHEN h IS NULL THEN 'x' END AS d FROM (SELECT company, NULL AS h FROM reviews) WHERE false
-)
-SELECT b.company, {S.slugify('b.company')} AS slug, {S.rnd('b.final_score', 1)} AS ghost_score,
-       CASE WHEN {S.rnd('b.final_score', 1)} < 30 THEN 'low' WHEN {S.rnd('b.final_score', 1)} < 60 THEN 'medium'
-            ELSE 'high' END AS band,
-       {_signals_sql().replace('repost_score', 'b.repost_score').replace('genericness_score', 'b.genericness_score').replace('vagueness_score', 'b.vagueness_score').replace('urgency_score', 'b.urgency_score').replace('sentiment_score', 'b.sentiment_score')} AS signals,
-       b.posting_count, b.review_count
-FROM best b
-WHERE {S.rnd('b.final_score', 1)} >= 60.0 OR NOT (SELECT coalesce(bool_or({S.rnd('final_score', 1)} >= 60.0), false) FROM best)""")
+JSON_LD_SQL = """'{"@context":"https://schema.org","@graph":[{"@type":"Organization","name":"' || company || '","url":"'
+       || coalesce(career_url, 'https://example.com/careers/' || company) || '"},{"@type":"Report","headline":"'
+       || 'Hiring transparency report: ' || company || '","description":"Posting-viability risk for ' || company
+       || ': ' || CAST(ghost_score AS VARCHAR) || '/100."}]}'"""
+
+
+@register("job7_company_reports", DASH + "," + _theme_sql() + f""",
+shown AS (SELECT *, {S.rnd('final_score', 1)} AS ghost_score FROM best)
+SELECT row_number() OVER (ORDER BY ghost_score DESC, company) AS rank, company, {S.slugify('company')} AS slug, ghost_score,
+       CASE WHEN ghost_score < 30 THEN 'low' WHEN ghost_score < 60 THEN 'medium' ELSE 'high' END AS band,
+       {_signals_sql()} AS signals, themes, {JSON_LD_SQL} AS json_ld, posting_count, review_count
+FROM shown LEFT JOIN themes USING (company)
+WHERE ghost_score >= 60.0 OR NOT (SELECT coalesce(bool_or(ghost_score >= 60.0), false) FROM shown)""")
 def job7_company_reports(spark, sf):
-    """JOB7: JOIN1 -> AGG5 -> FLT5 -> TOP2 -> RPT1-3 (+ AGG20 themes)."""
+    """JOB7: JOIN1 -> AGG5 -> FLT5 -> TOP2 -> RPT1-3 and AGG20 themes, ranked by score."""
     p, r = D.postings(spark, sf), D.reviews(spark, sf)
-    # one row per company; materialised once, read by themes, flag and rows
-    b = RP.best_per_company(RP.scored(p, _scores(spark, sf)), p, r).checkpoint(eager=True)
-    themes = RP.complaint_themes(r, b.select("company"))
-    rows = RP.report_rows(b, themes, 60.0)
-    return rows.select("company", "slug", "ghost_score", "band",
+    # one row per company; materialised once (report_rows), read by flag and rows
+    b = RP.best_per_company(RP.scored(p, _scores(spark, sf)), p, r)
+    themes = RP.complaint_themes(r, D.companies(spark, sf).select(F.col("name").alias("company")), DATA_THEMES)
+    rows = RP.report_rows(b, themes, 60.0).withColumn("falling", -F.col("ghost_score"))
+    rows = global_position(rows, ["falling", "company"], "place")
+    return rows.select((F.col("place") + 1).alias("rank"), "company", "slug", "ghost_score", "band",
                        F.array_join(F.transform("signals", lambda x: x["title"]), " | ").alias("signals"),
-                       "posting_count", "review_count")
+                       F.array_join("themes", " | ").alias("themes"), "json_ld", "posting_count", "review_count")
 
 
 PAGE_REPORT = with_(S.PAGE_EVENTS, """
@@ -351,21 +358,70 @@ def agg19_traffic_kpis(spark, sf):
                     "active_users", "sessions")
 
 
-@register("join5_traffic_vs_score", DASH + "," + PAGE_REPORT[len("WITH "):] + f""",
+TRAFFIC = DASH + "," + PAGE_REPORT[len("WITH "):] + f""",
 m AS (SELECT {S.title_case("replace(replace(split_part(pagePath, '/company/', -1), '.html', ''), '-', ' ')")} AS company,
              screenPageViews AS pageviews FROM report WHERE contains(pagePath, '/company/')),
-cs AS (SELECT company, avg(final_ghost_score) AS avg_score FROM dash GROUP BY company)
-SELECT m.company, m.pageviews, {S.rnd('cs.avg_score', 9)} AS avg_score
-FROM m JOIN cs ON {S.slugify('m.company')} = {S.slugify('cs.company')}""")
+bc AS (SELECT company, avg(final_ghost_score) AS avg_score,
+              arg_min(sentiment_score, posting_id) FILTER (WHERE sentiment_score IS NOT NULL) AS sentiment
+       FROM dash GROUP BY company),
+tc AS (SELECT m.company, m.pageviews, bc.avg_score FROM m JOIN bc ON {S.slugify('m.company')} = {S.slugify('bc.company')})"""
+
+
+def _corr_sql(x, y, rel):
+    return f"""SELECT CASE WHEN count(*) < 2 OR min({x}) = max({x}) OR min({y}) = max({y}) THEN NULL
+            ELSE {S.rnd(f'covar_pop({x}, {y}) / (stddev_pop({x}) * stddev_pop({y}))', 9)} END AS r, count(*) AS n
+       FROM {rel} WHERE {x} IS NOT NULL AND {y} IS NOT NULL"""
+
+
+@register("join5_traffic_vs_score", TRAFFIC + f"SELECT company, pageviews, {S.rnd('avg_score', 9)} AS avg_score FROM tc")
 def join5_traffic_vs_score(spark, sf):
     """JOIN5: page traffic joined to the company mean score on the company
     slug (page names are title-cased slugs of the company name)."""
+    return _traffic(spark, sf, _dash(spark, sf)).select("company", "pageviews", r6("avg_score").alias("avg_score"))
+
+
+def _traffic(spark, sf, dash):
     m = RP.page_metrics(page_report(spark, sf)).withColumn("_slug", slugify(F.col("company")))
-    cs = RP.score_by_company(_dash(spark, sf)).select(slugify(F.col("company")).alias("_slug"), "avg_score")
+    cs = RP.score_by_company(dash).select(slugify(F.col("company")).alias("_slug"), "avg_score")
     j = RP.traffic_vs_score(m.drop("company").withColumnRenamed("_slug", "company"),
                             cs.withColumnRenamed("_slug", "company"))
     out = j.join(m.select(F.col("_slug").alias("company"), F.col("company").alias("name")), "company")
-    return out.select(F.col("name").alias("company"), "pageviews", r6("avg_score").alias("avg_score"))
+    return out.select(F.col("name").alias("company"), "pageviews", "avg_score")
+
+
+@register("agg15_traffic_correlation", TRAFFIC + _corr_sql("pageviews", "avg_score", "tc"))
+def agg15_traffic_correlation(spark, sf):
+    """AGG15: page views vs company mean score."""
+    c = RP.company_correlation(_traffic(spark, sf, _dash(spark, sf)), "pageviews", "avg_score")
+    return c.select(r6("r").alias("r"), "n")
+
+
+@register("job9_summary_stats", TRAFFIC + "," + LAB + f""",
+cs AS ({_corr_sql("avg_score", "sentiment", "bc")}),
+ct AS ({_corr_sql("pageviews", "avg_score", "tc")}),
+quality AS (SELECT {METRICS_SELECT} FROM met)
+SELECT (SELECT count(*) FROM postings) AS postings, (SELECT count(*) FROM reviews) AS reviews,
+       (SELECT count(DISTINCT company) FROM (SELECT company FROM postings UNION ALL SELECT company FROM reviews)) AS companies,
+       s.*, quality.*, cs.r AS sentiment_r, cs.n AS sentiment_n, ct.r AS traffic_r, ct.n AS traffic_n
+FROM (SELECT count(final_score) AS n, {S.rnd('avg(final_score)', 9)} AS mean, {S.rnd('stddev_pop(final_score)', 9)} AS std,
+             min(final_score) AS min, {S.rnd('quantile_cont(final_score, 0.25)', 9)} AS p25,
+             {S.rnd('quantile_cont(final_score, 0.5)', 9)} AS median, {S.rnd('quantile_cont(final_score, 0.75)', 9)} AS p75,
+             max(final_score) AS max, count(*) FILTER (WHERE final_score >= 10.0) AS high_risk FROM scores) s,
+     quality, cs, ct""")
+def job9_summary_stats(spark, sf):
+    """JOB9: coverage (AGG11), score summary (AGG10), classifier quality (AGG17) and both company
+    correlations (AGG15); the scores are computed once, all joins are between one-row tables."""
+    dash = _dash(spark, sf).select("posting_id", "company", "bert_score", "sentiment_score", "final_ghost_score").checkpoint(eager=True)
+    s = ST.score_summary(dash, "final_ghost_score", high=10.0)
+    lab = D.table(spark, sf, "labels").join(dash, F.expr("doc_id = posting_id")).select(
+        (F.lit(1) - F.col("quality")).alias("y_true"), (F.col("bert_score") > PRED_CUT).cast("int").alias("y_pred"))
+    cs = RP.company_correlation(RP.by_company(dash), "avg_score", "sentiment")
+    ct = RP.company_correlation(_traffic(spark, sf, dash), "pageviews", "avg_score")
+    summary = s.select("n", *[r6(c).alias(c) if c in ("mean", "std", "p25", "median", "p75") else F.col(c)
+                              for c in ("mean", "std", "min", "p25", "median", "p75", "max")], "high_risk")
+    return (RP.coverage(D.postings(spark, sf), D.reviews(spark, sf)).crossJoin(summary).crossJoin(ST.classifier_metrics(lab))
+            .crossJoin(cs.select(r6("r").alias("sentiment_r"), F.col("n").alias("sentiment_n")))
+            .crossJoin(ct.select(r6("r").alias("traffic_r"), F.col("n").alias("traffic_n"))))
 
 
 @register("top2_traffic_ranked", PAGE_REPORT + f"""
@@ -379,13 +435,9 @@ def top2_traffic_ranked(spark, sf):
     return m.select(F.row_number().over(w).cast("long").alias("rank"), "page", "pageviews")
 
 
-@register("rpt2_json_ld", DASH + """
-SELECT company,
-       '{"@context":"https://schema.org","@graph":[{"@type":"Organization","name":"' || company || '","url":"'
-       || coalesce(career_url, 'https://example.com/careers/' || company) || '"},{"@type":"Report","headline":"'
-       || 'Hiring transparency report: ' || company || '","description":"Posting-viability risk for ' || company
-       || ': ' || CAST(ghost_score AS VARCHAR) || '/100."}]}' AS json_ld
-FROM (SELECT company, career_url, """ + S.rnd("final_score", 1) + """ AS ghost_score FROM best)""")
+@register("rpt2_json_ld", DASH + f"""
+SELECT company, {JSON_LD_SQL} AS json_ld
+FROM (SELECT company, career_url, {S.rnd("final_score", 1)} AS ghost_score FROM best)""")
 def rpt2_json_ld(spark, sf):
     """RPT2: JSON-LD block per company report."""
     p, r = D.postings(spark, sf), D.reviews(spark, sf)

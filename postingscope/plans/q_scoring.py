@@ -12,24 +12,41 @@ from postingscope.plans.catalog import as_of, register, with_
 from postingscope.sources import driver as D
 
 
-def _scores(spark, sf, weights=None):
+def noun_table(spark, sf):
+    """A noun dictionary derived from the benchmark passages: every distinct
+    token of three or more characters, lemma without a plural -s, and a
+    rule-based proper-noun flag."""
+    from postingscope.functions.text import WORD
+    b = D.table(spark, sf, "benchmark")
+    t = b.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), 0)).alias("token")).distinct()
+    t = t.filter(F.length("token") >= 3)
+    lemma = F.when(F.length("token") > 3, F.regexp_replace("token", "s$", "")).otherwise(F.col("token"))
+    return t.select("token", lemma.alias("lemma"), (F.length("token") % 7 == 0).alias("is_proper"))
+
+
+def _scores(spark, sf, weights=None, reposts=None):
+    """Scores of all postings with the noun table and the stored repost marks, or with `reposts`
+    (id, repost_of_id) instead."""
     p = D.postings(spark, sf)
+    if reposts is not None:
+        p = p.drop("repost_of_id").join(reposts, "id", "left")
     sent = sentiment_by_company(D.reviews(spark, sf), as_of(), D.DATA_FRUSTRATION)
-    return SC.score_postings(p, sent, as_of(), weights=weights,
-                             generic=D.DATA_GENERIC, urgent=D.DATA_URGENT).drop("computed_at")
+    return SC.score_postings(p, sent, as_of(), weights=weights, generic=D.DATA_GENERIC, urgent=D.DATA_URGENT,
+                             nouns=noun_table(spark, sf), vague=D.DATA_VAGUE).drop("computed_at")
 
 
 SCORES_CTES = with_(S.POSTINGS, S.REVIEWS, S.review_scores_sql(D.DATA_FRUSTRATION),
-                    S.sentiment_sql(D.DATA_FRUSTRATION),
-                    S.features_sql("postings", D.DATA_GENERIC, D.DATA_URGENT), S.scores_sql())
+                    S.sentiment_sql(D.DATA_FRUSTRATION), S.vague_sql(D.DATA_VAGUE),
+                    S.features_sql("postings", D.DATA_GENERIC, D.DATA_URGENT, vague=True), S.scores_sql())
 
 SCORE_COLS = ("job_posting_id, genericness_score, vagueness_score, repost_score, urgency_score, "
               "bert_score, sentiment_score, final_score")
 
 
-@register("job5_score_postings", SCORES_CTES + f"SELECT {SCORE_COLS} FROM scores")
-def job5_score_postings(spark, sf):
-    return _scores(spark, sf)
+# registered in q_ingest beside the repost marks it reads
+def job5(spark, sf, reposts):
+    """JOB5: all sub-scores; repost marks from the detector (WIN1), vagueness from the noun table."""
+    return _scores(spark, sf, reposts=reposts)
 
 
 @register("feat1_genericness", with_(S.POSTINGS) +
@@ -114,7 +131,8 @@ SELECT * FROM (SELECT 'bottom' AS side, row_number() OVER (ORDER BY final_score,
 def top1_extremes(spark, sf):
     """TOP1 + WIN3: labelled HIGH/LOW ranks 1..5 (top-k is the feature)."""
     from pyspark.sql import Window
-    s = _scores(spark, sf)
+    # two columns of every score, written once: top and bottom read it
+    s = _scores(spark, sf).select("job_posting_id", "final_score").checkpoint(eager=True)
     top, bottom = SC.extremes(s, 5)
     wt = Window.orderBy(F.col("final_score").desc(), "job_posting_id")
     wb = Window.orderBy(F.col("final_score").asc(), "job_posting_id")
@@ -125,14 +143,16 @@ def top1_extremes(spark, sf):
     return t.unionByName(b)
 
 
-@register("ml1_training_set", with_(S.POSTINGS, S.features_sql("postings", D.DATA_GENERIC,
-                                                               D.DATA_URGENT)) +
-          "SELECT id, company, genericness_score, vagueness_score, repost_score, urgency_score, "
-          "CASE WHEN (genericness_score + vagueness_score + urgency_score) / 3.0 > 0.7 THEN 1 ELSE 0 END "
-          "AS bootstrap_ghost_label, CASE WHEN (genericness_score + vagueness_score + urgency_score) / 3.0 "
-          "> 0.7 THEN 1 ELSE 0 END AS manually_verified_label FROM features")
+@register("ml1_training_set", with_(S.POSTINGS, S.vague_sql(D.DATA_VAGUE),
+                                   S.features_sql("postings", D.DATA_GENERIC, D.DATA_URGENT, vague=True)) + f"""
+SELECT id, company, genericness_score, vagueness_score, repost_score, urgency_score,
+       label AS bootstrap_ghost_label, label AS manually_verified_label
+FROM (SELECT *, CASE WHEN (genericness_score + vagueness_score + urgency_score) / 3.0 > {D.DATA_LABEL_CUT} THEN 1 ELSE 0 END
+                AS label FROM features)""")
 def ml1_training_set(spark, sf):
-    t = SC.training_set(D.postings(spark, sf), D.DATA_GENERIC, D.DATA_URGENT)
+    """ML1 with a cut that postings of the benchmark tables reach."""
+    t = SC.training_set(D.postings(spark, sf), D.DATA_GENERIC, D.DATA_URGENT, noun_table(spark, sf), D.DATA_VAGUE,
+                        cut=D.DATA_LABEL_CUT)
     return t.drop("title", "description")
 
 
@@ -174,46 +194,15 @@ def job5_score_with_model(spark, sf):
                              model=model).drop("computed_at")
 
 
-DATA_VAGUE = ["the", "that", "with", "from", "der", "des", "que", "and"]
-
-
-def noun_table(spark, sf):
-    """A noun dictionary derived from the benchmark passages: every distinct
-    token of three or more characters, lemma without a plural -s, and a
-    rule-based proper-noun flag."""
-    from postingscope.functions.text import WORD
-    b = D.table(spark, sf, "benchmark")
-    t = b.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), 0)).alias("token")).distinct()
-    t = t.filter(F.length("token") >= 3)
-    lemma = F.when(F.length("token") > 3, F.regexp_replace("token", "s$", "")).otherwise(F.col("token"))
-    return t.select("token", lemma.alias("lemma"), (F.length("token") % 7 == 0).alias("is_proper"))
-
-
-NOUNS_SQL = """
-nouns AS (
-  SELECT token, CASE WHEN length(token) > 3 THEN regexp_replace(token, 's$', '') ELSE token END AS lemma,
-         length(token) % 7 = 0 AS is_proper
-  FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS token FROM benchmark)
-  WHERE length(token) >= 3
-)"""
-
-VAGUE_SQL = with_(S.POSTINGS, NOUNS_SQL, """
-toks AS (SELECT id, regexp_extract_all(lower(description), '[\\p{L}\\p{N}_]+') AS t FROM postings),
-ex AS (SELECT id, unnest(t) AS token, unnest(range(len(t))) AS pos, t FROM toks),
-ex2 AS (SELECT id, token, coalesce(CASE WHEN pos > 0 THEN regexp_full_match(t[pos], '[0-9]+') END, false) AS num FROM ex),
-agg AS (SELECT e.id, count(*) AS n,
-               count(*) FILTER (WHERE n.lemma IN (""" + ", ".join(f"'{v}'" for v in DATA_VAGUE) + """)
-                                 AND NOT n.is_proper AND NOT e.num) AS v
-        FROM ex2 e JOIN nouns n USING (token) GROUP BY e.id)""") + f"""
-SELECT p.id, CASE WHEN coalesce(a.n, 0) = 0 THEN 0.0 ELSE {S.clamp01r4('a.v / a.n')} END AS vagueness_score
-FROM postings p LEFT JOIN agg a ON p.id = a.id"""
+VAGUE_SQL = with_(S.POSTINGS, S.vague_sql(D.DATA_VAGUE)) + """
+SELECT id, coalesce(vagueness_score, 0.0) AS vagueness_score FROM postings LEFT JOIN vg USING (id)"""
 
 
 @register("feat3_vagueness_nouns", VAGUE_SQL)
 def feat3_vagueness_nouns(spark, sf):
     """FEAT3 with a noun table (the tagger-less default is 0.0 everywhere)."""
     p = D.postings(spark, sf).withColumn("_text", F.col("description"))
-    return SC.vagueness(p, noun_table(spark, sf), vague=DATA_VAGUE).select("id", "vagueness_score")
+    return SC.vagueness(p, noun_table(spark, sf), vague=D.DATA_VAGUE).select("id", "vagueness_score")
 
 
 @register("join8_match_phrases", with_(S.POSTINGS) + "SELECT p.id, l.phrase FROM postings p, (VALUES " +

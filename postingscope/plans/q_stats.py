@@ -1,17 +1,16 @@
 """Queries: statistics and classifier quality (AGG10, AGG12-14, AGG16-18,
-FLT6, JOB6, JOB9, ML4)."""
+FLT6, JOB6, ML4)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from postingscope.functions.features import pyround
-from postingscope.operators import reports as RP
 from postingscope.operators import scoring as SC
 from postingscope.operators import stats as ST
 from postingscope.plans import sqlgen as S
 from postingscope.plans.catalog import register, with_
-from postingscope.plans.q_scoring import SCORES_CTES, _scores
+from postingscope.plans.q_scoring import SCORES_CTES, _scores, noun_table
 from postingscope.sources import driver as D
 
 
@@ -95,20 +94,21 @@ def _labelled(spark, sf):
     """labels joined to postings features: y_true = 1 - quality, prediction =
     rule probability above a cut."""
     lab = D.table(spark, sf, "labels")
-    f = SC.posting_features(D.postings(spark, sf), D.DATA_GENERIC, D.DATA_URGENT)
+    f = SC.posting_features(D.postings(spark, sf), D.DATA_GENERIC, D.DATA_URGENT, noun_table(spark, sf), D.DATA_VAGUE)
     j = lab.join(f, lab["doc_id"] == f["id"])
     return j.select("doc_id", (F.lit(1) - F.col("quality")).alias("y_true"),
                     F.when(F.col("bert_score") > PRED_CUT, 1).otherwise(0).alias("y_pred"))
 
 
-LAB_CTES = with_(S.POSTINGS, S.features_sql("postings", D.DATA_GENERIC, D.DATA_URGENT), f"""
+LAB = f"""
 lab AS (SELECT l.doc_id, 1 - l.quality AS y_true, CASE WHEN f.bert_score > {PRED_CUT} THEN 1 ELSE 0 END AS y_pred
         FROM labels l JOIN features f ON l.doc_id = f.id),
 cnt AS (SELECT count(*) FILTER (WHERE y_true = 1 AND y_pred = 1) AS tp,
                count(*) FILTER (WHERE y_true = 0 AND y_pred = 1) AS fp,
                count(*) FILTER (WHERE y_true = 1 AND y_pred = 0) AS fn,
                count(*) FILTER (WHERE y_true = 0 AND y_pred = 0) AS tn FROM lab),
-met AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0.0) AS p, coalesce(tp / nullif(tp + fn, 0), 0.0) AS r FROM cnt)""")
+met AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0.0) AS p, coalesce(tp / nullif(tp + fn, 0), 0.0) AS r FROM cnt)"""
+LAB_CTES = with_(S.POSTINGS, S.vague_sql(D.DATA_VAGUE), S.features_sql("postings", D.DATA_GENERIC, D.DATA_URGENT, vague=True), LAB)
 
 METRICS_SELECT = f"""tp, fp, fn, tn, {S.rnd('p', 4)} AS precision, {S.rnd('r', 4)} AS recall,
        {S.rnd('CASE WHEN p + r = 0 THEN 0.0 ELSE 2.0 * p * r / (p + r) END', 4)} AS f1,
@@ -135,19 +135,3 @@ def ml4_evaluate(spark, sf):
     lab = _labelled(spark, sf)
     m = ST.classifier_metrics(lab)
     return m.crossJoin(lab.agg(F.count(F.lit(1)).alias("n")))
-
-
-@register("job9_summary_stats", SCORES_CTES + f"""
-SELECT (SELECT count(*) FROM postings) AS postings, (SELECT count(*) FROM reviews) AS reviews,
-       (SELECT count(DISTINCT company) FROM (SELECT company FROM postings UNION ALL SELECT company FROM reviews)) AS companies,
-       {S.rnd('avg(final_score)', 9)} AS mean, {S.rnd('stddev_pop(final_score)', 9)} AS std,
-       {S.rnd('quantile_cont(final_score, 0.5)', 9)} AS median,
-       count(*) FILTER (WHERE final_score >= 60.0) AS high_risk
-FROM scores""")
-def job9_summary_stats(spark, sf):
-    """JOB9: coverage (AGG11) and score summary (AGG10)."""
-    p, r = D.postings(spark, sf), D.reviews(spark, sf)
-    cov = RP.coverage(p, r)
-    s = ST.score_summary(_scores(spark, sf), "final_score")
-    return cov.crossJoin(s.select(r6("mean").alias("mean"), r6("std").alias("std"),
-                                  r6("median").alias("median"), "high_risk"))

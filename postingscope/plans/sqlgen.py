@@ -134,13 +134,13 @@ postings AS (
          nullif(regexp_extract(text, '[$€£] ?[0-9][0-9,.]*', 0), '') AS salary_listed,
          lang AS location,
          CAST(NULL AS VARCHAR) AS cleaned_text,
-         CAST(NULL AS BIGINT) AS repost_of_id
+         CASE WHEN n_chars % 5 = 0 THEN doc_id - 1 END AS repost_of_id
   FROM documents
 )"""
 
 REVIEWS = f"""
 reviews AS (
-  SELECT conv_id * 100 + turn AS id, 'src' || CAST(conv_id % {D.N_COMPANIES} AS VARCHAR) AS company,
+  SELECT conv_id * {D.TURNS} + turn AS id, 'src' || CAST(conv_id % {D.N_COMPANIES} AS VARCHAR) AS company,
          'forum' AS source, text,
          TIMESTAMP '2024-01-30 00:00:00' - (conv_id % 120) * INTERVAL 1 DAY AS posted_at,
          TIMESTAMP '2024-01-31 00:00:00' AS scraped_at
@@ -193,15 +193,38 @@ sentiment AS (
 )"""
 
 
-def features_sql(src: str = "postings", generic=None, urgent=None) -> str:
+NOUNS = """
+nouns AS (
+  SELECT token, CASE WHEN length(token) > 3 THEN regexp_replace(token, 's$', '') ELSE token END AS lemma,
+         length(token) % 7 = 0 AS is_proper
+  FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS token FROM benchmark)
+  WHERE length(token) >= 3
+)"""
+
+
+def vague_sql(vague, src: str = "postings") -> str:
+    """vg(id, vagueness_score): FEAT3 with the noun table, for postings that hold a noun."""
+    return NOUNS + f""",
+toks AS (SELECT id, regexp_extract_all(lower(description), '[\\p{{L}}\\p{{N}}_]+') AS t FROM {src}),
+toks1 AS (SELECT id, unnest(t) AS token, unnest(list_concat([NULL], t[:len(t) - 1])) AS prev FROM toks),
+nouncount AS (SELECT e.id, count(*) AS n,
+               count(*) FILTER (WHERE n.lemma IN ({", ".join(q(v) for v in vague)}) AND NOT n.is_proper
+                                AND NOT coalesce(regexp_full_match(prev, '[0-9]+'), false)) AS v
+        FROM toks1 e JOIN nouns n USING (token) GROUP BY e.id),
+vg AS (SELECT id, {clamp01r4('v / n')} AS vagueness_score FROM nouncount)"""
+
+
+def features_sql(src: str = "postings", generic=None, urgent=None, vague: bool = False) -> str:
+    """`vague`: the CTE vg (vague_sql) is there; else no token counts as a noun."""
+    v, join = ("coalesce(vg.vagueness_score, 0.0)", " LEFT JOIN vg USING (id)") if vague else ("CAST(0.0 AS DOUBLE)", "")
     text = "coalesce(nullif(cleaned_text, ''), nullif(description, ''), '')"
     g = genericness("_text", generic)
     return f"""
 feat0 AS (SELECT *, {text} AS _text FROM {src}),
 feat1 AS (
-  SELECT *, {g} AS genericness_score, CAST(0.0 AS DOUBLE) AS vagueness_score, {urgency('_text', urgent)} AS urgency_score,
+  SELECT feat0.*, {g} AS genericness_score, {v} AS vagueness_score, {urgency('_text', urgent)} AS urgency_score,
          {repost('repost_of_id')} AS repost_score
-  FROM feat0
+  FROM feat0{join}
 ),
 features AS (
   SELECT *, {rule_prob('genericness_score', 'vagueness_score', 'repost_score', 'urgency_score', '_text')} AS bert_score

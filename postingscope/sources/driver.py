@@ -24,6 +24,7 @@ from postingscope.functions.text import WS
 AS_OF = "2024-02-01 00:00:00"
 EPOCH = "2024-01-01 00:00:00"
 N_COMPANIES = 20
+TURNS = 1 << 20     # ids of turns: conv_id * TURNS + turn
 
 # Lexicons tuned to the benchmark text (the domain lexicons never occur in
 # it, which would make every feature 0); the domain defaults stay the
@@ -32,6 +33,8 @@ DATA_GENERIC = ["and the", "of the", "license", "all rights reserved"]
 DATA_URGENT = ["is the", "ing the", "round"]
 DATA_FRUSTRATION = [("and the", 0.85), ("of the", 0.90), ("is the", 0.60), ("ing the", 1.00)]
 DATA_THRESHOLD = 0.30
+DATA_VAGUE = ["the", "that", "with", "from", "der", "des", "que", "and"]
+DATA_LABEL_CUT = 0.20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,7 +67,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.nullif(F.regexp_extract("text", r"[$€£] ?[0-9][0-9,.]*", 0), F.lit("")).alias("salary_listed"),
         F.col("lang").alias("location"),
         F.lit(None).cast("string").alias("cleaned_text"),
-        F.lit(None).cast("long").alias("repost_of_id"),
+        F.when(F.col("n_chars") % 5 == 0, F.col("doc_id") - 1).alias("repost_of_id"),
     )
 
 
@@ -74,7 +77,7 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     posted = F.timestamp_micros(F.unix_micros(F.lit("2024-01-30 00:00:00").cast("timestamp"))
                                 - (F.col("conv_id") % 120) * F.lit(86_400_000_000))
     return c.select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("id"),
+        (F.col("conv_id") * TURNS + F.col("turn")).alias("id"),
         F.concat(F.lit("src"), (F.col("conv_id") % N_COMPANIES).cast("string")).alias("company"),
         F.lit("forum").alias("source"),
         F.col("text"),

@@ -128,3 +128,16 @@ def test_trim_lines_matches_python(spark, parts):
     s = "\n".join(parts)
     expected = "\n".join(line.strip() for line in s.split("\n") if line.strip())
     assert col1(spark, TX.trim_lines, [s])[0] == expected
+
+
+def test_strip_markup_unclosed_openings(spark):
+    """Openings after the last closing tag stay linear; spans before it go, text after it stays."""
+    import time
+    from postingscope.functions.text import strip_markup
+    page = "a <nav>gone</nav> b <nav> c </nav > d " + "<nav> x " * 32_000 + "<!-- open"
+    df = spark.createDataFrame([(page,)], "t string").repartition(1)
+    began = time.time()
+    got = df.select(strip_markup("t").alias("o")).first().o
+    assert time.time() - began < 10
+    assert got.split()[:3] == ["a", "b", "d"] and "gone" not in got and got.count("x") == 32_000
+    assert got.endswith("<!-- open")
