@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHE_WORDS = 600_000       # encoded words remembered by a worker; the store is emptied when full
+CACHE_WORDS = 300_000       # encoded words remembered by a worker (about 130 MB); the store is emptied when full
 CHUNK_CHARS = 1 << 20
 NONE = np.int64(1 << 40)
 
@@ -219,7 +219,7 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", id_col: st
     kind = dict(docs.dtypes)[id_col]
     types = {"ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
     arrow = {"ids": pa.list_(pa.int32()), "decoded": pa.string(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
-    make = {"ids": lambda i, t: [int(x) for x in i.split()], "decoded": lambda i, t: t,
+    make = {"ids": lambda i, t: np.fromstring(i, dtype=np.int32, sep=" "), "decoded": lambda i, t: t,
             "ids_sha256": lambda i, t: hashlib.sha256(i.encode()).hexdigest(),
             "decoded_sha256": lambda i, t: hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest()}
 
