@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from postingscope.session import checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_FILTER_BITS = 1 << 30     # a broadcast bit filter never exceeds 128 MB
 SEGMENT_BITS = 1 << 19        # the part of a bit filter that one row carries (64 kB)
+BATCH_BYTES = "8m"            # Arrow batch sent to a Python worker (one longer text is a batch of its own)
+GIVE_BACK_BYTES = 4 << 20     # a group of at least this size has its memory returned when it is done
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +29,45 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session by bytes, so that a batch of long texts stays small."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers are kept for later stages and would hold it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc only
+    if trim:
+        trim(0)
+
+
+def lean_map(fn: Callable) -> Callable:
+    """A mapInArrow function that leaves no freed memory behind in its worker."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+    return run
+
+
+def lean_group(fn: Callable) -> Callable:
+    """The same for applyInArrow functions, after groups that were not small."""
+    def done(out: pa.Table, size: int) -> pa.Table:
+        if size >= GIVE_BACK_BYTES:
+            give_back()
+        return out
+
+    def one(t: pa.Table) -> pa.Table:
+        return done(fn(t), t.nbytes)
+
+    def two(a: pa.Table, b: pa.Table) -> pa.Table:
+        return done(fn(a, b), a.nbytes + b.nbytes)
+
+    return two if fn.__code__.co_argcount == 2 else one
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -39,7 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postingscope.llm.common import bounded_filter, cut, free_name, may_contain, shuffle_partitions
+from postingscope.llm.common import (bounded_filter, cut, free_name, lean_group, lean_map, may_contain, shuffle_partitions,
+                                      small_batches)
 from postingscope.llm.components import components as connected
 from postingscope.llm.textbytes import mix64, shingle_sets
 
@@ -155,8 +156,8 @@ def _exchange(docs: DataFrame, words: int) -> DataFrame:
             out = pa.concat_tables([out, add])
         return out
 
-    sent = docs.select("doc_id", "text").mapInArrow(send, f"kind int, bucket int, doc_id {kind}, key binary, n bigint, tag bigint, tokens binary, tags binary")
-    return cut(sent.groupBy("bucket").applyInArrow(own, f"kind int, doc_id {kind}, key binary, n bigint, tag bigint"))
+    sent = docs.select("doc_id", "text").mapInArrow(lean_map(send), f"kind int, bucket int, doc_id {kind}, key binary, n bigint, tag bigint, tokens binary, tags binary")
+    return cut(sent.groupBy("bucket").applyInArrow(lean_group(own), f"kind int, doc_id {kind}, key binary, n bigint, tag bigint"))
 
 
 def _low(key: str, size: int):
@@ -187,7 +188,7 @@ def _candidates(docs: DataFrame, classes: DataFrame, credits: DataFrame, words:
                     [pa.array([keys[i] for i in pick], pa.binary()),
                      pa.array([sets[i].view(np.int64) for i in pick], pa.list_(pa.int64()))], names=["k", "tokens"])
 
-    found = docs.select("text").mapInArrow(read, "k binary, tokens array<bigint>").dropDuplicates(["k"])
+    found = docs.select("text").mapInArrow(lean_map(read), "k binary, tokens array<bigint>").dropDuplicates(["k"])
     return cut(alive.join(found, F.expr("key = k")).select("cid", "rep_id", "n", "tokens"))
 
 
@@ -226,7 +227,7 @@ def _prefixes(ordered: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ls, pa.int32()), pa.array(ks, pa.int32()), pa.array(family, pa.bool_()),
                                               pa.array(hashes, pa.list_(pa.int64()))], names=[*b.schema.names, "l", "k", "family", "hashes"])
 
-    return cut(ordered.mapInArrow(run, "cid bigint, n bigint, toks array<bigint>, freqs array<bigint>, l int, k int, family boolean, hashes array<bigint>"))
+    return cut(ordered.mapInArrow(lean_map(run), "cid bigint, n bigint, toks array<bigint>, freqs array<bigint>, l int, k int, family boolean, hashes array<bigint>"))
 
 
 def overlaps(a_sets: list[np.ndarray], b_sets: list[np.ndarray], least: np.ndarray | None = None) -> np.ndarray:
@@ -273,7 +274,7 @@ def _pivot_links(prefixed: DataFrame) -> DataFrame:
         ok[lead] = False
         return pa.table({"u": pa.array(cid[ok], pa.int64()), "v": pa.array(np.full(int(ok.sum()), cid[lead]), pa.int64())})
 
-    return salted.groupBy("r", "h", "salt").applyInArrow(meet, "u bigint, v bigint")
+    return salted.groupBy("r", "h", "salt").applyInArrow(lean_group(meet), "u bigint, v bigint")
 
 
 def _verified(prefixed: DataFrame, first: DataFrame) -> DataFrame:
@@ -309,11 +310,12 @@ def _verified(prefixed: DataFrame, first: DataFrame) -> DataFrame:
         i = np.flatnonzero(ok.any(axis=1))
         return pa.table({"u": pa.array(ca[i], pa.int64()), "v": pa.array(cb[ok[i].argmax(axis=1)], pa.int64())})
 
-    return left.groupBy("other", "block", "salt").cogroup(hosts.groupBy("home", "hblock", "hsalt")).applyInArrow(compare, "u bigint, v bigint")
+    return left.groupBy("other", "block", "salt").cogroup(hosts.groupBy("home", "hblock", "hsalt")).applyInArrow(lean_group(compare), "u bigint, v bigint")
 
 
 def components(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 5) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, copies (rows with the same shingle set)."""
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     seen = _exchange(slim, words)
     rows = seen.where("kind = 0").select("doc_id", "key", "n")

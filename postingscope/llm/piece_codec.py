@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postingscope.llm.common import lean_map, small_batches
+
 SPACE = "▁"
 CACHE_WORDS = 300_000       # encoded words remembered by a worker (about 130 MB); the store is emptied when full
 CHUNK_CHARS = 1 << 20
@@ -235,5 +237,6 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", id_col: st
                     [b.column(0), pa.array(cols[0], pa.int64()), *[pa.array(v, arrow[o]) for o, v in zip(outputs, cols[1:])]],
                     names=["doc_id", "n_tokens", *outputs])
 
+    small_batches(docs.sparkSession)
     spec = ", ".join(f"{o} {types[o]}" for o in outputs)
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, {spec}")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean_map(run), f"doc_id {kind}, n_tokens bigint, {spec}")

@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postingscope.llm.common import lean_map, small_batches
+
 WORD_END = "</w>"
 CACHE_WORDS = 800_000       # words remembered by a worker; the store is emptied when full
 PLAIN_LIMIT = 0x250         # below: Latin script, stable in all Unicode versions
@@ -217,9 +219,10 @@ def token_counts(docs: DataFrame, tokenizer: str, budgets: tuple[int, ...] = (20
                 [b.column(0), b.column(1), pa.array(total, pa.int64()), *[pa.array(x, pa.int64()) for x in fit]],
                 names=["doc_id", "n_bytes", "n_tokens", *[f"words_in_{x}" for x in budgets]])
 
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("doc_id"),
                        F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("n_bytes"), F.col(text).alias("text"))
-    return slim.mapInArrow(count, f"doc_id {kind}, n_bytes bigint, n_tokens bigint{extra}")
+    return slim.mapInArrow(lean_map(count), f"doc_id {kind}, n_bytes bigint, n_tokens bigint{extra}")
 
 
 def fit_prefix(text: str, tokenizer: str, budget: int) -> int:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postingscope.llm import textbytes as tb
+from postingscope.llm.common import lean_map, small_batches
 
 MAX_LABELLED = 6_000
 HASH_BITS = 20
@@ -158,6 +159,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, identity: tuple = IDENTITY_T
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", id_col: str = "doc_id",
           allowed=None, max_labelled: int = MAX_LABELLED, seed: int = SEED, **options) -> Model:
     """Fit on the labelled texts whose id satisfies the condition `allowed` (a Column over `id_col`)."""
+    small_batches(docs.sparkSession)
     pool = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull())
     pool = pool.where(allowed) if allowed is not None else pool
     pool = (pool.groupBy(F.col(id_col).alias("label_id")).agg(F.max(label).cast("int").alias("y"))
@@ -171,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids], names=["doc_id", "y", "ids"])
 
     kind = dict(joined.dtypes)["doc_id"]
-    got = sorted(joined.mapInArrow(prepare, f"doc_id {kind}, y int, ids binary")
+    got = sorted(joined.mapInArrow(lean_map(prepare), f"doc_id {kind}, y int, ids binary")
                  .dropDuplicates(["doc_id"]).collect(), key=lambda r: r.doc_id)
     return fit([np.frombuffer(r.ids, dtype=np.int32) for r in got], np.array([r.y for r in got]), **options)
 
@@ -189,6 +191,7 @@ def score_texts(model: Model, texts: pa.Array) -> np.ndarray:
 
 def with_score(docs: DataFrame, model: Model, out: str = "score", text: str = "text") -> DataFrame:
     """docs with the score of every whole text."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
