@@ -339,3 +339,19 @@ def test_empty_and_odd_tables(spark, odd_docs, odd_labels):
     assert mixing.mix_documents(empty).count() == 0 and exact_dedup.keep_first_copies(empty).count() == 0
     assert ngram_join.keep_one_of_each(empty).count() == 0 and mixing.mix_documents(odd_docs).columns == odd_docs.columns
     assert toxicity.train(empty, no_labels).bias < 0
+
+
+def test_lean_functions_change_no_result():
+    from postingscope.llm import common
+
+    def twice(batches):
+        for b in batches:
+            yield b
+            yield b
+
+    b = pa.RecordBatch.from_pydict({"x": [1, None]})
+    assert list(common.lean_map(twice)(iter([b]))) == [b, b] and list(common.lean_map(twice)(iter([]))) == []
+    small, large = pa.table({"x": [1]}), pa.table({"x": np.zeros(common.GIVE_BACK_BYTES // 8)})
+    for t in (small, large):
+        assert common.lean_group(lambda t: t)(t).equals(t)
+        assert common.lean_group(lambda a, b: b)(small, t).equals(t)
