@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,9 @@ from postingscope.llm.common import lean_map, small_batches
 
 SPACE = "▁"
 CACHE_WORDS = 300_000       # encoded words remembered by a worker (about 130 MB); the store is emptied when full
+STORE_BYTES = 128 << 20     # the same bound in bytes: a word of a script without spaces can be a whole line
+LONG_WORD = 64              # longer words are encoded anew in each chunk
+ENTRY_BYTES = 200           # a stored entry beside its strings
 CHUNK_CHARS = 1 << 20
 NONE = np.int64(1 << 40)
 
@@ -72,6 +76,7 @@ class PieceCodec:
         self.plain = set(plain)
         self.names = [str(i) for i in range(self.size)]
         self.seen: dict[str, tuple[str, int, str]] = {}
+        self.seen_bytes = 0
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank, merged id) of symbol pairs; rank NONE where no piece exists."""
@@ -173,10 +178,13 @@ class PieceCodec:
     def split(self, text: str) -> list[str]:
         return self.cutter.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: set[str]) -> dict[str, tuple[str, int, str]]:
+        """Stores the answers of the words; those of long words are returned and not kept."""
+        long: dict[str, tuple[str, int, str]] = {}
         new = [w for w in words if w not in self.seen]
-        if len(self.seen) + len(new) > CACHE_WORDS:
+        if len(self.seen) + len(new) > CACHE_WORDS or self.seen_bytes > STORE_BYTES:
             self.seen.clear()
+            self.seen_bytes = 0
             new = list(words)
         names, pieces, plain = self.names, self.pieces, self.plain
         flat, ends = self.encode_words(new)
@@ -185,7 +193,13 @@ class PieceCodec:
             ids = flat[a:z]
             a = z
             text = "".join([pieces[i] for i in ids]) if plain.issuperset(ids) else self.decode_raw(ids)
-            self.seen[w] = (" ".join([names[i] for i in ids]), len(ids), text)
+            got = " ".join([names[i] for i in ids]), len(ids), text
+            if len(w) > LONG_WORD:
+                long[w] = got
+            else:
+                self.seen[w] = got
+                self.seen_bytes += ENTRY_BYTES + sys.getsizeof(w) + sys.getsizeof(got[0]) + sys.getsizeof(text)
+        return long
 
     def codes(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """(number of ids, ids joined by a space, decoded text) of every text, end id included."""
@@ -196,12 +210,12 @@ class PieceCodec:
                 chars += len(texts[z])
                 z += 1
             split = [self.split(t) for t in texts[a:z]]
-            self._learn(set().union(*split))
+            long = self._learn(set().union(*split))
             for words in split:
                 if not words:
                     yield 1, str(self.end), ""
                     continue
-                ids, count, text = zip(*map(self.seen.__getitem__, words))
+                ids, count, text = zip(*([long[w] if w in long else self.seen[w] for w in words] if long else map(self.seen.__getitem__, words)))
                 yield sum(count) + 1, f"{' '.join(ids)} {self.end}", "".join(text).removeprefix(SPACE).replace(SPACE, " ")
             a = z
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -30,6 +31,10 @@ from postingscope.llm.common import lean_map, small_batches
 
 WORD_END = "</w>"
 CACHE_WORDS = 800_000       # words remembered by a worker; the store is emptied when full
+STORE_BYTES = 128 << 20     # the same bound in bytes, for the words and for the prefixes
+SHARED_PREFIX = 32          # longer prefixes are not shared: all prefixes of a long run take n * n / 2 bytes
+LONG_WORD = 64              # longer words are counted anew each time
+ENTRY_BYTES = 160           # a stored entry beside its string
 PLAIN_LIMIT = 0x250         # below: Latin script, stable in all Unicode versions
 
 
@@ -67,6 +72,7 @@ class PrefixCounter:
         self.seams: dict[tuple[str, str], bool] = {}
         self.prefixes: dict[str, tuple[str, int]] = {}
         self.words: dict[str, int] = {}
+        self.prefix_bytes = self.word_bytes = 0
 
     def fits(self, left: str, right: str, limit: int = 1 << 60) -> bool:
         """Whether no merge crosses the seam between two tokens, each of which forms on its own.
@@ -99,14 +105,14 @@ class PrefixCounter:
     def _interior(self, word: str) -> tuple[list[str], list[int]]:
         """last[i], count[i] of every prefix word[:i] without a word-end mark."""
         known, forming, seams, longest = self.prefixes, self.forming, self.seams, self.longest
-        if len(known) > CACHE_WORDS:
+        if len(known) > CACHE_WORDS or self.prefix_bytes > STORE_BYTES:
             known.clear()
-        if len(seams) > CACHE_WORDS:
-            seams.clear()
+            self.prefix_bytes = 0
         n = len(word)
         last, count = [""] * (n + 1), [0] * (n + 1)
         for i in range(1, n):
-            got = known.get(word[:i])                       # a prefix's answer is the same in every word
+            # a prefix's answer is the same in every word
+            got = known.get(word[:i]) if i <= SHARED_PREFIX else None
             if got is None:
                 for j in range(max(0, i - longest), i):
                     token = word[j:i]
@@ -117,11 +123,15 @@ class PrefixCounter:
                         seam = last[j], token
                         ok = seams.get(seam)
                         if ok is None:
+                            if len(seams) > CACHE_WORDS:
+                                seams.clear()
                             ok = seams[seam] = self.fits(*seam)
                         if ok:
                             got = token, count[j] + 1
                             break
-                known[word[:i]] = got
+                if i <= SHARED_PREFIX:
+                    known[word[:i]] = got
+                    self.prefix_bytes += ENTRY_BYTES + sys.getsizeof(word[:i])
             last[i], count[i] = got
         return last, count
 
@@ -147,12 +157,15 @@ class PrefixCounter:
     def count_word(self, word: str) -> int:
         got = self.words.get(word)
         if got is None:
-            if len(self.words) > CACHE_WORDS:
-                self.words.clear()
             marked = "".join(self.bytes[b] for b in word.encode())
             whole = marked + WORD_END
             got = 1 if whole in self.forming else self._close(marked, len(marked), *self._interior(marked))
-            self.words[word] = got
+            if len(word) <= LONG_WORD:
+                if len(self.words) > CACHE_WORDS or self.word_bytes > STORE_BYTES:
+                    self.words.clear()
+                    self.word_bytes = 0
+                self.words[word] = got
+                self.word_bytes += ENTRY_BYTES + sys.getsizeof(word)
         return got
 
     def split_words(self, text: str) -> list[str]:

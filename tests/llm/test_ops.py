@@ -57,6 +57,35 @@ def test_token_counts_equal_library_at_every_prefix():
         assert len(lib.encode("".join(words.split())[:0] + words, add_special_tokens=False).ids) <= budget or size < len(words)
 
 
+def test_long_words_stay_out_of_the_stores(monkeypatch):
+    """Letter runs and spaceless scripts: the library's results, and stores bounded by bytes."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+    rng = random.Random(11)
+    runs = ["".join(rng.choice("acgt") for _ in range(6_000)), "".join(chr(rng.randrange(0x4e00, 0x5000)) for _ in range(3_000)), "a" * 2_500]
+    texts = [r for r in runs] + [f"the {runs[0]} and {runs[1]}"]
+    path = tokenizer("word_bpe_49k.json")
+    lib, c = Tokenizer.from_file(path), token_counts.PrefixCounter(path)
+    for t in texts:
+        assert int(c.boundary_counts(t)[-1]) == len(lib.encode(t, add_special_tokens=False).ids)
+    assert max(map(len, c.prefixes)) <= token_counts.SHARED_PREFIX and max(map(len, c.words)) <= token_counts.LONG_WORD
+    assert sum(map(len, c.prefixes)) < 400_000
+    monkeypatch.setattr(token_counts, "STORE_BYTES", 20_000)
+    for t in [f"w{i}x{i * 7919 % 1000}q distinctword{i}" for i in range(300)]:
+        assert int(c.boundary_counts(t)[-1]) == len(lib.encode(t, add_special_tokens=False).ids)
+    assert len(c.words) < 200
+
+    path = tokenizer("piece_bpe_32k.model")
+    lib, c = sentencepiece.SentencePieceProcessor(model_file=path), piece_codec.PieceCodec(path)
+    monkeypatch.setattr(piece_codec, "STORE_BYTES", 20_000)
+    for _ in range(2):
+        for t in [*texts, *[" ".join(f"word{i}x{j}" for j in range(30)) for i in range(40)]]:
+            (n, ids, text), = c.codes([t])
+            want = lib.encode(t, add_eos=True)
+            assert n == len(want) and ids == " ".join(map(str, want)) and text == lib.decode(want)
+            assert all(len(w) <= piece_codec.LONG_WORD for w in c.seen) and c.seen_bytes < 60_000
+
+
 def test_golomb_round_trip():
     rng = np.random.default_rng(0)
     for n in (1, 2, 50, 3000):
