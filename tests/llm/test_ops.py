@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -337,6 +338,56 @@ def test_license_anchors_lose_nothing():
         assert rest ** 0.5 < license_scan.THRESHOLD
 
 
+def wrapped(text, start="# ", width=68):
+    return "\n".join(start + line for line in textwrap.wrap(text, width))
+
+
+def brute_licences(files):
+    """declared() from the formulas: every line, every run of lines as long as a notice, the whole file."""
+    notices, texts = license_scan.TEMPLATES + license_scan.HEADERS, license_scan.licence_texts()
+    templates = [Counter(license_scan.words_of(t)) for _, t in (*notices, *texts)]
+    bags = [set(license_scan.words_of(t or "")) for _, t in files] + [set(b) for b in templates]
+    df = Counter(w for b in bags for w in b)
+    idf = {w: np.log((len(bags) + 1) / (n + 1)) + 1 for w, n in df.items()}
+
+    def norm(b):
+        return np.sqrt(sum((n * idf[w]) ** 2 for w, n in b.items()))
+
+    out = {}
+    for path, text in files:
+        lines = [(i, x) for i, x in enumerate(map(license_scan.words_of, (text or "").split("\n"))) if x]
+        best = None
+        for k, (name, t) in enumerate((*notices, *texts)):
+            v, n = templates[k], sum(templates[k].values())
+            runs = [(lines[0][0], [w for _, x in lines for w in x])] if k >= len(notices) and lines else []
+            for a in range(len(lines) if k < len(notices) else 0):
+                run, z = [], a
+                while z < len(lines) and len(run) < n:
+                    run, z = run + lines[z][1], z + 1
+                runs += [(lines[a][0], run), (lines[a][0], lines[a][1])]
+            for line, run in runs:
+                b = Counter(run)
+                got = (round(sum(b[w] * v[w] * idf[w] ** 2 for w in v) / (norm(b) * norm(v)), 6), -k, -line)
+                if got[0] >= license_scan.THRESHOLD and (best is None or got > best[0]):
+                    best = got, name
+        if best:
+            out[path] = best[1], best[0][0], -best[0][2]
+    return out
+
+
+def test_license_headers_and_texts(spark):
+    """Usual notices, wrapped in comments below a copyright line and above code, and whole licence files."""
+    code = "import os\n\ndef main(argv):\n    return os.path.join(argv[0], 'x')\n"
+    files = [(f"h{i}.py", "#!/bin/python\n# Copyright 2020 Some Body\n#\n" + wrapped(t) + "\n\n" + code * 3) for i, (_, t) in enumerate(license_scan.HEADERS)]
+    files += [(f"t{i}", "Some project\n\n" + t) for i, (_, t) in enumerate(license_scan.licence_texts())]
+    files += [("plain.py", code * 20), ("talk", "We discuss software, warranty and the licence terms of a few products.\n" * 5), ("none", None), ("empty", "")]
+    got = {r.path: (r.license, round(r.score, 6), r.line) for r in license_scan.declared(spark.createDataFrame(files, "path string, text string")).collect()}
+    names = {f"h{i}.py": n for i, (n, _) in enumerate(license_scan.HEADERS)} | {f"t{i}": n for i, (n, _) in enumerate(license_scan.licence_texts())}
+    assert {p: x[0] for p, x in got.items()} == names
+    want = brute_licences(files)
+    assert {p: x[0] for p, x in want.items()} == names and all(abs(want[p][1] - got[p][1]) < 2e-6 and want[p][2] == got[p][2] for p in names)
+
+
 def test_url_rules(spark):
     urls = ["http://example.com/en/x", "https://WWW.example.com/en/", "http://a.example.com/de", "http://a.net/es/1?q", "http://a.net/de/",
             "http://example.com", "x", None, "", "http://a.net/es", "ftp://evil.org://x/y#z"]
