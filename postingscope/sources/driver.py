@@ -100,6 +100,21 @@ def embedded_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         "salary_listed", "location", F.col("embedding"))
 
 
+def incoming_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All incoming postings; embedding is null where there is none.
+
+    company = the embedding's label, or the posting's own company without one.
+    """
+    e = table(spark, sf_dir, "embeddings")
+    p = postings(spark, sf_dir)
+    label = F.concat(F.lit("c"), F.col("label").cast("string"))
+    j = p.join(e, e["vec_id"] == p["id"], "left")
+    return j.select(
+        "id", F.coalesce(label, F.col("company")).alias("company"),
+        "title", "description", "url", "source", "posted_date", "scraped_at",
+        "salary_listed", "location", F.col("embedding"))
+
+
 def page_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page events of the report site: one page per company."""
     ev = table(spark, sf_dir, "events")

@@ -120,3 +120,26 @@ def test_partition_count_invariance(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert results[0] == results[1]
+
+
+def test_postings_without_a_vector_have_similarity_zero(spark):
+    inc = spark.createDataFrame(rows([
+        (1, "A", "u1", "first posting, long enough", [1.0, 0.0]), (2, "A", "u2", "no vector, long enough", None),
+        (3, "A", "u3", "no vector again, long enough", None), (4, "A", "u4", "first posting, long enough", [1.0, 0.0])]), SCHEMA)
+    got = mark_reposts(inc, None, threshold=0.3).collect()
+    assert {r.id: (r.status, r.repost_of_id, r.max_similarity) for r in got} == {
+        1: ("new", None, None), 2: ("new", None, 0.0), 3: ("new", None, 0.0), 4: ("repost", 1, 1.0)}
+
+
+def test_feat4_scores_every_posting(spark):
+    import __spark_entry__ as E
+    from tests.conftest import SF_SMALL
+    # documents whose vectors are only those of every third one
+    import os
+    import tempfile
+    sf = tempfile.mkdtemp(prefix="ps-test-")
+    for name, keep in (("documents", "true"), ("embeddings", "vec_id % 3 = 0")):
+        spark.read.parquet(os.path.join(SF_SMALL, f"{name}.parquet")).where(keep).write.parquet(f"{sf}/{name}.parquet")
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    out = E.queries()["feat4_repost_score"](spark, sf).collect()
+    assert len(out) == n == len({r.id for r in out}) and any(r.repost_score > 0 for r in out)
