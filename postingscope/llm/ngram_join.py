@@ -7,7 +7,7 @@ matches).  With two different lengths the smaller l holds.
 
 1. Documents with equal sets are one class; classes take part once.
 2. Which classes can link at all?  In hash order, prefixes with l = a tenth of the set are exchanged: partitions send
-   (token, class tag) packed by token range, owners credit every class whose token is held by another class
+   (token, class tag) packed by a hash of the token, to as many owners as the text asks for; owners credit every class whose token is held by another class
    too.  A token that a sender sees in several classes is sent once and credited on the spot, so frequent
    tokens stay small.  Classes with fewer than l credits have no partner; the rest ("candidates") is read
    again in full.
@@ -46,6 +46,7 @@ from postingscope.llm.textbytes import mix64, shingle_sets
 
 PERCENT = 75                # 100 * intersection >= PERCENT * union
 FLUSH_TOKENS = 1 << 20      # tokens a sender gathers before it sends
+OWNED_TOKENS = 1 << 20      # tokens that one owner sorts, at most on average
 MAX_L = 16                  # longest extension of a candidate's prefix
 VERIFY_COST = 8             # verifying one partner costs as much as reading so many list entries
 FAMILY_FREQUENCY = 64       # mean token frequency in the prefix from which a class is compared with pivots first
@@ -67,10 +68,25 @@ def _key(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def _exchange(docs: DataFrame, words: int) -> DataFrame:
-    """kind 0: (doc_id, key, n) of every row; kind 1: (tag, credits) of classes (steps 1 and 2)."""
+def owners(octets: int, partitions: int) -> int:
+    """How many owners share the prefix tokens of texts of so many bytes (a word and its end take two at least)."""
+    words = octets // 2 + 1
+    return max(16, 4 * partitions, -(-words * (100 - PERCENT + 10) // 100 // OWNED_TOKENS))
+
+
+def owner_of(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    """Owner of every 48-bit token: mixed again, as prefixes hold the smallest hashes of their sets."""
+    return (mix64(tokens) % np.uint64(buckets)).astype(np.int64)
+
+
+def _exchange(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, n) of every row, and (tag, credits) of classes (steps 1 and 2).
+
+    Only packed tokens go to the owners; rows and credits given on the spot are written before.
+    """
     spark = docs.sparkSession
-    buckets = max(16, 4 * shuffle_partitions(spark))
+    octets = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    buckets = owners(octets, shuffle_partitions(spark))
     kind = dict(docs.dtypes)["doc_id"]
 
     def rows(**cols) -> pa.RecordBatch:
@@ -92,10 +108,11 @@ def _exchange(docs: DataFrame, words: int) -> DataFrame:
         inside = np.repeat(several, np.diff(np.r_[edge, len(flat)]))
         tag, n = np.unique(own[inside], return_counts=True)             # credited on the spot
         if len(tag):
-            yield rows(kind=np.ones(len(tag), np.int32), bucket=(tag % np.uint64(buckets)).astype(np.int32),
-                       n=n.astype(np.int64), tag=tag.astype(np.int64))
+            yield rows(kind=np.ones(len(tag), np.int32), n=n.astype(np.int64), tag=tag.astype(np.int64))
         flat, own = flat[edge], np.where(several, np.uint64(0), own[edge])   # tag 0: held by several
-        where = ((flat >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        where = owner_of(flat, buckets)
+        order = np.argsort(where, kind="stable")
+        flat, own, where = flat[order], own[order], where[order]
         cuts = np.searchsorted(where, np.arange(buckets + 1))
         token_bytes = flat.view(np.uint8).reshape(-1, 8)[:, :6]
         tag_bytes = own.view(np.uint8).reshape(-1, 8)[:, :5]
@@ -125,39 +142,32 @@ def _exchange(docs: DataFrame, words: int) -> DataFrame:
                 if held >= FLUSH_TOKENS:
                     yield from packet(tokens, tags)
                     tokens, tags, here, held = [], [], set(), 0
-            spread = np.array([int.from_bytes(k[5:8], "little") % buckets if k else i % buckets for i, k in enumerate(keys)], dtype=np.int32)
-            yield rows(kind=np.zeros(len(keys), np.int32), bucket=spread, doc_id=b.column(0), key=keys, n=np.array(sizes, np.int64))
+            yield rows(kind=np.zeros(len(keys), np.int32), doc_id=b.column(0), key=keys, n=np.array(sizes, np.int64))
         if tokens:
             yield from packet(tokens, tags)
 
     def own(t: pa.Table) -> pa.Table:
-        kinds = t["kind"].to_numpy()
-        flat = [np.frombuffer(x, np.uint8).reshape(-1, 6) for x in t["tokens"].to_pylist() if x is not None]
-        tags = [np.frombuffer(x, np.uint8).reshape(-1, 5) for x in t["tags"].to_pylist() if x is not None]
-        out = t.filter(pa.array(kinds < 2)).select(["kind", "doc_id", "key", "n", "tag"])
-        if flat:
-            def wide(parts):
-                raw = np.concatenate(parts)
-                full = np.zeros((len(raw), 8), np.uint8)
-                full[:, :raw.shape[1]] = raw
-                return full.view(np.uint64).ravel()
-            tok, tag = wide(flat), wide(tags)
-            order = np.lexsort((tag, tok))
-            tok, tag = tok[order], tag[order]
-            new = np.r_[True, tok[1:] != tok[:-1]]
-            fresh = new | np.r_[True, tag[1:] != tag[:-1]]
-            group = np.cumsum(new) - 1
-            shared = np.bincount(group[fresh], minlength=group[-1] + 1) + np.bincount(group, weights=tag == 0, minlength=group[-1] + 1) > 1
-            hit = fresh & shared[group] & (tag > 0)
-            who, n = np.unique(tag[hit], return_counts=True)
-            k = len(who)
-            add = pa.table({"kind": pa.array(np.ones(k, np.int32)), "doc_id": pa.nulls(k, out["doc_id"].type), "key": pa.nulls(k, out["key"].type),
-                            "n": pa.array(n.astype(np.int64)), "tag": pa.array(who.astype(np.int64))}).cast(out.schema)
-            out = pa.concat_tables([out, add])
-        return out
-
-    sent = docs.select("doc_id", "text").mapInArrow(lean_map(send), f"kind int, bucket int, doc_id {kind}, key binary, n bigint, tag bigint, tokens binary, tags binary")
-    return cut(sent.groupBy("bucket").applyInArrow(lean_group(own), f"kind int, doc_id {kind}, key binary, n bigint, tag bigint"))
+        def wide(col: str, size: int) -> np.ndarray:
+            raw = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, size) for x in t[col].to_pylist()])
+            full = np.zeros((len(raw), 8), np.uint8)
+            full[:, :size] = raw
+            return full.view(np.uint64).ravel()
+
+        tok, tag = wide("tokens", 6), wide("tags", 5)
+        order = np.lexsort((tag, tok))
+        tok, tag = tok[order], tag[order]
+        new = np.r_[True, tok[1:] != tok[:-1]]
+        fresh = new | np.r_[True, tag[1:] != tag[:-1]]
+        group = np.cumsum(new) - 1
+        shared = np.bincount(group[fresh], minlength=group[-1] + 1) + np.bincount(group, weights=tag == 0, minlength=group[-1] + 1) > 1
+        who, n = np.unique(tag[fresh & shared[group] & (tag > 0)], return_counts=True)
+        return pa.table({"tag": pa.array(who.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+    sent = cut(docs.select("doc_id", "text").mapInArrow(lean_map(send), f"kind int, bucket int, doc_id {kind}, key binary, n bigint, tag bigint, tokens binary, tags binary"))
+    seen = cut(sent.where("kind < 2").select("kind", "doc_id", "key", "n", "tag"))      # without the packets, as it is read again
+    owned = sent.where("kind = 2").select("bucket", "tokens", "tags").groupBy("bucket").applyInArrow(lean_group(own), "tag bigint, n bigint")
+    credits = seen.where("kind = 1").select("tag", "n").unionByName(owned).groupBy("tag").agg(F.sum("n").alias("credits"))
+    return seen.where("kind = 0").select("doc_id", "key", "n"), credits
 
 
 def _low(key: str, size: int):
@@ -317,11 +327,9 @@ def components(docs: DataFrame, text: str = "text", id_col: str = "doc_id", word
     """Per row: doc_id, n_shingles, component_id, copies (rows with the same shingle set)."""
     small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    seen = _exchange(slim, words)
-    rows = seen.where("kind = 0").select("doc_id", "key", "n")
+    rows, credits = _exchange(slim, words)
     classes = (rows.where("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("copies"))
                .withColumn("tag5", _low("key", 5)).withColumn("cid", _low("key", 8).bitwiseAND((1 << 60) - 1)))
-    credits = seen.where("kind = 1").groupBy("tag").agg(F.sum("n").alias("credits"))
     cand = _candidates(slim, classes, credits, words)
     prefixed = _prefixes(_ordered(cand))
     seeds = cut(_pivot_links(prefixed))

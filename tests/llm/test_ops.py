@@ -161,6 +161,38 @@ def test_family_pivots_and_blocks_keep_all_links(spark, monkeypatch):
     assert sorted(ngram_join.components(df).collect()) == plain
 
 
+def test_owners_of_tokens_are_bounded_and_even(spark, monkeypatch):
+    """Owners grow with the text, prefixes (small hashes) spread over all, rows do not pass through them."""
+    rng = np.random.default_rng(4)
+    prefixes = rng.integers(0, int(0.35 * 2 ** 48), 200_000).astype(np.uint64)
+    held = np.bincount(ngram_join.owner_of(prefixes, 64), minlength=64)
+    assert held.max() < 1.2 * held.mean()
+    assert ngram_join.owners(10 ** 15, 200) * ngram_join.OWNED_TOKENS >= 10 ** 15 // 2 * 35 // 100 and ngram_join.owners(0, 4) == 16
+    copies = " ".join(f"same{i}" for i in range(30))
+    texts = [copies if i % 3 else " ".join(f"w{i}x{j}" for j in range(30)) for i in range(90)]
+    slim = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(ngram_join, "OWNED_TOKENS", 20)
+    met = spark.sparkContext.accumulator(0)
+    plain = ngram_join.lean_group
+
+    def counted(fn):
+        def run(t):
+            met.add(t.num_rows)
+            return fn(t)
+        return plain(run)
+
+    monkeypatch.setattr(ngram_join, "lean_group", counted)
+    rows, credits = ngram_join._exchange(slim, 5)
+    buckets = ngram_join.owners(sum(map(len, texts)), 4)
+    credits.count()
+    assert buckets > 16 and rows.count() == 90
+    # packets only: each sender has at most one for an owner, and no owner sees a row of the table
+    assert 0 < met.value <= slim.rdd.getNumPartitions() * buckets
+    monkeypatch.setattr(ngram_join, "lean_group", plain)
+    got = {r.doc_id: (r.component_id, r.copies) for r in ngram_join.components(slim).collect()}
+    assert got == {i: ((1, 60) if i % 3 else (i, 1)) for i in range(90)}
+
+
 def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101), (103, 100), (200, 201), (5, 5)]
     got = {r.node: r.root for r in connected(spark.createDataFrame(edges, "u long, v long")).collect()}
