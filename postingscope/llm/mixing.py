@@ -6,6 +6,7 @@ every output shard gets integer block quotas: the quota of shard m is the differ
 the seats up to m + 1 and up to m.  Divisor methods never take a seat back when the house grows, so these
 differences are never negative, each prefix of shards has the best mix for its size, and they add up to the
 apportionment of the whole budget.
+Only that sum is taken below: no row of the results carries a shard.
 
 Selection: the documents of a source form a stream in seeded hash order; the source's blocks are taken from
 the front of that stream, going round again after the last (a second and third copy).  So only one document
