@@ -133,3 +133,24 @@ def may_contain(filter_bits: np.ndarray, bits: int, keys: np.ndarray) -> np.ndar
         p = pos.astype(np.int64)
         ok &= (filter_bits[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
     return ok
+
+
+HOT_KEYS = 1000               # a key is hot if it holds more than one row in so many: at most so many are
+
+
+def per_key(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """`rows` with the columns of `groups`, which has at most one row per key (null keys match) and the key's row count in `size`.
+
+    Hot keys, at most HOT_KEYS of the `total` rows' keys, are joined by broadcast, so that no key gathers in one task; the
+    rest is joined by a shuffle.  `rows` is read twice.  Rows without a group get nulls.
+    """
+    extra = [c for c in groups.columns if c not in keys and c != size]
+    limit = total / HOT_KEYS
+    named = groups.select(*[F.col(k).alias(f"__g_{k}") for k in keys], *extra, F.col(size).alias("__size"))
+    hot, cold = named.where(F.col("__size") > limit), named.where(F.col("__size") <= limit)
+    match = [rows[k].eqNullSafe(F.col(f"__g_{k}")) for k in keys]
+    out = [*rows.columns, *extra]
+    tagged = rows.join(F.broadcast(hot.limit(HOT_KEYS)), match, "left")
+    rest = tagged.where("__size is null").select(*rows.columns)
+    return (tagged.where("__size is not null").select(*out)
+            .unionByName(rest.join(cold, [rest[k].eqNullSafe(F.col(f"__g_{k}")) for k in keys], "left").select(*out)))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from postingscope.llm import (exact_dedup, hilbert_shards, license_scan, mixing, ngram_join, piece_codec,
                               quality_rules, token_counts, toxicity, url_filter)
+from postingscope.llm import more_queries
 from postingscope.llm.common import table
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
@@ -151,4 +152,5 @@ QUERIES = {
     "op8_hilbert_shards": (op8, None),
     "op9_ngram_jaccard": (op9, SQL_OP9),
     "op10_url_filter": (op10, None),
+    **more_queries.QUERIES,
 }
