@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postingscope.llm import alignment, vector_codes
+from postingscope.llm import alignment, vector_codes, warc
 from postingscope.llm.common import table
+from postingscope.session import checkpoint_dir
 
 
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +21,28 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    folder = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_captures(pages, folder)
+    return warc.read_captures(spark, folder, dict(pages.dtypes)["page_id"]).select(
+        F.col("row_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to_row").alias("refers_to"))
+
+
+# base32: five hex digits are four characters; equal rows tie, one of them is the response
+SQL_OP12 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, url FROM pages),
+d AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS h,
+             row_number() OVER (PARTITION BY body ORDER BY page_id DESC NULLS LAST, url DESC) AS pos,
+             max(page_id) OVER (PARTITION BY body) AS top FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 8), lambda i: list_reduce(list_transform([15, 10, 5, 0], lambda s:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(h, (5 * i + 1)::INT, 5))::INT >> s & 31) + 1, 1)), lambda a, b: a || b)), '') AS payload_digest,
+       CASE WHEN pos = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN pos > 1 THEN top END AS refers_to
+FROM d
+"""
+
+
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
     return coded.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.codebooks_sha256(books)).alias("codebooks_sha256"))
@@ -56,5 +81,6 @@ FROM kept JOIN code USING (row) JOIN lab ON lab.label IS NOT DISTINCT FROM kept.
 
 QUERIES = {
     "op11_token_alignment": (op11, None),
+    "op12_warc": (op12, SQL_OP12),
     "op13_vector_codes": (op13, sql_op13()),
 }
