@@ -1,26 +1,20 @@
 """Table maintenance and sinks (FLT1, UPS1, UPS3, UPS4, SNK1-3).
 
-Plain Parquet has no MERGE, so an upsert writes a new version directory
-(old rows whose key is not in the update, plus the update) and then adds
-a numbered commit file; readers take the highest, so a failed or retried
-job never exposes a half-written table and never hides the last one.
+Upserts go into the bucketed, versioned tables of `operators/store.py`.
 """
 
 from __future__ import annotations
 
-import json
 import os
-import uuid
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postingscope.functions.text import clean_text
+from postingscope.operators.store import BUCKETS, Store
 from postingscope.session import path_exists
 
-COMMIT = "_commit-"
-
 
 def pending(postings: DataFrame, force: bool = False) -> DataFrame:
     """FLT1: postings not cleaned yet (all when `force`)."""
@@ -38,68 +32,11 @@ def clean_pending(postings: DataFrame, force: bool = False, **kw) -> DataFrame:
 
 
 # ------------------------------------------------------------------ UPS1
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
-
-
-def _commits(fs, p, jvm) -> list[str]:
-    """Commit files of the table, oldest first."""
-    if not fs.exists(p):
-        return []
-    return sorted(f.getPath().getName() for f in fs.listStatus(p) if f.getPath().getName().startswith(COMMIT))
-
+ROWS = "rows"       # the one table of a store that `upsert` writes
 
-def current_version(spark: SparkSession, path: str) -> str | None:
-    """The version that the highest commit file names; None if there is no table.
 
-    Versions without any commit file are not taken for an empty table."""
-    fs, p, jvm = _fs(spark, path)
-    commits = _commits(fs, p, jvm)
-    if not commits:
-        if fs.exists(p) and any(f.getPath().getName().startswith("v-") and f.isDirectory() for f in fs.listStatus(p)):
-            raise RuntimeError(f"{path} has versions but no commit file")
-        return None
-    stream = fs.open(jvm.org.apache.hadoop.fs.Path(p, commits[-1]))
-    try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        return json.loads(reader.readLine())["version"]
-    finally:
-        stream.close()
-
-
-def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
-    v = current_version(spark, path)
-    if v is None:
-        return None
-    r = spark.read.schema(schema) if schema is not None else spark.read
-    return r.parquet(f"{path}/{v}")
-
-
-def write_version(df: DataFrame, path: str) -> str:
-    """Write `df` as a new version and commit it under the next number.
-
-    The commit file is completed under another name and renamed to a name
-    that must not exist, so a crash leaves the previous commit in force and
-    of two writers one fails."""
-    spark = df.sparkSession
-    fs, p, jvm = _fs(spark, path)
-    before = _commits(fs, p, jvm)
-    number = int(before[-1][len(COMMIT):]) + 1 if before else 0
-    version = f"v-{datetime.now(timezone.utc):%Y%m%d%H%M%S}-{uuid.uuid4().hex[:8]}"
-    staged = jvm.org.apache.hadoop.fs.Path(p, f"_staged-{version}")
-    df.write.mode("error").parquet(f"{path}/{staged.getName()}")
-    tmp = jvm.org.apache.hadoop.fs.Path(p, f"_tmp-{version}")
-    out = fs.create(tmp, False)
-    try:
-        out.write(bytearray(json.dumps({"version": version}) + "\n", "utf-8"))
-    finally:
-        out.close()
-    commit = jvm.org.apache.hadoop.fs.Path(p, f"{COMMIT}{number:012d}")
-    if not fs.rename(staged, jvm.org.apache.hadoop.fs.Path(p, version)) or fs.exists(commit) or not fs.rename(tmp, commit):
-        raise RuntimeError(f"another writer committed version {number} of {path}")
-    return version
+def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    return Store(spark, path).read(ROWS)
 
 
 def merge_rows(old: DataFrame | None, rows: DataFrame, key: list[str] | str) -> DataFrame:
@@ -114,11 +51,9 @@ def merge_rows(old: DataFrame | None, rows: DataFrame, key: list[str] | str) ->
     return kept.unionByName(rows, allowMissingColumns=True)
 
 
-def upsert(path: str, rows: DataFrame, key: list[str] | str) -> str:
-    """UPS1: insert-or-replace `rows` by `key` into the versioned table."""
-    spark = rows.sparkSession
-    old = read_table(spark, path)
-    return write_version(merge_rows(old, rows, key), path)
+def upsert(path: str, rows: DataFrame, key: list[str] | str, epoch: tuple[str, int] | None = None, buckets: int = BUCKETS) -> int:
+    """UPS1: insert-or-replace `rows` by `key`; rewrites the buckets that the rows hit.  Returns the version."""
+    return Store(rows.sparkSession, path, buckets).upsert(ROWS, rows, key, epoch=epoch)
 
 
 # ------------------------------------------------------------------ UPS3

@@ -1,8 +1,10 @@
 """STR4: continuous cleaning and scoring of arriving postings.
 
 Each micro-batch is cleaned (UPS4) and scored (JOB5 core) with the current
-company sentiment, and upserted by posting id into the versioned scores
-table (UPS1).  The checkpoint makes the sink exactly-once per batch.
+company sentiment, and upserted by posting id into the bucketed scores
+table (UPS1): only the buckets that its ids hit are rewritten.  The commit
+carries the query's id and the epoch, so a batch run again after a crash
+changes nothing.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from postingscope.functions.text import clean_text
 from postingscope.operators.maintenance import upsert
 from postingscope.operators.scoring import score_postings
+from postingscope.operators.store import writer_of
 
 
 def score_batch(batch: DataFrame, sentiment: DataFrame, as_of, **kw) -> DataFrame:
@@ -23,7 +26,8 @@ def score_batch(batch: DataFrame, sentiment: DataFrame, as_of, **kw) -> DataFram
 def start_scoring(stream: DataFrame, sentiment: DataFrame, as_of, scores_path: str, checkpoint: str,
                   trigger: dict | None = None, **kw):
     def handle(batch: DataFrame, epoch_id: int) -> None:
-        upsert(scores_path, score_batch(batch, sentiment, as_of, **kw), "job_posting_id")
+        upsert(scores_path, score_batch(batch, sentiment, as_of, **kw), "job_posting_id",
+               epoch=(writer_of(batch.sparkSession, checkpoint), epoch_id))
     q = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     if trigger:
         q = q.trigger(**trigger)
