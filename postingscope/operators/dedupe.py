@@ -22,22 +22,32 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str], id_col: str = "
     return df.join(firsts.select(F.col("_wid").alias(id_col)), id_col, "left_semi")
 
 
-def new_by_url(incoming: DataFrame, stored: DataFrame | None,
-               order: tuple[str, ...] = ("scraped_at", "id")) -> tuple[DataFrame, DataFrame]:
-    """JOIN6: (kept, skipped).
+def tag_by_url(incoming: DataFrame, stored: DataFrame | None, order: tuple[str, ...] = ("scraped_at", "id")) -> DataFrame:
+    """JOIN6 in one pass: `incoming` with a column `state`, 'kept' or 'skipped'.
 
     A posting with a non-empty url is skipped when the url is already stored
     or an earlier posting of the same batch has it; postings without url are
-    always kept.
+    always kept.  Urls of both sides go through one aggregate with map-side
+    partials, min(struct(stored first, order, id)), so a url that a third of all
+    rows carry stays small; the winners come back by their unique ids.
     """
     has_url = F.col("url").isNotNull() & (F.col("url") != "")
-    with_url = incoming.filter(has_url)
-    first = first_wins(with_url, ["url"], list(order))
+    cols = [c for c in order if c != "id"] + ["id"]
+    narrow = incoming.filter(has_url).select("url", F.lit(1).alias("_late"), *cols)
     if stored is not None:
-        first = first.join(stored.select("url").filter(has_url).distinct(), "url", "left_anti")
-    kept = first.unionByName(incoming.filter(~has_url))
-    skipped = incoming.join(kept.select("id"), "id", "left_anti")
-    return kept, skipped
+        kinds = dict(incoming.dtypes)
+        narrow = narrow.unionByName(stored.filter(has_url).select("url", F.lit(0).alias("_late"), *[F.lit(None).cast(kinds[c]).alias(c) for c in cols]))
+    first = narrow.groupBy("url").agg(F.min(F.struct("_late", *cols)).alias("_w"))
+    winners = first.filter("_w._late = 1").select(F.col("_w.id").alias("_winner"))
+    tagged = incoming.join(winners, F.col("id") == F.col("_winner"), "left")
+    return tagged.withColumn("state", F.when(has_url & F.col("_winner").isNull(), "skipped").otherwise("kept")).drop("_winner")
+
+
+def new_by_url(incoming: DataFrame, stored: DataFrame | None,
+               order: tuple[str, ...] = ("scraped_at", "id")) -> tuple[DataFrame, DataFrame]:
+    """JOIN6 as two frames: (kept, skipped)."""
+    tagged = tag_by_url(incoming, stored, order)
+    return tagged.filter("state = 'kept'").drop("state"), tagged.filter("state = 'skipped'").drop("state")
 
 
 def new_reviews(incoming: DataFrame, stored: DataFrame | None,

@@ -1,13 +1,14 @@
 """Queries: ingest, de-duplication, reposts, unions (JOIN6, JOIN7, WIN1,
-WIN2, WIN4, JOIN10, AGG1, AGG2, SET1, SET3, META4, JOB1, JOB2)."""
+WIN2, WIN4, JOIN10, AGG1, AGG2, SET1, SET3, META4, HASH1, JOB1, JOB2)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from postingscope import lexicons as L
 from postingscope.functions.features import pyround
 from postingscope.operators import dedupe as DD
-from postingscope.operators.reposts import mark_reposts
+from postingscope.operators.reposts import last_k_postings, mark_reposts
 from postingscope.operators.sets import fallback_union, union_sources, with_defaults
 from postingscope.operators.windows import first_k
 from postingscope.plans import sqlgen as S
@@ -25,27 +26,37 @@ def _split(df, col, cut):
     return df.filter(F.col(col) >= c), df.filter(F.col(col) < c)
 
 
-def ingest(spark, sf, threshold=D.DATA_THRESHOLD):
-    """JOB1 body: url de-dup (JOIN6) then repost marking (WIN1).
+def arriving(spark, sf):
+    """The batch that arrives, from all sources (SET1) and with defaults (META4), and the stored postings."""
+    inc, st = _split(D.incoming_postings(spark, sf), "scraped_at", CUT)
+    return with_defaults(union_sources(inc, "all"), "posting", as_of()), st
+
+
+def ingest(spark, sf, threshold=D.DATA_THRESHOLD, extra=()):
+    """JOB1 body: META4, SET1, url de-dup (JOIN6), then repost marking (WIN1).
 
     The incoming batch is narrowed (ids, url, order, embedding, an
-    eligibility flag instead of the text) and checkpointed once, so the
-    text scan and the embeddings join run a single time however many
-    branches read the batch."""
+    eligibility flag instead of the text, and `extra` columns) and
+    checkpointed once with its url state, so the text scan and the embeddings
+    join run a single time however many branches read the batch.  Of the
+    stored postings, urls and the last 20 per company are read.
+    Returns (marks of the kept rows, the tagged batch)."""
     from postingscope.functions.text import strip_ws
-    inc, st = _split(D.embedded_postings(spark, sf), "scraped_at", CUT)
+    inc, st = arriving(spark, sf)
     eligible = F.col("description").isNotNull() & (F.length(strip_ws(F.col("description"))) > 10)
-    inc = inc.select("id", "company", "url", "scraped_at", "embedding", eligible.alias("_eligible")) \
-             .checkpoint(eager=True)
-    st = st.select("id", "company", "url", "scraped_at", "embedding")
-    kept, skipped = DD.new_by_url(inc, st)
-    marked = mark_reposts(kept, st, threshold=threshold)
-    return marked, skipped
-
-
-INGEST_CTES = [S.POSTINGS, S.EMBEDDED, f"""
-inc AS (SELECT * FROM embedded WHERE scraped_at >= TIMESTAMP '{CUT}'),
-st AS (SELECT * FROM embedded WHERE scraped_at < TIMESTAMP '{CUT}'),
+    inc = inc.select("id", "company", "url", "scraped_at", "embedding", eligible.alias("_eligible"), *extra)
+    tagged = DD.tag_by_url(inc, st).checkpoint(eager=True)
+    marked = mark_reposts(tagged.filter("state = 'kept'"), last_k_postings(st.select("id", "company", "scraped_at", "embedding")),
+                          threshold=threshold)
+    return marked, tagged
+
+
+INGEST_CTES = [S.POSTINGS, S.INCOMING, f"""
+inc AS (SELECT * REPLACE (coalesce(company, {S.q(L.DEFAULT_COMPANY)}) AS company, coalesce(title, {S.q(L.DEFAULT_TITLE)}) AS title,
+                          coalesce(description, '') AS description, coalesce(source, {S.q(L.DEFAULT_POSTING_SOURCE)}) AS source,
+                          coalesce(posted_date, {S.AS_OF}) AS posted_date)
+        FROM incoming WHERE scraped_at >= TIMESTAMP '{CUT}'),
+st AS (SELECT * FROM incoming WHERE scraped_at < TIMESTAMP '{CUT}'),
 kept AS (
   SELECT i.* FROM inc i
   WHERE i.url IS NULL OR i.url = ''
@@ -89,10 +100,8 @@ tagged AS (
           "SELECT id, 'kept' AS state FROM kept UNION ALL "
           "SELECT id, 'skipped' FROM inc WHERE id NOT IN (SELECT id FROM kept)")
 def join6_new_by_url(spark, sf):
-    inc, st = _split(D.embedded_postings(spark, sf), "scraped_at", CUT)
-    kept, skipped = DD.new_by_url(inc, st)
-    return (kept.select("id", F.lit("kept").alias("state"))
-            .unionByName(skipped.select("id", F.lit("skipped").alias("state"))))
+    inc, st = arriving(spark, sf)
+    return DD.tag_by_url(inc.select("id", "url", "scraped_at"), st).select("id", "state")
 
 
 @register("win1_mark_reposts", with_(*INGEST_CTES) +
@@ -117,11 +126,25 @@ SELECT company, count(*) AS total, count(*) FILTER (WHERE status = 'new') AS new
        count(*) FILTER (WHERE status = 'skipped') AS skipped
 FROM tagged GROUP BY ROLLUP (company)""")
 def job1_ingest_postings(spark, sf):
-    """JOB1 = META4 -> JOIN6 -> WIN1 -> AGG1 (stats per company + total)."""
-    marked, skipped = ingest(spark, sf)
-    tagged = marked.select("company", "status").unionByName(
-        skipped.select("company", F.lit("skipped").alias("status")))
-    return DD.ingest_stats(tagged)
+    """JOB1 = META4 -> SET1 -> JOIN6 -> WIN1 -> AGG1 (stats per company + total); `job1_saved_postings` has the rows."""
+    marked, tagged = ingest(spark, sf)
+    skipped = tagged.filter("state = 'skipped'").select("company", F.lit("skipped").alias("status"))
+    return DD.ingest_stats(marked.select("company", "status").unionByName(skipped))
+
+
+@register("job1_saved_postings", with_(*INGEST_CTES) + f"""
+SELECT k.id, k.company, k.title, k.source, strftime(k.posted_date, '%Y-%m-%d %H:%M:%S') AS posted_date,
+       sha256(lower({S.strip("k.company")}) || ':' || lower({S.strip("k.title")}) || ':' ||
+              {S.strip("substr(k.description, 1, 250)")}) AS content_hash, m.repost_of_id, m.status
+FROM kept k JOIN marked m USING (id)""")
+def job1_saved_postings(spark, sf):
+    """JOB1's stored rows: META4 -> SET1 -> HASH1 -> JOIN6 -> WIN1."""
+    from postingscope.functions.text import content_hash
+    extra = ["title", "source", "posted_date", content_hash("company", "title", "description").alias("content_hash")]
+    marked, tagged = ingest(spark, sf, extra=extra)
+    rows = tagged.filter("state = 'kept'").join(marked.drop("company"), "id")
+    return rows.select("id", "company", "title", "source", F.date_format("posted_date", "yyyy-MM-dd HH:mm:ss").alias("posted_date"),
+                       "content_hash", "repost_of_id", "status")
 
 
 def _repost_marks(spark, sf):

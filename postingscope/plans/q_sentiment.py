@@ -46,20 +46,20 @@ def agg3_sentiment_by_company(spark, sf):
     return SE.sentiment_by_company(D.reviews(spark, sf), as_of(), D.DATA_FRUSTRATION)
 
 
-@register("set2_company_universe", with_(S.POSTINGS, S.EMBEDDED, S.REVIEWS) +
-          "SELECT company FROM reviews UNION SELECT company FROM embedded")
+@register("set2_company_universe", with_(S.POSTINGS, S.INCOMING, S.REVIEWS) +
+          "SELECT company FROM reviews UNION SELECT company FROM incoming")
 def set2_company_universe(spark, sf):
-    return SE.company_universe(D.reviews(spark, sf), D.embedded_postings(spark, sf))
+    return SE.company_universe(D.reviews(spark, sf), D.incoming_postings(spark, sf))
 
 
-@register("job4_company_sentiment", with_(S.POSTINGS, S.EMBEDDED, S.REVIEWS,
+@register("job4_company_sentiment", with_(S.POSTINGS, S.INCOMING, S.REVIEWS,
                                           S.review_scores_sql(D.DATA_FRUSTRATION),
                                           S.sentiment_sql(D.DATA_FRUSTRATION)) + """
 SELECT u.company, coalesce(s.score, 0.0) AS score, CAST(coalesce(s.review_count, 0) AS INTEGER) AS review_count
-FROM (SELECT company FROM reviews UNION SELECT company FROM embedded) u LEFT JOIN sentiment s USING (company)""")
+FROM (SELECT company FROM reviews UNION SELECT company FROM incoming) u LEFT JOIN sentiment s USING (company)""")
 def job4_company_sentiment(spark, sf):
     """JOB4 = AGG4: every company of reviews or postings (0 if unreviewed)."""
-    out = SE.sentiment_all(D.reviews(spark, sf), D.embedded_postings(spark, sf), as_of(), D.DATA_FRUSTRATION)
+    out = SE.sentiment_all(D.reviews(spark, sf), D.incoming_postings(spark, sf), as_of(), D.DATA_FRUSTRATION)
     return out.drop("computed_at")
 
 

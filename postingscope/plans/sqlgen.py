@@ -147,11 +147,11 @@ reviews AS (
   FROM conversations WHERE role = 'user'
 )"""
 
-EMBEDDED = f"""
-embedded AS (
-  SELECT p.id, 'c' || CAST(e.label AS VARCHAR) AS company, p.title, p.description, p.url,
+INCOMING = """
+incoming AS (
+  SELECT p.id, coalesce('c' || CAST(e.label AS VARCHAR), p.company) AS company, p.title, p.description, p.url,
          p.source, p.posted_date, p.scraped_at, p.salary_listed, p.location, e.embedding
-  FROM embeddings e JOIN postings p ON e.vec_id = p.id
+  FROM postings p LEFT JOIN embeddings e ON e.vec_id = p.id
 )"""
 
 PAGE_EVENTS = f"""

@@ -86,20 +86,6 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def embedded_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Incoming postings with an embedding: embeddings joined to documents on id.
-
-    company = the embedding's label, arrival order = vec_id.
-    """
-    e = table(spark, sf_dir, "embeddings")
-    p = postings(spark, sf_dir).drop("company")
-    j = e.join(p, e["vec_id"] == p["id"], "inner")
-    return j.select(
-        "id", F.concat(F.lit("c"), F.col("label").cast("string")).alias("company"),
-        "title", "description", "url", "source", "posted_date", "scraped_at",
-        "salary_listed", "location", F.col("embedding"))
-
-
 def incoming_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All incoming postings; embedding is null where there is none.
 

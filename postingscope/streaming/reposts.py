@@ -1,63 +1,26 @@
-"""STR2: stateful repost detection on a stream of postings.
-
-State per company: the last k (id, embedding) pairs.  Each micro-batch's
-rows of a company are processed in arrival order against that state
-(`applyInPandasWithState`), so the result equals the batch detector
-(WIN1) run over the same arrival order.  A company's state is bounded by k
-vectors whatever its volume.
+"""STR2: repost detection on a stream of postings.
+
+Every micro-batch goes through the batch detector (WIN1) against the last k
+postings of its companies, which `RecentPostings` keeps in buckets by company;
+the marks and the new last k come into force in one commit.  A company's rows
+are spread over tasks as in the batch, the work follows the micro-batch,
+and the commit carries the query's id and the epoch, so a batch run again
+after a crash changes nothing.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupStateTimeout
-
-from postingscope import lexicons as L
-
-OUT_SCHEMA = "id long, company string, repost_of_id long, max_similarity double, status string"
-STATE_SCHEMA = "ids array<long>, vecs array<array<double>>"
-
 
-def _detector(k: int, threshold: float, min_len: int):
-    def fn(key, pdfs, state):
-        company = key[0]
-        if state.exists:
-            ids, vecs = state.get
-            ids, vecs = list(ids), [np.asarray(v, dtype=float) for v in vecs]
-        else:
-            ids, vecs = [], []
-        out = []
-        batch = pd.concat(list(pdfs), ignore_index=True)
-        batch = batch.sort_values(["scraped_at", "id"], kind="mergesort")
-        for r in batch.itertuples(index=False):
-            v = np.asarray(r.embedding if r.embedding is not None else [], dtype=float)
-            rep, best = None, None
-            desc = r.description if isinstance(r.description, str) else ""
-            if ids and len(desc.strip()) > min_len:
-                nv = float(np.sqrt(v @ v)) if v.size else 0.0
-                sims = []
-                for c in vecs:
-                    nc = float(np.sqrt(c @ c)) if c.size else 0.0
-                    sims.append(float(v @ c) / (nv * nc) if nv > 0 and nc > 0 and c.size == v.size else 0.0)
-                # most recent first; ties -> most recent
-                order = list(range(len(ids) - 1, -1, -1))
-                j = max(order, key=lambda i: (sims[i], i))
-                best = sims[j]
-                if best >= threshold:
-                    rep = ids[j]
-            out.append((r.id, company, rep, best, "repost" if rep is not None else "new"))
-            ids.append(int(r.id))
-            vecs.append(v)
-            ids, vecs = ids[-k:], vecs[-k:]
-        state.update((ids, [list(map(float, x)) for x in vecs]))
-        yield pd.DataFrame(out, columns=["id", "company", "repost_of_id", "max_similarity", "status"])
-    return fn
+from postingscope.operators.reposts import RecentPostings
+from postingscope.operators.store import writer_of
 
 
-def mark_reposts_stream(stream: DataFrame, k: int = L.REPOST_WINDOW, threshold: float = L.SIMILARITY_THRESHOLD,
-                        min_len: int = L.MIN_DESCRIPTION) -> DataFrame:
-    s = stream.select("id", "company", "scraped_at", "description", "embedding")
-    return s.groupBy("company").applyInPandasWithState(
-        _detector(k, threshold, min_len), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+def start_reposts(stream: DataFrame, index: RecentPostings, checkpoint: str, trigger: dict | None = None):
+    """Columns of the stream: id, company, scraped_at, description, embedding."""
+    def handle(batch: DataFrame, epoch_id: int) -> None:
+        index.apply(batch, (writer_of(batch.sparkSession, checkpoint), epoch_id))
+    q = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    if trigger:
+        q = q.trigger(**trigger)
+    return q.start()

@@ -5,10 +5,11 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from postingscope.operators import maintenance as M
-from postingscope.operators.reposts import mark_reposts
+from postingscope.operators.reposts import RecentPostings, mark_reposts
+from postingscope.operators.store import Store
 from postingscope.sources import driver as D
 from postingscope.streaming.dedup import start_dedup
-from postingscope.streaming.reposts import mark_reposts_stream
+from postingscope.streaming.reposts import start_reposts
 from postingscope.streaming.traffic import traffic_sessions_batch, traffic_sessions_stream
 from tests.conftest import SF_SMALL
 
@@ -63,23 +64,48 @@ def test_traffic_stream_equals_batch(spark, tmpdir_path):
     assert len(got) >= len(batch) - ev.select("page_path", "user_id").distinct().count()
 
 
-def test_repost_stream_equals_batch(spark, tmpdir_path):
+def repost_rows(spark, n=40):
     t0 = datetime(2024, 1, 1)
-    rows = [(i, "A" if i % 3 else "B", f"description number {i % 4} long", t0 + timedelta(minutes=i),
-             [float(i % 4), 1.0, 0.5]) for i in range(1, 40)]
-    S = "id long, company string, description string, scraped_at timestamp, embedding array<float>"
-    df = spark.createDataFrame(rows, S)
-    batch = {r.id: (r.status, r.repost_of_id) for r in mark_reposts(df, None, threshold=0.99).collect()}
+    rows = [(i, "HOT" if i % 3 else "B", f"description number {i % 4} long", t0 + timedelta(minutes=i),
+             None if i % 11 == 0 else [float(i % 4), 1.0, 0.5 + i % 7]) for i in range(1, n)]
+    return spark.createDataFrame(rows, "id long, company string, description string, scraped_at timestamp, embedding array<float>")
+
+
+def test_repost_stream_equals_batch(spark, tmpdir_path):
+    df = repost_rows(spark)
+    batch = {r.id: (r.status, r.repost_of_id) for r in mark_reposts(df, None, threshold=0.99, k=5).collect()}
+    assert {"new", "repost"} == {s for s, _ in batch.values()}
     src = os.path.join(tmpdir_path, "posts")
     for lo in range(0, 40, 10):  # files arrive in posting order
         df.filter((F.col("id") > lo) & (F.col("id") <= lo + 10)).coalesce(1).write.mode("append").parquet(src)
+    index = RecentPostings(Store(spark, os.path.join(tmpdir_path, "store"), buckets=4), k=5, threshold=0.99)
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    q = (mark_reposts_stream(stream, threshold=0.99).writeStream.outputMode("append").format("memory")
-         .queryName("rep_test").option("checkpointLocation", os.path.join(tmpdir_path, "ck2")).start())
-    q.processAllAvailable()
-    q.stop()
-    got = {r.id: (r.status, r.repost_of_id) for r in spark.table("rep_test").collect()}
-    assert got == batch
+    for _ in range(2):          # the second start finds nothing to do
+        q = start_reposts(stream, index, os.path.join(tmpdir_path, "ck2"))
+        q.processAllAvailable()
+        q.stop()
+    got = {r.id: (r.status, r.repost_of_id) for r in index.store.read(index.marks).collect()}
+    assert got == batch and index.store.versions() == [0, 1, 2, 3]
+
+
+def test_recent_postings_work_follows_the_batch(spark, tmpdir_path):
+    """Same marks as the whole stored table; only the buckets of the batch's companies change; an epoch run again changes nothing."""
+    df = repost_rows(spark, 300)
+    others = spark.createDataFrame([(1000 + i, f"C{i}", "text long enough", datetime(2024, 1, 1), [1.0, float(i), 0.0]) for i in range(200)], df.schema)
+    stored, arriving = df.filter("id <= 200").unionByName(others), df.filter("id > 200")
+    want = {r.id: (r.status, r.repost_of_id) for r in mark_reposts(arriving, stored, threshold=0.999).collect()}
+    store = Store(spark, os.path.join(tmpdir_path, "store"), buckets=32)
+    index = RecentPostings(store, threshold=0.999)
+    index.load(stored)
+    before = store.manifest()["tables"][index.recent]["files"]
+    assert store.read(index.recent).groupBy("company").count().agg(F.max("count")).first()[0] == 20
+    index.apply(arriving, ("w", 0))
+    index.apply(arriving, ("w", 0))
+    after = store.manifest()["tables"][index.recent]["files"]
+    assert 1 <= len([b for b in after if after[b] != before.get(b)]) <= 2 and len(before) > 20
+    assert {r.id: (r.status, r.repost_of_id) for r in store.read(index.marks).collect()} == want
+    last = {c: sorted(r.id for r in df.filter(f"company = '{c}'").orderBy(F.desc("id")).limit(20).collect()) for c in ("HOT", "B")}
+    assert {c: sorted(r.id for r in store.read(index.recent).filter(f"company = '{c}'").collect()) for c in last} == last
 
 
 def test_dedup_stream(spark, tmpdir_path):
