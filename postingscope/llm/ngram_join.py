@@ -6,11 +6,11 @@ n - need(n) + l members of both sets, in any order common to all sets, share at
 matches).  With two different lengths the smaller l holds.
 
 1. Documents with equal sets are one class; classes take part once.
-2. Which classes can link at all?  In hash order, prefixes with l = a tenth of the set are exchanged: partitions send
-   (token, class tag) packed by a hash of the token, to as many owners as the text asks for; owners credit every class whose token is held by another class
-   too.  A token that a sender sees in several classes is sent once and credited on the spot, so frequent
-   tokens stay small.  Classes with fewer than l credits have no partner; the rest ("candidates") is read
-   again in full.
+2. Which classes can link at all?  In hash order, prefixes with l = a tenth of the set are exchanged: a second read of the texts
+   sends (token, class tag) packed by a hash of the token, to as many owners as the text asks for; owners credit every class
+   whose token is held by another class too, and credits are added up by ranges of tags.  A token that a sender sees
+   in several classes is sent once and credited on the spot, so frequent tokens stay small.  Classes with fewer than
+   l credits have no partner; the rest ("candidates") is read again in full.
 3. Among candidates tokens are counted exactly and ordered rare first; tokens held once only count towards the
    prefix.  Each class chooses its own l: the estimated cost of a length is the sum of its tokens' frequencies
    (list entries read) plus the bound sum / l on the partners to verify; the cheapest l wins, so classes with
@@ -19,7 +19,9 @@ matches).  With two different lengths the smaller l holds.
    families that agree on a min-hash (linear, salted); the links found are true links and give first
    components, so that a family does not meet itself pair by pair.
 5. The prefix index is joined on tokens between classes and components: (class, other component) pairs with at
-   least min(l of the class, smallest l of the component) matches are verified exactly, in blocks of members.
+   least min(l of the class, smallest l of the component) matches are verified exactly, in blocks of members.  The larger
+   of two partners finds the smaller one, which shares 6/7 of itself, not only 3/4, and so lists fewer tokens; a class
+   whose shared tokens are fewer than that is not listed at all.
    This is the pairwise join with equal partners' components folded; a pair inside one component need not be
    verified.  No link between different components can be missed, so the components are exact.
 
@@ -39,14 +41,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postingscope.llm.common import (bounded_filter, cut, free_name, lean_group, lean_map, may_contain, shuffle_partitions,
-                                      small_batches)
+from postingscope.llm.common import (bounded_filter, cut, free_name, lean_group, lean_map, may_contain, per_key, small_batches)
 from postingscope.llm.components import components as connected
 from postingscope.llm.textbytes import mix64, shingle_sets
 
 PERCENT = 75                # 100 * intersection >= PERCENT * union
 FLUSH_TOKENS = 1 << 20      # tokens a sender gathers before it sends
 OWNED_TOKENS = 1 << 20      # tokens that one owner sorts, at most on average
+RANGE_TAGS = 1 << 20        # classes whose credits are added up together
 MAX_L = 16                  # longest extension of a candidate's prefix
 VERIFY_COST = 8             # verifying one partner costs as much as reading so many list entries
 FAMILY_FREQUENCY = 64       # mean token frequency in the prefix from which a class is compared with pivots first
@@ -68,10 +70,10 @@ def _key(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def owners(octets: int, partitions: int) -> int:
+def owners(octets: int) -> int:
     """How many owners share the prefix tokens of texts of so many bytes (a word and its end take two at least)."""
     words = octets // 2 + 1
-    return max(16, 4 * partitions, -(-words * (100 - PERCENT + 10) // 100 // OWNED_TOKENS))
+    return max(16, -(-words * (100 - PERCENT + 10) // 100 // OWNED_TOKENS))
 
 
 def owner_of(tokens: np.ndarray, buckets: int) -> np.ndarray:
@@ -79,58 +81,68 @@ def owner_of(tokens: np.ndarray, buckets: int) -> np.ndarray:
     return (mix64(tokens) % np.uint64(buckets)).astype(np.int64)
 
 
-def _exchange(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, key, n) of every row, and (tag, credits) of classes (steps 1 and 2).
+def _pack(values: np.ndarray, size: int) -> np.ndarray:
+    """The low `size` bytes of every value, one row each."""
+    return values.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :size]
+
+
+def _unpack(col, size: int) -> np.ndarray:
+    raw = np.frombuffer(b"".join(x.as_buffer() for x in col if x.is_valid), np.uint8).reshape(-1, size)
+    full = np.zeros((len(raw), 8), np.uint8)
+    full[:, :size] = raw
+    return full.view(np.uint64).ravel()
+
+
+def _keyed(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, key, n) of every row; key is null for empty sets."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [(_key(s) if len(s) else None, len(s)) for s in shingle_sets(b.column(1), words)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k for k, _ in sets], pa.binary()), pa.array([n for _, n in sets], pa.int64())],
+                                             names=["doc_id", "key", "n"])
 
-    Only packed tokens go to the owners; rows and credits given on the spot are written before.
-    """
-    spark = docs.sparkSession
-    octets = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
-    buckets = owners(octets, shuffle_partitions(spark))
     kind = dict(docs.dtypes)["doc_id"]
+    return cut(docs.select("doc_id", "text").mapInArrow(lean_map(run), f"doc_id {kind}, key binary, n bigint"))
+
 
-    def rows(**cols) -> pa.RecordBatch:
-        n = len(next(iter(cols.values())))
-        types = {"kind": pa.int32(), "bucket": pa.int32(), "doc_id": doc_type[0], "key": pa.binary(), "n": pa.int64(),
-                 "tag": pa.int64(), "tokens": pa.binary(), "tags": pa.binary()}
-        return pa.RecordBatch.from_arrays([pa.array(cols[c], t) if c in cols else pa.nulls(n, t) for c, t in types.items()], names=list(types))
+def _credits(docs: DataFrame, words: int, classes: int) -> DataFrame:
+    """(tag, credits): how many prefix tokens of a class are held by another one too (step 2).
 
-    doc_type = [pa.int64()]
+    The texts are read once more and their packed tokens go straight into the exchange, so they are never
+    written elsewhere.  What an owner credits goes on packed by ranges of tags and is added up there.
+    """
+    octets = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    buckets, ranges = owners(octets), -(-max(1, classes) // RANGE_TAGS)
 
-    def packet(tokens: list[np.ndarray], tags: list[int]) -> Iterator[pa.RecordBatch]:
+    def by(where: np.ndarray, n: int, *cols: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
+        """Rows dealt out by `where` (0 .. n - 1): the number and the bytes of every column."""
+        order = np.argsort(where, kind="stable")
+        cuts = np.searchsorted(where[order], np.arange(n + 1))
+        cols = [c[order] for c in cols]
+        for k in np.flatnonzero(cuts[1:] > cuts[:-1]):
+            yield int(k), [c[cuts[k]:cuts[k + 1]].tobytes() for c in cols]
+
+    def packet(tokens: list[np.ndarray], tags: list[int]) -> pa.RecordBatch:
         flat = np.concatenate(tokens) >> np.uint64(16)
         own = np.repeat(np.array(tags, dtype=np.uint64), [len(t) for t in tokens])
         order = np.argsort(flat, kind="stable")
         flat, own = flat[order], own[order]
-        first = np.r_[True, flat[1:] != flat[:-1]]
-        edge = np.flatnonzero(first)
+        edge = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
         several = np.diff(np.r_[edge, len(flat)]) > 1
         inside = np.repeat(several, np.diff(np.r_[edge, len(flat)]))
-        tag, n = np.unique(own[inside], return_counts=True)             # credited on the spot
+        tag, n = np.unique(own[inside], return_counts=True)                     # credited on the spot
+        flat, own = flat[edge], np.where(several, np.uint64(0), own[edge])      # tag 0: held by several
+        rows = [(k, x, y, None, None) for k, (x, y) in by(owner_of(flat, buckets), buckets, _pack(flat, 6), _pack(own, 5))]
         if len(tag):
-            yield rows(kind=np.ones(len(tag), np.int32), n=n.astype(np.int64), tag=tag.astype(np.int64))
-        flat, own = flat[edge], np.where(several, np.uint64(0), own[edge])   # tag 0: held by several
-        where = owner_of(flat, buckets)
-        order = np.argsort(where, kind="stable")
-        flat, own, where = flat[order], own[order], where[order]
-        cuts = np.searchsorted(where, np.arange(buckets + 1))
-        token_bytes = flat.view(np.uint8).reshape(-1, 8)[:, :6]
-        tag_bytes = own.view(np.uint8).reshape(-1, 8)[:, :5]
-        used = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-        if used:
-            yield rows(kind=np.full(len(used), 2, np.int32), bucket=np.array(used, np.int32),
-                       tokens=[token_bytes[cuts[b]:cuts[b + 1]].tobytes() for b in used],
-                       tags=[tag_bytes[cuts[b]:cuts[b + 1]].tobytes() for b in used])
+            rows += [(k, None, None, x, y) for k, (x, y) in by(owner_of(tag, buckets), buckets, _pack(tag, 5), n.astype(np.uint32))]
+        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=["bucket", "tokens", "tags", "credited", "counts"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, tags, here, held = [], [], set(), 0
         for b in batches:
-            doc_type[0] = b.column(0).type
-            keys, sizes = [], []
-            for s in shingle_sets(b.column(1), words):
+            for s in shingle_sets(b.column(0), words):
                 key = _key(s) if len(s) else None
-                keys.append(key)
-                sizes.append(len(s))
                 if key is None or key in here:
                     continue
                 here.add(key)
@@ -140,34 +152,44 @@ def _exchange(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
                 tags.append(int.from_bytes(key[:5], "little") or 1)
                 held += length
                 if held >= FLUSH_TOKENS:
-                    yield from packet(tokens, tags)
+                    yield packet(tokens, tags)
                     tokens, tags, here, held = [], [], set(), 0
-            yield rows(kind=np.zeros(len(keys), np.int32), doc_id=b.column(0), key=keys, n=np.array(sizes, np.int64))
         if tokens:
-            yield from packet(tokens, tags)
+            yield packet(tokens, tags)
 
     def own(t: pa.Table) -> pa.Table:
-        def wide(col: str, size: int) -> np.ndarray:
-            raw = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, size) for x in t[col].to_pylist()])
-            full = np.zeros((len(raw), 8), np.uint8)
-            full[:, :size] = raw
-            return full.view(np.uint64).ravel()
-
-        tok, tag = wide("tokens", 6), wide("tags", 5)
+        tok, tag = _unpack(t["tokens"], 6), _unpack(t["tags"], 5)
         order = np.lexsort((tag, tok))
         tok, tag = tok[order], tag[order]
-        new = np.r_[True, tok[1:] != tok[:-1]]
-        fresh = new | np.r_[True, tag[1:] != tag[:-1]]
+        new = np.r_[True, tok[1:] != tok[:-1]][:len(tok)]
+        fresh = new | np.r_[True, tag[1:] != tag[:-1]][:len(tok)]
         group = np.cumsum(new) - 1
-        shared = np.bincount(group[fresh], minlength=group[-1] + 1) + np.bincount(group, weights=tag == 0, minlength=group[-1] + 1) > 1
-        who, n = np.unique(tag[fresh & shared[group] & (tag > 0)], return_counts=True)
-        return pa.table({"tag": pa.array(who.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
-
-    sent = cut(docs.select("doc_id", "text").mapInArrow(lean_map(send), f"kind int, bucket int, doc_id {kind}, key binary, n bigint, tag bigint, tokens binary, tags binary"))
-    seen = cut(sent.where("kind < 2").select("kind", "doc_id", "key", "n", "tag"))      # without the packets, as it is read again
-    owned = sent.where("kind = 2").select("bucket", "tokens", "tags").groupBy("bucket").applyInArrow(lean_group(own), "tag bigint, n bigint")
-    credits = seen.where("kind = 1").select("tag", "n").unionByName(owned).groupBy("tag").agg(F.sum("n").alias("credits"))
-    return seen.where("kind = 0").select("doc_id", "key", "n"), credits
+        shared = np.bincount(group[fresh]) + np.bincount(group, weights=tag == 0) > 1 if len(tok) else np.zeros(0, bool)
+        met = tag[fresh & shared[group] & (tag > 0)] if len(tok) else tag
+        told = np.frombuffer(b"".join(x.as_buffer() for x in t["counts"] if x.is_valid), np.uint32)
+        who, n = add_up(np.r_[met, _unpack(t["credited"], 5)], np.r_[np.ones(len(met), np.int64), told.astype(np.int64)])
+        rows = list(by((who % np.uint64(ranges)).astype(np.int64), ranges, _pack(who, 5), n.astype(np.uint32)))
+        return pa.table({"part": pa.array([k for k, _ in rows], pa.int32()), "tags": pa.array([x[0] for _, x in rows], pa.binary()),
+                         "counts": pa.array([x[1] for _, x in rows], pa.binary())})
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for b in batches:                       # what is held grows with the tags of the range, not with what is sent
+            counts = np.frombuffer(b"".join(x.as_buffer() for x in b.column("counts")), np.uint32)
+            who, n = add_up(np.r_[who, _unpack(b.column("tags"), 5)], np.r_[n, counts.astype(np.int64)])
+        yield pa.RecordBatch.from_arrays([pa.array(who.astype(np.int64)), pa.array(n)], names=["tag", "credits"])
+
+    owned = (docs.select("text").mapInArrow(lean_map(send), "bucket int, tokens binary, tags binary, credited binary, counts binary")
+             .groupBy("bucket").applyInArrow(lean_group(own), "part int, tags binary, counts binary"))
+    return owned.groupBy("part").applyInArrow(total, "tag bigint, credits bigint")
+
+
+def add_up(who: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, sorted, and the sum of n of each."""
+    order = np.argsort(who, kind="stable")
+    who, n = who[order], n[order]
+    edge = np.flatnonzero(np.r_[True, who[1:] != who[:-1]][:len(who)])
+    return who[edge], np.add.reduceat(n, edge) if len(edge) else n
 
 
 def _low(key: str, size: int):
@@ -221,23 +243,33 @@ def choose_prefix(n: int, freqs: np.ndarray) -> tuple[int, int]:
     return int(ls[best]), base + int(ls[best])
 
 
+def index_length(n: int, held: int, l: int) -> int:
+    """How many of the shared tokens are listed for larger partners to find: with a partner of n members or more the overlap is 6/7 n at least.
+
+    None if even all `held` shared tokens stay below that: then only a smaller partner, which this one finds, can link.
+    """
+    least = -(-2 * PERCENT * n // (100 + PERCENT))
+    return held - least + l if held >= least else 0
+
+
 def _prefixes(ordered: DataFrame) -> DataFrame:
     """Adds l, k (prefix length), family (whether frequent tokens ask for pivots) and the min-hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ls, ks, family, hashes = [], [], [], []
+            ls, ks, kis, family, hashes = [], [], [], [], []
             for n, toks, freqs in zip(b.column(1).to_pylist(), b.column(2), b.column(3)):
                 f, t = np.array(freqs.values), np.array(toks.values).astype(np.int64).view(np.uint64)
                 le, k = choose_prefix(n, f)
                 ls.append(le)
                 ks.append(k)
+                kis.append(index_length(n, len(f), le))
                 hot = f[:k].mean() >= FAMILY_FREQUENCY or np.median(f) >= FAMILY_FREQUENCY
                 family.append(bool(hot))
                 hashes.append([int(mix64(t ^ np.uint64(0x5851F42D4C957F2D * (r + 1) & (1 << 64) - 1)).min().view(np.int64)) for r in range(PIVOT_ROUNDS)] if hot else [])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ls, pa.int32()), pa.array(ks, pa.int32()), pa.array(family, pa.bool_()),
-                                              pa.array(hashes, pa.list_(pa.int64()))], names=[*b.schema.names, "l", "k", "family", "hashes"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ls, pa.int32()), pa.array(ks, pa.int32()), pa.array(kis, pa.int32()), pa.array(family, pa.bool_()),
+                                              pa.array(hashes, pa.list_(pa.int64()))], names=[*b.schema.names, "l", "k", "ki", "family", "hashes"])
 
-    return cut(ordered.mapInArrow(lean_map(run), "cid bigint, n bigint, toks array<bigint>, freqs array<bigint>, l int, k int, family boolean, hashes array<bigint>"))
+    return cut(ordered.mapInArrow(lean_map(run), "cid bigint, n bigint, toks array<bigint>, freqs array<bigint>, l int, k int, ki int, family boolean, hashes array<bigint>"))
 
 
 def overlaps(a_sets: list[np.ndarray], b_sets: list[np.ndarray], least: np.ndarray | None = None) -> np.ndarray:
@@ -267,8 +299,8 @@ def _sets(col) -> list[np.ndarray]:
 def _pivot_links(prefixed: DataFrame) -> DataFrame:
     """(u, v): true links between family members and the pivots of their min-hash groups (step 4)."""
     long = prefixed.where("family").select("cid", "n", "toks", F.posexplode("hashes").alias("r", "h"))
-    sizes = long.groupBy(F.col("r").alias("gr"), F.col("h").alias("gh")).agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    salted = (long.join(sizes, F.expr("r = gr and h = gh"))
+    sizes = cut(long.groupBy("r", "h").agg(F.count(F.lit(1)).alias("members")).where("members > 1").withColumn("rows", F.col("members")))
+    salted = (per_key(long, sizes, ["r", "h"], "rows", sizes.agg(F.sum("rows")).first()[0] or 0).where("members is not null")
               .withColumn("salt", F.expr(f"pmod(xxhash64(cid, r), (members + {FAMILY_GROUP - 1}) div {FAMILY_GROUP})"))
               .select("r", "h", "salt", "cid", "n", "toks"))
 
@@ -294,8 +326,9 @@ def _verified(prefixed: DataFrame, first: DataFrame) -> DataFrame:
     stats = known.groupBy(F.col("comp").alias("sc")).agg(F.min("l").alias("lmin"), F.min("n").alias("nmin"), F.max("n").alias("nmax"),
                                                          F.count(F.lit(1)).alias("members"))
     px = known.select("cid", "n", "l", "comp", F.explode(F.slice("toks", F.lit(1), F.col("k"))).alias("t"))
-    pa_ = px.select(F.col("t").alias("at"), F.col("comp").alias("other")).distinct()
-    pairs = (px.join(pa_, F.expr("t = at and other < comp")).groupBy("cid", "n", "l", "other").agg(F.count(F.lit(1)).alias("matches"))
+    listed = (known.where("ki > 0").select("comp", "n", F.explode(F.slice("toks", F.lit(1), F.col("ki"))).alias("t"))
+              .groupBy(F.col("t").alias("at"), F.col("comp").alias("other")).agg(F.min("n").alias("least")))
+    pairs = (px.join(listed, F.expr("t = at and other <> comp and (least < n or least = n and other < comp)")).groupBy("cid", "n", "l", "other").agg(F.count(F.lit(1)).alias("matches"))
              .join(stats, F.expr("other = sc"))
              .where(f"matches >= least(l, lmin) and 100 * nmin <= n * 10000 / {PERCENT} and 100 * nmax >= {PERCENT} * n")
              .select("cid", "n", "other", "members"))
@@ -327,10 +360,10 @@ def components(docs: DataFrame, text: str = "text", id_col: str = "doc_id", word
     """Per row: doc_id, n_shingles, component_id, copies (rows with the same shingle set)."""
     small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    rows, credits = _exchange(slim, words)
+    rows = _keyed(slim, words)
     classes = (rows.where("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("copies"))
                .withColumn("tag5", _low("key", 5)).withColumn("cid", _low("key", 8).bitwiseAND((1 << 60) - 1)))
-    cand = _candidates(slim, classes, credits, words)
+    cand = _candidates(slim, classes, _credits(slim, words, classes.count()), words)
     prefixed = _prefixes(_ordered(cand))
     seeds = cut(_pivot_links(prefixed))
     found = _verified(prefixed, connected(seeds))

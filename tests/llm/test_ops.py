@@ -167,7 +167,7 @@ def test_owners_of_tokens_are_bounded_and_even(spark, monkeypatch):
     prefixes = rng.integers(0, int(0.35 * 2 ** 48), 200_000).astype(np.uint64)
     held = np.bincount(ngram_join.owner_of(prefixes, 64), minlength=64)
     assert held.max() < 1.2 * held.mean()
-    assert ngram_join.owners(10 ** 15, 200) * ngram_join.OWNED_TOKENS >= 10 ** 15 // 2 * 35 // 100 and ngram_join.owners(0, 4) == 16
+    assert ngram_join.owners(10 ** 15) * ngram_join.OWNED_TOKENS >= 10 ** 15 // 2 * 35 // 100 and ngram_join.owners(0) == 16
     copies = " ".join(f"same{i}" for i in range(30))
     texts = [copies if i % 3 else " ".join(f"w{i}x{j}" for j in range(30)) for i in range(90)]
     slim = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -182,17 +182,55 @@ def test_owners_of_tokens_are_bounded_and_even(spark, monkeypatch):
         return plain(run)
 
     monkeypatch.setattr(ngram_join, "lean_group", counted)
-    rows, credits = ngram_join._exchange(slim, 5)
-    buckets = ngram_join.owners(sum(map(len, texts)), 4)
-    credits.count()
+    rows = ngram_join._keyed(slim, 5)
+    buckets = ngram_join.owners(sum(map(len, texts)))
+    monkeypatch.setattr(ngram_join, "RANGE_TAGS", 7)
+    credits = {r.tag: r.credits for r in ngram_join._credits(slim, 5, 31).collect()}
     assert buckets > 16 and rows.count() == 90
-    # packets only: each sender has at most one for an owner, and no owner sees a row of the table
-    assert 0 < met.value <= slim.rdd.getNumPartitions() * buckets
+    # packets only: each sender has at most one of tokens and one of credits for an owner, and no owner sees a row of the table
+    assert 0 < met.value <= 2 * slim.rdd.getNumPartitions() * buckets
+    # credits are exact: tokens of a prefix that another class holds in its prefix
+    prefix = {}
+    for s in {tuple(s.tolist()): s for s in textbytes.shingle_sets(pa.array(texts), 5)}.values():
+        key = ngram_join._key(s)
+        prefix[int.from_bytes(key[:5], "little") or 1] = {int(x) >> 16 for x in s[:len(s) - int(ngram_join.need(np.int64(len(s)))) + -(-len(s) // 10)]}
+    held = Counter(x for v in prefix.values() for x in v)
+    assert credits == {t: n for t, v in prefix.items() if (n := sum(held[x] > 1 for x in v))}
     monkeypatch.setattr(ngram_join, "lean_group", plain)
     got = {r.doc_id: (r.component_id, r.copies) for r in ngram_join.components(slim).collect()}
     assert got == {i: ((1, 60) if i % 3 else (i, 1)) for i in range(90)}
 
 
+def test_shared_passage_makes_few_candidates(spark, monkeypatch):
+    """Documents that share most, but not enough, of their shingles are not all paired; sizes about the bound link as brute force says."""
+    rng = random.Random(12)
+    passage, texts = [f"p{i}" for i in range(84)], []
+    for i in range(300):
+        texts.append(" ".join(passage + [f"own{i}x{j}" for j in range(20)]))
+    for i in range(40):                         # overlaps on both sides of the bound, with unequal sizes
+        texts.append(" ".join(passage + [f"b{i // 2}y{j}" for j in range(rng.choice([0, 3, 26, 28, 30, 34]))]))
+    seen = []
+    real = ngram_join.cut
+    monkeypatch.setattr(ngram_join, "cut", lambda df: seen.append(out := real(df)) or out)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in ngram_join.components(df).collect()}
+    pairs = [d for d in seen if d.columns == ["cid", "n", "other", "members"]]
+    assert len(pairs) == 1 and pairs[0].count() < 20 * len(texts)
+    sets = [{tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    assert got == {i: find(i) for i in range(len(texts))} and len(set(got.values())) < len(texts)
+
+
 def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101), (103, 100), (200, 201), (5, 5)]
     got = {r.node: r.root for r in connected(spark.createDataFrame(edges, "u long, v long")).collect()}
