@@ -49,17 +49,29 @@ def word_count(c) -> Column:
 
 
 # --------------------------------------------------------------------- TXT1
-def _drop_spans(c: Column, start: str, end: str) -> Column:
+def _drop_spans(c: Column, start: str, end: str, mark: str | None = None) -> Column:
     """Every span from `start` to the next `end` becomes a space.
 
     Only the text up to the last `end` is searched: openings after it are
     never closed, and each would scan to the end of the text in vain.  The
-    one-element array names the text once, however often it is used.
+    one-element array names the text once, however often it is used.  A text
+    without the lower-case `mark`, part of every `end`, is left as it is.
     """
     def closed_part(x):
         head = F.regexp_extract(x, f"(?is)^.*{end}", 0)
         return F.concat(F.regexp_replace(head, f"(?is){start}.*?{end}", " "),
                         x.substr(F.length(head) + 1, F.length(x)))
+
+    def guarded(x):
+        return closed_part(x) if mark is None else F.when(F.contains(F.lower(x), F.lit(mark)), closed_part(x)).otherwise(x)
+    return F.element_at(F.transform(F.array(c), guarded), 1)
+
+
+def _drop_literal(c: Column, span: str, end: str) -> Column:
+    """Every span becomes a space; the text after the last `end`, where no span can close, is not searched."""
+    def closed_part(x):
+        tail = F.length(F.substring_index(x, end, -1))
+        return F.concat(F.regexp_replace(x.substr(F.lit(1), F.length(x) - tail), span, " "), x.substr(F.length(x) - tail + 1, F.length(x)))
     return F.element_at(F.transform(F.array(c), closed_part), 1)
 
 
@@ -67,14 +79,15 @@ def strip_markup(c, elements=None) -> Column:
     """Drop whole non-content elements, comments, then remaining tags.
 
     Applied only when the text contains both '<' and '>'.  Each element is
-    removed with its own pattern (no back-references), one pass per tag.
+    removed with its own pattern (no back-references), one pass per tag that
+    the text closes somewhere.
     """
     c = col(c)
     out = c
     for tag in (elements or L.DROPPED_ELEMENTS):
-        out = _drop_spans(out, rf"<{tag}\b[^>]*>", rf"</{tag}\s*>")
-    out = _drop_spans(out, "<!--", "-->")
-    out = _drop_spans(out, "<", ">")
+        out = _drop_spans(out, rf"<{tag}\b[^>]*>", rf"</{tag}\s*>", f"</{tag}".lower())
+    out = _drop_literal(out, "(?s)<!--.*?-->", "-->")
+    out = _drop_literal(out, "(?s)<[^>]*>", ">")
     return F.when(c.contains("<") & c.contains(">"), out).otherwise(c)
 
 

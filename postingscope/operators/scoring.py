@@ -13,36 +13,43 @@ from postingscope.functions.features import (bootstrap_label, clamp01r4, final_s
 from postingscope.functions.text import WORD, best_text
 
 
+BROADCAST_NOUNS = 1_000_000     # a noun table of at most so many rows is sent to every executor
+
+
+def noun_share(df: DataFrame, nouns: DataFrame, text: str = "_text", key: str = "id", vague=None) -> DataFrame:
+    """(_k, _n, _v): nouns and vague nouns of every text that has a noun.
+
+    With a noun table `(token, lemma, is_proper)`: each text's tokens are paired with their
+    predecessor inside the array (no shuffle), exploded, and joined to the noun table, which is counted first:
+    up to BROADCAST_NOUNS rows it is broadcast, so that tokens are never shuffled; beyond, equal tokens of a
+    text are counted before they are.  A token directly preceded by a number counts as numerically modified.
+    """
+    vague = [v.lower() for v in (L.VAGUE_NOUNS if vague is None else vague)]
+    toks = df.select(F.col(key).alias("_k"), F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), 0).alias("_toks"))
+    # each token beside its predecessor: zip the array with itself shifted by
+    # one (built-in array functions, no lambda), then explode
+    prev = F.when(F.size("_toks") > 0, F.concat(F.array(F.lit(None).cast("string")), F.slice("_toks", F.lit(1), F.size("_toks") - 1)))
+    ex = toks.withColumn("_prev", prev).select("_k", F.explode(F.arrays_zip("_toks", "_prev")).alias("_t"))
+    ex = ex.select("_k", F.col("_t._toks").alias("token"), F.coalesce(F.col("_t._prev").rlike("^[0-9]+$"), F.lit(False)).alias("_num"))
+    is_vague = (F.lower("lemma").isin(vague) & ~F.col("is_proper").cast("boolean")).alias("_vague")
+    nn = nouns.select(F.lower("token").alias("token"), is_vague).groupBy("token").agg(F.first("_vague").alias("_vague")).checkpoint(eager=True)
+    if nn.count() <= BROADCAST_NOUNS:
+        j = ex.join(F.broadcast(nn), "token").withColumn("_times", F.lit(1))
+    else:
+        j = ex.groupBy("_k", "token", "_num").agg(F.count(F.lit(1)).alias("_times")).join(nn, "token")
+    return j.groupBy("_k").agg(F.sum("_times").alias("_n"), F.sum(F.when(F.col("_vague") & ~F.col("_num"), F.col("_times")).otherwise(0)).alias("_v"))
+
+
 def vagueness(df: DataFrame, nouns: DataFrame | None = None, text: str = "_text",
               key: str = "id", vague=None) -> DataFrame:
     """FEAT3: share of nouns that are vague common nouns without a numeric modifier.
 
-    `nouns=None` is the tagger-less path: no token is tagged as a noun, so the
-    score is 0.0.  With a noun table `(token, lemma, is_proper)`: each text's
-    tokens are paired with their predecessor inside the array (no shuffle),
-    exploded, joined to the noun table (AQE broadcasts it when small), and
-    counted per posting with map-side partial aggregation.  A token directly
-    preceded by a number counts as numerically modified.
+    `nouns=None` is the tagger-less path: no token is tagged as a noun, so the score is 0.0.
     """
     if nouns is None:
         return df.withColumn("vagueness_score", F.lit(0.0))
-    vague = [v.lower() for v in (L.VAGUE_NOUNS if vague is None else vague)]
-    toks = df.select(F.col(key).alias("_k"),
-                     F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), 0).alias("_toks"))
-    # each token beside its predecessor: zip the array with itself shifted by
-    # one (built-in array functions, no lambda), then explode
-    prev = F.when(F.size("_toks") > 0, F.concat(F.array(F.lit(None).cast("string")),
-                                                  F.slice("_toks", F.lit(1), F.size("_toks") - 1)))
-    toks = toks.withColumn("_prev", prev)
-    ex = toks.select("_k", F.explode(F.arrays_zip("_toks", "_prev")).alias("_t"))
-    ex = ex.select("_k", F.col("_t._toks").alias("token"),
-                   F.coalesce(F.col("_t._prev").rlike("^[0-9]+$"), F.lit(False)).alias("_num"))
-    nn = nouns.select(F.lower("token").alias("token"), F.lower("lemma").alias("lemma"),
-                      F.col("is_proper").cast("boolean").alias("is_proper")).dropDuplicates(["token"])
-    j = ex.join(nn, "token")
-    is_vague = F.col("lemma").isin(vague) & ~F.col("is_proper") & ~F.col("_num")
-    agg = j.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"), F.count_if(is_vague).alias("_v"))
-    out = df.join(agg, df[key] == agg["_k"], "left").drop("_k")
+    share = noun_share(df, nouns, text, key, vague)
+    out = df.join(share, df[key] == share["_k"], "left").drop("_k")
     score = F.when(F.coalesce("_n", F.lit(0)) == 0, F.lit(0.0)).otherwise(
         clamp01r4(F.col("_v") / F.col("_n")))
     return out.withColumn("vagueness_score", score).drop("_n", "_v")
@@ -56,25 +63,27 @@ def posting_features(postings: DataFrame, generic=None, urgent=None,
     The lowered text, its word count and the phrase hit counts are staged as
     columns: each is consumed more than once, so the optimizer keeps each in
     its own projection and every text is lowered and scanned once, all in
-    whole-stage codegen.
+    whole-stage codegen.  The nouns, which need a join, come last: where the
+    result needs no text, only numbers go through it.
     """
     from postingscope.functions.features import density_of, phrase_hits
-    from postingscope.functions.text import WORD
+    from postingscope.functions.text import is_blank
     g_lex = L.GENERIC_BUZZWORDS if generic is None else generic
     u_lex = L.URGENCY_PHRASES if urgent is None else urgent
     df = postings.withColumn("_text", best_text("cleaned_text", "description"))
-    df = vagueness(df, nouns, vague=vague)
     df = df.withColumn("_lt", F.lower(F.col("_text")))
     df = (df.withColumn("_words", F.coalesce(F.regexp_count(F.col("_lt"), F.lit(WORD)), F.lit(0)))
             .withColumn("_gh", phrase_hits("_lt", g_lex, lowered=True))
-            .withColumn("_uh", phrase_hits("_lt", u_lex, lowered=True)))
+            .withColumn("_uh", phrase_hits("_lt", u_lex, lowered=True))
+            .withColumn("_some", F.when(~is_blank("_text"), F.lit("x"))))
     cnt = "repost_count" if "repost_count" in postings.columns else None
     df = (df.withColumn("genericness_score", density_of("_gh", "_words", L.GENERICNESS_SCALE))
             .withColumn("urgency_score", density_of("_uh", "_words", L.URGENCY_SCALE))
             .withColumn("repost_score", repost_score("repost_of_id", cnt))
             .drop("_lt", "_gh", "_uh", "_words"))
+    df = vagueness(df, nouns, vague=vague)
     return df.withColumn("bert_score", rule_probability(
-        "genericness_score", "vagueness_score", "repost_score", "urgency_score", "_text"))
+        "genericness_score", "vagueness_score", "repost_score", "urgency_score", "_some")).drop("_some")
 
 
 def with_sentiment(postings: DataFrame, sentiment: DataFrame) -> DataFrame:

@@ -1,20 +1,16 @@
 """Statistics (AGG10-18, FLT6).
 
-All statistics are single-pass aggregates (map-side partial, one tiny final
-merge).  Ranks and percentiles work on the distinct values of a column --
-scores are rounded, so at most 10 001 distinct values reach a final step --
-and the running rank is computed with a range-partitioned prefix sum, not a
-single-partition window.
+All statistics are aggregates with map-side partials and one tiny final
+merge.  Ranks and percentiles work on the distinct values of a column, however
+many: these are dealt out by ranges, the counts of the ranges (one row each)
+tell where a wanted rank lies, and only there values are ordered.  p-values
+come from the JVM's incomplete beta function.
 """
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from postingscope.functions.features import pyround
 
@@ -25,79 +21,59 @@ def valid_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- AGG10
+def value_ranges(df: DataFrame, col: str) -> DataFrame:
+    """(_v, _c, _part): distinct non-null values with their counts, dealt out by ranges of the value."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    freq = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    return freq.repartitionByRange(n, "_v").withColumn("_part", F.spark_partition_id()).checkpoint(eager=True)
+
+
+def quantiles(ranges: DataFrame, probs: list[float]) -> DataFrame:
+    """One row (q0, q1, ...): exact quantiles with linear interpolation (as numpy) of a table from `value_ranges`; null without rows.
+
+    Running counts are taken over the ranges, one row each; values are ordered only in the ranges that hold a wanted rank."""
+    sizes = ranges.groupBy("_part").agg(F.sum("_c").alias("_n"))
+    starts = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))       # one row per range
+    places = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
+    ranks = (sizes.agg(F.sum("_n").alias("_all")).where("_all > 0").select("_all", F.explode(places).alias("x"))
+             .select("x.i", (F.col("x.p") * (F.col("_all") - 1)).alias("at"))
+             .select("i", "at", F.explode(F.array(F.floor("at"), F.ceil("at"))).alias("rank")).distinct())   # two for each probability
+    wanted = starts.join(F.broadcast(ranks), F.expr("rank >= _before and rank < _before + _n"))
+    inside = ranges.join(F.broadcast(wanted.select("_part", "_before").distinct()), "_part")
+    upto = F.sum("_c").over(Window.partitionBy("_part").orderBy("_v"))
+    inside = inside.withColumn("_upto", F.col("_before") + upto).select(F.col("_part").alias("_in"), "_v", (F.col("_upto") - F.col("_c")).alias("_from"), "_upto")
+    found = inside.join(F.broadcast(wanted.select("_part", "i", "at", "rank")), F.expr("_in = _part and rank >= _from and rank < _upto"))
+
+    def q(i: int) -> Column:
+        low, high = (F.max(F.when((F.col("i") == i) & (F.col("rank") == f("at")), F.col("_v").cast("double"))) for f in (F.floor, F.ceil))
+        part = F.max(F.when(F.col("i") == i, F.col("at") - F.floor("at")))
+        return (low + (high - low) * part).alias(f"q{i}")
+
+    return found.agg(*[q(i) for i in range(len(probs))])
+
+
 def score_summary(df: DataFrame, col: str = "final_score", high: float = 60.0) -> DataFrame:
     """mean, population std, min, P25, median, P75, max (linear
     interpolation, as numpy) and the high-risk count; one pass over `df`,
-    everything from its value-frequency table."""
-    freq = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("_v")).agg(
-        F.count(F.lit(1)).alias("_c"))
+    everything from its distinct values and their counts."""
+    values = value_ranges(df, col)
     v, c = F.col("_v"), F.col("_c")
-    out = freq.agg(F.percentile("_v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), c).alias("_p"),
-                   F.coalesce(F.sum(c), F.lit(0)).alias("n"), (F.sum(v * c) / F.sum(c)).alias("mean"),
-                   (F.sum(v * v * c) / F.sum(c)).alias("_square"), F.min(v).alias("min"), F.max(v).alias("max"),
-                   F.coalesce(F.sum(F.when(v >= high, c)), F.lit(0)).alias("high_risk"))
-    out = out.withColumn("std", F.sqrt(F.greatest(F.lit(0.0), F.col("_square") - F.col("mean") * F.col("mean"))))
-    return out.select("n", "mean", "std", "min", F.col("_p")[0].alias("p25"),
-                      F.col("_p")[1].alias("median"), F.col("_p")[2].alias("p75"), "max", "high_risk")
+    one = values.agg(F.coalesce(F.sum(c), F.lit(0)).alias("n"), (F.sum(v * c) / F.sum(c)).alias("mean"), F.min(v).alias("min"),
+                     F.max(v).alias("max"), F.coalesce(F.sum(F.when(v >= high, c)), F.lit(0)).alias("high_risk"))
+    off = v - F.col("_mean")
+    spread = values.crossJoin(F.broadcast(one.select(F.col("mean").alias("_mean")))).agg(       # one row
+        F.sqrt(F.sum(c * off * off) / F.sum(c)).alias("std"))
+    out = one.crossJoin(spread).crossJoin(quantiles(values, [0.25, 0.5, 0.75]))                 # one row each
+    return out.select("n", "mean", "std", "min", F.col("q0").alias("p25"), F.col("q1").alias("median"), F.col("q2").alias("p75"), "max", "high_risk")
 
 
 # ------------------------------------------------------------- AGG13
-def _betacf(a: float, b: float, x: float) -> float:
-    """Continued fraction for the regularised incomplete beta (Lentz)."""
-    tiny, eps = 1e-300, 3e-16
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 500):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        de = d * c
-        h *= de
-        if abs(de - 1.0) < eps:
-            break
-    return h
-
-
-def betainc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta I_x(a, b)."""
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    lbt = (math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-           + a * math.log(x) + b * math.log(1.0 - x))
-    bt = math.exp(lbt)
-    if x < (a + 1.0) / (a + b + 2.0):
-        return bt * _betacf(a, b, x) / a
-    return 1.0 - bt * _betacf(b, a, 1.0 - x) / b
-
-
-def t_two_sided_p(r: float, n: int) -> float:
-    """Two-sided p of a correlation r on n pairs (Student t, n-2 d.f.)."""
-    if r is None or n is None or n < 3 or (isinstance(r, float) and math.isnan(r)):
-        return 1.0
-    if abs(r) >= 1.0:
-        return 0.0
-    df = n - 2
-    t2 = r * r * df / (1.0 - r * r)
-    return betainc(df / 2.0, 0.5, df / (df + t2))
-
-
-@F.pandas_udf(T.DoubleType())
-def _p_value(r: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([t_two_sided_p(None if pd.isna(a) else float(a), None if pd.isna(b) else int(b))
-                      for a, b in zip(r, n)], dtype="float64")
+def two_sided_p(r: Column, n: Column) -> Column:
+    """Two-sided p of a correlation r on n pairs (Student t, n - 2 degrees of freedom): I_x(df / 2, 1 / 2) at x = 1 - r * r."""
+    beta = F.call_function("java_method", F.lit("org.apache.commons.math3.special.Beta"), F.lit("regularizedBeta"),
+                           F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(1.0) - r * r)), (F.greatest(n - 2, F.lit(1)) / 2.0).cast("double"), F.lit(0.5))
+    return F.when(r.isNull() | n.isNull() | (n < 3), 1.0).when(F.abs(r) >= 1.0, 0.0).otherwise(beta.cast("double"))
 
 
 def pearson(df: DataFrame, x: str, y: str, with_p: bool = True,
@@ -116,36 +92,11 @@ def pearson(df: DataFrame, x: str, y: str, with_p: bool = True,
     r = F.when(degenerate, F.lit(degenerate_r).cast("double")).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("_r"))))
     out = agg.select(r.alias("r"), F.col("n"), degenerate.alias("_deg"))
     if with_p:
-        out = out.withColumn("p", F.when(F.col("_deg"), F.lit(1.0)).otherwise(_p_value("r", "n")))
+        out = out.withColumn("p", F.when(F.col("_deg"), F.lit(1.0)).otherwise(two_sided_p(F.col("r"), F.col("n"))))
     return out.drop("_deg")
 
 
 # ------------------------------------------------------------- AGG14
-def range_cumsum(df: DataFrame, order: str, weight: str, partitions: int | None = None) -> DataFrame:
-    """Add `_before`: sum of `weight` over rows with a smaller `order` value
-    (order values unique).  Range partitions are summed locally, and the
-    partition totals (one row per partition, broadcast) give the offsets."""
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, order).withColumn("_pid", F.spark_partition_id())
-                .checkpoint(eager=True))
-    w = Window.partitionBy("_pid").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    local = ranged.withColumn("_loc", F.coalesce(F.sum(weight).over(w), F.lit(0)))
-    tot = ranged.groupBy("_pid").agg(F.sum(weight).alias("_t"))
-    wo = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.withColumn("_off", F.coalesce(F.sum("_t").over(wo), F.lit(0))).drop("_t")
-    # `off` has one row per partition: a proven bound, safe to broadcast.
-    out = local.join(F.broadcast(off), "_pid")
-    return out.withColumn("_before", F.col("_loc") + F.col("_off")).drop("_loc", "_off", "_pid")
-
-
-def average_rank(freq: DataFrame, val: str, cnt: str, out: str) -> DataFrame:
-    """(value, count) table -> (value, average 1-based rank): ties share the
-    mean of their positions."""
-    cum = range_cumsum(freq, val, cnt)
-    return cum.select(F.col(val), ((F.col("_before") * 2 + F.col(cnt) + 1) / F.lit(2.0)).alias(out))
-
-
 def weighted_pearson(df: DataFrame, x: str, y: str, w: str, with_p: bool = True,
                      degenerate_r: float | None = 0.0) -> DataFrame:
     """Pearson r over rows carrying a multiplicity `w` (two passes: means,
@@ -167,7 +118,7 @@ def weighted_pearson(df: DataFrame, x: str, y: str, w: str, with_p: bool = True,
         F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r0)))
     out = agg.select(r.alias("r"), F.col("n").cast("long").alias("n"), degenerate.alias("_deg"))
     if with_p:
-        out = out.withColumn("p", F.when(F.col("_deg"), F.lit(1.0)).otherwise(_p_value("r", "n")))
+        out = out.withColumn("p", F.when(F.col("_deg"), F.lit(1.0)).otherwise(two_sided_p(F.col("r"), F.col("n"))))
     return out.drop("_deg")
 
 
@@ -177,19 +128,21 @@ def spearman(df: DataFrame, x: str, y: str, with_p: bool = True) -> DataFrame:
     Works on the (x, y) frequency table: one partial aggregation over the
     rows (checkpointed, so the input plan runs once).  The per-value counts
     of x and of y are stacked into one table and ranked together with a
-    keyed, range-partitioned prefix sum; then a weighted Pearson runs over
-    the pairs table."""
+    keyed, range-partitioned prefix sum; the averaged ranks are joined to the
+    pairs once, and three numbers per pair are kept for the two passes of
+    the weighted Pearson."""
     from postingscope.operators.sequence import keyed_cumsum
     pairs = (valid_pairs(df, x, y).groupBy(F.col(x).alias("_x"), F.col(y).alias("_y"))
              .agg(F.count(F.lit(1)).alias("_c")).checkpoint(eager=True))
-    fx = pairs.groupBy(F.col("_x").alias("_val")).agg(F.sum("_c").alias("_cnt")).withColumn("_var", F.lit("x"))
-    fy = pairs.groupBy(F.col("_y").alias("_val")).agg(F.sum("_c").alias("_cnt")).withColumn("_var", F.lit("y"))
-    cum = keyed_cumsum(fx.unionByName(fy), "_var", ["_val"], "_cnt", "_before", inclusive=False)
-    rank = (F.col("_before") * 2 + F.col("_cnt") + 1) / F.lit(2.0)
-    rx = cum.filter(F.col("_var") == "x").select(F.col("_val").alias("_x"), rank.alias("_rx"))
-    ry = cum.filter(F.col("_var") == "y").select(F.col("_val").alias("_y"), rank.alias("_ry"))
-    j = pairs.join(rx, "_x").join(ry, "_y")
-    return weighted_pearson(j, "_rx", "_ry", "_c", with_p)
+    both = pairs.select(F.explode(F.array(F.struct(F.lit("x").alias("_var"), F.col("_x").cast("double").alias("_val"), "_c"),
+                                          F.struct(F.lit("y").alias("_var"), F.col("_y").cast("double").alias("_val"), "_c"))).alias("_s")).select("_s.*")
+    counts = both.groupBy("_var", "_val").agg(F.sum("_c").alias("_cnt"))
+    cum = keyed_cumsum(counts, "_var", ["_val"], "_cnt", "_before", inclusive=False)
+    ranks = cum.select("_var", "_val", ((F.col("_before") * 2 + F.col("_cnt") + 1) / F.lit(2.0)).alias("_rank")).checkpoint(eager=True)
+    rx = ranks.filter("_var = 'x'").select(F.col("_val").alias("_vx"), F.col("_rank").alias("_rx"))
+    ry = ranks.filter("_var = 'y'").select(F.col("_val").alias("_vy"), F.col("_rank").alias("_ry"))
+    j = pairs.join(rx, F.col("_x").cast("double") == F.col("_vx")).join(ry, F.col("_y").cast("double") == F.col("_vy"))
+    return weighted_pearson(j.select("_rx", "_ry", "_c").checkpoint(eager=True), "_rx", "_ry", "_c", with_p)
 
 
 # ------------------------------------------------------------- AGG12

@@ -63,14 +63,29 @@ def agg14_spearman(spark, sf):
     return p.select(r6("r").alias("rho"), "n")
 
 
-@register("job6_validate_scores", None)
+def p_sql(r: str, n: str) -> str:
+    """Two-sided p of a correlation: with t = sqrt(n - 2) tan(a) its tail is an integral of cos(a) ** (n - 3), taken by Simpson's rule."""
+    return f"""(SELECT CASE WHEN {n} < 3 THEN 1.0 WHEN abs({r}) >= 1 THEN 0.0 ELSE
+      2 * exp(lgamma(({n} - 1) / 2.0) - lgamma(({n} - 2) / 2.0)) / sqrt(pi()) * (pi() / 2 - asin(abs({r}))) / 4000 / 3 *
+      sum((CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+          * pow(greatest(0.0, cos(asin(abs({r})) + i * (pi() / 2 - asin(abs({r}))) / 4000)), {n} - 3)) END FROM range(4001) t(i))"""
+
+
+@register("job6_validate_scores", SCORES_CTES + f""",
+v AS (SELECT bert_score AS x, sentiment_score AS y FROM scores WHERE bert_score IS NOT NULL AND sentiment_score IS NOT NULL),
+rk AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx,
+              rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM v),
+r AS (SELECT (SELECT covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) FROM v) AS pr, (SELECT covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)) FROM rk) AS sr,
+             (SELECT count(*) FROM v) AS n)
+SELECT {S.rnd('pr', 9)} AS pearson_r, {S.rnd(p_sql('pr', 'n'), 6)} AS pearson_p, n, {S.rnd('sr', 9)} AS spearman_r,
+       {S.rnd(p_sql('sr', 'n'), 6)} AS spearman_p FROM r""")
 def job6_validate_scores(spark, sf):
-    """JOB6: Pearson and Spearman with two-sided p-values (p via Student t)."""
-    s = _scores(spark, sf)
+    """JOB6: Pearson and Spearman with two-sided p-values (Student t)."""
+    s = _scores(spark, sf).select("bert_score", "sentiment_score").checkpoint(eager=True)
     p = ST.pearson(s, "bert_score", "sentiment_score")
     q = ST.spearman(s, "bert_score", "sentiment_score")
-    return p.select(r6("r").alias("pearson_r"), r6("p").alias("pearson_p"), "n").crossJoin(
-        q.select(r6("r").alias("spearman_r"), r6("p").alias("spearman_p")))
+    return p.select(r6("r").alias("pearson_r"), pyround(F.col("p"), 6).alias("pearson_p"), "n").crossJoin(
+        q.select(r6("r").alias("spearman_r"), pyround(F.col("p"), 6).alias("spearman_p")))
 
 
 @register("agg16_trend_line", SCORES_CTES + f""",

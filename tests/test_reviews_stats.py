@@ -75,8 +75,48 @@ def test_pearson_cases(spark):
 
 
 @pytest.mark.parametrize("r,n,p", [(-0.7870, 5, 0.1142), (0.9942, 5, 0.0005)])
-def test_p_values(r, n, p):
-    assert round(ST.t_two_sided_p(r, n), 4) == p
+def test_p_values(spark, r, n, p):
+    got = spark.range(1).select(ST.two_sided_p(F.lit(r), F.lit(n).cast("long")).alias("p")).first().p
+    assert round(got, 4) == p
+
+
+def test_p_value_edges(spark):
+    """Closed form at three degrees of freedom; degenerate cases."""
+    import math
+    rows = [(r, 5) for r in (-0.999, -0.5, 0.0, 0.25, 0.9)] + [(1.0, 9), (-1.0, 9), (None, 9), (0.3, 2), (0.3, None)]
+    got = [x.p for x in spark.createDataFrame(rows, "r double, n long").select(ST.two_sided_p(F.col("r"), F.col("n")).alias("p")).collect()]
+
+    def p3(r):
+        t = abs(r) * math.sqrt(3 / (1 - r * r))
+        return 1 - 2 / math.pi * (math.atan(t / math.sqrt(3)) + t / math.sqrt(3) / (1 + t * t / 3))
+    assert all(abs(g - p3(r)) < 1e-12 for g, (r, _) in zip(got, rows[:5])) and got[5:] == [0.0, 0.0, 1.0, 1.0, 1.0]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 2000])
+def test_quantiles_of_unrounded_values(spark, n):
+    """Exact, also where one value holds a third of all rows, and with few values."""
+    import numpy as np
+    rng = np.random.default_rng(n)
+    v = [float(x) for x in np.where(rng.random(n) < 0.33, 0.125, rng.normal(size=n))]
+    df = spark.createDataFrame([(x,) for x in v] + [(None,)], "v double").repartition(5)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
+    got = one(ST.quantiles(ST.value_ranges(df, "v"), probs))
+    assert list(got) == ([None] * 7 if not n else pytest.approx(list(np.quantile(v, probs)), abs=1e-12))
+
+
+def test_spearman_of_unrounded_values(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=3000).round(2)
+    y = x * 0.3 + rng.normal(size=3000)
+    got = one(ST.spearman(spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double").repartition(6), "x", "y"))
+
+    def rank(v):
+        s, (u, c) = np.sort(v), np.unique(v, return_counts=True)
+        return dict(zip(u, np.searchsorted(s, u) + (c + 1) / 2))
+    rx, ry = rank(x), rank(y)
+    want = np.corrcoef([rx[a] for a in x], [ry[b] for b in y])[0, 1]
+    assert abs(got.r - want) < 1e-12 and got.n == 3000 and got.p < 1e-20
 
 
 def test_spearman_average_ranks(spark):
