@@ -110,19 +110,27 @@ _nfkc_udf = F.pandas_udf(_nfkc_series, T.StringType())
 _unescape_nfkc_udf = F.pandas_udf(_unescape_nfkc_series, T.StringType())
 
 
+NON_ASCII = r"[^\x00-\x7F]"
+
+
+def _only_where(needed: Column, udf, c: Column) -> Column:
+    """The function's result where it can change the text; other texts are not sent to Python (a null is)."""
+    return F.when(needed, udf(F.when(needed, c))).otherwise(c)
+
+
 def unescape(c) -> Column:
     """HTML entity decoding (named and numeric), one pass."""
-    return _unescape_udf(col(c))
+    return _only_where(col(c).contains("&"), _unescape_udf, col(c))
 
 
 def nfkc(c) -> Column:
     """Unicode NFKC normalisation (U+00A0 becomes a space; U+200B is kept)."""
-    return _nfkc_udf(col(c))
+    return _only_where(col(c).rlike(NON_ASCII), _nfkc_udf, col(c))
 
 
 def unescape_nfkc(c) -> Column:
     """TXT2 then TXT3 fused into one Arrow round trip."""
-    return _unescape_nfkc_udf(col(c))
+    return _only_where(col(c).contains("&") | col(c).rlike(NON_ASCII), _unescape_nfkc_udf, col(c))
 
 
 # XML entities plus the ones found in captured pages, decoded without Python

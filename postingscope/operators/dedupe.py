@@ -50,20 +50,24 @@ def new_by_url(incoming: DataFrame, stored: DataFrame | None,
     return tagged.filter("state = 'kept'").drop("state"), tagged.filter("state = 'skipped'").drop("state")
 
 
+def review_key(company: str = "company", text: str = "text"):
+    """256-bit digest of (company, text), so that no text is a group or join key."""
+    c = F.col(company)
+    return F.sha2(F.concat(F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-:")), F.coalesce(F.col(text), F.lit(""))), 256)
+
+
 def new_reviews(incoming: DataFrame, stored: DataFrame | None,
                 order: tuple[str, ...] = ("posted_at", "id")) -> tuple[DataFrame, DataFrame, DataFrame]:
     """JOIN7: (saved, skipped, blank).
 
-    Reviews are keyed by (company, text); the key is carried with a 64-bit
-    xxhash in front so that sort/compare work on a long before the strings.
-    Blank texts are neither saved nor skipped.
+    Reviews are keyed by (company, text); only a digest of the key is
+    grouped, shuffled and joined.  Blank texts are neither saved nor skipped.
     """
     blank = incoming.filter(is_blank("text"))
-    real = incoming.filter(~is_blank("text")).withColumn("_h", F.xxhash64("company", "text"))
-    first = first_wins(real, ["_h", "company", "text"], list(order))
+    real = incoming.filter(~is_blank("text")).withColumn("_h", review_key())
+    first = first_wins(real, ["_h"], list(order))
     if stored is not None:
-        keys = stored.select(F.xxhash64("company", "text").alias("_h"), "company", "text").distinct()
-        first = first.join(keys, ["_h", "company", "text"], "left_anti")
+        first = first.join(stored.select(review_key().alias("_h")).distinct(), "_h", "left_anti")
     saved = first.drop("_h")
     skipped = real.join(first.select("id"), "id", "left_anti").drop("_h")
     return saved, skipped, blank

@@ -6,9 +6,9 @@ Upserts go into the bucketed, versioned tables of `operators/store.py`.
 from __future__ import annotations
 
 import os
-from datetime import datetime, timedelta
+from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postingscope.functions.text import clean_text
@@ -57,20 +57,21 @@ def upsert(path: str, rows: DataFrame, key: list[str] | str, epoch: tuple[str, i
 
 
 # ------------------------------------------------------------------ UPS3
-def should_refresh(newest_fetch: datetime | None, as_of: datetime,
-                   ttl: timedelta = timedelta(hours=24), force: bool = False) -> bool:
-    return force or newest_fetch is None or (as_of - newest_fetch) >= ttl
-
-
-def refresh_if_stale(cached: DataFrame, fetched: DataFrame, as_of: datetime,
-                     ttl: timedelta = timedelta(hours=24), force: bool = False) -> DataFrame:
-    """UPS3: keep the cache while fresh; a refresh with no rows keeps it.
-
-    The freshness test reads one aggregate value (max fetched_at)."""
-    newest = cached.agg(F.max("fetched_at")).first()[0]
-    if not should_refresh(newest, as_of, ttl, force):
-        return cached
-    return fetched if not fetched.isEmpty() else cached
+def refresh_if_stale(cached: DataFrame, fetched: DataFrame, as_of, ttl: timedelta = timedelta(hours=24), force: bool = False,
+                     stamp: str = "fetched_at") -> DataFrame:
+    """UPS3: the cache while its newest fetch is younger than `ttl`, else the fetched rows; a fetch without rows keeps the cache.
+
+    Decided inside the plan: two one-row aggregates (the newest stamp, whether anything was fetched) are broadcast and
+    filter both sides, so that one of them is empty; nothing is read on the driver.  An empty cache is stale."""
+    now = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp")
+    age = F.unix_micros(now) - F.unix_micros(F.max(F.col(stamp)).cast("timestamp"))
+    limit = F.lit(int(ttl.total_seconds() * 1_000_000))
+    stale = cached.agg((F.lit(force) | F.coalesce(age >= limit, F.lit(True))).alias("_stale"))
+    some = fetched.agg((F.count(F.lit(1)) > 0).alias("_some"))
+    use = stale.crossJoin(some).select((F.col("_stale") & F.col("_some")).alias("_use"))        # one row
+    kept = cached.crossJoin(F.broadcast(use)).filter(~F.col("_use")).drop("_use")
+    taken = fetched.crossJoin(F.broadcast(use)).filter(F.col("_use")).drop("_use")
+    return kept.unionByName(taken, allowMissingColumns=True)
 
 
 # ------------------------------------------------------------------ SNK1-3
@@ -102,6 +103,19 @@ def restore_snapshot(spark: SparkSession, path: str, schemas: dict, current: Dat
     return out
 
 
+def pin_snapshot(store: Store, label: str, version: int | None = None) -> int:
+    """SNK1 of a store: its tables as of one commit, kept under a name; what is written meanwhile is in it wholly or not at all."""
+    return store.pin(label, version)
+
+
+def restore_pinned(store: Store, label: str, schemas: dict, current: DataFrame | None = None) -> dict[str, DataFrame] | None:
+    """SNK2 of a store: all columns of the pinned tables, only when the postings table is empty; a table without rows is empty."""
+    if current is not None and not current.isEmpty():
+        return None
+    out = {name: store.read(name, pin=label) for name in schemas}
+    return {name: df if df is not None else store.spark.createDataFrame([], schemas[name]) for name, df in out.items()}
+
+
 def write_csv(df: DataFrame, path: str) -> str:
     """SNK3: CSV with header."""
     df.write.mode("overwrite").option("header", True).csv(path)

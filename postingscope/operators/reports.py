@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from postingscope import lexicons as L
 from postingscope.functions.features import pyround, risk_band, signals, spotlight_band
-from postingscope.functions.text import slugify
+from postingscope.functions.text import fmt_duration, slugify
 from postingscope.operators.stats import pearson
 
 SUB_SCORES = ["genericness_score", "vagueness_score", "repost_score", "urgency_score",
@@ -95,6 +95,35 @@ def by_company(df: DataFrame, score: str = "final_ghost_score", prob: str = "ber
         F.count(F.lit(1)).alias("postings"))
 
 
+def views(df: DataFrame, high: float = L.HIGH_RISK, score: str = "final_ghost_score") -> DataFrame:
+    """AGG6, AGG7 and AGG9 together: rows per industry, per company and over all, from one pass.
+
+    (view, name, postings, means, first sentiment by posting id, high risk, companies); `df` is narrowed and
+    materialised once, so scores are computed once.  Three grouping sets share one scan and one exchange."""
+    d = df.select("industry", "company", "posting_id", F.col(score).alias("_s"), "bert_score", "vagueness_score", "genericness_score",
+                  "repost_score", "sentiment_score").checkpoint(eager=True)
+    first = F.min_by("sentiment_score", F.when(F.col("sentiment_score").isNotNull(), F.col("posting_id")))
+    g = d.withColumn("_c", F.col("company")).groupingSets([[F.col("industry")], [F.col("company")], []], F.col("industry"), F.col("company")).agg(
+        F.grouping("industry").alias("_gi"), F.grouping("company").alias("_gc"), F.count(F.lit(1)).alias("postings"), F.avg("_s").alias("avg_score"),
+        F.avg("bert_score").alias("avg_probability"), F.avg("vagueness_score").alias("avg_vagueness"),
+        F.avg("genericness_score").alias("avg_genericness"), F.avg("repost_score").alias("avg_repost"), first.alias("sentiment"),
+        F.count_if(F.col("_s") >= high).alias("high_risk"), F.count_distinct("_c").alias("companies"))
+    view = F.when(F.col("_gi") == 0, "industry").when(F.col("_gc") == 0, "company").otherwise("all")
+    return g.select(view.alias("view"), F.coalesce("industry", "company").alias("name"), "postings", "avg_score", "avg_probability",
+                    "avg_vagueness", "avg_genericness", "avg_repost", "sentiment", "high_risk", "companies")
+
+
+def traffic_view(metrics: DataFrame, company_scores: DataFrame) -> DataFrame:
+    """JOB8 traffic: page metrics with the company's mean score and postings (by slug; null without a score), a duration
+    label, the estimated active readers of all pages and the correlation of views and scores."""
+    by_slug = company_scores.select(slugify(F.col("company")).alias("_slug"), "avg_score", "postings")
+    rows = metrics.withColumn("_slug", slugify(F.col("company"))).join(by_slug, "_slug", "left").drop("_slug")
+    total = metrics.agg(F.floor(F.coalesce(F.sum("pageviews"), F.lit(0)) * F.lit(0.4)).cast("long").alias("all_active"))
+    corr = company_correlation(rows, "pageviews", "avg_score").select(F.col("r").alias("traffic_r"))
+    return (rows.withColumn("time_label", fmt_duration("avg_time_on_page"))
+            .crossJoin(F.broadcast(total)).crossJoin(F.broadcast(corr)))        # one row each
+
+
 def score_by_company(df: DataFrame, score: str = "final_ghost_score") -> DataFrame:
     """AGG8."""
     return df.groupBy("company").agg(F.avg(score).alias("avg_score"), F.count(F.lit(1)).alias("postings"))
@@ -209,8 +238,12 @@ def at_least_or_all(df: DataFrame, col: str, threshold: float, materialize: bool
 
 # ------------------------------------------------------------- ordering
 def ranked(df: DataFrame, col: str, tie: str = "company") -> DataFrame:
-    """TOP2: descending by `col`, tie-break ascending `tie`."""
-    return df.orderBy(F.col(col).desc(), F.col(tie).asc())
+    """TOP2: descending by `col`, ties ascending by `tie`, with the `rank` (1 ..) of every row.
+
+    Ranks are positions in a range-partitioned sort, so no task sees all rows."""
+    from postingscope.operators.sequence import global_position
+    rows = global_position(df.withColumn("_falling", -F.col(col)), ["_falling", tie], "rank").drop("_falling")
+    return rows.withColumn("rank", (F.col("rank") + 1).cast("long"))
 
 
 def recent_events(events: DataFrame, n: int = 50, ts: str = "ts", key: str = "event_id") -> DataFrame:

@@ -3,7 +3,7 @@ JOIN4, SCORE1, ML1)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postingscope import lexicons as L
@@ -138,3 +138,15 @@ def extremes(scored: DataFrame, n: int = 5, score: str = "final_score",
     top = scored.orderBy(F.col(score).desc(), F.col(key).asc()).limit(n)
     bottom = scored.orderBy(F.col(score).asc(), F.col(key).asc()).limit(n)
     return top, bottom
+
+
+def extremes_report(scored: DataFrame, n: int = 5, weights=None) -> DataFrame:
+    """TOP1 with WIN3: (side, rank, id, final_score, sub-scores and the weight of each) of the n highest and n lowest scores."""
+    w = {**L.DEFAULT_WEIGHTS, **(weights or {})}
+    top, bottom = extremes(scored, n)
+    sides = []
+    for side, rows, order in (("top", top, F.col("final_score").desc()), ("bottom", bottom, F.col("final_score").asc())):
+        place = F.row_number().over(Window.orderBy(order, F.col("job_posting_id"))).cast("long")      # over n rows
+        sides.append(rows.select(F.lit(side).alias("side"), place.alias("rank"), "job_posting_id", *SCORE_COLUMNS,
+                                 *[F.lit(float(v)).alias(f"weight_{k}") for k, v in w.items()]))
+    return sides[0].unionByName(sides[1])

@@ -173,9 +173,9 @@ def trend_line(df: DataFrame, x: str, y: str, points: int = 50) -> DataFrame:
 
 
 # ------------------------------------------------------------- AGG17/18
-def classifier_metrics(df: DataFrame, y: str = "y_true", pred: str = "y_pred") -> DataFrame:
-    """precision, recall, F1 (0 on zero division), accuracy, each round 4."""
-    c = df.agg(F.count_if((F.col(y) == 1) & (F.col(pred) == 1)).alias("tp"),
+def classifier_metrics(df: DataFrame, y: str = "y_true", pred: str = "y_pred", with_n: bool = False) -> DataFrame:
+    """precision, recall, F1 (0 on zero division), accuracy, each round 4; `with_n` adds the number of rows."""
+    c = df.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col(y) == 1) & (F.col(pred) == 1)).alias("tp"),
                F.count_if((F.col(y) == 0) & (F.col(pred) == 1)).alias("fp"),
                F.count_if((F.col(y) == 1) & (F.col(pred) == 0)).alias("fn"),
                F.count_if((F.col(y) == 0) & (F.col(pred) == 0)).alias("tn"))
@@ -188,7 +188,7 @@ def classifier_metrics(df: DataFrame, y: str = "y_true", pred: str = "y_pred") -
                                   F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")), F.lit(0.0))
     return c.select("tp", "fp", "fn", "tn",
                     pyround(F.col("_p"), 4).alias("precision"), pyround(F.col("_r"), 4).alias("recall"),
-                    pyround(f1, 4).alias("f1"), pyround(acc.cast("double"), 4).alias("accuracy"))
+                    pyround(f1, 4).alias("f1"), pyround(acc.cast("double"), 4).alias("accuracy"), *(["n"] if with_n else []))
 
 
 def confusion(df: DataFrame, y: str = "y_true", pred: str = "y_pred") -> DataFrame:

@@ -219,17 +219,13 @@ def job2_ingest_reviews(spark, sf):
 @register("set1_union_sources", with_(S.POSTINGS) +
           "SELECT id, source FROM postings WHERE source = 'cards_a'")
 def set1_union_sources(spark, sf):
-    p = D.postings(spark, sf)
-    frames = [p.filter(F.col("source") == s) for s in ("career", "cards_a", "cards_b")]
-    return union_sources(frames, "cards_a").select("id", "source")
+    return union_sources(D.postings(spark, sf), "cards_a").select("id", "source")
 
 
 @register("set1_union_all_sources", with_(S.POSTINGS) +
           "SELECT source, count(*) AS n FROM postings GROUP BY source")
 def set1_union_all_sources(spark, sf):
-    p = D.postings(spark, sf)
-    frames = [p.filter(F.col("source") == s) for s in ("career", "cards_a", "cards_b")]
-    return union_sources(frames, "all").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return union_sources(D.postings(spark, sf), "all").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
 FALLBACK_SQL = with_(S.POSTINGS, """

@@ -3,7 +3,6 @@ AGG5-9, AGG15, AGG19-22, FLT2-5, TOP2-3, RPT1, RPT3, JOB7, JOB8)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from postingscope.functions.features import pyround, risk_band, signals
@@ -11,7 +10,6 @@ from postingscope.functions.text import slugify
 from postingscope.operators import reports as RP
 from postingscope.operators import scoring as SC
 from postingscope.operators import stats as ST
-from postingscope.operators.sequence import global_position
 from postingscope.operators.sentiment import sentiment_all, sentiment_by_company
 from postingscope.plans import sqlgen as S
 from postingscope.plans.catalog import as_of, register, with_
@@ -151,6 +149,22 @@ def job8_overview_kpis(spark, sf):
     return k.select("postings", r6("avg_score").alias("avg_score"), "high_risk", "companies", "reviews")
 
 
+@register("job8_views", DASH + f"""
+SELECT CASE WHEN grouping(industry) = 0 THEN 'industry' WHEN grouping(company) = 0 THEN 'company' ELSE 'all' END AS view,
+       coalesce(industry, company) AS name, count(*) AS postings, {S.rnd('avg(final_ghost_score)', 9)} AS avg_score,
+       {S.rnd('avg(bert_score)', 9)} AS avg_probability, {S.rnd('avg(vagueness_score)', 9)} AS avg_vagueness,
+       {S.rnd('avg(genericness_score)', 9)} AS avg_genericness, {S.rnd('avg(repost_score)', 9)} AS avg_repost,
+       arg_min(sentiment_score, posting_id) FILTER (WHERE sentiment_score IS NOT NULL) AS sentiment,
+       count(*) FILTER (WHERE final_ghost_score >= 10.0) AS high_risk,
+       count(DISTINCT company) AS companies
+FROM dash GROUP BY GROUPING SETS ((industry), (company), ())""")
+def job8_views(spark, sf):
+    """JOB8 overview, industry and sentiment views (AGG6, AGG7, AGG9) from one pass over one score materialisation."""
+    v = RP.views(_dash(spark, sf), high=10.0)
+    means = ("avg_score", "avg_probability", "avg_vagueness", "avg_genericness", "avg_repost")
+    return v.select("view", "name", "postings", *[r6(c).alias(c) for c in means], "sentiment", "high_risk", "companies")
+
+
 @register("agg15_company_correlation", DASH + f""",
 bc AS (SELECT company, avg(final_ghost_score) AS avg_score,
               arg_min(sentiment_score, posting_id) FILTER (WHERE sentiment_score IS NOT NULL) AS sentiment
@@ -240,6 +254,7 @@ def flt5_at_least_or_all(spark, sf):
     """FLT5 at a threshold nothing reaches (keeps all) and one some reach."""
     p, r = D.postings(spark, sf), D.reviews(spark, sf)
     b = RP.best_per_company(RP.scored(p, _scores(spark, sf)), p, r)
+    b = b.select("company", "ghost_score").checkpoint(eager=True)       # two numbers per company, read by flags and rows
     a = RP.at_least_or_all(b, "ghost_score", 60.0).select(F.lit("t60").alias("variant"), "company")
     c = RP.at_least_or_all(b, "ghost_score", 12.0).select(F.lit("t12").alias("variant"), "company")
     return a.unionByName(c)
@@ -251,8 +266,7 @@ SELECT row_number() OVER (ORDER BY {S.rnd('final_score', 1)} DESC, company) AS r
 def top2_ranked(spark, sf):
     p, r = D.postings(spark, sf), D.reviews(spark, sf)
     b = RP.best_per_company(RP.scored(p, _scores(spark, sf)), p, r)
-    w = Window.orderBy(F.col("ghost_score").desc(), F.col("company").asc())
-    return b.select(F.row_number().over(w).cast("long").alias("rank"), "company", "ghost_score")
+    return RP.ranked(b.select("company", "ghost_score"), "ghost_score").select("rank", "company", "ghost_score")
 
 
 @register("top3_recent_events", """
@@ -310,9 +324,8 @@ def job7_company_reports(spark, sf):
     # one row per company; materialised once (report_rows), read by flag and rows
     b = RP.best_per_company(RP.scored(p, _scores(spark, sf)), p, r)
     themes = RP.complaint_themes(r, D.companies(spark, sf).select(F.col("name").alias("company")), DATA_THEMES)
-    rows = RP.report_rows(b, themes, 60.0).withColumn("falling", -F.col("ghost_score"))
-    rows = global_position(rows, ["falling", "company"], "place")
-    return rows.select((F.col("place") + 1).alias("rank"), "company", "slug", "ghost_score", "band",
+    rows = RP.ranked(RP.report_rows(b, themes, 60.0), "ghost_score")
+    return rows.select("rank", "company", "slug", "ghost_score", "band",
                        F.array_join(F.transform("signals", lambda x: x["title"]), " | ").alias("signals"),
                        F.array_join("themes", " | ").alias("themes"), "json_ld", "posting_count", "review_count")
 
@@ -389,6 +402,27 @@ def _traffic(spark, sf, dash):
     return out.select(F.col("name").alias("company"), "pageviews", "avg_score")
 
 
+@register("job8_traffic_view", TRAFFIC + f""",
+tv AS (SELECT {S.title_case("replace(replace(split_part(pagePath, '/company/', -1), '.html', ''), '-', ' ')")} AS company, pagePath AS page,
+              screenPageViews AS pageviews,
+              {S.rnd('CASE WHEN screenPageViews > 0 THEN userEngagementDuration / screenPageViews ELSE 0.0 END', 1)} AS t,
+              {S.rnd('bounceRate', 3)} AS bounce_rate FROM report WHERE contains(pagePath, '/company/'))
+SELECT tv.page, tv.company, tv.pageviews, tv.t AS avg_time_on_page,
+       printf('%dm %02ds', CAST(floor(tv.t / 60) AS BIGINT), CAST(floor(tv.t % 60) AS BIGINT)) AS time_label, tv.bounce_rate,
+       {S.rnd('b.avg_score', 9)} AS avg_score, b.postings, CAST(floor(sum(tv.pageviews) OVER () * 0.4) AS BIGINT) AS all_active,
+       (SELECT c.r FROM ({_corr_sql("pageviews", "avg_score", "tc")}) c) AS traffic_r
+FROM tv LEFT JOIN (SELECT company, avg(final_ghost_score) AS avg_score, count(*) AS postings FROM dash GROUP BY company) b
+  ON {S.slugify('tv.company')} = {S.slugify('b.company')}""")
+def job8_traffic_view(spark, sf):
+    """JOB8 traffic view: every report page with its score (JOIN5), the estimate of active readers (AGG19) and the
+    correlation of views and scores (AGG15)."""
+    dash = _dash(spark, sf).select("company", "final_ghost_score").checkpoint(eager=True)
+    m = RP.page_metrics(page_report(spark, sf)).checkpoint(eager=True)          # one row per page, read three times
+    v = RP.traffic_view(m, RP.score_by_company(dash))
+    return v.select("page", "company", "pageviews", "avg_time_on_page", "time_label", "bounce_rate", r6("avg_score").alias("avg_score"),
+                    "postings", "all_active", r6("traffic_r").alias("traffic_r"))
+
+
 @register("agg15_traffic_correlation", TRAFFIC + _corr_sql("pageviews", "avg_score", "tc"))
 def agg15_traffic_correlation(spark, sf):
     """AGG15: page views vs company mean score."""
@@ -431,8 +465,7 @@ FROM report WHERE contains(pagePath, '/company/')""")
 def top2_traffic_ranked(spark, sf):
     """TOP2 / AGG19 per-page list: report pages by views, descending."""
     m = RP.page_metrics(page_report(spark, sf))
-    w = Window.orderBy(F.col("pageviews").desc(), F.col("page").asc())
-    return m.select(F.row_number().over(w).cast("long").alias("rank"), "page", "pageviews")
+    return RP.ranked(m.select("page", "pageviews"), "pageviews", "page").select("rank", "page", "pageviews")
 
 
 @register("rpt2_json_ld", DASH + f"""

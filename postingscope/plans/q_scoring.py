@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from postingscope import lexicons as L
 from postingscope.functions import features as FX
 from postingscope.operators import scoring as SC
 from postingscope.operators.sentiment import sentiment_by_company
@@ -143,6 +144,16 @@ def top1_extremes(spark, sf):
     return t.unionByName(b)
 
 
+@register("top1_breakdown", SCORES_CTES + f"""
+SELECT side, rank, job_posting_id, genericness_score, vagueness_score, repost_score, urgency_score, bert_score, sentiment_score, final_score,
+       {', '.join(f'{S.dbl(v)} AS weight_{k}' for k, v in L.DEFAULT_WEIGHTS.items())}
+FROM (SELECT 'top' AS side, row_number() OVER (ORDER BY final_score DESC, job_posting_id) AS rank, * FROM scores
+      UNION ALL SELECT 'bottom', row_number() OVER (ORDER BY final_score, job_posting_id), * FROM scores) WHERE rank <= 5""")
+def top1_breakdown(spark, sf):
+    """TOP1 with the sub-scores and weights that make each score."""
+    return SC.extremes_report(_scores(spark, sf).checkpoint(eager=True), 5)
+
+
 @register("ml1_training_set", with_(S.POSTINGS, S.vague_sql(D.DATA_VAGUE),
                                    S.features_sql("postings", D.DATA_GENERIC, D.DATA_URGENT, vague=True)) + f"""
 SELECT id, company, genericness_score, vagueness_score, repost_score, urgency_score,

@@ -147,6 +147,4 @@ def agg18_confusion(spark, sf):
 SELECT {METRICS_SELECT}, (SELECT count(*) FROM lab) AS n FROM met""")
 def ml4_evaluate(spark, sf):
     """ML4: metrics and matrix of one labelled set (matrix cells as tp..tn)."""
-    lab = _labelled(spark, sf)
-    m = ST.classifier_metrics(lab)
-    return m.crossJoin(lab.agg(F.count(F.lit(1)).alias("n")))
+    return ST.classifier_metrics(_labelled(spark, sf), with_n=True)

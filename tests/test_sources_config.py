@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from postingscope.functions.features import ts
 from postingscope.operators import maintenance as M
-from postingscope.operators.lexicon import match_phrase_list, match_phrases
+from postingscope.operators.lexicon import match_phrase_list, match_phrases, rarest_grams
 from postingscope.operators.scoring import vagueness
 from postingscope.sources.config import read_companies, read_phrases, read_weighted_phrases
 from postingscope.streaming.scoring import start_scoring
@@ -73,3 +73,19 @@ def test_score_stream_upserts(spark, tmpdir_path):
     q.stop()
     got = {r.job_posting_id: (r.sentiment_score, r.genericness_score > 0) for r in M.read_table(spark, path).collect()}
     assert got == {1: (0.5, True), 2: (0.0, False)}
+
+
+def test_phrases_enter_by_their_rarest_gram(spark):
+    """A common first n-gram is no join key; candidates are few; phrases of one and two letters and absent ones too."""
+    from pyspark.sql import functions as F
+    texts = [f"the {w} of item {i}" for i, w in enumerate(["quick", "zebra", "plain", "story"] * 25)] + ["the", "", None, "a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    lex = spark.createDataFrame([("the zebra", 1), ("the quick of", 2), ("The Plain", 3), ("of", 4), ("b", 5), ("absent thing", 6), ("", 7), (None, 8)], "phrase string, w int")
+    lt = docs.select("id", F.lower("text").alias("_lt"))
+    words = lex.select(F.lower("phrase").alias("phrase")).filter("phrase is not null and phrase <> ''")
+    rare = {r.phrase: (r._g, r.texts) for r in rarest_grams(lt, words, [1, 2, 3]).collect()}
+    assert rare["the zebra"][1] == 25 and rare["the quick of"][1] == 25 and "the" not in {g for g, _ in rare.values()} and "absent thing" not in rare
+    assert rare["of"][0] == "of" and rare["b"][0] == "b"
+    want = {(i, p, w) for i, t in enumerate(texts) for p, w in [("the zebra", 1), ("the quick of", 2), ("the plain", 3), ("of", 4), ("b", 5)] if t and p in t}
+    assert {tuple(r) for r in match_phrases(docs, lex).collect()} == want
+    assert match_phrases(docs, lex.limit(0)).count() == 0
