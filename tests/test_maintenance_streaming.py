@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from postingscope.operators import maintenance as M
 from postingscope.operators.reposts import RecentPostings, mark_reposts
-from postingscope.operators.store import Store
+from postingscope.operators.store import Store, Transaction
 from postingscope.sources import driver as D
-from postingscope.streaming.dedup import start_dedup
+from postingscope.streaming.dedup import SeenKeys, start_dedup
 from postingscope.streaming.reposts import start_reposts
 from postingscope.streaming.traffic import traffic_sessions_batch, traffic_sessions_stream
 from tests.conftest import SF_SMALL
@@ -110,14 +110,54 @@ def test_recent_postings_work_follows_the_batch(spark, tmpdir_path):
 
 def test_dedup_stream(spark, tmpdir_path):
     t0 = datetime(2024, 1, 1)
-    df = spark.createDataFrame([(1, "u1", t0), (2, "u1", t0 + timedelta(minutes=1)), (3, "u2", t0)],
-                               "id long, url string, ts timestamp")
+    S = "id long, url string, ts timestamp"
+    df = spark.createDataFrame([(1, "u1", t0 + timedelta(minutes=2)), (2, "u1", t0 + timedelta(minutes=1)), (3, "u2", t0), (4, None, t0)], S)
     src = os.path.join(tmpdir_path, "in")
-    df.write.parquet(src)
-    stored = os.path.join(tmpdir_path, "stored")
-    spark.createDataFrame([(0, "u2", t0)], "id long, url string, ts timestamp").write.parquet(stored)
-    q = start_dedup(spark.readStream.schema(df.schema).parquet(src), ["url"], "ts", "1 hour", stored,
-                    os.path.join(tmpdir_path, "ck3"))
-    q.processAllAvailable()
-    q.stop()
-    assert sorted(r.url for r in spark.read.parquet(stored).collect()) == ["u1", "u2"]
+    df.coalesce(1).write.parquet(src)
+    seen = SeenKeys(Store(spark, os.path.join(tmpdir_path, "store"), buckets=8), ["url"], "ts", 3600)
+    seen.apply(spark.createDataFrame([(0, "u2", t0 - timedelta(minutes=5))], S))
+    for _ in range(2):          # the second start finds nothing to do
+        q = start_dedup(spark.readStream.schema(df.schema).parquet(src), seen, os.path.join(tmpdir_path, "ck3"))
+        q.processAllAvailable()
+        q.stop()
+    # the earliest row of a key, and no key that was stored before
+    assert sorted((r.id, r.url) for r in seen.store.read("rows").collect()) == [(0, "u2"), (2, "u1"), (4, None)]
+    # a repeat long after the delay is still known; a row behind the watermark is dropped and counted
+    seen.apply(spark.createDataFrame([(5, "u1", t0 + timedelta(days=9)), (6, "u3", t0 + timedelta(days=9))], S))
+    seen.apply(spark.createDataFrame([(7, "u4", t0 + timedelta(days=8)), (8, "u5", t0 + timedelta(days=9, minutes=-30)), (9, "u3", t0 + timedelta(days=10))], S))
+    assert sorted(r.id for r in seen.store.read("rows").collect()) == [0, 2, 4, 6, 8] and seen.late_rows() == 1
+
+
+def test_seen_keys_read_only_the_buckets_that_may_hold_them(spark, tmpdir_path):
+    t0 = datetime(2024, 1, 1)
+    seen = SeenKeys(Store(spark, os.path.join(tmpdir_path, "store"), buckets=32), ["url"], "ts", 10 ** 9)
+    many = spark.range(4000).select("id", F.concat(F.lit("u"), "id").alias("url"), F.lit(t0).alias("ts"))
+    seen.apply(many)
+    read = []
+    real = Transaction.read_hit
+
+    def noted(tx, name, keys, key):
+        out, before = None, tx.files_read
+        out = real(tx, name, keys, key)
+        read.append((name, tx.files_read - before))
+        return out
+    try:
+        Transaction.read_hit = noted
+        seen.apply(spark.createDataFrame([(9000 + i, f"new{i}", t0) for i in range(20)], many.schema))
+        seen.apply(spark.createDataFrame([(9100, "u17", t0), (9101, "new99", t0)], many.schema))
+    finally:
+        Transaction.read_hit = real
+    per_bucket = max(len(f) for f in seen.store.manifest()["tables"]["rows"]["files"].values())
+    rows = [n for name, n in read if name == "rows"]
+    assert rows[0] <= 2 * per_bucket and 1 <= rows[1] <= per_bucket      # new keys read next to nothing, one known key one bucket
+    assert seen.store.read("rows").count() == 4021
+
+
+def test_append_and_compaction(spark, tmpdir_path):
+    s = Store(spark, os.path.join(tmpdir_path, "s"), buckets=2)
+    for i in range(7):
+        s.transact(lambda tx: tx.append("t", spark.range(i * 10, i * 10 + 10).coalesce(1), "id", compact_at=4))
+    t = s.manifest()["tables"]["t"]
+    assert s.read("t").count() == 70 and all(len(f) < 4 for f in t["files"].values())
+    s.transact(lambda tx: tx.append("t", spark.range(70, 71).withColumn("note", F.lit("x")).select("note", "id"), "id"))
+    assert s.read("t").columns == ["id", "note"] and s.read("t").count() == 71 and s.read("t").filter("note is not null").count() == 1
