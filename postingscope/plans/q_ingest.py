@@ -3,6 +3,8 @@ WIN2, WIN4, JOIN10, AGG1, AGG2, SET1, SET3, META4, HASH1, JOB1, JOB2)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from postingscope import lexicons as L
@@ -216,6 +218,68 @@ def job2_ingest_reviews(spark, sf):
     return refresh_affected(saved, allr, as_of(), D.DATA_FRUSTRATION).drop("computed_at")
 
 
+LOAD_SQL = with_("""
+conv AS (
+  SELECT conv_id * """ + str(D.TURNS) + """ + turn AS id, 'src' || CAST(conv_id % 20 AS VARCHAR) AS company, role, turn, coalesce(text, '') AS text,
+         TIMESTAMP '2024-01-30 00:00:00' - (conv_id % 120) * INTERVAL 1 DAY + turn * INTERVAL 1 MINUTE AS posted_at, CAST(NULL AS TIMESTAMP) AS scraped_at
+  FROM conversations
+),
+comp AS (SELECT DISTINCT source AS company FROM documents),""" + f"""
+lst AS (SELECT * FROM conv WHERE role = 'user' AND posted_at < TIMESTAMP '{REVIEW_CUT}'),
+lprim AS (SELECT * FROM conv WHERE role = 'user' AND turn = 0 AND posted_at >= TIMESTAMP '{REVIEW_CUT}'),
+lsec AS (SELECT * FROM conv WHERE role = 'assistant' AND posted_at >= TIMESTAMP '{REVIEW_CUT}'),
+lstat AS (SELECT c.company, (SELECT count(*) FROM lprim p WHERE p.company = c.company) AS n FROM comp c),
+linc AS (
+  SELECT * FROM lprim WHERE company IN (SELECT company FROM comp)
+  UNION ALL SELECT * FROM lsec WHERE company IN (SELECT company FROM lstat WHERE n = 0)
+  UNION ALL SELECT * EXCLUDE (rn) FROM (SELECT s.*, row_number() OVER (PARTITION BY company ORDER BY posted_at, id) AS rn FROM lsec s
+                                        WHERE company IN (SELECT company FROM lstat WHERE n > 0 AND n < 5)) WHERE rn <= 10
+),
+lreal AS (SELECT * FROM linc WHERE NOT {S.blank('text')}),
+lsaved AS (
+  SELECT r.* FROM lreal r
+  WHERE r.id = (SELECT arg_min(j.id, (j.posted_at, j.id)) FROM lreal j WHERE j.company = r.company AND j.text = r.text)
+    AND NOT EXISTS (SELECT 1 FROM lst WHERE lst.company = r.company AND lst.text = r.text)
+),
+ltagged AS (
+  SELECT company, 'saved' AS status FROM lsaved
+  UNION ALL SELECT company, 'skipped' FROM lreal WHERE id NOT IN (SELECT id FROM lsaved)
+  UNION ALL SELECT company, 'blank' FROM linc WHERE {S.blank('text')}
+)""", S.review_scores_sql(D.DATA_FRUSTRATION).replace(
+    "FROM reviews", "FROM (SELECT * FROM lst UNION ALL SELECT * FROM lsaved) r WHERE company IN (SELECT company FROM lsaved)"),
+    S.sentiment_sql(D.DATA_FRUSTRATION)) + """
+SELECT 'sentiment' AS part, company, score, CAST(review_count AS BIGINT) AS total, CAST(NULL AS BIGINT) AS saved, CAST(NULL AS BIGINT) AS skipped FROM sentiment
+UNION ALL
+SELECT 'load', company, NULL, count(*), count(*) FILTER (WHERE status = 'saved'), count(*) FILTER (WHERE status = 'skipped')
+FROM ltagged GROUP BY ROLLUP (company)"""
+
+
+@register("job2_reviews_commit", LOAD_SQL)
+def job2_reviews_commit(spark, sf):
+    """JOB2 with defaults (META4) and fallback reviews (SET3), written as one commit and read back: the refreshed sentiment and the
+    load's statistics."""
+    from postingscope.operators.ingest import ingest_reviews
+    from postingscope.operators.store import Store
+    from postingscope.session import checkpoint_dir
+    c = D.table(spark, sf, "conversations")
+    posted = F.timestamp_micros(F.unix_micros(F.lit("2024-01-30 00:00:00").cast("timestamp"))
+                                - (F.col("conv_id") % 120) * F.lit(86_400_000_000) + F.col("turn") * F.lit(60_000_000))
+    conv = c.select((F.col("conv_id") * D.TURNS + F.col("turn")).alias("id"),
+                    F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")).alias("company"), F.lit(None).cast("string").alias("source"),
+                    "text", posted.alias("posted_at"), F.lit(None).cast("timestamp").alias("scraped_at"), "role", "turn")
+    arriving, before = _split(conv, "posted_at", REVIEW_CUT)
+    store = Store(spark, f"{checkpoint_dir(spark)}/reviews-{uuid.uuid4().hex}", buckets=16)
+    stored = with_defaults(before.filter("role = 'user'").drop("role", "turn"), "review", as_of())
+    store.transact(lambda tx: tx.append("reviews", stored, "company"))
+    ingest_reviews(store, arriving.filter("role = 'user' and turn = 0").drop("role", "turn"), arriving.filter("role = 'assistant'").drop("role", "turn"),
+                   D.postings(spark, sf).select("company"), as_of(), D.DATA_FRUSTRATION)
+    now = store.manifest()["version"]       # both tables of one commit
+    none = F.lit(None).cast("bigint")
+    return store.read("company_sentiment", now).select(F.lit("sentiment").alias("part"), "company", "score", F.col("review_count").cast("bigint").alias("total"),
+                                                       none.alias("saved"), none.alias("skipped")).unionByName(
+        store.read("review_loads", now).select(F.lit("load").alias("part"), "company", F.lit(None).cast("double").alias("score"), "total", "saved", "skipped"))
+
+
 @register("set1_union_sources", with_(S.POSTINGS) +
           "SELECT id, source FROM postings WHERE source = 'cards_a'")
 def set1_union_sources(spark, sf):
