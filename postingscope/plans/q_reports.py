@@ -13,6 +13,7 @@ from postingscope.operators import stats as ST
 from postingscope.operators.sentiment import sentiment_all, sentiment_by_company
 from postingscope.plans import sqlgen as S
 from postingscope.plans.catalog import as_of, register, with_
+from postingscope.plans.marks import INGEST_CTES, MARKED, marked_postings
 from postingscope.plans.q_scoring import noun_table
 from postingscope.plans.q_stats import LAB, METRICS_SELECT, PRED_CUT
 from postingscope.sources import driver as D
@@ -25,7 +26,7 @@ def r6(c):
 def _scores(spark, sf, embedded_only=False):
     """Scores of all postings; `embedded_only` (JOIN2, where missing scores
     are the feature) leaves those without an embedding unscored."""
-    sp = D.postings(spark, sf)
+    sp = marked_postings(spark, sf)
     if embedded_only:
         sp = sp.join(D.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id")), "id", "left_semi")
     sent = sentiment_by_company(D.reviews(spark, sf), as_of(), D.DATA_FRUSTRATION)
@@ -39,8 +40,8 @@ def _dash(spark, sf):
     return RP.with_industry(d, RP.industry_dim(D.companies(spark, sf)))
 
 
-DASH = with_(S.POSTINGS, S.REVIEWS, S.review_scores_sql(D.DATA_FRUSTRATION), S.sentiment_sql(D.DATA_FRUSTRATION),
-             "scored_postings AS (SELECT * FROM postings)",
+DASH = with_(*INGEST_CTES, S.REVIEWS, S.review_scores_sql(D.DATA_FRUSTRATION), S.sentiment_sql(D.DATA_FRUSTRATION),
+             MARKED,
              S.vague_sql(D.DATA_VAGUE),
              S.features_sql("scored_postings", D.DATA_GENERIC, D.DATA_URGENT, vague=True), S.scores_sql(), S.COMPANIES, """
 dash AS (
@@ -73,8 +74,7 @@ def join1_scored(spark, sf):
     return RP.scored(D.postings(spark, sf), _scores(spark, sf)).select("id", "company", "final_score")
 
 
-DASH_DEFAULTS = DASH.replace("scored_postings AS (SELECT * FROM postings)",
-                             "scored_postings AS (SELECT * FROM postings WHERE id IN (SELECT vec_id FROM embeddings))")
+DASH_DEFAULTS = DASH.replace(MARKED, MARKED[:-1] + " WHERE p.id IN (SELECT vec_id FROM embeddings))")
 
 
 @register("join2_scored_or_default", DASH_DEFAULTS + "SELECT posting_id, location, bert_score, final_ghost_score FROM dash")

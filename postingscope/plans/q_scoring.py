@@ -10,6 +10,7 @@ from postingscope.operators import scoring as SC
 from postingscope.operators.sentiment import sentiment_by_company
 from postingscope.plans import sqlgen as S
 from postingscope.plans.catalog import as_of, register, with_
+from postingscope.plans.marks import MARKED_CTES, marked_postings
 from postingscope.sources import driver as D
 
 
@@ -25,31 +26,21 @@ def noun_table(spark, sf):
     return t.select("token", lemma.alias("lemma"), (F.length("token") % 7 == 0).alias("is_proper"))
 
 
-def _scores(spark, sf, weights=None, reposts=None):
-    """Scores of all postings with the noun table and the stored repost marks, or with `reposts`
-    (id, repost_of_id) instead."""
-    p = D.postings(spark, sf)
-    if reposts is not None:
-        p = p.drop("repost_of_id").join(reposts, "id", "left")
+def scores(spark, sf, weights=None):
+    """Scores of all postings with the noun table and the detector's repost marks."""
     sent = sentiment_by_company(D.reviews(spark, sf), as_of(), D.DATA_FRUSTRATION)
-    return SC.score_postings(p, sent, as_of(), weights=weights, generic=D.DATA_GENERIC, urgent=D.DATA_URGENT,
+    return SC.score_postings(marked_postings(spark, sf), sent, as_of(), weights=weights, generic=D.DATA_GENERIC, urgent=D.DATA_URGENT,
                              nouns=noun_table(spark, sf), vague=D.DATA_VAGUE).drop("computed_at")
 
 
-SCORES_CTES = with_(S.POSTINGS, S.REVIEWS, S.review_scores_sql(D.DATA_FRUSTRATION),
+SCORES_CTES = with_(*MARKED_CTES, S.REVIEWS, S.review_scores_sql(D.DATA_FRUSTRATION),
                     S.sentiment_sql(D.DATA_FRUSTRATION), S.vague_sql(D.DATA_VAGUE),
-                    S.features_sql("postings", D.DATA_GENERIC, D.DATA_URGENT, vague=True), S.scores_sql())
+                    S.features_sql("scored_postings", D.DATA_GENERIC, D.DATA_URGENT, vague=True), S.scores_sql())
 
 SCORE_COLS = ("job_posting_id, genericness_score, vagueness_score, repost_score, urgency_score, "
               "bert_score, sentiment_score, final_score")
 
 
-# registered in q_ingest beside the repost marks it reads
-def job5(spark, sf, reposts):
-    """JOB5: all sub-scores; repost marks from the detector (WIN1), vagueness from the noun table."""
-    return _scores(spark, sf, reposts=reposts)
-
-
 @register("feat1_genericness", with_(S.POSTINGS) +
           f"SELECT id, {S.genericness('description', D.DATA_GENERIC)} AS genericness_score, "
           f"{S.words('description')} AS n_words, {S.hits('description', D.DATA_GENERIC)} AS hits "
@@ -87,12 +78,12 @@ def feat4_repost_score(spark, sf):
                     FX.repost_score("repost_of_id", "repost_count").alias("repost_score_counted"))
 
 
-@register("feat5_rule_probability", with_(S.POSTINGS, S.features_sql("postings", D.DATA_GENERIC,
-                                                                     D.DATA_URGENT)) +
+@register("feat5_rule_probability", with_(*MARKED_CTES, S.features_sql("scored_postings", D.DATA_GENERIC,
+                                                                        D.DATA_URGENT)) +
           "SELECT id, bert_score, CASE WHEN (genericness_score + vagueness_score + urgency_score) / 3.0 "
           "> 0.7 THEN 1 ELSE 0 END AS bootstrap_label FROM features")
 def feat5_rule_probability(spark, sf):
-    f = SC.posting_features(D.postings(spark, sf), D.DATA_GENERIC, D.DATA_URGENT)
+    f = SC.posting_features(marked_postings(spark, sf), D.DATA_GENERIC, D.DATA_URGENT)
     return f.select("id", "bert_score",
                     FX.bootstrap_label("genericness_score", "vagueness_score", "urgency_score")
                     .alias("bootstrap_label"))
@@ -115,12 +106,12 @@ PARTIAL = {"genericness": 0.5, "urgency": 0.25}
           "SELECT job_posting_id, final_score FROM scores")
 def score1_final_score_weights(spark, sf):
     """SCORE1 with a partial weight dict (defaults fill the numerator only)."""
-    return _scores(spark, sf, PARTIAL).select("job_posting_id", "final_score")
+    return scores(spark, sf, PARTIAL).select("job_posting_id", "final_score")
 
 
 @register("join4_with_sentiment", SCORES_CTES + "SELECT job_posting_id, sentiment_score FROM scores")
 def join4_with_sentiment(spark, sf):
-    return _scores(spark, sf).select("job_posting_id", "sentiment_score")
+    return scores(spark, sf).select("job_posting_id", "sentiment_score")
 
 
 @register("top1_extremes", SCORES_CTES + f"""
@@ -133,7 +124,7 @@ def top1_extremes(spark, sf):
     """TOP1 + WIN3: labelled HIGH/LOW ranks 1..5 (top-k is the feature)."""
     from pyspark.sql import Window
     # two columns of every score, written once: top and bottom read it
-    s = _scores(spark, sf).select("job_posting_id", "final_score").checkpoint(eager=True)
+    s = scores(spark, sf).select("job_posting_id", "final_score").checkpoint(eager=True)
     top, bottom = SC.extremes(s, 5)
     wt = Window.orderBy(F.col("final_score").desc(), "job_posting_id")
     wb = Window.orderBy(F.col("final_score").asc(), "job_posting_id")
@@ -151,18 +142,18 @@ FROM (SELECT 'top' AS side, row_number() OVER (ORDER BY final_score DESC, job_po
       UNION ALL SELECT 'bottom', row_number() OVER (ORDER BY final_score, job_posting_id), * FROM scores) WHERE rank <= 5""")
 def top1_breakdown(spark, sf):
     """TOP1 with the sub-scores and weights that make each score."""
-    return SC.extremes_report(_scores(spark, sf).checkpoint(eager=True), 5)
+    return SC.extremes_report(scores(spark, sf).checkpoint(eager=True), 5)
 
 
-@register("ml1_training_set", with_(S.POSTINGS, S.vague_sql(D.DATA_VAGUE),
-                                   S.features_sql("postings", D.DATA_GENERIC, D.DATA_URGENT, vague=True)) + f"""
+@register("ml1_training_set", with_(*MARKED_CTES, S.vague_sql(D.DATA_VAGUE),
+                                   S.features_sql("scored_postings", D.DATA_GENERIC, D.DATA_URGENT, vague=True)) + f"""
 SELECT id, company, genericness_score, vagueness_score, repost_score, urgency_score,
        label AS bootstrap_ghost_label, label AS manually_verified_label
 FROM (SELECT *, CASE WHEN (genericness_score + vagueness_score + urgency_score) / 3.0 > {D.DATA_LABEL_CUT} THEN 1 ELSE 0 END
                 AS label FROM features)""")
 def ml1_training_set(spark, sf):
     """ML1 with a cut that postings of the benchmark tables reach."""
-    t = SC.training_set(D.postings(spark, sf), D.DATA_GENERIC, D.DATA_URGENT, noun_table(spark, sf), D.DATA_VAGUE,
+    t = SC.training_set(marked_postings(spark, sf), D.DATA_GENERIC, D.DATA_URGENT, noun_table(spark, sf), D.DATA_VAGUE,
                         cut=D.DATA_LABEL_CUT)
     return t.drop("title", "description")
 
@@ -241,5 +232,5 @@ FROM scores ORDER BY final_score DESC, job_posting_id LIMIT 5""")
 def win3_rank_labels(spark, sf):
     """WIN3: 'HIGH #1'..'HIGH #5' over the top-5 postings."""
     from postingscope.operators.windows import rank_labels
-    top, _ = SC.extremes(_scores(spark, sf), 5)
+    top, _ = SC.extremes(scores(spark, sf), 5)
     return rank_labels(top, "HIGH").select("job_posting_id", "rank_label")

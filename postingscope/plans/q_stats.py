@@ -10,7 +10,8 @@ from postingscope.operators import scoring as SC
 from postingscope.operators import stats as ST
 from postingscope.plans import sqlgen as S
 from postingscope.plans.catalog import register, with_
-from postingscope.plans.q_scoring import SCORES_CTES, _scores, noun_table
+from postingscope.plans.marks import MARKED_CTES, marked_postings
+from postingscope.plans.q_scoring import SCORES_CTES, noun_table, scores
 from postingscope.sources import driver as D
 
 
@@ -25,7 +26,7 @@ SELECT count(final_score) AS n, {S.rnd('avg(final_score)', 9)} AS mean, {S.rnd('
        max(final_score) AS max, count(*) FILTER (WHERE final_score >= 10.0) AS high_risk
 FROM scores""")
 def agg10_score_summary(spark, sf):
-    s = ST.score_summary(_scores(spark, sf), "final_score", high=10.0)
+    s = ST.score_summary(scores(spark, sf), "final_score", high=10.0)
     return s.select("n", r6("mean").alias("mean"), r6("std").alias("std"), "min", r6("p25").alias("p25"),
                     r6("median").alias("median"), r6("p75").alias("p75"), "max", "high_risk")
 
@@ -36,7 +37,7 @@ FROM (SELECT CAST(range AS INTEGER) AS bin FROM range(20)) b
 LEFT JOIN (SELECT CAST(least(greatest(floor(final_score / 5.0), 0), 19) AS INTEGER) AS bin, count(*) AS count
            FROM scores GROUP BY 1) c USING (bin)""")
 def agg12_histogram(spark, sf):
-    return ST.histogram(_scores(spark, sf), "final_score")
+    return ST.histogram(scores(spark, sf), "final_score")
 
 
 @register("agg13_pearson", SCORES_CTES + f"""
@@ -46,7 +47,7 @@ SELECT CASE WHEN count(*) < 2 OR min(bert_score) = max(bert_score) OR min(sentim
 FROM scores WHERE bert_score IS NOT NULL AND sentiment_score IS NOT NULL""")
 def agg13_pearson(spark, sf):
     """AGG13 + FLT6: probability vs company sentiment per posting."""
-    p = ST.pearson(_scores(spark, sf), "bert_score", "sentiment_score", with_p=False)
+    p = ST.pearson(scores(spark, sf), "bert_score", "sentiment_score", with_p=False)
     return p.select(r6("r").alias("r"), "n")
 
 
@@ -59,7 +60,7 @@ SELECT {S.rnd('covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry))', 9)} AS rh
 
 @register("agg14_spearman", SPEARMAN_SQL)
 def agg14_spearman(spark, sf):
-    p = ST.spearman(_scores(spark, sf), "bert_score", "sentiment_score", with_p=False)
+    p = ST.spearman(scores(spark, sf), "bert_score", "sentiment_score", with_p=False)
     return p.select(r6("r").alias("rho"), "n")
 
 
@@ -81,7 +82,7 @@ SELECT {S.rnd('pr', 9)} AS pearson_r, {S.rnd(p_sql('pr', 'n'), 6)} AS pearson_p,
        {S.rnd(p_sql('sr', 'n'), 6)} AS spearman_p FROM r""")
 def job6_validate_scores(spark, sf):
     """JOB6: Pearson and Spearman with two-sided p-values (Student t)."""
-    s = _scores(spark, sf).select("bert_score", "sentiment_score").checkpoint(eager=True)
+    s = scores(spark, sf).select("bert_score", "sentiment_score").checkpoint(eager=True)
     p = ST.pearson(s, "bert_score", "sentiment_score")
     q = ST.spearman(s, "bert_score", "sentiment_score")
     return p.select(r6("r").alias("pearson_r"), pyround(F.col("p"), 6).alias("pearson_p"), "n").crossJoin(
@@ -97,7 +98,7 @@ pts AS (SELECT range AS i, m, b, CASE WHEN range = 49 THEN hi ELSE lo + range *
 SELECT i, {S.rnd('m', 9)} AS slope, {S.rnd('b', 9)} AS intercept, {S.rnd('x', 9)} AS x,
        {S.rnd('m * x + b', 9)} AS y_hat FROM pts""")
 def agg16_trend_line(spark, sf):
-    t = ST.trend_line(_scores(spark, sf), "bert_score", "final_score")
+    t = ST.trend_line(scores(spark, sf), "bert_score", "final_score")
     return t.select(F.col("i").cast("long").alias("i"), r6("slope").alias("slope"),
                     r6("intercept").alias("intercept"), r6("x").alias("x"), r6("y_hat").alias("y_hat"))
 
@@ -109,7 +110,7 @@ def _labelled(spark, sf):
     """labels joined to postings features: y_true = 1 - quality, prediction =
     rule probability above a cut."""
     lab = D.table(spark, sf, "labels")
-    f = SC.posting_features(D.postings(spark, sf), D.DATA_GENERIC, D.DATA_URGENT, noun_table(spark, sf), D.DATA_VAGUE)
+    f = SC.posting_features(marked_postings(spark, sf), D.DATA_GENERIC, D.DATA_URGENT, noun_table(spark, sf), D.DATA_VAGUE)
     j = lab.join(f, lab["doc_id"] == f["id"])
     return j.select("doc_id", (F.lit(1) - F.col("quality")).alias("y_true"),
                     F.when(F.col("bert_score") > PRED_CUT, 1).otherwise(0).alias("y_pred"))
@@ -123,7 +124,7 @@ cnt AS (SELECT count(*) FILTER (WHERE y_true = 1 AND y_pred = 1) AS tp,
                count(*) FILTER (WHERE y_true = 1 AND y_pred = 0) AS fn,
                count(*) FILTER (WHERE y_true = 0 AND y_pred = 0) AS tn FROM lab),
 met AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0.0) AS p, coalesce(tp / nullif(tp + fn, 0), 0.0) AS r FROM cnt)"""
-LAB_CTES = with_(S.POSTINGS, S.vague_sql(D.DATA_VAGUE), S.features_sql("postings", D.DATA_GENERIC, D.DATA_URGENT, vague=True), LAB)
+LAB_CTES = with_(*MARKED_CTES, S.vague_sql(D.DATA_VAGUE), S.features_sql("scored_postings", D.DATA_GENERIC, D.DATA_URGENT, vague=True), LAB)
 
 METRICS_SELECT = f"""tp, fp, fn, tn, {S.rnd('p', 4)} AS precision, {S.rnd('r', 4)} AS recall,
        {S.rnd('CASE WHEN p + r = 0 THEN 0.0 ELSE 2.0 * p * r / (p + r) END', 4)} AS f1,
