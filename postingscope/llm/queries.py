@@ -71,8 +71,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    ruled = url_filter.with_rule(pages, URL_RULES).where("rule is not null")
-    model = url_filter.train(ruled.select("url", (F.col("rule_verdict") == "block").cast("int").alias("label")))
+    model = url_filter.train(url_filter.labelled_urls(spark))
     return url_filter.judge(pages, URL_RULES, model).select("page_id", "host", "path", "rule", "verdict", "block_score")
 
 

@@ -3,8 +3,14 @@
 A rule (verdict, "host/path") fits its host and all subdomains if the url's path starts with the rule's path;
 the longest fitting rule decides (of equally long ones a blocking rule, then the smaller text).  Urls without a
 rule get the verdict of a classifier on the character 3- to 5-grams of host and path, kept apart by a marker.
-It is trained on a small labelled table (url, label; 1 blocks): at most MAX_LABELLED rows, chosen by a seeded
-hash of the url; the broadcast weights are 2**HASH_BITS floats (one megabyte).
+It is trained on a small labelled table (url, label; 1 blocks), apart from the rules: at most MAX_LABELLED rows, chosen by a
+seeded hash of the url; both classes weigh the same, whatever their shares, and scores are
+probabilities under a prior of PRIOR, so a name that says nothing is allowed.  `labelled_urls` is our own table of some 270 urls, made by a
+rule from words of site names: half of sites that a text corpus does not want (gambling, pills, adult, link farms, malware,
+advertising), half of ordinary ones.  The broadcast weights are 2**HASH_BITS floats (one megabyte).
+
+Columns that the input has already keep their names; the new ones (host, path, rule, block_score, verdict) then get a trailing
+underscore.
 
 Defined cases: a null url or one without "://" has empty host and path, fits no rule and gets the classifier's
 verdict for empty strings; repeated labelled urls count once (the larger label); without labels of both
@@ -17,7 +23,7 @@ import string
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postingscope.llm.common import free_name
@@ -27,6 +33,7 @@ HASH_BITS = 18
 GRAMS = (3, 4, 5)
 MAX_LABELLED = 5_000
 SEED = 11
+PRIOR = 0.1         # share of urls without a rule that are taken to be unwanted, before anything is known of them
 
 
 def host_of(url: Column) -> Column:
@@ -46,26 +53,47 @@ def rule_fits(rule: str, host: Column, path: Column) -> Column:
 def with_rule(urls: DataFrame, rules: list[tuple[str, str]], url: str = "url") -> DataFrame:
     """urls with host, path, rule (text of the deciding rule or null) and rule_verdict."""
     ranked = sorted(rules, key=lambda r: (-len(r[1]), r[0] != "block", r[1]))
-    out = urls.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
+    h, p, name, told = (free_name(urls, c) for c in ("host", "path", "rule", "rule_verdict"))
+    out = urls.withColumn(h, host_of(F.col(url))).withColumn(p, path_of(F.col(url)))
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for v, r in reversed(ranked):
-        fits = rule_fits(r, F.col("host"), F.col("path"))
+        fits = rule_fits(r, F.col(h), F.col(p))
         rule, verdict = F.when(fits, F.lit(r)).otherwise(rule), F.when(fits, F.lit(v)).otherwise(verdict)
-    return out.withColumn("rule", rule).withColumn("rule_verdict", verdict)
+    return out.withColumn(name, rule).withColumn(told, verdict)
+
+
+# words of site names: sites that a text corpus does not want, and ordinary ones
+UNWANTED = ("casino poker betting bets jackpot slots roulette lottery pills viagra pharmacy meds steroids diet adult porn xxx "
+            "escort webcam dating spam scam phishing malware warez crack keygen torrent pirate replica payday loans forex "
+            "bitcoin-doubler backlinks link-farm content-farm clickbait popunder ads adserver tracker doorway coupons giveaway winner").split()
+ORDINARY = ("library university school college museum gallery gazette tribune chronicle observer weather climate science physics "
+            "biology history poetry theatre orchestra gardening baking recipes cooking cycling sailing running hiking chess football "
+            "railway harbour village cityhall parliament hospital clinic forest mountain island painter writer engineer teacher wiki docs").split()
+
 
+def labelled_urls(spark: SparkSession) -> DataFrame:
+    """(url, label): three urls for each word, in the same shapes for both classes, so that only the names tell them apart."""
+    rows = []
+    for label, words in ((1, UNWANTED), (0, ORDINARY)):
+        n = len(words)
+        for i, w in enumerate(words):
+            end, lang = ("com", "net", "org")[i % 3], ("en", "de", "fr", "es")[i % 4]
+            rows += [(f"http://{w}.{end}/", label), (f"https://www.{w}-{words[(7 * i + 3) % n]}.{('org', 'com', 'net')[i % 3]}/{lang}/{i}", label),
+                     (f"http://blog.{words[(5 * i + 1) % n]}{w}.{end}/{lang}/{i}.html?page=2", label)]
+    return spark.createDataFrame(rows, "url string, label int")
 
-def gram_ids(host: str, path: str) -> np.ndarray:
-    """Distinct hashed n-grams of host and path (bytes; the part is mixed into the hash)."""
+
+def gram_ids(text: str, part: int) -> np.ndarray:
+    """Distinct hashed n-grams of a host (part 0) or path (part 1); the part is mixed into the hash."""
     out = []
-    for part, s in enumerate((host, path)):
-        b = np.frombuffer(f"^{s}$".encode("utf-8", "surrogatepass"), dtype=np.uint8).astype(np.uint64)
-        for n in GRAMS:
-            k = len(b) - n + 1
-            if k > 0:
-                h = np.full(k, np.uint64(n * 2 + part), dtype=np.uint64)
-                for i in range(n):
-                    h = mix64(h + b[i:i + k] + np.uint64(i))
-                out.append(h >> np.uint64(64 - HASH_BITS))
+    b = np.frombuffer(f"^{text}$".encode("utf-8", "surrogatepass"), dtype=np.uint8).astype(np.uint64)
+    for n in GRAMS:
+        k = len(b) - n + 1
+        if k > 0:
+            h = np.full(k, np.uint64(n * 2 + part), dtype=np.uint64)
+            for i in range(n):
+                h = mix64(h + b[i:i + k] + np.uint64(i))
+            out.append(h >> np.uint64(64 - HASH_BITS))
     return np.unique(np.concatenate(out)).astype(np.int64) if out else np.zeros(0, dtype=np.int64)
 
 
@@ -75,21 +103,22 @@ class UrlModel:
     bias: float
 
 
-def fit(hosts: list[str], paths: list[str], labels: list[int], l2: float = 1e-4, rounds: int = 200) -> UrlModel:
-    """Accelerated gradient descent on the logistic loss."""
+def fit(hosts: list[str], paths: list[str], labels: list[int], l2: float = 1e-4, rounds: int = 200, prior: float = PRIOR) -> UrlModel:
+    """Accelerated gradient descent on the logistic loss; the share of blocked urls in use is taken to be `prior`."""
     y = np.asarray(labels, dtype=np.float64)
     share = float(y.mean()) if len(y) else 0.0
     if share in (0.0, 1.0):
         return UrlModel(np.zeros(1 << HASH_BITS, dtype=np.float32), 40.0 if share else -40.0)
-    rows = [gram_ids(h, p) for h, p in zip(hosts, paths)]
+    rows = [np.concatenate([gram_ids(h, 0), gram_ids(p, 1)]) for h, p in zip(hosts, paths)]
     used, col = np.unique(np.concatenate(rows), return_inverse=True)
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     n, m = len(rows), len(used)
-    step = 1 / (0.25 * max(len(r) for r in rows) + 0.25 + l2)       # rows are 0/1: squared norm = their length
+    scale = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) / n     # both classes weigh the same
+    step = 1 / (0.25 * max(len(r) + 1 for r in rows) * n * scale.max() + l2)    # rows are 0/1: squared norm = their length
     w, b, u, ub, t = np.zeros(m), 0.0, np.zeros(m), 0.0, 1.0
     for _ in range(rounds):
         z = np.bincount(at, weights=u[col], minlength=n) + ub
-        r = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / n
+        r = scale * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
         new = u - step * (np.bincount(col, weights=r[at], minlength=m) + l2 * u)
         nb = ub - step * r.sum()
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -97,7 +126,7 @@ def fit(hosts: list[str], paths: list[str], labels: list[int], l2: float = 1e-4,
         w, b, t = new, nb, t2
     weights = np.zeros(1 << HASH_BITS, dtype=np.float32)
     weights[used] = w
-    return UrlModel(weights, float(b))
+    return UrlModel(weights, float(b + np.log(prior / (1 - prior))))
 
 
 def train(labelled: DataFrame, url: str = "url", label: str = "label", max_labelled: int = MAX_LABELLED, seed: int = SEED) -> UrlModel:
@@ -108,6 +137,13 @@ def train(labelled: DataFrame, url: str = "url", label: str = "label", max_label
     return fit([r.h for r in rows], [r.p for r in rows], [r.y for r in rows])
 
 
+def scores(model: UrlModel, hosts: list[str], paths: list[str]) -> np.ndarray:
+    """Score of every url; hosts and paths that come again are hashed once."""
+    held = [{x: float(model.weights[gram_ids(x, part)].sum()) for x in set(texts)} for part, texts in enumerate((hosts, paths))]
+    z = np.array([model.bias + held[0][h] + held[1][p] for h, p in zip(hosts, paths)], dtype=np.float64)
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
 def judge(urls: DataFrame, rules: list[tuple[str, str]], model: UrlModel, url: str = "url") -> DataFrame:
     """urls with host, path, rule, block_score (null where a rule decides) and verdict."""
     shared = urls.sparkSession.sparkContext.broadcast(model)
@@ -115,13 +151,9 @@ def judge(urls: DataFrame, rules: list[tuple[str, str]], model: UrlModel, url: s
     @F.pandas_udf("double")
     def score(host, path):
         import pandas as pd
-        m = shared.value
-        z = [m.bias + float(m.weights[gram_ids(h, p)].sum()) for h, p in zip(host, path)]
-        return pd.Series(1 / (1 + np.exp(-np.clip(np.array(z, dtype=np.float64), -40, 40))))
-
-    ruled = with_rule(urls, rules, url)
-    todo = F.col("rule").isNull()
-    got = ruled.withColumn("block_score", F.when(todo, score(F.when(todo, F.col("host")).otherwise(""),
-                                                             F.when(todo, F.col("path")).otherwise(""))))
-    return got.withColumn("verdict", F.coalesce("rule_verdict", F.when(F.col("block_score") >= 0.5, "block").otherwise("allow"))) \
-              .drop("rule_verdict")
+        return pd.Series(scores(shared.value, list(host), list(path)))
+
+    h, p, rule, told, out, verdict = (free_name(urls, c) for c in ("host", "path", "rule", "rule_verdict", "block_score", "verdict"))
+    todo = F.col(rule).isNull()
+    got = with_rule(urls, rules, url).withColumn(out, F.when(todo, score(F.when(todo, F.col(h)).otherwise(""), F.when(todo, F.col(p)).otherwise(""))))
+    return got.withColumn(verdict, F.coalesce(F.col(told), F.when(F.col(out) >= 0.5, "block").otherwise("allow"))).drop(told)

@@ -471,6 +471,37 @@ def test_url_rules(spark):
     assert judged["http://spam99.xyz/buy/7"] == "block" and judged["http://uni99.edu/lib/3"] == "allow" and judged[None] in ("block", "allow")
 
 
+def test_url_scores_by_hand_and_held_out(spark):
+    """Scores recomputed from their formula; names that were held out; clashing columns; nulls, repeated and empty tables."""
+    rows = [tuple(r) for r in url_filter.labelled_urls(spark).collect()]
+    assert 200 < len(rows) and sum(y for _, y in rows) * 2 > 0.9 * len(rows)
+
+    def parts(u):
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", u or "")
+        return (m.group(1).lower(), m.group(2)) if m else ("", "")
+    right = 0
+    for k in range(5):
+        train = [r for i, r in enumerate(rows) if i // 3 % 5 != k]
+        test = [r for i, r in enumerate(rows) if i // 3 % 5 == k]
+        m = url_filter.fit(*zip(*[parts(u) for u, _ in train]), [y for _, y in train], prior=0.5)
+        right += sum((s >= 0.5) == (y == 1) for s, (_, y) in zip(url_filter.scores(m, *zip(*[parts(u) for u, _ in test])), test))
+    assert right > 0.8 * len(rows)
+    model = url_filter.train(url_filter.labelled_urls(spark))
+    urls = ["http://a.org/en/1", "https://WWW.Casino-pills.net/x", "http://b.net/es/2", None, "", "no url", "http://a.org/en/1", "http://ü.org/é?q#z"]
+    df = spark.createDataFrame([(i, u, "mine", "mine", 7.0, "mine") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string, block_score double, VERDICT string")
+    got = url_filter.judge(df, queries.URL_RULES, model).orderBy("page_id").collect()
+    assert all((r.host, r.rule, r.block_score, r.VERDICT) == ("mine", "mine", 7.0, "mine") for r in got)
+    for r, u in zip(got, urls):
+        h, p = parts(u)
+        assert (r.host_, r.path) == (h, p)
+        z = model.bias + sum(float(model.weights[i]) for part, t in enumerate((h, p)) for i in url_filter.gram_ids(t, part))
+        want = None if r.rule_ else 1 / (1 + np.exp(-z))
+        assert r.block_score_ is None if want is None else abs(r.block_score_ - want) < 1e-6
+        assert r.verdict_ == ({"net/es/": "block"}[r.rule_] if r.rule_ else "block" if want >= 0.5 else "allow")
+    assert got[1].verdict_ == "block" and got[0].verdict_ == "allow"
+    assert url_filter.judge(df.limit(0), queries.URL_RULES, model).count() == 0
+
+
 def test_empty_and_odd_tables(spark, odd_docs, odd_labels):
     empty = spark.createDataFrame([], EMPTY_SCHEMA)
     model = toxicity.train(odd_docs, odd_labels)
