@@ -21,8 +21,8 @@ files x their ancestors is an equi-join on the path.  The number of rows is that
 depth, never that of files squared.
 
 Defined cases: null paths and texts declare nothing and inherit nothing from "" unless the root has a licence
-file; ties go to the first template, in a directory to the smallest path; repeated paths keep one row each;
-an empty table gives an empty result.  DataFrame functions only.
+file; ties go to the first template, in a directory to the smallest path; files that share a path keep a row each and
+the licence of their own text; an empty table gives an empty result.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -36,7 +36,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postingscope.llm.common import cut
+from postingscope.llm.common import cut, per_key
+
+LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"     # names of files that speak for their directory
 
 THRESHOLD = 0.6
 REST = 0.1                  # squared weight of a template that its anchors leave out
@@ -185,7 +187,7 @@ def _corpus(docs: DataFrame) -> tuple[int, DataFrame]:
 
 
 def declared(files: DataFrame, path: str = "path", text: str = "text", templates=TEMPLATES + HEADERS, threshold: float = THRESHOLD, texts=None) -> DataFrame:
-    """(path, license, score, line) of every file that declares a licence."""
+    """(path, body, license, score, line) of every distinct file (path and text, whose hash is `body`) that declares a licence."""
     spark = files.sparkSession
     docs = files.where(F.col(path).isNotNull()).select(F.col(path).alias("path"), F.col(text).alias("text"))
     n_files, df = _corpus(docs)
@@ -195,8 +197,8 @@ def declared(files: DataFrame, path: str = "path", text: str = "text", templates
     # sparse vectors: one row per word; the weights are as many rows as the templates have words
     table = [(x, float(i), [float(v.get(x, 0.0)) for v in w.vectors]) for x, i in sorted(w.idf.items())]
     weights = F.broadcast(spark.createDataFrame(table, "term string, idf double, parts array<double>"))
-    held = (docs.where(w.may_declare(_words(F.col("text"))))
-            .withColumn("body", F.xxhash64("text")).dropDuplicates(["path", "body"]))
+    held = cut(docs.where(w.may_declare(_words(F.col("text"))))      # few files; read three times
+               .withColumn("body", body_of(F.col("text"))).dropDuplicates(["path", "body"]))
 
     # per line: words before it, and the sums of which runs of lines are made
     file = Window.partitionBy("path", "body")
@@ -246,10 +248,10 @@ def declared(files: DataFrame, path: str = "path", text: str = "text", templates
     exact = (spans.drop("words").join(norms, F.expr("h = nh"))
              .select(F.col("path").alias("p"), F.col("body").alias("b"), F.col("off").alias("o"), F.col("len").alias("l"), "norm"))
     scored = (near.join(exact, F.expr("path = p and body = b and off = o and len = l"))
-              .select("path", "line", F.round(F.col("dot") / F.col("norm"), 9).alias("score"), (-F.col("k")).alias("k")).where(F.col("score") >= threshold))
+              .select("path", "body", "line", F.round(F.col("dot") / F.col("norm"), 9).alias("score"), (-F.col("k")).alias("k")).where(F.col("score") >= threshold))
     names = F.array(*[F.lit(n) for n in w.names])
-    return (scored.groupBy("path").agg(F.max(F.struct("score", "k", (-F.col("line")).alias("line"))).alias("b"))
-            .select("path", F.get(names, -F.col("b.k")).alias("license"), F.col("b.score").alias("score"), (-F.col("b.line")).alias("line")))
+    return (scored.groupBy("path", "body").agg(F.max(F.struct("score", "k", (-F.col("line")).alias("line"))).alias("b"))
+            .select("path", "body", F.get(names, -F.col("b.k")).alias("license"), F.col("b.score").alias("score"), (-F.col("b.line")).alias("line")))
 
 
 def cut_declared(files: DataFrame, path: str = "path", text: str = "text", templates=TEMPLATES + HEADERS, threshold: float = THRESHOLD, texts=None) -> DataFrame:
@@ -257,31 +259,57 @@ def cut_declared(files: DataFrame, path: str = "path", text: str = "text", templ
     return cut(declared(files, path, text, templates, threshold, texts))
 
 
+def body_of(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def parent(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
-def inherit(files: DataFrame, own: DataFrame, licence_files: DataFrame, path: str = "path") -> DataFrame:
-    """Per file: path, own license and score, effective license and the directory it comes from (null: its own).
+def inherit(files: DataFrame, own: DataFrame, licence_files: DataFrame, path: str = "path", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per file: the columns `keep`, path, own license and score, effective license and the directory it comes from (null: its own).
 
-    licence_files: (path, license) of the files that speak for their directory.
+    own: (path, body, license, score) from `declared`; licence_files: (path, license) of the files that speak for their directory.
     """
     dirs = (licence_files.withColumn("dir", parent(F.col("path"))).groupBy("dir")
             .agg(F.min(F.struct("path", "license")).alias("m")).select("dir", F.col("m.license").alias("dir_license")))
-    mine = files.select(F.col(path).alias("path")).withColumn("own_dir", parent(F.col("path")))
+    mine = cut(files.select(*[F.col(c).alias(f"keep_{c}") for c in keep], F.col(path).alias("path"), body_of(F.col(text)).alias("body"))
+               .withColumn("own_dir", parent(F.col("path"))))
+    # directories, not files, look for their nearest licensed ancestor
+    held = mine.where("own_dir is not null").groupBy("own_dir").agg(F.count(F.lit(1)).alias("files"))
     parts = F.split("own_dir", "/")
-    up = (mine.select("own_dir").distinct().where("own_dir is not null")
-          .withColumn("depth", F.explode(F.sequence(F.lit(0), F.when(F.col("own_dir") == "", 0).otherwise(F.size(parts)))))
+    up = (held.withColumn("depth", F.explode(F.sequence(F.lit(0), F.when(F.col("own_dir") == "", 0).otherwise(F.size(parts)))))
           .withColumn("dir", F.array_join(F.slice(parts, 1, F.col("depth")), "/")))
-    near = (up.join(dirs, "dir").groupBy("own_dir").agg(F.max(F.struct("depth", "dir", "dir_license")).alias("n"))
-            .select(F.col("own_dir").alias("d"), F.col("n.dir").alias("from_dir"), F.col("n.dir_license").alias("dir_license")))
-    o = own.select(F.col("path").alias("p"), "license", "score")
-    return (mine.join(o, F.expr("path = p"), "left").join(near, F.expr("own_dir = d"), "left")
-            .select("path", F.col("license").alias("own_license"), "score", F.coalesce("license", "dir_license").alias("license"),
-                    F.when(F.col("license").isNull(), F.col("from_dir")).alias("inherited_from")))
+    near = (up.join(dirs, "dir").groupBy("own_dir", "files").agg(F.max(F.struct("depth", "dir", "dir_license")).alias("n"))
+            .select("own_dir", "files", F.col("n.dir").alias("from_dir"), F.col("n.dir_license").alias("dir_license")))
+    total = mine.count()
+    placed = per_key(mine, near, ["own_dir"], "files", total)       # one directory may hold a third of all files
+    o = own.select(F.col("path").alias("p"), F.col("body").alias("b"), "license", "score")
+    return (placed.join(o, F.expr("path = p and body = b"), "left")
+            .select(*[F.col(f"keep_{c}").alias(c) for c in keep], "path", F.col("license").alias("own_license"), "score",
+                    F.coalesce("license", "dir_license").alias("license"), F.when(F.col("license").isNull(), F.col("from_dir")).alias("inherited_from")))
 
 
 def license_scan(files: DataFrame, path: str = "path", text: str = "text", templates=TEMPLATES + HEADERS, threshold: float = THRESHOLD,
-                 licence_file: str = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$") -> DataFrame:
+                 licence_file: str = LICENCE_FILE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Licences of files; those whose name says so speak for their directory and all below it without one of their own."""
     own = cut_declared(files, path, text, templates, threshold)
-    return inherit(files, own, own.where(F.col("path").rlike(licence_file)), path)
+    return inherit(files, own, own.where(F.col("path").rlike(licence_file)), path, text, keep)
+
+
+def document_tree(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
+    """(doc_id, path, text): documents as files of a tree without paths of its own.
+
+    Roots are sources, below them languages; a document lies below the leading digits of its id, one directory a digit, so that depths
+    differ (12 in source/lang/1, 1234 in source/lang/1/2/3).  The smallest id of a directory is its licence file, by name; all others are
+    called by their id.  A null id lies at the language; a slash in a source or language is written as a colon."""
+    part = [F.translate(F.coalesce(F.col(c).cast("string"), F.lit("_")), "/", ":") for c in (source, lang)]
+    digits = F.abs(F.col(id_col).cast("bigint")).cast("string")
+    folders = F.split(F.substring(digits, F.lit(1), F.greatest(F.length(digits) - 1, F.lit(0))), "")
+    folder = F.concat_ws("/", *part, F.array_remove(folders, ""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), folder.alias("folder"), F.col(text).alias("text"))
+    first = rows.where("doc_id is not null").groupBy("folder").agg(F.min("doc_id").alias("first")).select(F.col("folder").alias("f"), "first")
+    named = rows.join(first, F.expr("folder = f"), "left")      # directories hold ten ids at most, but for null and repeated ones
+    name = F.when(F.col("doc_id") == F.col("first"), "LICENSE").otherwise(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
+    return named.select("doc_id", F.concat_ws("/", "folder", name).alias("path"), "text")

@@ -53,12 +53,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files source/lang/<thousand>/<doc_id>; a file that declares a licence speaks for its directory."""
-    docs = table(spark, sf_dir, "documents")
-    part = [F.coalesce(F.col(c), F.lit("_")) for c in ("source", "lang")]
-    files = docs.select(F.concat_ws("/", *part, F.expr("cast(doc_id div 1000 as string)"), F.col("doc_id").cast("string")).alias("path"), "text")
-    own = license_scan.cut_declared(files)
-    return license_scan.inherit(files, own, own).withColumn("doc_id", F.substring_index("path", "/", -1).cast("bigint"))
+    """Documents as files of a tree by source, language and id; the licence files of directories speak for what lies below."""
+    return license_scan.license_scan(license_scan.document_tree(table(spark, sf_dir, "documents")), keep=("doc_id",))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -458,6 +458,40 @@ def test_license_headers_and_texts(spark):
     assert {p: x[0] for p, x in want.items()} == names and all(abs(want[p][1] - got[p][1]) < 2e-6 and want[p][2] == got[p][2] for p in names)
 
 
+def test_license_query_against_brute_force(spark, tmp_path):
+    """op7: paths of differing depth, licence files two levels up, null and repeated ids, slashes in sources, empty table."""
+    notice = {"mit": "Released under the MIT License.", "apache": "Licensed under the Apache License, Version 2.0.", "cc": "Licensed under CC BY-NC 4.0."}
+    rng = random.Random(2)
+    rows = []
+    for i in [*range(0, 40), *range(100, 140), 1000, 1001, 1010, 1234, 1235, 12345, 12346, 12000, -7]:
+        text = f"some plain text of document {i}\n" * rng.randrange(1, 4) + (notice[rng.choice(list(notice))] if i in (0, 10, 17, 100, 120, 123, 1234) else "")
+        rows.append((i, text, "en", "a/b" if i % 2 else "s"))
+    rows += [(None, notice["mit"], "en", "s"), (None, "nothing", None, None), (120, "another text of 120", "en", "s"), (120, notice["cc"], "en", "s"), (5, None, "en", "s"), (6, "", "de", "s")]
+    spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter((r.doc_id, r.path, r.own_license, r.license, r.inherited_from) for r in queries.op7(spark, str(tmp_path)).collect())
+    # by hand: folders, names, licences of texts by the formulas, then the walk up
+    folder = [(r[3] or "_").replace("/", ":") + "/" + (r[2] or "_") + "".join("/" + c for c in (str(abs(r[0]))[:-1] if r[0] is not None else "")) for r in rows]
+    first = {}
+    for f, r in zip(folder, rows):
+        if r[0] is not None:
+            first[f] = min(first.get(f, r[0]), r[0])
+    path = [f + "/" + ("none" if r[0] is None else "LICENSE" if first[f] == r[0] else str(r[0])) for f, r in zip(folder, rows)]
+    told = brute_licences([(k, r[1]) for k, r in enumerate(rows)])
+    speaks = {}
+    for k, p in enumerate(path):
+        if p.endswith("/LICENSE") and k in told:
+            speaks[folder[k]] = min(speaks.get(folder[k], told[k][0]), told[k][0])
+    want = Counter()
+    for k, r in enumerate(rows):
+        own, up = (told[k][0] if k in told else None), folder[k]
+        while own is None and up and up not in speaks:
+            up = up.rpartition("/")[0]
+        want[r[0], path[k], own, own or speaks.get(up), None if own or not up else up] += 1
+    assert got == want
+    assert any(f and f.count("/") + 2 <= p.count("/") - 1 for _, p, _, _, f in want)        # an ancestor two levels up
+    assert queries.op7(spark, str(tmp_path)).columns == ["doc_id", "path", "own_license", "score", "license", "inherited_from"]
+
+
 def test_url_rules(spark):
     urls = ["http://example.com/en/x", "https://WWW.example.com/en/", "http://a.example.com/de", "http://a.net/es/1?q", "http://a.net/de/",
             "http://example.com", "x", None, "", "http://a.net/es", "ftp://evil.org://x/y#z"]
