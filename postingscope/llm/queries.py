@@ -58,7 +58,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hilbert_shards.shard_rows(table(spark, sf_dir, "documents"))
+    return hilbert_shards.shard_rows(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

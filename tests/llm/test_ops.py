@@ -390,6 +390,84 @@ def test_shards(which, request):
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
 
 
+def curve_by_hand(x, bits):
+    """Index of a cell on the Hilbert curve (the textbook transform, one cell at a time)."""
+    x, n, m = list(x), len(x), 1 << (bits - 1)
+    q = m
+    while q > 1:
+        p = q - 1
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= p
+            else:
+                t = (x[0] ^ x[i]) & p
+                x[0] ^= t
+                x[i] ^= t
+        q >>= 1
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t, q = 0, m
+    while q > 1:
+        if x[n - 1] & q:
+            t ^= q - 1
+        q >>= 1
+    x = [v ^ t for v in x]
+    return sum((x[k] >> b & 1) << (b * n + n - 1 - k) for b in range(bits) for k in range(n))
+
+
+@pytest.mark.parametrize("which", ["docs", "odd_docs"])
+def test_shard_places_by_hand(which, request):
+    """Cells from ranks and half powers of two, the curve, equal texts side by side in the cell of their smallest member."""
+    df = request.getfixturevalue(which)
+    src = [(r.doc_id, r.text, r.source, r.lang) for r in df.collect()]
+
+    def ranks(values):
+        order = sorted(set(values), key=lambda v: (v is not None, v or ""))
+        return {v: i if len(order) <= 16 else i * 16 // len(order) for i, v in enumerate(order)}
+    s, la = ranks([r[2] for r in src]), ranks([r[3] for r in src])
+    groups = defaultdict(list)
+    for i, t, a, b in src:
+        size = len((t or "").encode()) + 1
+        cell = (s[a], la[b], min(15, max(0, int(np.floor(2 * (np.log2(size) - 6))))))
+        groups[t or ""].append(((i is not None, i or 0), curve_by_hand(cell, 4)))
+    curve = {t: min(v) for t, v in groups.items()}
+    rows = sorted(hilbert_shards.shard_rows(df).collect(), key=lambda r: (r.shard, r.slot))
+    # one place after the other: the curve never falls, equal texts are one run
+    assert [r.curve for r in rows] == sorted(r.curve for r in rows)
+    by_text = Counter((r.size, r.text_crc32, r.curve) for r in rows)
+    assert by_text == Counter((len(t.encode()) + 1, zlib.crc32(t.encode()), curve[t][1]) for t, v in groups.items() for _ in v)
+    runs = [k for k, r in enumerate(rows) if not k or rows[k - 1].text_hash != r.text_hash]
+    assert len(runs) == len(groups)
+
+
+def test_written_shards_are_pruned_by_bounds(spark, docs, odd_docs, tmp_path):
+    for name, df in (("plain", docs), ("odd", odd_docs)):
+        folder = str(tmp_path / name)
+        hilbert_shards.write_shards(df, folder)
+        back = spark.read.parquet(f"{folder}/rows")
+        cols = [c for c in back.columns if c in df.columns]
+        assert cols == df.columns
+        assert Counter(map(tuple, back.select(*cols).collect())) == Counter(map(tuple, df.collect()))
+        want = [r.shard for r in hilbert_shards.shard_rows(df).collect()]
+        shard = next(c for c in back.columns if c.startswith("shard"))
+        assert Counter(r[0] for r in back.select(shard).collect()) == Counter(want)
+    folder = str(tmp_path / "plain")
+    for source, lang, sizes in ((("src1",), None, None), (None, ("fr",), None), (None, None, (1, 300)), (("src2", None), ("en",), (500, 900))):
+        shards = hilbert_shards.wanted_shards(spark, folder, source, lang, sizes)
+        held = hilbert_shards.read_shards(spark, folder, shards)
+
+        def hit(r):
+            n = len((r.text or "").encode()) + 1
+            return (source is None or r.source in source) and (lang is None or r.lang in lang) and (sizes is None or sizes[0] <= n <= sizes[1])
+        assert Counter(r.doc_id for r in held.collect() if hit(r)) == Counter(r.doc_id for r in docs.collect() if hit(r))
+        files = {f.rsplit("/", 2)[1] for f in held.inputFiles()}
+        assert len(shards) < 16 or lang == ("fr",)
+        plan = held._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [" in plan and f"shard" in plan and files
+    # one source, one language and a narrow range of sizes meet few shards
+    assert len(hilbert_shards.wanted_shards(spark, folder, ("src2",), ("en",), (500, 900))) <= 6
+
+
 def test_license_scan(spark):
     rows = [("a/LICENSE", "Licensed under the Apache License, Version 2.0."), ("a/b/x.py", "code\n# Released under the MIT License.\ncode"),
             ("a/b/y.py", "code only"), ("c/z.py", "we talk of the MIT people and the general public, licensed or not, at great length here"),
