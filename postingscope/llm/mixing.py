@@ -6,11 +6,11 @@ every output shard gets integer block quotas: the quota of shard m is the differ
 the seats up to m + 1 and up to m.  Divisor methods never take a seat back when the house grows, so these
 differences are never negative, each prefix of shards has the best mix for its size, and they add up to the
 apportionment of the whole budget.
-Only that sum is taken below: no row of the results carries a shard.
 
-Selection: the documents of a source form a stream in seeded hash order; the source's blocks are taken from
-the front of that stream, going round again after the last (a second and third copy).  So only one document
-of a source is taken in part.  Stream positions come from (source, hash range) sums and a window inside one
+Selection: the documents of a source form a stream in seeded hash order; the blocks of the shards are consecutive stretches
+of that stream, going round again after the last document (a second and third copy).  So every shard holds its
+quota of every source, block by block, in seeded order, and only one document of a source is taken in part.
+`shard_words` says how many words of a row each shard takes; `mix_documents` can name the shard in which a copy begins.  Stream positions come from (source, hash range) sums and a window inside one
 hash range, so a source holding a third of all rows is spread over many tasks.
 
 Defined cases: null text has size 0; null source is a source of its own, last in order; size 0 is never taken;
@@ -96,7 +96,8 @@ def shard_quotas(targets: DataFrame, block_words: int, shards: int) -> DataFrame
 
 def mix_plan(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", block_words: int = 16,
              shards: int = 16, max_copies: int = 3, seed: int = SEED, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """Per row: doc_id, source, size, source_size, target, taken, and its place: h, tie, start, quota_words."""
+    """Per row: doc_id, source, size, source_size, target, taken, shard_words (what each shard takes of it), and its place: h, tie,
+    start, quota_words, ends (where the shards' stretches of the source's stream end)."""
     h, tie = _place(id_col, text, seed)
     narrow = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"),
                              h.alias("h"), tie.alias("tie")))
@@ -104,10 +105,12 @@ def mix_plan(docs: DataFrame, text: str = "text", source: str = "source", id_col
     rows = sizes.agg(F.sum("n")).first()[0] or 0
     bits = max(6, int(rows // ROWS_PER_RANGE).bit_length())
     targets = cut(source_targets(sizes.drop("n"), weights, max_copies=max_copies))
-    quotas = shard_quotas(targets, block_words, shards).groupBy(F.col("source").alias("s")).agg(F.sum("blocks").alias("blocks"))
+    quotas = (shard_quotas(targets, block_words, shards).groupBy(F.col("source").alias("s"))
+              .agg(F.array_sort(F.collect_list(F.struct("shard", (F.col("blocks_before") + F.col("blocks")).alias("upto")))).alias("q")))     # one per shard
+    ends = F.transform(F.coalesce("q.upto", F.array_repeat(F.lit(0).cast("bigint"), shards)),
+                       lambda b: F.least(b * block_words, max_copies * F.col("source_size")))
     plan = targets.join(quotas, F.expr("source <=> s"), "left").select(
-        "source", "source_size", "target",
-        F.least(F.coalesce("blocks", F.lit(0)) * block_words, max_copies * F.col("source_size")).alias("quota_words"))
+        "source", "source_size", "target", ends.alias("ends"), F.element_at(ends, -1).alias("quota_words"))
     ranged = narrow.withColumn("part", F.shiftright("h", HASH_BITS - bits))
     offsets = (ranged.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
                .withColumn("offset", F.sum("part_size").over(Window.partitionBy("source").orderBy("part")
@@ -120,15 +123,21 @@ def mix_plan(docs: DataFrame, text: str = "text", source: str = "source", id_col
               .withColumn("start", F.col("offset") + F.col("inside")))
     at = [F.col("start") + c * F.col("source_size") for c in range(max_copies)]
     taken = sum(F.greatest(F.lit(0), F.least(F.col("quota_words"), a + F.col("size")) - a) for a in at)
+
+    def inside(end, m):
+        begin = F.when(m > 0, F.get("ends", m - 1)).otherwise(F.lit(0))
+        return sum(F.greatest(F.lit(0).cast("bigint"), F.least(end, a + F.col("size")) - F.greatest(begin, a)) for a in at)
+
     return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"),
-                         "h", "tie", "start", "quota_words")
+                         F.transform("ends", inside).alias("shard_words"), "h", "tie", "start", "quota_words", "ends")
 
 
-def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", **options) -> DataFrame:
+def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", shard_col: str | None = None,
+                  **options) -> DataFrame:
     """The mixed documents, same columns: whole copies, and the one document per source that is taken in part
-    with the words taken.  Rows equal in id and text share one decision.
+    with the words taken.  Rows equal in id and text share one decision.  `shard_col` adds the shard in which a copy begins.
 
-    The decision needs one boundary row per source, so texts are not shuffled.
+    The decision needs one boundary row per source (and per shard, where asked for), so texts are not shuffled.
     """
     plan = cut(mix_plan(docs, text, source, id_col, **options).where("size > 0"))
     rest = F.expr("quota_words % source_size")
@@ -136,6 +145,14 @@ def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", i
             .groupBy("source").agg(F.min(F.struct("h", "doc_id", "tie")).alias("edge"), F.first(rest - F.col("start")).alias("part"),
                                    F.first(F.expr("quota_words div source_size")).alias("rounds"))
             .select(F.col("source").alias("edge_source"), "edge", "part", "rounds"))
+    if shard_col:
+        # where each shard begins: the copy and the document, or the place after one that begins before
+        begins = F.transform(F.concat(F.array(F.lit(0).cast("bigint")), F.slice("ends", F.lit(1), F.size("ends") - 1)), lambda p, m: F.struct(m.alias("m"), p.alias("p")))
+        here = F.filter(begins, lambda x: (F.col("start") <= x["p"] % F.col("source_size")) & (x["p"] % F.col("source_size") < F.col("start") + F.col("size")))
+        starts = (plan.select("source", "source_size", "start", "h", "doc_id", "tie", F.explode(here).alias("x"))
+                  .groupBy(F.col("source").alias("s")).agg(F.collect_list(F.struct(
+                      F.expr("cast(x.p div source_size as int)").alias("copy"), "h", "doc_id", "tie", F.expr("cast(x.p % source_size > start as int)").alias("after"))).alias("starts")))
+        edge = edge.join(starts, F.expr("edge_source <=> s"), "left").drop("s")
     if edge.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         edge = F.broadcast(edge)
     h, tie = _place(id_col, text, options.get("seed", SEED))
@@ -148,7 +165,9 @@ def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", i
             .withColumn("words", F.when(here == F.col("edge"), F.col("part")).otherwise(F.lit(0))))
     pieces = F.concat(F.array_repeat(F.lit(-1).cast("bigint"), F.col("full")),
                       F.when(F.col("words") > 0, F.array("words")).otherwise(F.array().cast("array<bigint>")))
-    out = both.withColumn(copy, F.explode(pieces))
+    out = both.select("*", F.posexplode(pieces).alias("nth", copy))
+    mark = F.struct(F.col("nth").alias("copy"), "h", F.col(row)[id_col].alias("doc_id"), "tie", F.lit(0).alias("after"))
+    extra = [(F.size(F.filter("starts", lambda e: e <= mark)) - 1).alias(shard_col)] if shard_col else []
     kept = F.array_join(F.slice(F.array_remove(F.split(F.col(row)[text], r"[\x20\x09-\x0D]+"), ""), 1, F.greatest(F.col(copy), F.lit(1)).cast("int")), " ")
     return out.select(*[F.when(F.col(copy) > 0, kept).otherwise(F.col(row)[c]).alias(c) if c == text else F.col(row)[c].alias(c)
-                        for c in docs.columns])
+                        for c in docs.columns], *extra)

@@ -269,6 +269,34 @@ def test_shard_quotas_are_sainte_lague(spark):
     assert total == seats and all(r.blocks >= 0 for r in rows)
 
 
+def test_every_shard_holds_its_quota_of_every_source(spark, docs, odd_docs):
+    """shard_words adds up to the quotas, source by source; a copy is in the shard where its first word lies."""
+    for df, block in ((docs, 16), (odd_docs, 3)):
+        plan = mixing.mix_plan(df, block_words=block)
+        rows = plan.collect()
+        got, size = Counter(), {}
+        for r in rows:
+            size[r.source] = r.source_size
+            assert sum(r.shard_words) == r.taken
+            for m, n in enumerate(r.shard_words):
+                got[r.source, m] += n
+        targets = plan.select("source", "target").distinct()
+        for q in mixing.shard_quotas(targets, block, 16).collect():
+            upto = [min(b * block, 3 * size[q.source]) for b in (q.blocks_before, q.blocks_before + q.blocks)]
+            assert got[q.source, q.shard] == upto[1] - upto[0], q
+        place = {}
+        for r in rows:
+            for c in range(3):
+                at = r.start + c * r.source_size
+                if r.size and at < r.quota_words:
+                    place.setdefault((r.doc_id, r.source), Counter())[next(m for m, e in enumerate(r.ends) if at < e)] += 1
+        mixed = defaultdict(Counter)
+        for r in mixing.mix_documents(df, block_words=block, shard_col="in_shard").collect():
+            mixed[r.doc_id, r.source][r.in_shard] += 1
+        repeated = {k for k, n in Counter((r.doc_id, r.source) for r in rows).items() if n > 1}      # rows that share one decision
+        assert {k: v for k, v in mixed.items() if k not in repeated} == {k: v for k, v in place.items() if k not in repeated}
+
+
 def water_fill(sizes, weights):
     total, capped = sum(sizes.values()), set()
     while True:
