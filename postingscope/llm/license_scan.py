@@ -302,14 +302,12 @@ def document_tree(docs: DataFrame, id_col: str = "doc_id", text: str = "text", s
     """(doc_id, path, text): documents as files of a tree without paths of its own.
 
     Roots are sources, below them languages; a document lies below the leading digits of its id, one directory a digit, so that depths
-    differ (12 in source/lang/1, 1234 in source/lang/1/2/3).  The smallest id of a directory is its licence file, by name; all others are
-    called by their id.  A null id lies at the language; a slash in a source or language is written as a colon."""
+    differ (12 in source/lang/1, 1234 in source/lang/1/2/3).  A document is called by its id, but for the directory's own entry, whose
+    last digit is 0: it is the directory's licence file, by name.  A null id lies at the language; a slash in a source or language is
+    written as a colon.  A projection: no text is moved."""
     part = [F.translate(F.coalesce(F.col(c).cast("string"), F.lit("_")), "/", ":") for c in (source, lang)]
     digits = F.abs(F.col(id_col).cast("bigint")).cast("string")
     folders = F.split(F.substring(digits, F.lit(1), F.greatest(F.length(digits) - 1, F.lit(0))), "")
     folder = F.concat_ws("/", *part, F.array_remove(folders, ""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), folder.alias("folder"), F.col(text).alias("text"))
-    first = rows.where("doc_id is not null").groupBy("folder").agg(F.min("doc_id").alias("first")).select(F.col("folder").alias("f"), "first")
-    named = rows.join(first, F.expr("folder = f"), "left")      # directories hold ten ids at most, but for null and repeated ones
-    name = F.when(F.col("doc_id") == F.col("first"), "LICENSE").otherwise(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
-    return named.select("doc_id", F.concat_ws("/", "folder", name).alias("path"), "text")
+    name = F.when(F.substring(digits, -1, 1) == "0", "LICENSE").otherwise(F.coalesce(F.col(id_col).cast("string"), F.lit("none")))
+    return docs.select(F.col(id_col).alias("doc_id"), F.concat_ws("/", folder, name).alias("path"), F.col(text).alias("text"))

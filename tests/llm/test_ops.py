@@ -351,15 +351,52 @@ def test_toxicity_learns_and_swaps():
         texts.append(" ".join(w))
         y.append(int(bad))
     rows = list(toxicity.feature_ids(pa.array(texts)))
-    plain = toxicity.fit(rows, np.array(y), swap_penalty=0.0)
-    fair = toxicity.fit(rows, np.array(y), swap_penalty=50.0)
-    term, other = toxicity.term_features("muslim"), toxicity.term_features("christian")
+    changes = [c for t in texts for c in toxicity.Swaps().changes(t)]
+    assert len(changes) == 3 * sum("muslim" in t for t in texts)
+    plain = toxicity.fit(rows, np.array(y), changes, swap_penalty=0.0)
+    fair = toxicity.fit(rows, np.array(y), changes, swap_penalty=50.0)
+    term, other = toxicity.features_of("muslim"), toxicity.features_of("christian")
     gap = lambda m: abs(float(m.weights[term].sum() - m.weights[other].sum()))
     assert gap(fair) < 0.2 * gap(plain)
     s = toxicity.score_texts(fair, pa.array(["w1 w2 idiot", "w1 w2 muslim", ""]))
     assert s[0] > 0.5 > s[1] and 0 <= s[2] < 0.5
 
 
+def test_swaps_rewrite_whole_sentences():
+    """Whole words only, every language, every occurrence; features are those of the rewritten text."""
+    swaps = toxicity.Swaps()
+    assert list(swaps.texts("The Women met; women's rights, womenfolk, WOMEN.")) == [
+        "The men met; women's rights, womenfolk, men.", "The people met; women's rights, womenfolk, people.", "The  met; women's rights, womenfolk, ."]
+    assert list(swaps.texts("mantra, blackbird and Frauenhaus")) == [] and list(swaps.texts("")) == []
+    assert {t.split()[1] for t in swaps.texts("die Männer hier") if len(t.split()) == 3} == {"mädchen", "leute"}
+    assert len(list(swaps.texts("les juifs y los judíos"))) == 6
+    for text in ("a muslim man and a christian woman", "les femmes et les hommes et women"):
+        own = set(toxicity.features_of(text).tolist())
+        for swapped, (gone, come) in zip(swaps.texts(text), swaps.changes(text)):
+            new = set(toxicity.features_of(swapped).tolist())
+            assert set(gone.tolist()) == own - new and set(come.tolist()) == new - own
+    assert toxicity.Swaps({}).changes("women") == [] and toxicity.Swaps({"x": (("foo", "bar", "baz"),)}).changes("a foo")
+
+
+def test_toxicity_scores_by_hand_and_bounded_training(spark):
+    """Scores are the logistic of the distinct features' weights; the swapped texts of the table count; the bound on bytes holds."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.sample([f"w{k}" for k in range(60)], 12)) + (" idiot" if i % 6 == 0 else "") + (" women" if i % 3 == 0 or i % 10 == 0 else "")) for i in range(120)]
+    docs = spark.createDataFrame(rows + [(None, "x"), (5, rows[5][1])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    for r in toxicity.with_score(docs, model, "s").collect():
+        z = model.bias + sum(float(model.weights[i]) for i in toxicity.features_of(r.text))
+        assert abs(r.s - 1 / (1 + np.exp(-z))) < 1e-6
+    free = toxicity.train(docs, labels, swap_penalty=0.0)
+    gap = lambda m: abs(sum(float(m.weights[i]) for i in toxicity.features_of("women")))
+    assert gap(model) <= gap(free) + 1e-9
+    few = toxicity.train(docs, labels, max_bytes=2_000)
+    assert (few.weights != 0).sum() < (model.weights != 0).sum()
+    same = toxicity.train(docs.repartition(7), labels)
+    assert (same.weights == model.weights).all() and same.bias == model.bias
+
+
 def test_toxicity_held_out(spark):
     sf = SF.replace("0.001", "0.1")
     got = {r.doc_id: r for r in queries.op5(spark, sf).collect()}
@@ -577,11 +614,7 @@ def test_license_query_against_brute_force(spark, tmp_path):
     got = Counter((r.doc_id, r.path, r.own_license, r.license, r.inherited_from) for r in queries.op7(spark, str(tmp_path)).collect())
     # by hand: folders, names, licences of texts by the formulas, then the walk up
     folder = [(r[3] or "_").replace("/", ":") + "/" + (r[2] or "_") + "".join("/" + c for c in (str(abs(r[0]))[:-1] if r[0] is not None else "")) for r in rows]
-    first = {}
-    for f, r in zip(folder, rows):
-        if r[0] is not None:
-            first[f] = min(first.get(f, r[0]), r[0])
-    path = [f + "/" + ("none" if r[0] is None else "LICENSE" if first[f] == r[0] else str(r[0])) for f, r in zip(folder, rows)]
+    path = [f + "/" + ("none" if r[0] is None else "LICENSE" if r[0] % 10 == 0 else str(r[0])) for f, r in zip(folder, rows)]
     told = brute_licences([(k, r[1]) for k, r in enumerate(rows)])
     speaks = {}
     for k, p in enumerate(path):
