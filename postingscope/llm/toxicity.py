@@ -2,11 +2,12 @@
 
 A text's features are the hashes of its distinct letter runs (A-Z as a-z) and of their stems.  Training minimises the logistic
 loss, an L1 term, and for every labelled text that names a group the squared change of its logit when the
-group term is swapped for another of its kind, for a neutral word or for nothing.  So the weights of group terms
+group term is swapped for another of its kind, for a neutral word or for nothing.  Terms (per language, a parameter) are found
+in the text as whole words, the text is rewritten, and its features are extracted anew.  So the weights of group terms
 are drawn together and to zero, and the mention of a group alone does not raise a score.
 
-The classifier is fitted on at most MAX_LABELLED labelled texts, chosen by a seeded hash of their id; their
-feature ids (not texts) go to the driver.  Scoring covers every whole text; the weights are broadcast
+The classifier is fitted on at most MAX_LABELLED labelled texts, chosen by a seeded hash of their id, with at most
+MAX_LABELLED_BYTES of feature ids; these (not texts) go to the driver.  Scoring covers every whole text; the weights are broadcast
 (2**HASH_BITS floats, four megabytes).
 
 Defined cases: null or empty text: the score of the intercept; null labels and ids are not learned from; of
@@ -16,6 +17,7 @@ label 1 (0 without labels); an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,21 +28,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postingscope.llm import textbytes as tb
-from postingscope.llm.common import lean_map, small_batches
+from postingscope.llm.common import cut, lean_map, small_batches
 
 MAX_LABELLED = 6_000
+MAX_LABELLED_BYTES = 64 << 20       # feature ids of labelled texts that go to the driver, in the order of their choice
 HASH_BITS = 20
 STEMS = (4, 6, 7, 9)        # stem lengths in bytes
 SEED = 7
-# groups of terms that may be swapped for each other; the last one of each is the neutral word
-IDENTITY_TERMS = (
-    ("women", "men", "girls", "boys", "people"), ("woman", "man", "girl", "boy", "person"),
-    ("muslims", "christians", "jews", "hindus", "buddhists", "atheists", "people"),
-    ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "religious"),
-    ("gay", "lesbian", "straight", "bisexual", "transgender", "queer", "person"),
-    ("black", "white", "asian", "latino", "african", "european", "american"),
-    ("immigrants", "refugees", "foreigners", "locals", "people"),
-)
+# per language, groups of terms that may be swapped for each other; the last one of each is the neutral word
+IDENTITY_TERMS = {
+    "en": (("women", "men", "girls", "boys", "people"), ("woman", "man", "girl", "boy", "person"),
+           ("muslims", "christians", "jews", "hindus", "buddhists", "atheists", "people"),
+           ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "religious"),
+           ("gay", "lesbian", "straight", "bisexual", "transgender", "queer", "person"),
+           ("black", "white", "asian", "latino", "african", "european", "american"),
+           ("immigrants", "refugees", "foreigners", "locals", "people")),
+    "de": (("frauen", "männer", "mädchen", "jungs", "leute"), ("muslime", "christen", "juden", "buddhisten", "atheisten", "leute"),
+           ("muslimisch", "christlich", "jüdisch", "buddhistisch", "religiös"), ("schwule", "lesben", "heteros", "leute"),
+           ("einwanderer", "flüchtlinge", "ausländer", "einheimische", "leute")),
+    "fr": (("femmes", "hommes", "filles", "garçons", "gens"), ("musulmans", "chrétiens", "juifs", "bouddhistes", "athées", "gens"),
+           ("musulman", "chrétien", "juif", "bouddhiste", "croyant"), ("gays", "lesbiennes", "hétéros", "gens"),
+           ("immigrés", "réfugiés", "étrangers", "habitants", "gens")),
+    "es": (("mujeres", "hombres", "chicas", "chicos", "gente"), ("musulmanes", "cristianos", "judíos", "budistas", "ateos", "gente"),
+           ("musulmán", "cristiano", "judío", "budista", "creyente"), ("lesbianas", "heterosexuales", "homosexuales", "gente"),
+           ("inmigrantes", "refugiados", "extranjeros", "vecinos", "gente")),
+}
 
 
 def _letters() -> np.ndarray:
@@ -77,9 +89,43 @@ def feature_ids(texts: pa.Array) -> Iterator[np.ndarray]:
             yield np.unique(ids[a:z])
 
 
-def term_features(term: str) -> list[int]:
-    """Feature ids that a term in a text stands for: the word and its stems."""
-    return next(feature_ids(pa.array([term]))).tolist()
+def features_of(text: str) -> np.ndarray:
+    """Distinct feature ids of one text."""
+    return next(feature_ids(pa.array([text], pa.large_string())))
+
+
+class Swaps:
+    """Texts with a group term swapped: for the next term of its group, the neutral word, or nothing.
+
+    Terms are found in the text itself, as whole words (A-Z as a-z), in all languages of `terms`, whatever the text's own.
+    """
+
+    def __init__(self, terms: dict[str, tuple[tuple[str, ...], ...]] = IDENTITY_TERMS):
+        self.others: dict[bytes, list[bytes]] = {}
+        for groups in terms.values():
+            for group in groups:
+                named, neutral = [t.encode() for t in group[:-1]], group[-1].encode()
+                for k, t in enumerate(named):
+                    self.others.setdefault(t, [named[(k + 1) % len(named)], neutral, b""])
+        letter = rb"[0-9A-Za-z'\x80-\xff]"
+        names = b"|".join(map(re.escape, sorted(self.others, key=len, reverse=True)))
+        self.any = re.compile(rb"(?<!" + letter + rb")(?:" + names + rb")(?!" + letter + rb")", re.I) if names else None
+
+    def texts(self, text: str) -> Iterator[str]:
+        data = text.encode()
+        for term in sorted({m.lower() for m in self.any.findall(data)}) if self.any else []:
+            for other in self.others[term]:
+                yield self.any.sub(lambda m: other if m.group().lower() == term else m.group(), data).decode()
+
+    def changes(self, text: str) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(feature ids that go, feature ids that come) of every swapped text; its features are extracted anew."""
+        own = None
+        out = []
+        for swapped in self.texts(text):
+            own = features_of(text) if own is None else own
+            new = features_of(swapped)
+            out.append((np.setdiff1d(own, new), np.setdiff1d(new, own)))
+        return out
 
 
 @dataclass
@@ -88,9 +134,9 @@ class Model:
     bias: float
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, identity: tuple = IDENTITY_TERMS, swap_penalty: float = 1.0,
+def fit(rows: list[np.ndarray], labels: np.ndarray, changes: list[tuple[np.ndarray, np.ndarray]] = (), swap_penalty: float = 1.0,
         l1: float = 1e-3, rounds: int = 250) -> Model:
-    """Accelerated proximal gradient descent on sparse 0/1 rows."""
+    """Accelerated proximal gradient descent on sparse 0/1 rows; `changes` are those of swapped labelled texts."""
     size = 1 << HASH_BITS
     y = np.asarray(labels, dtype=np.float64)
     share = float(y.mean()) if len(y) else 0.0
@@ -107,17 +153,12 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, identity: tuple = IDENTITY_T
     col = np.concatenate(rows)
     at = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     rows = []
-    # a swap: +1 the features of the term found, -1 those of its replacement; it counts once per text with the term
+    # a swap: +1 the features that go, -1 those that come; equal changes count together
+    kinds = Counter((gone.tobytes(), come.tobytes()) for gone, come in changes if len(gone) or len(come))
     swaps: list[tuple[float, dict[int, int]]] = []
-    for group in identity:
-        for k, term in enumerate(group):
-            here = term_features(term)
-            found = int(min(df[i] for i in here)) if all(place[i] >= 0 for i in here) else 0
-            for other in sorted({group[(k + 1) % len(group)], group[-1]} - {term}) + [None]:
-                if found:
-                    change = Counter(here)
-                    change.subtract(term_features(other) if other else [])      # None: the term left out
-                    swaps.append((found * swap_penalty / len(y), {i: d for i, d in change.items() if d}))
+    for (gone, come), found in sorted(kinds.items()) if swap_penalty else []:
+        change = {int(i): 1 for i in np.frombuffer(gone, np.int64)} | {int(i): -1 for i in np.frombuffer(come, np.int64)}
+        swaps.append((found * swap_penalty / len(y), change))
     extra = sorted({i for _, c in swaps for i in c if place[i] < 0})
     place[extra] = np.arange(len(used), len(used) + len(extra), dtype=np.int32)
     used = np.r_[used, np.array(extra, dtype=np.int64)]
@@ -157,25 +198,42 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, identity: tuple = IDENTITY_T
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", id_col: str = "doc_id",
-          allowed=None, max_labelled: int = MAX_LABELLED, seed: int = SEED, **options) -> Model:
+          allowed=None, max_labelled: int = MAX_LABELLED, max_bytes: int = MAX_LABELLED_BYTES, seed: int = SEED,
+          terms: dict[str, tuple[tuple[str, ...], ...]] = IDENTITY_TERMS, **options) -> Model:
     """Fit on the labelled texts whose id satisfies the condition `allowed` (a Column over `id_col`)."""
     small_batches(docs.sparkSession)
     pool = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull())
     pool = pool.where(allowed) if allowed is not None else pool
     pool = (pool.groupBy(F.col(id_col).alias("label_id")).agg(F.max(label).cast("int").alias("y"))
-            .orderBy(F.xxhash64(F.lit(seed), "label_id"), "label_id").limit(max_labelled))
+            .withColumn("place", F.xxhash64(F.lit(seed), "label_id")).orderBy("place", "label_id").limit(max_labelled))
     joined = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).join(
-        F.broadcast(pool), F.expr("doc_id = label_id")).select("doc_id", "y", "text")   # at most max_labelled rows
+        F.broadcast(pool), F.expr("doc_id = label_id")).select("doc_id", "y", "place", "text")   # at most max_labelled rows
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        swaps = Swaps(terms)
         for b in batches:
-            ids = pa.array([x.astype(np.int32).tobytes() for x in feature_ids(b.column(2))], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids], names=["doc_id", "y", "ids"])
+            ids = pa.array([x.astype(np.int32).tobytes() for x in feature_ids(b.column(3))], pa.binary())
+            found = [swaps.changes(t.as_py() or "") for t in b.column(3)]
+            sides = [pa.array([[c[k].astype(np.int32).tobytes() for c in row] for row in found], pa.list_(pa.binary())) for k in (0, 1)]
+            size = pa.array([len(x.as_py()) + 4 * sum(len(g) + len(c) for g, c in row) for x, row in zip(ids, found)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], size, ids, *sides], names=["doc_id", "y", "place", "n", "ids", "gone", "come"])
 
     kind = dict(joined.dtypes)["doc_id"]
-    got = sorted(joined.mapInArrow(lean_map(prepare), f"doc_id {kind}, y int, ids binary")
-                 .dropDuplicates(["doc_id"]).collect(), key=lambda r: r.doc_id)
-    return fit([np.frombuffer(r.ids, dtype=np.int32) for r in got], np.array([r.y for r in got]), **options)
+    one = F.min(F.struct("place", "doc_id", "y", "n", "ids", "gone", "come")).alias("r")       # of rows that repeat an id
+    rows = cut(joined.mapInArrow(lean_map(prepare), f"doc_id {kind}, y int, place bigint, n bigint, ids binary, gone array<binary>, come array<binary>")
+               .groupBy("doc_id").agg(one).select("r.*"))
+    # in their order, as many as the bound on bytes lets in
+    held, last = 0, None
+    for r in sorted(rows.select("place", "doc_id", "n").collect(), key=lambda r: (r.place, r.doc_id)):
+        held += r.n
+        if held > max_bytes and last is not None:
+            break
+        last = r
+    got = [] if last is None else sorted(rows.where((F.col("place") < last.place) | ((F.col("place") == last.place) & (F.col("doc_id") <= F.lit(last.doc_id)))).collect(),
+                                         key=lambda r: r.doc_id)
+    wide = lambda x: np.frombuffer(x, dtype=np.int32).astype(np.int64)
+    changes = [(wide(g), wide(c)) for r in got for g, c in zip(r.gone, r.come)]
+    return fit([np.frombuffer(r.ids, dtype=np.int32) for r in got], np.array([r.y for r in got]), changes, **options)
 
 
 def score_texts(model: Model, texts: pa.Array) -> np.ndarray:
