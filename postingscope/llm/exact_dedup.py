@@ -26,11 +26,13 @@ from pyspark.sql import functions as F
 
 from postingscope.llm.common import bounded_filter, cut, free_name, may_contain, shuffle_partitions
 
-OWNERS_PER_PARTITION = 4
+OWNED_ROWS = 1 << 20      # rows whose fingerprints one owner merges, on average
+STEP = 64                 # codes between two marked places of a list
 
 
 def golomb_encode(values: np.ndarray) -> bytes:
-    """Sorted distinct uint64 values as first value, Rice parameter and Rice-coded differences (minus one)."""
+    """Sorted distinct uint64 values: first value, count, Rice parameter, where every STEP-th code begins, and the Rice-coded
+    differences (minus one)."""
     if not len(values):
         return b""
     gap = np.diff(values) - np.uint64(1)
@@ -47,34 +49,56 @@ def golomb_encode(values: np.ndarray) -> bytes:
     for k in range(low):
         bits[start + quot + 1 + k] = (gap >> np.uint64(low - 1 - k) & np.uint64(1)).astype(np.uint8)
     head = np.array([int(values[0]), len(values), low], dtype=np.uint64).tobytes()
-    return head + np.packbits(bits).tobytes()
+    return head + start[::STEP].astype(np.uint64).tobytes() + np.packbits(bits).tobytes()
+
+
+def golomb_decode_many(blobs: list[bytes]) -> list[np.ndarray]:
+    """The values of many lists at once: all runs of STEP codes advance together, one code a round."""
+    first, n, low, runs, parts = [], [], [], [], []
+    bits_before, codes_before = 0, 0
+    for x in blobs:
+        f, count, rice = (int(v) for v in np.frombuffer(x[:24], dtype=np.uint64)) if x else (0, 0, 0)
+        begins = -(-max(count - 1, 0) // STEP)
+        starts = np.frombuffer(x[24:24 + 8 * begins], dtype=np.uint64).astype(np.int64)
+        bits = np.unpackbits(np.frombuffer(x[24 + 8 * begins:], dtype=np.uint8)) if x else np.zeros(0, np.uint8)
+        first.append(f)
+        n.append(count)
+        low.append(rice)
+        parts.append(bits)
+        left = np.minimum(STEP, max(count - 1, 0) - STEP * np.arange(begins))
+        runs.append(np.stack([starts + bits_before, codes_before + STEP * np.arange(begins), left, np.full(begins, rice)], axis=1).astype(np.int64))
+        bits_before += len(bits)
+        codes_before += max(count - 1, 0)
+    bits = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+    at, code, left, rice = np.concatenate(runs).T if runs else np.zeros((4, 0), np.int64)
+    # the closing zero of a unary quotient: the next zero at or after the code's start
+    zero = np.flatnonzero(bits == 0)
+    begin, stop, rices = (np.zeros(codes_before, dtype=np.int64) for _ in range(3))
+    for k in range(STEP):
+        alive = np.flatnonzero(left > k)
+        if not len(alive):
+            break
+        c = code[alive] + k
+        begin[c], rices[c] = at[alive], rice[alive]
+        stop[c] = zero[np.searchsorted(zero, at[alive])]
+        at[alive] = stop[c] + 1 + rice[alive]
+    gaps = (stop - begin).astype(np.uint64) << rices.astype(np.uint64)
+    for j in range(int(rices.max(initial=0))):                  # the remainders' bits, highest first
+        has = np.flatnonzero(rices > j)
+        gaps[has] |= bits[stop[has] + 1 + j].astype(np.uint64) << (rices[has] - 1 - j).astype(np.uint64)
+    out, done = [], 0
+    for f, count in zip(first, n):
+        v = np.zeros(count, dtype=np.uint64)
+        if count:
+            v[0] = f
+            v[1:] = gaps[done:done + count - 1] + np.uint64(1)
+            done += count - 1
+        out.append(np.cumsum(v, dtype=np.uint64))
+    return out
 
 
 def golomb_decode(blob: bytes) -> np.ndarray:
-    if not blob:
-        return np.zeros(0, dtype=np.uint64)
-    first, n, low = (int(x) for x in np.frombuffer(blob[:24], dtype=np.uint64))
-    bits = np.unpackbits(np.frombuffer(blob[24:], dtype=np.uint8))
-    out = np.zeros(n, dtype=np.uint64)
-    out[0] = first
-    if n > 1:
-        # the closing zeros: the next zero at or after the current code's start, then skip `low` bits
-        following = np.full(len(bits) + 1, len(bits), dtype=np.int64)
-        zero = np.flatnonzero(bits == 0)
-        following[zero] = zero
-        following = np.minimum.accumulate(following[::-1])[::-1]
-        stop, at, skip = np.empty(n - 1, dtype=np.int64), 0, following.tolist()
-        for i in range(n - 1):
-            z = skip[at]
-            stop[i] = z
-            at = z + 1 + low
-        start = np.r_[0, stop[:-1] + 1 + low]
-        gap = (stop - start).astype(np.uint64) << np.uint64(low)
-        for k in range(low):
-            gap |= bits[stop + 1 + k].astype(np.uint64) << np.uint64(low - 1 - k)
-        out[1:] = gap + np.uint64(1)
-        out = np.cumsum(out, dtype=np.uint64)
-    return out
+    return golomb_decode_many([blob])[0]
 
 
 def _fingerprint(digest: Column) -> Column:
@@ -82,15 +106,17 @@ def _fingerprint(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
+def owners_of(rows: int) -> int:
+    return max(16, -(-rows // OWNED_ROWS))
+
+
 def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Per row: doc_id, sha, fp, owner, sender, slot, again -- written to the shared folder.
 
     slot is the rank of fp among the sender's distinct fingerprints for that owner; again marks one that the
     sender holds more than once.
     """
-    spark = docs.sparkSession
-    owners = max(16, OWNERS_PER_PARTITION * shuffle_partitions(spark))
-    span = (1 << 60) // owners + 1
+    span = (1 << 60) // owners_of(docs.count()) + 1
     sha = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
     kind = dict(docs.dtypes)[id_col]
     narrow = (docs.select(F.col(id_col).alias("doc_id"), sha.alias("sha"), F.spark_partition_id().alias("sender"))
@@ -145,7 +171,7 @@ def duplicate_bitmaps(narrow: DataFrame) -> DataFrame:
 
     def own(t: pa.Table) -> pa.Table:
         senders = t["sender"].to_pylist()
-        lists = [golomb_decode(x) for x in t["codes"].to_pylist()]
+        lists = golomb_decode_many(t["codes"].to_pylist())
         again = [np.unpackbits(np.frombuffer(x, np.uint8))[:len(v)].astype(np.int64) for x, v in zip(t["again"].to_pylist(), lists)]
         _, inverse, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
         several = count > 1
@@ -160,7 +186,8 @@ def duplicate_bitmaps(narrow: DataFrame) -> DataFrame:
                          "bits": pa.array(bits, pa.list_(pa.int64()))})
 
     sent = narrow.select("fp", "owner", "sender").mapInArrow(send, "owner int, sender int, codes binary, again binary")
-    return sent.groupBy("owner").applyInArrow(own, "sender int, owner int, bits array<bigint>")
+    # dealt out explicitly: small lists would else be gathered in one task
+    return sent.repartition(shuffle_partitions(narrow.sparkSession), "owner").groupBy("owner").applyInArrow(own, "sender int, owner int, bits array<bigint>")
 
 
 def suspects(narrow: DataFrame) -> DataFrame:

@@ -92,6 +92,11 @@ def test_golomb_round_trip():
     for n in (1, 2, 50, 3000):
         v = np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64))
         assert (exact_dedup.golomb_decode(exact_dedup.golomb_encode(v)) == v).all()
+    lists = [np.unique(rng.integers(0, 1 << hi, n).astype(np.uint64)) for n in (0, 1, 2, 64, 65, 66, 200, 1000) for hi in (8, 30, 60)]
+    for got, want in zip(exact_dedup.golomb_decode_many([exact_dedup.golomb_encode(v) for v in lists]), lists):
+        assert (got == want).all() and len(got) == len(want)
+    assert exact_dedup.golomb_decode_many([]) == [] and len(exact_dedup.golomb_decode(b"")) == 0
+    assert exact_dedup.owners_of(0) == 16 and exact_dedup.owners_of(10 ** 9) * exact_dedup.OWNED_ROWS >= 10 ** 9
     dense = np.arange(100, dtype=np.uint64)
     assert (exact_dedup.golomb_decode(exact_dedup.golomb_encode(dense)) == dense).all()
 
