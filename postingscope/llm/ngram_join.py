@@ -48,7 +48,7 @@ from postingscope.llm.textbytes import mix64, shingle_sets
 PERCENT = 75                # 100 * intersection >= PERCENT * union
 FLUSH_TOKENS = 1 << 20      # tokens a sender gathers before it sends
 OWNED_TOKENS = 1 << 20      # tokens that one owner sorts, at most on average
-RANGE_TAGS = 1 << 20        # classes whose credits are added up together
+RANGE_TAGS = 1 << 16        # classes whose credits are added up together
 MAX_L = 16                  # longest extension of a candidate's prefix
 VERIFY_COST = 8             # verifying one partner costs as much as reading so many list entries
 FAMILY_FREQUENCY = 64       # mean token frequency in the prefix from which a class is compared with pivots first
