@@ -261,10 +261,6 @@ def final_score(g, v, r, u, b, s, weights: dict | None = None) -> Column:
                                             pyround(raw / F.lit(float(wsum)) * F.lit(100.0), 2)))
 
 
-def weight_sum(weights: dict | None = None) -> float:
-    return float(sum((L.DEFAULT_WEIGHTS if weights is None else weights).values()))
-
-
 # RPT3
 def risk_band(score, cuts=(30.0, 60.0), labels=("low", "medium", "high")) -> Column:
     s = col(score)

@@ -156,6 +156,7 @@ def strip_boilerplate(c, patterns=None) -> Column:
     return out
 
 
+# The patterns of whitespace runs, sentence gaps and slugs below are fixed values of the cleaner's contract.
 def squash_ws(c) -> Column:
     out = F.regexp_replace(col(c), r"[\r\t\f\x{0B}]+", " ")
     return F.regexp_replace(out, r"[ \t]+", " ")
@@ -238,6 +239,7 @@ def parse_relative_time(c, as_of) -> Column:
     def minus_days(n_days):
         return F.timestamp_micros(F.unix_micros(as_of) - n_days * F.lit(86_400_000_000))
 
+    # fixed values: the date prefix, the words for "now" and (in lexicons) the units
     branch = F.when(s.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"),
                     F.coalesce(F.try_to_timestamp(F.substring(s, 1, 10), F.lit("yyyy-MM-dd")), as_of))
     branch = branch.when(s.contains("just") | s.contains("today") | s.contains("hour")

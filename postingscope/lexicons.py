@@ -195,9 +195,6 @@ DEFAULT_TITLE = "Untitled Position"
 DEFAULT_POSTING_SOURCE = "Unknown"
 DEFAULT_REVIEW_SOURCE = "reddit"
 
-# Currency marks recognised by the salary extractor.
-CURRENCY_MARKS = ["$", "£", "€"]
-
 # ---------------------------------------------------------------------------
 # Our own wording for report text (not required to match anything).
 # ---------------------------------------------------------------------------
@@ -206,11 +203,11 @@ THEME_TEXT = [
     "Roles that are listed again and again with no sign of anyone being hired",
     "Long hiring timelines with many interview stages",
 ]
-THEME_FILLER = "Broad, loosely defined role expectations"
+THEME_FILLER = "Nothing else stands out in the reviews"
 THEME_DEFAULTS = [
-    "No reply after the application was sent",
-    "Interview processes without a stated decision date",
-    "Openings re-listed without visible onboarding",
+    "No candidate has reviewed this employer yet",
+    "How quickly applicants hear back is not known",
+    "Whether listed openings are filled is not known",
 ]
 SIGNAL_TEXT = {
     "repost": ("Frequent re-listing", "This role has been listed about {n} times as often as a typical opening."),

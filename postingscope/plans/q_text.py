@@ -126,9 +126,6 @@ def url1_canonical_company(spark, sf):
     return D.page_postings(spark, sf).select("id", "url", "company")
 
 
-REL_LABEL_SPARK = None
-
-
 def _relative_labels(spark, sf):
     ev = D.table(spark, sf, "events")
     unit = (F.when(F.col("event_type") == "view", F.lit("days ago"))
