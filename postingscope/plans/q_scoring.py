@@ -10,7 +10,7 @@ from postingscope.operators import scoring as SC
 from postingscope.operators.sentiment import sentiment_by_company
 from postingscope.plans import sqlgen as S
 from postingscope.plans.catalog import as_of, register, with_
-from postingscope.plans.marks import MARKED_CTES, marked_postings
+from postingscope.plans.marks import INGEST_CTES, MARKED_CTES, marked_postings
 from postingscope.sources import driver as D
 
 
@@ -68,7 +68,15 @@ def _reposts(spark, sf):
     return mark_reposts(inc, None, threshold=D.DATA_THRESHOLD)
 
 
-@register("feat4_repost_score", None)
+FEAT4_SQL = with_(S.POSTINGS, S.INCOMING, "inc AS (SELECT * FROM incoming), kept AS (SELECT * FROM incoming), st AS (SELECT * FROM incoming WHERE false),"
+                  + INGEST_CTES[-1][INGEST_CTES[-1].index("\nallrows AS ("):]) + f""",
+counted AS (SELECT repost_of_id AS original_id, count(*) AS n FROM marked WHERE repost_of_id IS NOT NULL GROUP BY repost_of_id)
+SELECT m.id, {S.repost('m.repost_of_id')} AS repost_score,
+       CASE WHEN m.repost_of_id IS NULL OR m.repost_of_id = 0 THEN 0.0 ELSE {S.clamp01r4('least(1.0, 0.4 + coalesce(c.n, 1) * 0.15)')} END AS repost_score_counted
+FROM marked m LEFT JOIN counted c ON m.repost_of_id = c.original_id"""
+
+
+@register("feat4_repost_score", FEAT4_SQL)
 def feat4_repost_score(spark, sf):
     from postingscope.operators.dedupe import repost_counts
     m = _reposts(spark, sf)
