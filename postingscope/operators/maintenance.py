@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from postingscope.functions.text import clean_text
 from postingscope.operators.store import BUCKETS, Store
-from postingscope.session import path_exists
+from postingscope.session import path_exists, spread
 
 
 def pending(postings: DataFrame, force: bool = False) -> DataFrame:
@@ -23,7 +23,7 @@ def pending(postings: DataFrame, force: bool = False) -> DataFrame:
 
 def clean_pending(postings: DataFrame, force: bool = False, **kw) -> DataFrame:
     """UPS4: cleaned_text for pending postings; already-clean rows unchanged."""
-    todo = pending(postings, force)
+    todo = spread(pending(postings, force))
     cleaned = todo.withColumn("cleaned_text", clean_text(F.col("description"), **kw))
     if force:
         return cleaned

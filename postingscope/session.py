@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on.  AQE re-plans joins at runtime (broadcast
 # only when the materialised side is small, skew-join splitting of hot
@@ -50,6 +50,13 @@ def get_spark(master: str | None = None, app: str = "postingscope",
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` on all cores where its source has fewer partitions than half of them (one small file, one large row group), for
+    work that costs far more than moving the rows.  Inputs of many partitions, as at scale, are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists in the file system that its scheme names."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
