@@ -56,7 +56,7 @@ def vagueness(df: DataFrame, nouns: DataFrame | None = None, text: str = "_text"
 
 
 def posting_features(postings: DataFrame, generic=None, urgent=None,
-                     nouns: DataFrame | None = None, vague=None) -> DataFrame:
+                     nouns: DataFrame | None = None, vague=None, marks: DataFrame | None = None) -> DataFrame:
     """FEAT1-5 on best text: genericness, vagueness, repost, urgency and the
     rule probability used when no trained model is supplied.
 
@@ -64,7 +64,8 @@ def posting_features(postings: DataFrame, generic=None, urgent=None,
     columns: each is consumed more than once, so the optimizer keeps each in
     its own projection and every text is lowered and scanned once, all in
     whole-stage codegen.  The nouns, which need a join, come last: where the
-    result needs no text, only numbers go through it.
+    result needs no text, only numbers go through it.  So do repost marks
+    that are given apart (`marks`: id, repost_of_id).
     """
     from postingscope.functions.features import density_of, phrase_hits
     from postingscope.functions.text import is_blank
@@ -79,9 +80,11 @@ def posting_features(postings: DataFrame, generic=None, urgent=None,
     cnt = "repost_count" if "repost_count" in postings.columns else None
     df = (df.withColumn("genericness_score", density_of("_gh", "_words", L.GENERICNESS_SCALE))
             .withColumn("urgency_score", density_of("_uh", "_words", L.URGENCY_SCALE))
-            .withColumn("repost_score", repost_score("repost_of_id", cnt))
             .drop("_lt", "_gh", "_uh", "_words"))
     df = vagueness(df, nouns, vague=vague)
+    if marks is not None:
+        df = df.drop("repost_of_id").join(marks.select("id", "repost_of_id"), "id", "left")
+    df = df.withColumn("repost_score", repost_score("repost_of_id", cnt))
     return df.withColumn("bert_score", rule_probability(
         "genericness_score", "vagueness_score", "repost_score", "urgency_score", "_some")).drop("_some")
 
@@ -104,9 +107,9 @@ SCORE_COLUMNS = ["genericness_score", "vagueness_score", "repost_score", "urgenc
 
 def score_postings(postings: DataFrame, sentiment: DataFrame, as_of, weights=None,
                    generic=None, urgent=None, nouns: DataFrame | None = None,
-                   model=None, vague=None) -> DataFrame:
+                   model=None, vague=None, marks: DataFrame | None = None) -> DataFrame:
     """JOB5 core: one score row per posting (keyed by job_posting_id)."""
-    feats = posting_features(postings, generic, urgent, nouns, vague)
+    feats = posting_features(postings, generic, urgent, nouns, vague, marks)
     if model is not None:
         from postingscope.operators.ml import predict
         feats = predict(feats, model, text="_text", out="bert_score")

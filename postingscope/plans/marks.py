@@ -91,10 +91,14 @@ tagged AS (
 )"""]
 
 
+def repost_marks(spark, sf):
+    """(id, repost_of_id) of the repost detector."""
+    return ingest(spark, sf)[0].select("id", "repost_of_id")
+
+
 def marked_postings(spark, sf):
-    """Stored postings with the marks of the repost detector; the batch's text and vectors are read once for them."""
-    marked, _ = ingest(spark, sf)
-    return D.postings(spark, sf).drop("repost_of_id").join(marked.select("id", "repost_of_id"), "id", "left")
+    """Stored postings with the marks of the repost detector."""
+    return D.postings(spark, sf).drop("repost_of_id").join(repost_marks(spark, sf), "id", "left")
 
 
 MARKED = "scored_postings AS (SELECT p.* EXCLUDE (repost_of_id), m.repost_of_id FROM postings p LEFT JOIN marked m ON p.id = m.id)"

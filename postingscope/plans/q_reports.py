@@ -13,7 +13,7 @@ from postingscope.operators import stats as ST
 from postingscope.operators.sentiment import sentiment_all, sentiment_by_company
 from postingscope.plans import sqlgen as S
 from postingscope.plans.catalog import as_of, register, with_
-from postingscope.plans.marks import INGEST_CTES, MARKED, marked_postings
+from postingscope.plans.marks import INGEST_CTES, MARKED, repost_marks
 from postingscope.plans.q_scoring import noun_table
 from postingscope.plans.q_stats import LAB, METRICS_SELECT, PRED_CUT
 from postingscope.sources import driver as D
@@ -26,12 +26,12 @@ def r6(c):
 def _scores(spark, sf, embedded_only=False):
     """Scores of all postings; `embedded_only` (JOIN2, where missing scores
     are the feature) leaves those without an embedding unscored."""
-    sp = marked_postings(spark, sf)
+    sp = D.postings(spark, sf)
     if embedded_only:
         sp = sp.join(D.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id")), "id", "left_semi")
     sent = sentiment_by_company(D.reviews(spark, sf), as_of(), D.DATA_FRUSTRATION)
     return SC.score_postings(sp, sent, as_of(), generic=D.DATA_GENERIC, urgent=D.DATA_URGENT,
-                             nouns=noun_table(spark, sf), vague=D.DATA_VAGUE)
+                             nouns=noun_table(spark, sf), vague=D.DATA_VAGUE, marks=repost_marks(spark, sf))
 
 
 def _dash(spark, sf):

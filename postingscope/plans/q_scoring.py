@@ -10,7 +10,7 @@ from postingscope.operators import scoring as SC
 from postingscope.operators.sentiment import sentiment_by_company
 from postingscope.plans import sqlgen as S
 from postingscope.plans.catalog import as_of, register, with_
-from postingscope.plans.marks import INGEST_CTES, MARKED_CTES, marked_postings
+from postingscope.plans.marks import INGEST_CTES, MARKED_CTES, marked_postings, repost_marks
 from postingscope.sources import driver as D
 
 
@@ -29,8 +29,8 @@ def noun_table(spark, sf):
 def scores(spark, sf, weights=None):
     """Scores of all postings with the noun table and the detector's repost marks."""
     sent = sentiment_by_company(D.reviews(spark, sf), as_of(), D.DATA_FRUSTRATION)
-    return SC.score_postings(marked_postings(spark, sf), sent, as_of(), weights=weights, generic=D.DATA_GENERIC, urgent=D.DATA_URGENT,
-                             nouns=noun_table(spark, sf), vague=D.DATA_VAGUE).drop("computed_at")
+    return SC.score_postings(D.postings(spark, sf), sent, as_of(), weights=weights, generic=D.DATA_GENERIC, urgent=D.DATA_URGENT,
+                             nouns=noun_table(spark, sf), vague=D.DATA_VAGUE, marks=repost_marks(spark, sf)).drop("computed_at")
 
 
 SCORES_CTES = with_(*MARKED_CTES, S.REVIEWS, S.review_scores_sql(D.DATA_FRUSTRATION),
