@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postingscope import lexicons as L
@@ -43,6 +43,11 @@ from postingscope.operators.windows import first_k
 BLOCK = 2048        # positions whose vectors make one matrix
 
 
+def long_enough(text: str = "description", min_len: int = L.MIN_DESCRIPTION) -> Column:
+    """Whether a text has more than `min_len` characters between its outer whitespace."""
+    return F.col(text).isNotNull() & (F.length(strip_ws(F.col(text))) > min_len)
+
+
 def block_matrix(col: pa.ChunkedArray) -> np.ndarray:
     """Vectors as rows of one matrix of doubles; null vectors, missing and null components are 0."""
     rows = col.combine_chunks()
@@ -88,8 +93,7 @@ def mark_reposts(incoming: DataFrame, stored: DataFrame | None = None, *, k: int
     """
     order = list(order)
     base_cols = ["id", "company", *[c for c in order if c != "id"], emb]
-    ok = (F.col("_eligible") if "_eligible" in incoming.columns else
-          (F.col("description").isNotNull() & (F.length(strip_ws(F.col("description"))) > min_len)))
+    ok = F.col("_eligible") if "_eligible" in incoming.columns else long_enough(min_len=min_len)
     inc = incoming.select(*base_cols, ok.alias("_ok")).withColumn("_inc", F.lit(True))
     if stored is not None:
         st = stored.select(*base_cols, F.lit(False).alias("_ok")).withColumn("_inc", F.lit(False))
@@ -157,9 +161,8 @@ class RecentPostings:
     def stage(self, tx: Transaction, batch: DataFrame) -> DataFrame:
         """Mark a batch and stage the new last k of its companies; returns the marks."""
         arrived = F.lit(tx.base["version"] + 1).cast("bigint")
-        ok = F.col("description").isNotNull() & (F.length(strip_ws(F.col("description"))) > self.min_len)
         rows = batch.select("company", arrived.alias("arrived"), "scraped_at", "id", "embedding",
-                            ("_eligible" if "_eligible" in batch.columns else ok.alias("_eligible"))).checkpoint(eager=True)
+                            ("_eligible" if "_eligible" in batch.columns else long_enough(min_len=self.min_len).alias("_eligible"))).checkpoint(eager=True)
         before = tx.read_hit(self.recent, rows, "company")
         if before is not None:
             before = before.join(rows.select("company").distinct(), "company", "left_semi").select("company", *self.ORDER, "embedding")

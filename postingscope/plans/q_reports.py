@@ -19,19 +19,33 @@ from postingscope.plans.q_stats import LAB, METRICS_SELECT, PRED_CUT
 from postingscope.sources import driver as D
 
 
+BROADCAST_IDS = 1_000_000       # so many ids at most are sent to every executor
+
+
 def r6(c):
     return pyround(c, 9)
 
 
 def _scores(spark, sf, embedded_only=False):
     """Scores of all postings; `embedded_only` (JOIN2, where missing scores
-    are the feature) leaves those without an embedding unscored."""
+    are the feature) leaves those without an embedding unscored.
+
+    No text is shuffled for that: the ids with an embedding are counted first;
+    up to BROADCAST_IDS they are sent to the texts, beyond, all postings are
+    scored and the scores joined to the ids."""
     sp = D.postings(spark, sf)
+    few = False
     if embedded_only:
-        sp = sp.join(D.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id")), "id", "left_semi")
+        ids = D.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))
+        few = ids.count() <= BROADCAST_IDS
+        if few:
+            sp = sp.join(F.broadcast(ids), "id", "left_semi")
     sent = sentiment_by_company(D.reviews(spark, sf), as_of(), D.DATA_FRUSTRATION)
-    return SC.score_postings(sp, sent, as_of(), generic=D.DATA_GENERIC, urgent=D.DATA_URGENT,
-                             nouns=noun_table(spark, sf), vague=D.DATA_VAGUE, marks=repost_marks(spark, sf))
+    s = SC.score_postings(sp, sent, as_of(), generic=D.DATA_GENERIC, urgent=D.DATA_URGENT,
+                          nouns=noun_table(spark, sf), vague=D.DATA_VAGUE, marks=repost_marks(spark, sf))
+    if embedded_only and not few:
+        s = s.join(ids.withColumnRenamed("id", "job_posting_id"), "job_posting_id", "left_semi")
+    return s
 
 
 def _dash(spark, sf):

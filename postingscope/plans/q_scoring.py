@@ -63,8 +63,8 @@ def feat2_urgency(spark, sf):
 # FEAT4 needs reposts: the repost ids come from the repost detector's output
 # (WIN1) over all postings, with and without a repost count (JOIN10).
 def _reposts(spark, sf):
-    from postingscope.operators.reposts import mark_reposts
-    inc = D.incoming_postings(spark, sf)
+    from postingscope.operators.reposts import long_enough, mark_reposts
+    inc = D.incoming_postings(spark, sf, _eligible=long_enough())
     return mark_reposts(inc, None, threshold=D.DATA_THRESHOLD)
 
 
